@@ -42,7 +42,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         atexit.register(self._at_exit)
 
     def stash(self, df: DataFrame) -> DataFrame:
@@ -51,13 +50,12 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._fewstep_keep = path
+        out._stashed_at = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.paths.pop(id(t), None):
+            if path := t.__dict__.pop("_stashed_at", None):
                 remove(self.spark, path)
 
     def _at_exit(self) -> None:
