@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fewstep.llm import bpe, langid, mixing, sharding
+from fewstep.llm import bpe, langid, mixing, neardup, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": langid.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_shard": sharding.op6_shard,
 }
 
