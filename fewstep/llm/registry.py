@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fewstep.llm import bpe, langid, linededup, mixing, neardup, sharding
+from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_shard": sharding.op6_shard,
+    "op7_license_scan": licenses.op7_license_scan,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_shard": sharding.OP6_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
 }
