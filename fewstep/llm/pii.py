@@ -1,0 +1,164 @@
+"""Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
+
+Base spans come from four fixed patterns. The method starts from them, and from keys of two well-known
+shapes, as seeds. A seed's context gives lexical patterns: the last one, two or three pieces of text
+before it, and whether an assignment stands before it. Other tokens with digits are candidates; those in
+the same contexts form, with the seeds, a bipartite graph of patterns and instances. In each of ROUNDS
+rounds Spark scores a pattern by the share of its places in the whole corpus that hold identifiers
+(weighted by their scores), and an instance by the noisy-or of its patterns. Patterns need SUPPORT
+distinct instances. Candidates that score ACCEPT or
+more and overlap no base span are added as spans of kind id.
+
+The number of a pattern's places is counted over all texts: a common word before an e-mail address is no
+evidence. Only counts are joined and written between the rounds, and all sums combine before a shuffle.
+
+DataFrame functions only. Positions are code points from 0, ends exclusive. Nulls: a null text is empty.
+Rows of equal id and text get equal spans; a null id is an id like others. Texts are read whole, and no
+regular expression backtracks over more than one run. A text's spans meet in one row; its matches are
+numbered by a window over that text alone. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from fewstep.plans.storage import Scratch
+from fewstep.sources.tables import table
+
+#: The base patterns. A run that can't start a match is entered once (possessive, or behind
+#: a look-behind), which gives the same leftmost matches in linear time.
+BASE = {
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: What a text must hold for a pattern to be tried at all.
+_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "id": r"[0-9]"}
+#: Candidates: whole runs of at least 8 ASCII letters and digits with two digits; and seeds among them.
+CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9][A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
+KEY_SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"
+KINDS = [*BASE, "id"]
+ROUNDS, SUPPORT, ACCEPT = 4, 3, 0.9
+#: Code points before a match in which its context is looked for.
+CONTEXT = 80
+
+
+def _matches(kind: str, regex: str) -> F.Column:
+    """Array of kind, nth, gap (code points since the last match), before (their end) and hit."""
+    hits = F.regexp_extract_all("text", F.lit(f"({regex})"), F.lit(0))
+    gaps = F.split("text", regex, -1)
+    made = F.transform(
+        F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap")),
+        lambda x, n: F.struct(F.lit(kind).alias("kind"), n.alias("nth"), F.length(x["gap"]).cast("long").alias("gap"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), x["hit"].alias("hit")),
+    )
+    return F.when(F.col("text").rlike(_HINTS[kind]), made).otherwise(F.array().cast("array<struct<kind:string,nth:int,gap:bigint,before:string,hit:string>>"))
+
+
+def _luhn(digits: F.Column) -> F.Column:
+    def worth(k):
+        d = F.substring(F.reverse(digits), k, F.lit(1)).cast("int")
+        return F.when(k % 2 == 1, d).otherwise(F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, k: s + worth(k)) % 10 == 0
+
+
+def _valid() -> F.Column:
+    digits = F.regexp_replace("hit", "[^0-9]", "")
+    parts = F.transform(F.split("hit", r"\."), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    small = F.forall(parts, lambda x: (F.length(x) < 3) | ((F.length(x) == 3) & (x <= "255")))
+    card = F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False))
+    return (
+        F.when(F.col("kind") == "ip", small).when(F.col("kind") == "card", card)
+        .when(F.col("kind") == "phone", F.length(digits).between(9, 15)).otherwise(F.lit(True))
+    )
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, mark (hash of the text), text. One row per valid base span and per candidate."""
+    found = F.flatten(F.array(*[_matches(k, r) for k, r in {**BASE, "id": CANDIDATE}.items()]))
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "mark", F.explode(found).alias("m")).select("doc_id", "mark", "m.*")
+    rows = rows.dropDuplicates(["doc_id", "mark", "kind", "nth"])
+    upto = Window.partitionBy("doc_id", "mark", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto)).withColumn("start", F.col("end") - F.length("hit"))
+    return rows.where(_valid()).select("doc_id", "mark", "kind", "start", "end", "before", "hit")
+
+
+def _patterns() -> F.Column:
+    """The patterns of a match by its context, each with the pieces of text whose places bound its own."""
+    pieces = F.regexp_extract_all(F.translate(F.lower("before"), "123456789", "000000000"), F.lit(r"(\S+)"), F.lit(0))
+    attached = F.col("before").rlike(r"\S$")
+    tail = F.when(attached, F.lit("")).otherwise(F.lit(" "))
+    last = [F.slice(pieces, -k, k) for k in (1, 2, 3)]
+    made = [F.when(F.size(pieces) >= k, F.struct(F.concat(F.lit(f"{k}:"), F.array_join(p, " "), tail).alias("pattern"), p.alias("pieces"))) for k, p in enumerate(last, 1)]
+    assigned = F.when(F.col("before").rlike(r"=\s*[\"']?$"), F.struct(F.lit("=").alias("pattern"), F.array(F.lit("=")).alias("pieces")))
+    return F.array_compact(F.array(*made, assigned))
+
+
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """piece, places: how often each wanted piece stands in the whole corpus; '=' counts pieces that hold one."""
+    pieces = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("piece")).where("piece <> ''")
+    counted = pieces.groupBy("piece").agg(F.count("*").alias("places"))
+    counted = counted.groupBy(F.translate("piece", "123456789", "000000000").alias("piece")).agg(F.sum("places").alias("places"))
+    assigned = counted.where("contains(piece, '=')").agg(F.sum("places").alias("places")).select(F.lit("=").alias("piece"), F.coalesce("places", F.lit(0)).alias("places"))
+    return counted.where("piece <> '='").join(wanted, "piece", "left_semi").unionByName(assigned)
+
+
+def identifiers(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """instance, score: the bootstrapped scores of all candidates in contexts that some seed has."""
+    seed = (F.col("kind") != "id") | F.col("hit").rlike(KEY_SEEDS)
+    edges = found.select("hit", seed.alias("seed"), F.explode(_patterns()).alias("p")).select("hit", "seed", "p.*")
+    edges = scratch.stash(edges.groupBy("pattern", F.col("hit").alias("instance")).agg(F.first("pieces").alias("pieces"), F.max("seed").alias("seed"), F.count("*").alias("times")))
+    strong = edges.groupBy("pattern").agg(F.count("*").alias("kinds"), F.max("seed").alias("seeded"), F.sum("times").alias("held"), F.first("pieces").alias("pieces"))
+    strong = scratch.stash(strong.where(F.col("kinds") >= SUPPORT).drop("kinds"))
+    wanted = strong.select(F.explode("pieces").alias("piece")).distinct()
+    places = scratch.stash(_places(docs, wanted))
+    limits = strong.select("pattern", F.explode(F.array_distinct("pieces")).alias("piece")).join(places, "piece", "left").groupBy("pattern").agg(F.min(F.coalesce("places", F.lit(0))).alias("places"))
+    strong = strong.join(limits, "pattern").select("pattern", F.greatest("places", "held").alias("places"))
+    graph = scratch.stash(edges.join(strong, "pattern").select("pattern", "instance", "seed", "times", "places"))
+
+    def by_instance(scored: DataFrame) -> DataFrame:
+        doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999999))))
+        return scored.groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(doubt)).alias("score"))
+
+    scores = graph.groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"))
+    for _ in range(ROUNDS):
+        by_pattern = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / F.max("places")).alias("confidence"))
+        new = scratch.stash(by_instance(graph.join(by_pattern, "pattern")))
+        scratch.drop(scores)
+        scores = new
+    return scores
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, mark, text. doc_id, mark, kind, start, end of every base span and every added one."""
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = scratch.stash(matches(docs))
+    scores = identifiers(docs, found, scratch).where(F.col("score") >= ACCEPT).select(F.col("instance").alias("hit"))
+    by_place = Window.partitionBy("doc_id", "mark").orderBy("start", "end")
+    is_base = F.col("kind") != "id"
+    before = F.max(F.when(is_base, F.col("end"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(is_base, F.col("start"))).over(by_place.rowsBetween(1, Window.unboundedFollowing))
+    clear = found.withColumn("clear", (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end")))
+    more = clear.where("kind = 'id' AND clear").drop("clear").join(scores, "hit", "left_semi")
+    same = found.where(is_base).select("doc_id", "mark", "start", "end")
+    return found.where(is_base).select("doc_id", "mark", "kind", "start", "end").unionByName(more.select("doc_id", "mark", "kind", "start", "end").join(same, ["doc_id", "mark", "start", "end"], "left_anti"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. The columns of op4 for each row."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    order = F.element_at(F.create_map(*[x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(n))]), F.col("kind"))
+    text = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
+    by_doc = spans(docs).select("doc_id", "mark", "kind", F.struct("start", order.alias("nth"), "end", text.alias("said")).alias("span"))
+    is_base = F.col("kind") != "id"
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
+    by_doc = by_doc.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(*counts, F.sort_array(F.collect_list(F.when(is_base, F.col("span")))).alias("base"), F.sort_array(F.collect_list("span")).alias("all"))
+    said = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["said"]), ","), F.lit(""))
+    out = docs.select("doc_id", "mark").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("all").alias("spans"))
+
+
+def op4_personal_data(spark, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, sharding
+from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, pii, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": langid.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_shard": sharding.op6_shard,
     "op7_license_scan": licenses.op7_license_scan,
