@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, permutation, pii, sharding
+from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, nndescent, permutation, pii, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_shard": sharding.op6_shard,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_embedding_duplicates": nndescent.op8_embedding_duplicates,
     "op9_nearest": permutation.op9_nearest,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
