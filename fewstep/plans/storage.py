@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 20_000
+ROWS_PER_TASK = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,9 +45,15 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._at_exit)
 
-    def stash(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns the written table."""
+    def stash(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes df and returns the written table.
+
+        rows: about how many rows df has at most, if that is known; its last step then runs in a task
+        per ROWS_PER_TASK of them (eight at least), however many shuffle partitions there are.
+        """
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(8, rows // ROWS_PER_TASK))
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
