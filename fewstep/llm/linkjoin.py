@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fewstep.llm.graph import components
 from fewstep.plans.storage import Scratch
 
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
     verify(pairs): those rows of pairs (a, b) that are links. Returns components()'s table.
     """
     spark = members.sparkSession
+    nodes, rows = members.agg(F.count_distinct("id"), F.count("*")).first()
     links = tested = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "id long, component long")
 
@@ -61,17 +62,17 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
         else:
             sizes = live.groupBy("key", "component").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-            live = scratch.stash(live.join(main, "key"))
+            live = scratch.stash(live.join(main, "key"), rows)
             out = _side(live.where("component <> main").drop("main"), "s_")
             near = out.join(_side(live, "m_"), "key").where((F.col("s_component") != F.col("m_component")) & ((F.col("m_component") == F.col("m_main")) | (F.col("m_id") < F.col("s_id"))))
             pairs = near.where(close("s_", "m_")).select(*pair("s_id", "m_id")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.stash(pairs)
+        pairs = scratch.stash(pairs, nodes)
         if pairs.isEmpty():
             if k < rounds:
                 continue
             break
-        new = scratch.stash(verify(pairs))
+        new = scratch.stash(verify(pairs), nodes)
         tested = tested.unionByName(pairs)
         links = links.unionByName(new)
-        found = scratch.stash(components(links, scratch))
+        found = scratch.stash(components(links, scratch, nodes), nodes)
     return found
