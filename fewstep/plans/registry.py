@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fewstep.plans import catalog, service  # noqa: F401  service adds its queries
+
+QUERIES = catalog.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL
