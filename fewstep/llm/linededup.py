@@ -92,8 +92,12 @@ def block_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "id")
 
 
+def distance(p: str, q: str) -> F.Column:
+    return F.bit_count(F.col(p + "sim").bitwiseXOR(F.col(q + "sim")))
+
+
 def _close(p: str, q: str) -> F.Column:
-    return F.bit_count(F.col(p + "sim").bitwiseXOR(F.col(q + "sim"))) <= ERRORS
+    return distance(p, q) <= ERRORS
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -113,7 +117,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int"))
         return both.where("abs(length(x) - length(y)) <= most AND levenshtein(x, y, most) >= 0").select("a", "b")
 
-    found = linked_components(members, _close, verify, scratch)
+    found = linked_components(members, _close, distance, verify, scratch)
     joined = same.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("lines")).where("lines > 1")
     several = joined.select("id", "component").join(groups, "component").select("id", "stays")

@@ -3,9 +3,10 @@
 Nodes that share a key are candidates. In a group of g copies every pair is a candidate, so testing all
 pairs would cost g * g. Only the components are wanted, and a pair inside a component need not be tested:
 
-1. In each of ROUNDS rounds every key names a centre, and every node is tested with one centre of its
-   keys that it is not yet connected with: at most one test per node and round.
-2. After the rounds each key's largest component is left alone, and the nodes outside it (the
+1. In rounds every key names a centre by hash, and every node is tested with the nearest centre of its
+   keys that it is neither connected nor tested with: at most one test per node and round. The rounds go
+   on while one links more than a FEW-th of the nodes, ROUNDS at most.
+2. After that each key's largest component is left alone, and the nodes outside it (the
    stragglers) are tested with all nodes of the key in other components.
 
 So every candidate pair is tested, or connected by tested links: no link between components is lost.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from fewstep.llm.graph import components
 from fewstep.plans.storage import Scratch
 
-ROUNDS = 2
+ROUNDS, FEW = 8, 200
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -35,10 +36,11 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "key" else prefix + c) for c in df.columns])
 
 
-def linked_components(members: DataFrame, close: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def linked_components(members: DataFrame, close: Callable[[str, str], F.Column], distance: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """members: key, id and what close() needs, rows of shared keys only.
 
-    close(p, q): whether the nodes whose columns have the prefixes p and q may be linked.
+    close(p, q): whether the nodes whose columns have the prefixes p and q may be linked; distance(p, q):
+    how far they seem to be apart.
     verify(pairs): those rows of pairs (a, b) that are links. Returns components()'s table.
     """
     spark = members.sparkSession
@@ -49,16 +51,17 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
     def pair(x: str, y: str) -> list[F.Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    for k in range(rounds + 1):
+    k, last = 0, rounds == 0
+    while True:
         live = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if k < rounds:
-            centre = F.min_by(F.struct(*live.columns), F.xxhash64(F.lit(k), "id"))
+        if not last:
+            centre = F.min_by(F.struct(*live.columns), F.xxhash64(F.lit(k), "key", "id"))
             centres = live.groupBy("key").agg(centre.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
             centres = centres.select("key", *[F.col("c." + c).alias("c_" + c) for c in live.columns if c != "key"])
             near = _side(live, "m_").join(centres, "key").where(F.col("m_component") != F.col("c_component"))
-            near = near.where(close("m_", "c_")).select(F.col("m_id"), F.col("c_id"), *pair("m_id", "c_id"))
+            near = near.where(close("m_", "c_")).select("m_id", *pair("m_id", "c_id"), distance("m_", "c_").alias("far"))
             near = near.join(tested, ["a", "b"], "left_anti")
-            pairs = near.groupBy("m_id").agg(F.min_by(F.struct("a", "b"), F.xxhash64(F.lit(k), "c_id")).alias("p")).select("p.a", "p.b").distinct()
+            pairs = near.groupBy("m_id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         else:
             sizes = live.groupBy("key", "component").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
@@ -67,12 +70,11 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
             near = out.join(_side(live, "m_"), "key").where((F.col("s_component") != F.col("m_component")) & ((F.col("m_component") == F.col("m_main")) | (F.col("m_id") < F.col("s_id"))))
             pairs = near.where(close("s_", "m_")).select(*pair("s_id", "m_id")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = scratch.stash(pairs, nodes)
-        if pairs.isEmpty():
-            if k < rounds:
-                continue
-            break
         new = scratch.stash(verify(pairs), nodes)
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(new)
-        found = scratch.stash(components(links, scratch, nodes), nodes)
-    return found
+        tested, links = tested.unionByName(pairs), links.unionByName(new)
+        n = new.count()
+        if n:
+            found = scratch.stash(components(links, scratch, nodes), nodes)
+        if last:
+            return found
+        k, last = k + 1, k + 1 >= rounds or n * FEW <= nodes
