@@ -7,7 +7,8 @@ pairs would cost g * g. Only the components are wanted, and a pair inside a comp
    keys that it is neither connected nor tested with: at most one test per node and round. The rounds go
    on while one links more than a FEW-th of the nodes, ROUNDS at most.
 2. After that each key's largest component is left alone, and the nodes outside it (the
-   stragglers) are tested with all nodes of the key in other components.
+   stragglers) are tested with all nodes of the key in other components: by a join, or by what the
+   caller gives as finish, which may do it in blocks where too many pairs are near but not linked.
 
 So every candidate pair is tested, or connected by tested links: no link between components is lost.
 Hot keys are handled by aggregates that combine before the shuffle and by joins that AQE can split.
@@ -36,12 +37,14 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "key" else prefix + c) for c in df.columns])
 
 
-def linked_components(members: DataFrame, close: Callable[[str, str], F.Column], distance: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def linked_components(members: DataFrame, close: Callable[[str, str], F.Column], distance: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = ROUNDS, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """members: key, id and what close() needs, rows of shared keys only.
 
     close(p, q): whether the nodes whose columns have the prefixes p and q may be linked; distance(p, q):
     how far they seem to be apart.
-    verify(pairs): those rows of pairs (a, b) that are links. Returns components()'s table.
+    verify(pairs): those rows of pairs (a, b) that are links. finish(live): all links (a, b) between nodes
+    of one key and different components; live has the rows of members of all keys with two components or
+    more, and their component. Returns components()'s table.
     """
     spark = members.sparkSession
     nodes, rows = members.agg(F.count_distinct("id"), F.count("*")).first()
@@ -66,6 +69,9 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
             sizes = live.groupBy("key", "component").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
             live = scratch.stash(live.join(main, "key"), rows)
+            if finish is not None:
+                new = scratch.stash(finish(live.drop("main")), nodes)
+                return scratch.stash(components(links.unionByName(new), scratch, nodes), nodes) if not new.isEmpty() else found
             out = _side(live.where("component <> main").drop("main"), "s_")
             near = out.join(_side(live, "m_"), "key").where((F.col("s_component") != F.col("m_component")) & ((F.col("m_component") == F.col("m_main")) | (F.col("m_id") < F.col("s_id"))))
             pairs = near.where(close("s_", "m_")).select(*pair("s_id", "m_id")).distinct().join(tested, ["a", "b"], "left_anti")
