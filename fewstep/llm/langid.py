@@ -5,7 +5,9 @@ letters' vectors, each permuted (rotated) by its place, by multiplication. A tex
 (adds) the vectors of its n-grams, a language's prototype bundles those of its training texts, and the
 prediction is the language whose prototype has the largest cosine with the text's vector.
 
-Bundling adds whole numbers, so a prototype does not depend on the order or the partitions of the rows.
+A training text's n-gram counts are scaled to the length WEIGHT and rounded, so that every text weighs
+the same in its language, however long it is. Bundling adds whole numbers, so a prototype does not depend
+on the order or the partitions of the rows.
 Training adds up n-gram counts per language and task, and projects them once; its result is DIM numbers
 per language, whatever the corpus holds. Prediction needs no shuffle.
 
@@ -33,6 +35,8 @@ UNKNOWN = "und"
 DIM, GRAM, SEED = 1024, 3, 20_011
 #: n-grams whose vectors a worker keeps, and languages that a set of prototypes may have (it is broadcast).
 GRAMS, MAX_LANGUAGES = 1 << 15, 4096
+#: Length of a training text's n-gram counts.
+WEIGHT = 1 << 16
 #: Texts that are bundled in one matrix product.
 TOGETHER = 64
 #: A text of a smaller score is rejected by keep_known(): chance alone gives about 1 / sqrt(DIM).
@@ -135,6 +139,7 @@ def _bundle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = counts.setdefault(lang, {})
             for text in rows:
                 packed, n = grams(text)
+                n = np.rint(WEIGHT * n / max(1.0, float(np.sqrt((n * n).sum())))).astype(np.int64)
                 for g, c in zip(packed.tolist(), n.tolist(), strict=True):
                     held[g] = held.get(g, 0) + c
                 if len(held) > 8 * GRAMS:

@@ -40,7 +40,9 @@ def pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """The pivots, normed: n distinct vectors, those of smallest hash."""
     rows = vectors.select("id", F.xxhash64("vector").alias("h")).groupBy("h").agg(F.min("id").alias("id")).orderBy("h").limit(n)
     found = rows.join(vectors, "id").select("h", "vector").dropDuplicates(["h"]).orderBy("h").limit(n).collect()
-    out = np.array([r["vector"] for r in found], dtype=np.float64).reshape(len(found), -1)
+    if not found:
+        return np.empty((0, 0))
+    out = np.array([r["vector"] for r in found], dtype=np.float64)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 

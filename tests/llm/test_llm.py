@@ -1,0 +1,410 @@
+"""Operators of fewstep.llm against brute force, and their edge cases."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fewstep.llm import bpe, graph, langid, licenses, linededup, mixing, neardup, nndescent, permutation, pii, sharding, vectors
+from fewstep.plans.storage import Scratch
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, target double"
+
+
+def _words(rng, n, k=400):
+    return " ".join(f"w{rng.randrange(k)}x" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Prose, near and exact copies, nulls, empty and long texts, a hot source, repeated rows, clashing columns."""
+    rng = random.Random(5)
+    rows = [(k, _words(rng, 30) + "\n" + _words(rng, 20), "en" if k % 2 else "fr", "a" if k % 3 else f"s{k % 7}") for k in range(60)]
+    rows += [(100 + k, rows[3][1].replace("\n", "\n", 1) + (" extra" if k % 2 else ""), "en", "a") for k in range(30)]
+    rows += [(200, None, None, None), (201, "", "en", ""), (202, "\n \t\n", "en", None), (203, "x", None, "z"), (None, "no id here", "en", "a"), (204, "123 456!", "fr", "b")]
+    rows += [(205, _words(rng, 30_000), "en", "b"), (206, "A" * 20_000, "en", "b"), rows[5], rows[5]]
+    return spark.createDataFrame([(*r, len(r[1] or ""), "clash", 1.0) for r in rows], DOCS).cache()
+
+
+def _empty(corpus):
+    return corpus.where("doc_id < -1")
+
+
+# 1
+
+
+def _water(sizes, weights, share, most):
+    """Targets by resharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, capped, out = share * sum(sizes.values()), set(), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        total = sum(w[s] for s in free)
+        out |= {s: left * w[s] / total for s in free}
+        over = [s for s in free if out[s] > most * sizes[s] + 1e-9]
+        if not over:
+            return out
+        for s in over:
+            out[s] = float(most * sizes[s])
+            left -= out[s]
+            capped.add(s)
+
+
+def test_mix(spark, corpus):
+    rows = mixing.mix(corpus).collect()
+    assert len(rows) == corpus.count() and "target" in rows[0].asDict()
+    sizes = {}
+    for r in rows:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    want = _water(sizes, mixing.WEIGHTS, 1.5, 2)
+    for s, size in sizes.items():
+        own = [r for r in rows if r["source"] == s]
+        assert own[0]["source_size"] == size and own[0]["target"] == pytest.approx(want[s])
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= max(r["size"] for r in own)
+    again = mixing.mix(corpus.repartition(7)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    assert mixing.repeat(mixing.mix(corpus), corpus.columns).count() == sum(r["copies"] for r in rows)
+    assert mixing.mix(_empty(corpus)).count() == 0
+
+
+# 2
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(k, say("abcde" if k % 2 else "cdefg", 40), "x" if k % 2 else "y") for k in range(200)]
+    rows += [(900, None, "x"), (901, "", "x"), (902, "12 !", "x"), (903, "abcab", None), (None, "abc abd", "x"), (904, "ab" * 50_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(docs.withColumn("score", F.lit("clash")), langid.learn_unheld(docs)).collect()
+    by = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+    held = [r for r in docs.withColumn("h", langid.held_out()).where("h AND doc_id < 200").collect()]
+    assert len(held) > 20 and sum(by[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert [by[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and by[903]["lang_pred"] == "x"
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in langid.predict(docs, {}).collect())
+    kept = {r["doc_id"] for r in langid.keep_known(docs).collect()}
+    assert not kept & {900, 901, 902} and set(range(200)) <= kept
+
+
+def test_bundles_are_sums_of_bound_letters():
+    v = langid.Vectors()
+    packed, counts = langid.grams("Ab ab!")
+    a, b, blank = langid._letter(ord("a")), langid._letter(ord("b")), langid._letter(32)
+    want = 2 * np.roll(blank, 2) * np.roll(a, 1) * b + 2 * np.roll(a, 2) * np.roll(b, 1) * blank + np.roll(b, 2) * np.roll(blank, 1) * a
+    assert (v.bundles([(packed, counts)])[0] == want).all() and counts.sum() == 5
+
+
+# 3
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers")
+
+
+def test_bpe_is_what_tiktoken_gives(spark, corpus, vocabulary):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = vocabulary.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=vocabulary.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    odd = ["".join(rng.choice(["a", "ab", "the ", " ", "é", "\n", " 12", "'s", "日本", "!!", "\x1c", "\x85", "🙂", "ing", "aaa"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, 1000)), "doc_id long, text string"))
+    got = bpe.digests(docs.withColumn("again", F.col("text")), path, vocabulary.PATTERN).collect()
+    for r in got:
+        ids = enc.encode_ordinary(r["again"] or "")
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((r["again"] or "").encode()).hexdigest()
+    trip = bpe.decode(bpe.encode(docs, path, vocabulary.PATTERN), path, vocabulary.PATTERN).collect()
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in trip)
+
+
+def test_bpe_small_cache(vocabulary, monkeypatch):
+    path = vocabulary.path("byte_bpe_multi_50k.tiktoken")
+    replay = bpe.Replay(bpe.parse_ranks(open(path, "rb").read()), vocabulary.PATTERN)
+    texts = [" ".join(f"word{k * 7 % 101}" for k in range(n)) for n in range(40)]
+    want = [[w[1] for w in ws] for ws in replay.texts(texts)]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    replay.cache.clear()
+    assert [[w[1] for w in ws] for ws in replay.texts(texts)] == want
+
+
+# 4
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _luhn(d):
+    return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _base(text):
+    out = []
+    for n, (k, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if k == "email" or (k == "ip" and all(int(x) <= 255 for x in m.group().split("."))) or (k == "card" and 12 <= len(d) <= 19 and _luhn(d)) or (k == "phone" and 9 <= len(d) <= 15):
+                out.append((m.start(), n, m.end(), k))
+    return ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(out))
+
+
+def test_personal_data(spark, corpus):
+    rng = random.Random(2)
+    bits = ["1", "23", "456", ".", " ", "-", "@", "a", "B.", "+", "(", ")", "x_", "é", "255.", "9999", "4111111111111111", "\n", "a@b.c", "+1 555", "🙂"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for k in range(400)]
+    rows += [(1000 + k, f"my key = \"{rng.randrange(1 << 160):040x}\" here") for k in range(12)]
+    rows += [(2000 + k, f"my key = \"{rng.randrange(10**9):09d}zz\" here") for k in range(3)]
+    rows += [(3000, "a clean text of 12345678zz words"), (3001, None), (3002, "a@b.c"), (3002, "a@b.c"), (None, "a@b.c"), (3003, "a@" * 20_000), (3004, "1." * 20_000), (3005, "+1" + " 2" * 9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(docs).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        want = _base(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), texts[r["doc_id"]]
+        assert [s for s in r["spans"].split(",") if s and s[:2] != "id"] == [s for s in want.split(",") if s]
+    more = {r["doc_id"] for r in got if "id:" in r["spans"]}
+    assert {2000, 2001, 2002} <= more and 3000 not in more
+    assert pii.find(docs.where("doc_id < 0")).count() == 0
+
+
+# 5
+
+
+def _near(docs, width):
+    ids, sets = [], []
+    for i, t in docs:
+        if i is not None:
+            w = (t or "").encode().lower().split()
+            ids.append(i)
+            sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if ids[a] == ids[b] or (common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)):
+                root[find(a)] = find(b)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i: (len(sets[k]), least[find(k)]) for k, i in enumerate(ids)}
+
+
+def test_near_duplicates(spark, corpus):
+    rng = random.Random(8)
+    first = _words(rng, 120, 9000).split()
+    rows = [(r["doc_id"], r["text"]) for r in corpus.select("doc_id", "text").collect()]
+    for k in range(150):  # a group of near copies with copies of copies
+        first = list(first) if k % 40 else _words(rng, 120, 9000).split()
+        first[rng.randrange(120)] = f"new{k}"
+        rows.append((5000 + k, " ".join(first)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for width in (2, 5):
+        want = _near(rows, width)
+        got = neardup.classes(docs, width).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["id"] is None or (r["n"], r["component_id"]) == want[r["id"]]
+    kept = neardup.near_dedup(corpus)
+    assert kept.columns == corpus.columns and neardup.near_dedup(_empty(corpus)).count() == 0
+    assert {r[0] for r in kept.select("doc_id").collect()} >= {None, 200, 201, 202}
+
+
+def test_last_step_joins_and_blocks_agree(spark):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.09 else f"z{rng.randrange(10**6)}" for w in base)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    want = _near(rows, 2)
+    assert {r["id"]: r["component_id"] for r in neardup.classes(docs, 2).collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
+    df = spark.createDataFrame(links, "a long, b long")
+    scratch = Scratch(spark, "t")
+    one = sorted(map(tuple, graph.components(df, scratch).collect()))
+    assert one == sorted(map(tuple, graph.components(df, scratch, one_task=-1).collect()))
+    assert graph.components(df.where("a < 0"), scratch).count() == 0
+
+
+# 6
+
+
+def test_shards(spark, corpus):
+    owner = sharding.fill()
+    share = np.bincount(owner)
+    assert len(owner) == sharding.SLOTS and share.max() - share.min() <= 1
+    fewer = sharding.fill(sharding.SHARDS[:-1])
+    moved = sum(a != b for a, b in zip(owner, fewer, strict=True) if a != 63)
+    assert moved < 0.15 * sharding.SLOTS
+    placed = sharding.place(corpus.withColumn("slot", F.lit(1))).collect()
+    assert len(placed) == corpus.count() and all(r["shard"] == sharding.SHARDS[owner[r["slot"]]] for r in placed)
+    assert sharding.place(_empty(corpus)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.fill(slots=100)
+
+
+def test_write_shards(spark, corpus, tmp_path):
+    sharding.write_shards(corpus, str(tmp_path / "out"), shards=("a", "b", "c"), slots=101, files_per_shard=2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == corpus.count()
+
+
+# 7
+
+
+def _licenses(text):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+    words = find(text or "")
+    places, labels, best = [], set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    more = set(labels)
+    for line in (text or "").split("\n"):
+        have = set(find(line))
+        for label, t in licenses.TEMPLATES.items():
+            want = set(t.split())
+            if len(want & have) >= licenses.CONTAINMENT * len(want) - 1e-9:
+                more.add(label)
+                best = max(best, len(want & have) / len(want))
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if labels else best
+
+
+def test_licenses(spark, corpus):
+    rng = random.Random(3)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["é", "foo", "\n", "CC BY", "cc by cc by", "All Rights,\nReserved", "general public license"]
+    rows = [(k, rng.choice([" ", "-", "\n", "! "]).join(rng.choice(vocabulary) for _ in range(rng.randrange(40)))) for k in range(300)]
+    rows += [(500 + k, "x y\n" + " ".join(w for w in t.split() if rng.random() > 0.15) + " z") for k, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [(900, None), (901, ""), (902, "cc by cc by"), (903, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in licenses.scan(docs).collect():
+        want = _licenses(texts[r["doc_id"]])
+        assert tuple(r)[1:7] == want[:6] and r["score"] == pytest.approx(want[6]), texts[r["doc_id"]]
+    assert licenses.scan(corpus).count() == corpus.count() and licenses.scan(_empty(corpus)).count() == 0
+
+
+# 8, 9
+
+
+def _vectors(rng, n, dim=16):
+    x = rng.standard_normal((n, dim))
+    x[n // 2 : n // 2 + 40] = x[0] + 0.01 * rng.standard_normal((40, dim))
+    x[-20:] = x[1]
+    return x
+
+
+def _rows(x):
+    rows = [(k, k % 2, v.tolist()) for k, v in enumerate(x)]
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] * 16, [1.0] * 3, []]
+    return rows + [(9000 + k, 0, v) for k, v in enumerate(odd)] + [(9100, None, [1.0] * 16), (None, 0, [1.0] * 16), rows[0]]
+
+
+def test_embedding_duplicates(spark, monkeypatch):
+    x = _vectors(np.random.default_rng(0), 300)
+    df = spark.createDataFrame(_rows(x), "id long, label int, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (np.arange(300)[:, None] % 2 == np.arange(300)[None, :] % 2)
+    np.fill_diagonal(near, False)
+    for block in (2048, 7):
+        monkeypatch.setattr(nndescent, "BLOCK", block)
+        got = nndescent.near_duplicates(df).collect()
+        assert len(got) == 300 + 10
+        for r in got:
+            if r["id"] is not None and r["id"] < 300:
+                assert r["n_links"] == near[r["id"]].sum()
+                reach = {r["id"]}
+                while (more := reach | {int(j) for i in reach for j in np.flatnonzero(near[i])}) != reach:
+                    reach = more
+                assert r["component_id"] == min(reach)
+            else:
+                assert (r["n_links"], r["component_id"]) == (0, r["id"])
+    assert nndescent.near_duplicates(df.where("id < 0")).count() == 0
+
+
+def test_nearest(spark):
+    x = _vectors(np.random.default_rng(1), 600)
+    df = spark.createDataFrame(_rows(x), "id long, label int, vector array<double>")
+    usable = vectors.usable(df, "id", "vector").select("id", "vector")
+    got = permutation.search(usable, usable.where("id % 50 = 0 AND id < 600")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -2
+        want = np.lexsort((np.arange(600), -s))[:5]
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [o[0] for o in own] == [1, 2, 3, 4, 5] and [o[2] for o in own] == sorted((o[2] for o in own), reverse=True)
+        hits += len({o[1] for o in own} & set(want.tolist()))
+        for o in own:
+            assert o[2] == pytest.approx(float(u[q] @ u[o[1]]) if o[1] < 600 else o[2])
+    assert hits >= 0.9 * 60
+    none = usable.where("id < 0")
+    assert permutation.search(none, none).count() == 0
+
+
+# 10
+
+
+def test_line_dedup(spark, corpus):
+    line = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest"
+    rows = [(1, f"{line}\nunique one here"), (2, f"{line.upper()}!! 12\n\nother"), (3, line.replace("lazy", "lazyy")), (4, None), (5, ""), (6, "\n\n"), (None, line), (7, "other"), (8, "x\r\nother"), (8, "x\r\nother")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_lines string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(docs).collect()}
+    assert got[1] == (rows[0][1], 2, 0) and got[2] == ("\nother", 3, 1) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("\n\n", 3, 0)
+    assert got[7] == ("", 1, 1) and got[8] == ("x\r", 2, 1) and got[None] == (line, 1, 0)
+    assert linededup.dedup_lines(_empty(corpus)).count() == 0
+    assert linededup.dedup_lines(corpus).count() == corpus.count()
+
+
+def test_simhash_neighbours_share_a_key(spark):
+    rng = random.Random(6)
+    pairs = []
+    for k in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), linededup.ERRORS):
+            y ^= 1 << b
+        pairs += [(2 * k, x - (1 << 64) if x >> 63 else x), (2 * k + 1, y - (1 << 64) if y >> 63 else y)]
+    keys = linededup.block_keys(spark.createDataFrame(pairs, "id long, sim long"))
+    both = keys.groupBy("key", F.floor(F.col("id") / 2).alias("p")).agg(F.count_distinct("id").alias("n")).where("n = 2").select("p").distinct()
+    assert both.count() == 200
+
+
+# the pipeline
+
+
+def test_pipeline(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    pytest.importorskip("public_tokenizers")
+    docs, counts = corpus.drop("size", "target"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, None)
+        if k < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(docs.count())
+        assert stage(spark, corpus.drop("size", "target").limit(0), None).count() == 0
+    assert counts[0] == corpus.count() - 4 and counts[2] <= counts[1] <= counts[0] and counts[4] == counts[3]
