@@ -8,9 +8,12 @@ each choice of BLOCKS - ERRORS blocks is a key, and all such pairs share one. Th
 edit similarity of their normalised text, SIMILARITY or more. Of each connected group the first line,
 by document id and place, stays, and the others go.
 
-Lines end at U+000A. Lines without a word (blank ones too) always stay. linked_components() keeps groups
-of near copies from being expanded. Nulls: a null text stays null and has 0 lines; rows with a null id
-stay as they are. Rows of one id are one document: they lose the same lines. Other columns pass through.
+A key's lines are tested with each other as they come sorted by key; a pair that shares several keys is
+tested for its first. A key of more than RUN lines is a group of near copies: its lines go through
+linked_components(), which does not expand them into pairs.
+
+Lines end at U+000A. Lines without a word (blank ones too) always stay. Nulls: a null text stays null
+and has 0 lines; rows with a null id stay as they are. Rows of one id are one document: they lose the same lines. Other columns pass through.
 Empty tables give empty results.
 """
 
@@ -24,12 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.llm.graph import components
 from fewstep.llm.hashing import blocks, mixed, spans, words
-from fewstep.llm.linkjoin import linked_components, shared_keys
-from fewstep.plans.storage import Scratch
+from fewstep.llm.linkjoin import linked_components
+from fewstep.llm.vectors import whole_runs
+from fewstep.plans.storage import Scratch, join_small
 from fewstep.sources.tables import table
 
 ERRORS, BLOCKS = 3, 5
+#: Lines of a key that are tested pair by pair, and texts that are looked up by broadcast.
+RUN, FEW_TEXTS = 64, 200_000
 FUZZY_WORDS = 5
 SIMILARITY = 0.8
 
@@ -81,15 +88,39 @@ def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "line": lines})
 
 
-def block_keys(nodes: DataFrame) -> DataFrame:
-    """key, id: one key for each choice of the blocks that agree."""
+def _masks() -> list[int]:
+    """For each key, the bits of the blocks that it has."""
     cuts = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    masks = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(BLOCKS)]
-    keys = []
-    for chosen in combinations(range(BLOCKS), BLOCKS - ERRORS):
-        mask = sum(masks[k] for k in chosen)
-        keys.append(F.xxhash64(F.lit(len(keys)), F.col("sim").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "id")
+    own = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(BLOCKS)]
+    masks = [sum(own[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - ERRORS)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def block_keys(nodes: DataFrame) -> DataFrame:
+    """key, id, sim: one key for each choice of the blocks that agree."""
+    keys = [F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks())]
+    return nodes.select(F.posexplode(F.array(*keys)).alias("nth", "key"), "id", "sim")
+
+
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, a, b: pairs of a key whose hashes are near; key, a and null for the lines of a long run."""
+    masks = np.array(_masks(), dtype=np.int64)
+    for rows in whole_runs(batches, ["key"]):
+        key, nth, ids, sim = (rows[c].to_numpy() for c in ("key", "nth", "id", "sim"))
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        size = np.repeat(sizes, sizes)
+        long = size > RUN
+        yield pd.DataFrame({"key": key[long], "a": ids[long], "b": pd.array([None] * int(long.sum()), dtype="Int64")})
+        for d in range(1, min(RUN, int(sizes.max()))):
+            lo = np.flatnonzero((key[d:] == key[:-d]) & ~long[d:])
+            x = sim[lo] ^ sim[lo + d]
+            near = np.bitwise_count(x.view(np.uint64)) <= ERRORS
+            lo, x = lo[near], x[near]
+            if len(lo):
+                first = ((x[:, None] & masks[None, :]) == 0).argmax(axis=1) == nth[lo]
+                lo = lo[first]
+                yield pd.DataFrame({"key": key[lo], "a": ids[lo], "b": pd.array(ids[lo + d], dtype="Int64")})
 
 
 def distance(p: str, q: str) -> F.Column:
@@ -106,18 +137,27 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     same = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), F.first("sim").alias("sim"))
     same = scratch.stash(same)
     nodes = same.where(F.col("n") >= FUZZY_WORDS).select("id", "sim")
-    keys = scratch.stash(shared_keys(block_keys(nodes)))
-    members = scratch.stash(keys.join(nodes, "id"))
+    placed = block_keys(nodes).repartition("key").sortWithinPartitions("key", "id")
+    near = scratch.stash(placed.mapInPandas(_near, "key long, a long, b long"))
+    pairs = near.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    long = near.where("b IS NULL").select("key", F.col("a").alias("id"))
+
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
+    wanted = scratch.stash(wanted.join(same, "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")))
+    texts = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", rows=FEW_TEXTS)
+    texts = texts.select("id", "text", "pos").mapInPandas(_line_texts, "id long, line string")
+    texts = scratch.stash(texts.groupBy("id").agg(F.first("line").alias("line")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(same, "id").select("id", "first.doc_id", "first.pos")
-        texts = wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInPandas(_line_texts, "id long, line string")
-        texts = scratch.stash(texts.groupBy("id").agg(F.first("line").alias("line")))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int"))
         return both.where("abs(length(x) - length(y)) <= most AND levenshtein(x, y, most) >= 0").select("a", "b")
 
-    found = linked_components(members, _close, distance, verify, scratch)
+    links = scratch.stash(verify(pairs))
+    if not long.isEmpty():
+        grouped = linked_components(scratch.stash(long.join(nodes, "id")), _close, distance, verify, scratch)
+        links = links.unionByName(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    found = components(links, scratch)
     joined = same.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("lines")).where("lines > 1")
     several = joined.select("id", "component").join(groups, "component").select("id", "stays")
