@@ -39,10 +39,12 @@ def line_jaccard(best: DataFrame, lines: DataFrame, tau: float) -> DataFrame:
 def coverage(best: DataFrame, tau: float) -> DataFrame:
     """t, s, section, soft (mean best match), hard (lines with one of tau or more).
 
-    The mean adds millionths as whole numbers, so it does not depend on the order of the rows.
+    The mean adds millionths as whole numbers and rounds them half up, so it does not depend on the
+    order of the rows.
     """
-    soft = F.sum(F.round(F.col("best") * 1e6).cast("long")) / F.count("best") / F.lit(1e6)
-    return best.groupBy("t", "s", "section").agg(F.round(soft, 6).alias("soft"), F.count_if(F.col("best") >= tau).alias("hard"))
+    total, n = F.sum(F.round(F.col("best") * 1e6).cast("long")), F.count("best")
+    soft = F.floor((total * 2 + n) / (n * 2)) / F.lit(1e6)
+    return best.groupBy("t", "s", "section").agg(soft.alias("soft"), F.count_if(F.col("best") >= tau).alias("hard"))
 
 
 def gap_lines(best: DataFrame, threshold: float) -> DataFrame:

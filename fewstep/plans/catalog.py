@@ -238,7 +238,7 @@ def line_jaccard(spark, d):
     return pairwise.line_jaccard(pairwise.best_matches(lines), lines, TAU)
 
 
-@query(_LINES + f" SELECT t, s, section, round(sum(round(best * 1e6)::BIGINT)::DOUBLE / count(best) / 1e6::DOUBLE, 6) AS soft, count(*) FILTER (WHERE best >= {TAU}) AS hard FROM best GROUP BY ALL")
+@query(_LINES + f" SELECT t, s, section, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(best))::DOUBLE / (count(best) * 2)) / 1e6::DOUBLE AS soft, count(*) FILTER (WHERE best >= {TAU}) AS hard FROM best GROUP BY ALL")
 def line_best_match_coverage(spark, d):
     return pairwise.coverage(pairwise.best_matches(_lines(spark, d)), TAU)
 
