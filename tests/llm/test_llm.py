@@ -407,4 +407,7 @@ def test_pipeline(spark, corpus, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
         counts.append(docs.count())
         assert stage(spark, corpus.drop("size", "target").limit(0), None).count() == 0
-    assert counts[0] == corpus.count() - 4 and counts[2] <= counts[1] <= counts[0] and counts[4] == counts[3]
+    found = langid.predict(corpus.select("doc_id", "text"), langid.learn_unheld(corpus))
+    assert found.where("lang_pred = 'und'").count() == 4
+    assert counts[0] == found.where(f"lang_pred <> 'und' AND score >= {langid.MIN_SCORE}").count() >= corpus.count() - 6
+    assert counts[2] <= counts[1] <= counts[0] and counts[4] == counts[3]
