@@ -4,12 +4,16 @@ A line is normalised to its words: runs of ASCII letters (in lower case) and of
 ASCII, so digits, punctuation and white space only part words. Lines of equal words are one class.
 Classes of FUZZY_WORDS words or more have a 64-bit SimHash of their words. It is cut into BLOCKS blocks;
 two hashes that differ in ERRORS bits or fewer agree in all but ERRORS of the blocks (pigeonhole), so
-each choice of BLOCKS - ERRORS blocks is a key, and all such pairs share one. They are confirmed by the
-edit similarity of their normalised text, SIMILARITY or more. Of each connected group the first line,
-by document id and place, stays, and the others go.
-
-A key's lines are tested with each other as they come sorted by key; a pair that shares several keys is
-tested for its first. A key of more than RUN lines is a group of near copies: its lines go through
+each choice of BLOCKS - ERRORS blocks is a key, and all such pairs share one. Lines of edit similarity
+SIMILARITY are often further apart than that, so a class also has BANDS keys of BAND of its MINS MinHash
+symbols: those of its runs of GRAM code points from LONG code points on, and of GRAM_SHORT up to SHORT
+(both between; two similar lines always have one family in common). Lines that share any key are
+candidates, whatever their hashes' distance, and are confirmed by the edit similarity of their normalised
+text, SIMILARITY or more. Of each connected group the first line, by document id and place, stays, and
+the others go.
+
+A key's lines are tested with each other as they come sorted by key, unless their lengths alone rule out
+the similarity. A key of more than RUN lines is a group of near copies: its lines go through
 linked_components(), which does not expand them into pairs.
 
 Lines end at U+000A. Lines without a word (blank ones too) always stay. Nulls: a null text stays null
@@ -39,21 +43,50 @@ ERRORS, BLOCKS = 3, 5
 RUN, FEW_TEXTS = 64, 200_000
 FUZZY_WORDS = 5
 SIMILARITY = 0.8
+#: MinHash symbols of a line, symbols in a band, bands; code points in a run, and the lines that have them.
+MINS, BAND, BANDS = 32, 4, 32
+GRAM, LONG = 6, 40
+GRAM_SHORT, SHORT = 3, 50
 
 _LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_rng = np.random.Generator(np.random.PCG64(50_021))
+_FACTORS = _rng.integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHOSEN = np.array([_rng.choice(MINS, BAND, replace=False) for _ in range(BANDS)])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(line: bytes) -> bytes:
     return b" ".join(line.translate(_TO_WORDS).split())
 
 
+def _symbols(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int) -> list[bytes]:
+    """For each line of codes[start:start + size], its MINS symbols of two bytes."""
+    if not len(starts):
+        return []
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    at = np.arange(ends[-1]) - np.repeat(begins, sizes)
+    one = mixed(codes[np.repeat(starts, sizes) + at].astype(np.uint64) * _STEP)
+    runs = np.zeros(len(one), dtype=np.uint64)
+    for k in range(gram):
+        runs[: len(one) - gram + 1] = runs[: len(one) - gram + 1] * _STEP + one[k : len(one) - gram + 1 + k]
+    over = at > np.repeat(np.maximum(sizes - gram, 0), sizes)
+    out = np.empty((len(starts), MINS), dtype=np.uint16)
+    for j in range(MINS):
+        hashes = mixed(runs * _FACTORS[j])
+        hashes[over] = np.iinfo(np.uint64).max
+        out[:, j] = mixed(np.minimum.reduceat(hashes, begins)) >> np.uint64(48)
+    return [row.tobytes() for row in out]
+
+
 def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
-    """For the lines with a word: doc (place in texts), pos (from 0), id (hash of the words), n (words), sim (SimHash)."""
+    """For the lines with a word: doc (place in texts), pos (from 0), id (hash of the words), n (words), sim (SimHash), size (code points, normalised), long and short (symbols or None)."""
     for at, block in blocks(texts):
         raw = b"\n".join(block)
         data = np.frombuffer(raw, dtype=np.uint8)
-        hashes, starts = words(raw.translate(_TO_WORDS), ~_LETTER)
+        text = np.frombuffer(raw.translate(_TO_WORDS), dtype=np.uint8)
+        hashes, starts = words(text.tobytes(), ~_LETTER)
         if not len(starts):
             continue
         breaks = np.flatnonzero(data == 10)
@@ -66,20 +99,33 @@ def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         bits = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
         sim = np.packbits(2 * bits > (ends - first)[:, None], axis=1).view(np.int64).ravel()
         ids = mixed(spans(mixed(hashes), first, ends) + (ends - first).astype(np.uint64))
-        yield {"doc": doc + at, "pos": line[first] - before[doc], "id": ids.view(np.int64), "n": ends - first, "sim": sim}
+        # the words, each with one blank after it, in code points
+        inside = _LETTER[text]
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]
+        new = np.cumsum(kept & ((text & 0xC0) != 0x80))
+        codes = np.frombuffer(text[kept].tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        begins = new[starts[first]] - 1
+        size = np.append(begins[1:], len(codes) + int(inside[-1])) - begins - 1
+        out = {"doc": doc + at, "pos": line[first] - before[doc], "id": ids.view(np.int64), "n": ends - first, "sim": sim, "size": size}
+        for name, gram, wanted in (("long", GRAM, size >= LONG), ("short", GRAM_SHORT, size <= SHORT)):
+            which = np.flatnonzero(wanted & (ends - first >= FUZZY_WORDS))
+            out[name] = np.full(len(first), None, dtype=object)
+            out[name][which] = _symbols(codes, begins[which], size[which], gram)
+        yield out
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         doc_ids = batch["doc_id"].to_numpy()
         for part in scan([t.encode() for t in batch["text"]]):
-            yield pd.DataFrame({"doc_id": doc_ids[part["doc"]], "pos": part["pos"], "id": part["id"], "n": part["n"], "sim": part["sim"]})
+            yield pd.DataFrame({"doc_id": doc_ids[part["doc"]], "pos": part["pos"], **{c: part[c] for c in ("id", "n", "sim", "size", "long", "short")}})
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """A row for each line with a word, of documents with an id."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_lines, "doc_id long, pos int, id long, n int, sim long")
+    return rows.mapInPandas(_lines, "doc_id long, pos int, id long, n int, sim long, size int, long binary, short binary")
 
 
 def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,16 +143,32 @@ def _masks() -> list[int]:
 
 
 def block_keys(nodes: DataFrame) -> DataFrame:
-    """key, id, sim: one key for each choice of the blocks that agree."""
+    """key and the columns of nodes: one key for each choice of the blocks that agree."""
     keys = [F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks())]
-    return nodes.select(F.posexplode(F.array(*keys)).alias("nth", "key"), "id", "sim")
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shifts = np.arange(0, 16 * BAND, 16, dtype=np.uint64)
+    for batch in batches:
+        for family in ("long", "short"):
+            rows = batch[batch[family].notna()]
+            if len(rows):
+                symbols = np.frombuffer(b"".join(rows[family]), dtype=np.uint16).reshape(len(rows), MINS).astype(np.uint64)
+                for k, chosen in enumerate(_CHOSEN):
+                    key = mixed((symbols[:, chosen] << shifts).sum(axis=1, dtype=np.uint64)) ^ np.uint64(2 * k + (family == "short"))
+                    yield pd.DataFrame({"key": mixed(key).view(np.int64), "id": rows["id"].to_numpy(), "size": rows["size"].to_numpy()})
+
+
+def band_keys(nodes: DataFrame) -> DataFrame:
+    """nodes: id, size, long, short. key, id, size: one key for each band of each family."""
+    return nodes.select("id", "size", "long", "short").mapInPandas(_bands, "key long, id long, size int")
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """key, a, b: pairs of a key whose hashes are near; key, a and null for the lines of a long run."""
-    masks = np.array(_masks(), dtype=np.int64)
+    """key, a, b: pairs of a key whose lengths allow a link; key, a and null for the lines of a long run."""
     for rows in whole_runs(batches, ["key"]):
-        key, nth, ids, sim = (rows[c].to_numpy() for c in ("key", "nth", "id", "sim"))
+        key, ids, length = (rows[c].to_numpy() for c in ("key", "id", "size"))
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         size = np.repeat(sizes, sizes)
@@ -114,12 +176,9 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": key[long], "a": ids[long], "b": pd.array([None] * int(long.sum()), dtype="Int64")})
         for d in range(1, min(RUN, int(sizes.max()))):
             lo = np.flatnonzero((key[d:] == key[:-d]) & ~long[d:])
-            x = sim[lo] ^ sim[lo + d]
-            near = np.bitwise_count(x.view(np.uint64)) <= ERRORS
-            lo, x = lo[near], x[near]
+            x, y = length[lo], length[lo + d]
+            lo = lo[np.abs(x - y) <= np.floor(np.maximum(x, y) * (1 - SIMILARITY) + 1e-9)]
             if len(lo):
-                first = ((x[:, None] & masks[None, :]) == 0).argmax(axis=1) == nth[lo]
-                lo = lo[first]
                 yield pd.DataFrame({"key": key[lo], "a": ids[lo], "b": pd.array(ids[lo + d], dtype="Int64")})
 
 
@@ -128,16 +187,18 @@ def distance(p: str, q: str) -> F.Column:
 
 
 def _close(p: str, q: str) -> F.Column:
-    return distance(p, q) <= ERRORS
+    longest = F.greatest(F.col(p + "size"), F.col(q + "size"))
+    return F.abs(F.col(p + "size") - F.col(q + "size")) <= F.floor(longest * F.lit(1 - SIMILARITY) + F.lit(1e-9))
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, pos: the lines that go."""
     lines = scratch.stash(line_table(docs))
-    same = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), F.first("sim").alias("sim"))
+    same = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "sim", "size", "long", "short")])
     same = scratch.stash(same)
-    nodes = same.where(F.col("n") >= FUZZY_WORDS).select("id", "sim")
-    placed = block_keys(nodes).repartition("key").sortWithinPartitions("key", "id")
+    fuzzy = same.where(F.col("n") >= FUZZY_WORDS)
+    nodes = fuzzy.select("id", "sim", "size")
+    placed = block_keys(nodes).select("key", "id", "size").unionByName(band_keys(fuzzy)).repartition("key").sortWithinPartitions("key", "id")
     near = scratch.stash(placed.mapInPandas(_near, "key long, a long, b long"))
     pairs = near.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     long = near.where("b IS NULL").select("key", F.col("a").alias("id"))

@@ -377,6 +377,36 @@ def test_line_dedup(spark, corpus):
     assert linededup.dedup_lines(corpus).count() == corpus.count()
 
 
+def _edits(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_line_dedup_by_edit_similarity_alone(spark):
+    """Lines with changed words against brute force; most of them are more than ERRORS bits apart."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéя") for _ in range(rng.randrange(3, 9)))
+    lines = []
+    for n in (6, 8, 10, 20, 40):
+        for _ in range(12):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for at in rng.sample(range(n), max(1, n // 10)):
+                other[at] = word()
+            lines += [" ".join(line), " ".join(other)]
+    similar = lambda a, b: _edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    true = {(i, j) for j in range(len(lines)) for i in range(j) if similar(lines[i], lines[j])}
+    assert len(true) > 30
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in linededup.dedup_lines(docs).where("n_dropped > 0").collect()}
+    assert gone == {j for _, j in true}
+
+
 def test_simhash_neighbours_share_a_key(spark):
     rng = random.Random(6)
     pairs = []
