@@ -1,8 +1,9 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity.
 
-A line is normalised to its words: runs of ASCII letters (in lower case) and of characters beyond
-ASCII, so digits, punctuation and white space only part words. Lines of equal words are one class.
-Classes of FUZZY_WORDS words or more have a 64-bit SimHash of their words. It is cut into BLOCKS blocks;
+A line is normalised to its words: runs of ASCII letters (in lower case), digits and characters beyond
+ASCII, so punctuation and white space only part words. Lines of equal words are one class: lines that
+differ in a number are not, and only the edit similarity can make them repeats. Classes of FUZZY_WORDS
+words or more (not counting mere numbers) have a 64-bit SimHash of their words. It is cut into BLOCKS blocks;
 two hashes that differ in ERRORS bits or fewer agree in all but ERRORS of the blocks (pigeonhole), so
 each choice of BLOCKS - ERRORS blocks is a key, and all such pairs share one. Lines of edit similarity
 SIMILARITY are often further apart than that, so a class also has BANDS keys of BAND of its MINS MinHash
@@ -16,7 +17,7 @@ A key's lines are tested with each other as they come sorted by key, unless thei
 the similarity. A key of more than RUN lines is a group of near copies: its lines go through
 linked_components(), which does not expand them into pairs.
 
-Lines end at U+000A. Lines without a word (blank ones too) always stay. Nulls: a null text stays null
+Lines end at U+000A. Lines without a letter (blank ones and mere numbers) always stay. Nulls: a null text stays null
 and has 0 lines; rows with a null id stay as they are. Rows of one id are one document: they lose the same lines. Other columns pass through.
 Empty tables give empty results.
 """
@@ -49,7 +50,8 @@ GRAM, LONG = 6, 40
 GRAM_SHORT, SHORT = 3, 50
 
 _LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-_TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_IN_WORD = _LETTER | np.array([48 <= b <= 57 for b in range(256)])
+_TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(50_021))
 _FACTORS = _rng.integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHOSEN = np.array([_rng.choice(MINS, BAND, replace=False) for _ in range(BANDS)])
@@ -81,12 +83,12 @@ def _symbols(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int
 
 
 def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
-    """For the lines with a word: doc (place in texts), pos (from 0), id (hash of the words), n (words), sim (SimHash), size (code points, normalised), long and short (symbols or None)."""
+    """For the lines with a letter: doc (place in texts), pos (from 0), id (hash of the words), n (words with a letter), sim (SimHash), size (code points, normalised), long and short (symbols or None)."""
     for at, block in blocks(texts):
         raw = b"\n".join(block)
         data = np.frombuffer(raw, dtype=np.uint8)
         text = np.frombuffer(raw.translate(_TO_WORDS), dtype=np.uint8)
-        hashes, starts = words(text.tobytes(), ~_LETTER)
+        hashes, starts = words(text.tobytes(), ~_IN_WORD)
         if not len(starts):
             continue
         breaks = np.flatnonzero(data == 10)
@@ -100,19 +102,20 @@ def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         sim = np.packbits(2 * bits > (ends - first)[:, None], axis=1).view(np.int64).ravel()
         ids = mixed(spans(mixed(hashes), first, ends) + (ends - first).astype(np.uint64))
         # the words, each with one blank after it, in code points
-        inside = _LETTER[text]
+        inside = _IN_WORD[text]
         kept = inside.copy()
         kept[1:] |= inside[:-1]
         new = np.cumsum(kept & ((text & 0xC0) != 0x80))
         codes = np.frombuffer(text[kept].tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
         begins = new[starts[first]] - 1
         size = np.append(begins[1:], len(codes) + int(inside[-1])) - begins - 1
-        out = {"doc": doc + at, "pos": line[first] - before[doc], "id": ids.view(np.int64), "n": ends - first, "sim": sim, "size": size}
+        lettered = np.add.reduceat(np.add.reduceat(_LETTER[text], starts, dtype=np.int64) > 0, first, dtype=np.int64)
+        out = {"doc": doc + at, "pos": line[first] - before[doc], "id": ids.view(np.int64), "n": lettered, "sim": sim, "size": size}
         for name, gram, wanted in (("long", GRAM, size >= LONG), ("short", GRAM_SHORT, size <= SHORT)):
-            which = np.flatnonzero(wanted & (ends - first >= FUZZY_WORDS))
+            which = np.flatnonzero(wanted & (lettered >= FUZZY_WORDS))
             out[name] = np.full(len(first), None, dtype=object)
             out[name][which] = _symbols(codes, begins[which], size[which], gram)
-        yield out
+        yield {name: column[lettered > 0] for name, column in out.items()}
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +126,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word, of documents with an id."""
+    """A row for each line with a letter, of documents with an id."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(_lines, "doc_id long, pos int, id long, n int, sim long, size int, long binary, short binary")
 

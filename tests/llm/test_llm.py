@@ -407,6 +407,13 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert gone == {j for _, j in true}
 
 
+def test_line_dedup_keeps_lines_that_differ_in_numbers(spark):
+    rows = ["Revenue 2019: 4,512 USD\nRevenue 2020: 981 USD", "Chapter 1\nChapter 12", "row 17 3 88\nrow 4 12 60\n17 3\n17 3", "Chapter 12!\nREVENUE 2019 4-512 USD"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: (rows[0], 0), 1: (rows[1], 0), 2: (rows[2], 0), 3: ("", 2)}
+
+
 def test_simhash_neighbours_share_a_key(spark):
     rng = random.Random(6)
     pairs = []
