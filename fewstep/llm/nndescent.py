@@ -5,11 +5,13 @@ TABLES tables a node is tested with the next ones of its bucket. Then it is refi
 its neighbours and those that have it as a neighbour, tests them with each other (neighbours of
 neighbours), and each node keeps its LIST nearest. Edges of THRESHOLD or more are the links.
 
-A list that is full of links is saturated: more may follow. Then the list is enlarged to its whole
-connected group: every two members of a group with a saturated list are tested, in blocks of BLOCK rows,
-so all links inside groups are found whatever their size. An audit draws AUDIT vectors by hash, tests
-them with all vectors, and measures which part of their links lies within the groups found; below
-RECALL the graph is refined again with lists twice as long, up to PASSES times.
+Every two members of a connected group are tested, in blocks of BLOCK rows, so all links inside groups
+are found whatever their size, and only links between groups can be missing. A list that is full of links
+is saturated, and so is its group. An audit draws vectors by hash, AUDIT outside saturated groups and
+AUDIT_FULL inside, and tests them with all vectors. Each drawn vector's share of links found counts
+alike, and the two kinds are judged apart, so a hot group can't hide the losses of others. Below RECALL the
+graph is refined again with more tables and lists twice as long; if the audit of pass PASSES fails too,
+all vectors of a label are tested with each other, in blocks.
 
 Equal vectors of one label are one node, so copies cost nothing and a row per copy comes out. A node's
 reverse list is cut to the 2 * LIST nearest while refining; the links between groups that this could
@@ -39,7 +41,7 @@ THRESHOLD = 0.98
 LIST, TABLES, AHEAD, ITERATIONS = 10, 6, 4, 2
 #: Rows that a bucket of the first graph has on average, and rows in a block of the last tests.
 BUCKET, BLOCK = 64, 2048
-AUDIT, RECALL, PASSES = 256, 0.995, 3
+AUDIT, AUDIT_FULL, RECALL, PASSES = 4096, 256, 0.995, 3
 SEED = 60_013
 
 _EDGES = "u long, v long, cosine double"
@@ -170,41 +172,55 @@ def _links(threshold: float):
     return run
 
 
-def saturated_links(graph: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """u, v of every link inside the groups that have a node whose list is full of links."""
+def saturated(graph: DataFrame, groups: DataFrame, size: int, threshold: float) -> DataFrame:
+    """component of the groups that have a node whose list is full of links."""
     full = graph.where(F.col("cosine") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= size)
-    wide = groups.join(full.select(F.col("u").alias("id")), "id").select("component").distinct()
-    members = groups.join(wide, "component").join(nodes.select("id", "vector"), "id")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return groups.join(full.select(F.col("u").alias("id")), "id").select("component").distinct()
+
+
+def inner_links(groups: DataFrame, nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """u, v of every link inside a component of groups (id, component)."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = groups.select("id", "component").join(nodes.select("id", "vector"), "id").join(sizes, "component")
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = members.withColumn("_other", other).select("component", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "vector")
     paired = paired.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     return scratch.stash(paired.mapInPandas(_links(threshold), _EDGES).select("u", "v").distinct())
 
 
-def audit(nodes: DataFrame, groups: DataFrame, threshold: float) -> float:
-    """The part of the links of AUDIT drawn nodes that lies inside the groups."""
-    spark = nodes.sparkSession
-    drawn = nodes.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(AUDIT).collect()
+def audit(nodes: DataFrame, groups: DataFrame, wide: DataFrame, threshold: float) -> float:
+    """The mean share of a drawn node's links that lie inside the groups: the lower one of the nodes outside and inside the wide groups."""
+    inside = groups.join(wide, "component").select("id")
+    return min(
+        _found(nodes, nodes.join(inside, "id", "left_anti"), AUDIT, groups, threshold),
+        _found(nodes, nodes.join(inside, "id", "left_semi"), AUDIT_FULL, groups, threshold),
+    )
+
+
+def _found(nodes: DataFrame, some: DataFrame, n: int, groups: DataFrame, threshold: float) -> float:
+    """The mean share, over n nodes drawn from some, of a node's links that lie inside the groups."""
+    drawn = some.select("id", "label", "vector").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(n).collect()
     if not drawn:
         return 1.0
-    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in drawn]), np.array([r["label"] for r in drawn]), _bytes([bytes(r["vector"]) for r in drawn])))
+    shared = nodes.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in drawn]), np.array([r["label"] for r in drawn]), _bytes([bytes(r["vector"]) for r in drawn])))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, labels, vs = shared.value
+        vs = _unit(vs).T
         for batch in batches:
-            if len(batch):
-                near = _unit(_bytes(batch["vector"])) @ _unit(vs).T
-                near[(batch["label"].to_numpy()[:, None] != labels[None, :]) | (batch["id"].to_numpy()[:, None] == ids[None, :])] = -2
-                x, y = np.nonzero(near >= threshold)
-                yield pd.DataFrame({"u": batch["id"].to_numpy()[x], "v": ids[y]})
+            for lo in range(0, len(batch), 1024):
+                part = batch.iloc[lo : lo + 1024]
+                near = _unit(_bytes(part["vector"])) @ vs >= threshold + 1e-9  # links whatever the rounding
+                near &= (part["label"].to_numpy()[:, None] == labels[None, :]) & (part["id"].to_numpy()[:, None] != ids[None, :])
+                x, y = np.nonzero(near)
+                yield pd.DataFrame({"u": part["id"].to_numpy()[x], "v": ids[y]})
 
     true = nodes.mapInPandas(test, "u long, v long")
     side = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias("in_" + c))
     both = true.join(side("u"), "u", "left").join(side("v"), "v", "left")
-    n, inside = both.agg(F.count("*"), F.count_if(F.col("in_u") == F.col("in_v"))).first()
-    return inside / n if n else 1.0
+    by_node = both.groupBy("v").agg((F.count_if(F.col("in_u") == F.col("in_v")) / F.count("*")).alias("share"))
+    return by_node.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -231,10 +247,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             graph = new
         linked = graph.where(F.col("cosine") >= threshold)
         groups = scratch.stash(components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
-        if turn == PASSES - 1 or audit(nodes, groups, threshold) >= RECALL:
+        wide = scratch.stash(saturated(graph, groups, size, threshold))
+        if audit(nodes, groups, wide, threshold) >= RECALL:
+            more = inner_links(groups, nodes, threshold, scratch)
             break
         size *= 2
-    more = saturated_links(graph, nodes, groups, size, threshold, scratch)
+    else:
+        more = inner_links(nodes.select("id", F.col("label").alias("component")), nodes, threshold, scratch)
+        groups = scratch.stash(components(more.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
     both = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(more).distinct()
     times = classes.groupBy(F.col("rep").alias("v")).agg(F.sum("copies").alias("copies"))
     by_node = both.join(times, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))

@@ -342,6 +342,22 @@ def test_embedding_duplicates(spark, monkeypatch):
     assert nndescent.near_duplicates(df.where("id < 0")).count() == 0
 
 
+def test_embedding_duplicates_when_the_search_fails(spark, monkeypatch):
+    """Separate pairs beside a hot group, with too little search to find them: the last pass is audited, and the rest searched whole."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 16))
+    x[:300] = x[0] + 0.01 * rng.standard_normal((300, 16))
+    x[500:] = x[300:500] + 0.02 * rng.standard_normal((200, 16))
+    df = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(x)], "id long, label int, vector array<double>")
+    for name, value in (("TABLES", 1), ("AHEAD", 1), ("ITERATIONS", 0), ("PASSES", 1), ("BUCKET", 1)):
+        monkeypatch.setattr(nndescent, name, value)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {r["id"]: r["n_links"] for r in nndescent.near_duplicates(df).collect()}
+    assert got == {k: near[k].sum() for k in range(700)}
+
+
 def test_nearest(spark):
     x = _vectors(np.random.default_rng(1), 600)
     df = spark.createDataFrame(_rows(x), "id long, label int, vector array<double>")
