@@ -5,7 +5,7 @@ row's vector and the place of every pivot in its order. A task holds a block of
 for each pivot, the places it takes in the rows of the block. A query goes through the files of its
 pivots, nearest first, and adds up the differences of places: the footrule distance between the orders.
 The rows of smallest footrule are reranked by exact cosine, FIRST of them at a time, until a round adds
-nothing to the query's best k of the block. So a query in a dense group looks at more rows, and no fixed
+nothing to the query's best k of the block; rows of equal footrule come by id, however many they are. So a query in a dense group looks at more rows, and no fixed
 cap cuts it off. The blocks' bests are merged by score.
 
 Pivots are a bounded sample: the PIVOTS distinct vectors of smallest hash. Every row is indexed. Queries
@@ -90,8 +90,9 @@ def _search(shared, k: int):
                     upto = min(usable_rows, seen + FIRST)
                     if upto > sorted_to:
                         sorted_to = min(n, max(2 * FIRST, 4 * sorted_to))
-                        part = np.argpartition(footrule, sorted_to - 1)[:sorted_to] if sorted_to < n else np.arange(n)
-                        order = part[np.lexsort((ids[part], footrule[part]))]
+                        # with all rows tied with the last one, so that the ids decide between them
+                        part = np.flatnonzero(footrule <= np.partition(footrule, sorted_to - 1)[sorted_to - 1])
+                        order, sorted_to = part[np.lexsort((ids[part], footrule[part]))], len(part)
                     rows = order[seen:upto]
                     scores = cosines(vs[rows], vector)
                     top = np.lexsort((ids[rows], -scores))[:k]

@@ -379,6 +379,17 @@ def test_nearest(spark):
     assert permutation.search(none, none).count() == 0
 
 
+def test_nearest_of_many_copies_by_id(spark):
+    """More copies than are ordered at once, in one block in a shuffled order: the smallest ids come out."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    x[rng.choice(2999, 1500, replace=False) + 1] = x[0]
+    rows = [(int(k), x[k].tolist()) for k in rng.permutation(3000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    got = permutation.search(df, df.where("id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [k for k in range(1, 3000) if (x[k] == x[0]).all()][:5]
+
+
 # 10
 
 
