@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,15 @@ def test_last_step_joins_and_blocks_agree(spark):
     assert {r["id"]: r["component_id"] for r in neardup.classes(docs, 2).collect()} == {k: v[1] for k, v in want.items()}
 
 
+def test_block_links_beyond_17_symbols():
+    """Equal sets whose signatures are made to differ in 19 symbols: the sets decide."""
+    base = {"family": 1, "i": 0, "j": 0, "own": 0, "n": 10, "shingles": list(range(10))}
+    signs = lambda v: {c: sum(v << (j * (neardup.BITS + 1)) for j in range(neardup.LANES if k < 4 else 3 if k == 4 else 0)) for k, c in enumerate(neardup._SIGNS)}
+    rows = pd.DataFrame([{**base, "id": k, "component": k, **signs(k)} for k in (1, 2)])
+    found = pd.concat(list(neardup._block_links(iter([rows]))))
+    assert found[["a", "b"]].to_numpy().tolist() == [[1, 2]]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
