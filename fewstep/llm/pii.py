@@ -9,6 +9,12 @@ rounds Spark scores a pattern by the share of its places in the whole corpus tha
 distinct instances. Candidates that score ACCEPT or
 more and overlap no base span are added as spans of kind id.
 
+Any other token or short run of tokens with a digit is a free candidate: shorter ones, ones with one digit, and
+ones held together by hyphens, dots, underscores, or by blanks and brackets between groups of digits.
+Such tokens stand in many unrelated places ("12"), so a free instance scores the mean of its patterns by its
+places, not their noisy-or, and each place is judged by its own context: it is added if one of its
+patterns scores ACCEPT or more and it overlaps no other span.
+
 The number of a pattern's places is counted over all texts: a common word before an e-mail address is no
 evidence. Only counts are joined and written between the rounds, and all sums combine before a shuffle.
 
@@ -35,9 +41,11 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a pattern to be tried at all.
-_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "id": r"[0-9]"}
+_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "id": r"[0-9]", "free": r"[0-9]"}
 #: Candidates: whole runs of at least 8 ASCII letters and digits with two digits; and seeds among them.
 CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9][A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
+#: Free candidates: groups of digits, or any token with a digit, that no letter or digit adjoins.
+FREE = r"(?<![A-Za-z0-9])(?:\([0-9]{2,5}\)[\x20-]?[0-9]{2,}+(?:[\x20-][0-9]{2,}+)*+|[0-9]{2,}+(?:[\x20-][0-9]{2,}+)++(?![A-Za-z0-9])|(?=[A-Za-z]*+(?:[-._][A-Za-z]++)*+[-._]?[0-9])[A-Za-z0-9]++(?:[-._][A-Za-z0-9]++)*+)"
 KEY_SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"
 KINDS = [*BASE, "id"]
 ROUNDS, SUPPORT, ACCEPT = 4, 3, 0.9
@@ -77,7 +85,7 @@ def _valid() -> F.Column:
 
 def matches(docs: DataFrame) -> DataFrame:
     """docs: doc_id, mark (hash of the text), text. One row per valid base span and per candidate."""
-    found = F.flatten(F.array(*[_matches(k, r) for k, r in {**BASE, "id": CANDIDATE}.items()]))
+    found = F.flatten(F.array(*[_matches(k, r) for k, r in {**BASE, "id": CANDIDATE, "free": FREE}.items()]))
     rows = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "mark", F.explode(found).alias("m")).select("doc_id", "mark", "m.*")
     rows = rows.dropDuplicates(["doc_id", "mark", "kind", "nth"])
     upto = Window.partitionBy("doc_id", "mark", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -105,22 +113,27 @@ def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.where("piece <> '='").join(wanted, "piece", "left_semi").unionByName(assigned)
 
 
-def identifiers(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """instance, score: the bootstrapped scores of all candidates in contexts that some seed has."""
-    seed = (F.col("kind") != "id") | F.col("hit").rlike(KEY_SEEDS)
-    edges = found.select("hit", seed.alias("seed"), F.explode(_patterns()).alias("p")).select("hit", "seed", "p.*")
-    edges = scratch.stash(edges.groupBy("pattern", F.col("hit").alias("instance")).agg(F.first("pieces").alias("pieces"), F.max("seed").alias("seed"), F.count("*").alias("times")))
+def identifiers(docs: DataFrame, found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """instance, score: the bootstrapped scores of all candidates; pattern: the patterns that score ACCEPT or more."""
+    seed = ~F.col("kind").isin("id", "free") | F.col("hit").rlike(KEY_SEEDS)
+    # a free candidate that is a base or strict one too counts as that alone
+    strict = found.where("kind <> 'free'").select("hit").distinct()
+    strict_places = found.where("kind <> 'free'")
+    free = found.where("kind = 'free'").join(strict, "hit", "left_anti")
+    found = strict_places.unionByName(free)
+    edges = found.select("hit", (F.col("kind") == "free").alias("free"), seed.alias("seed"), F.explode(_patterns()).alias("p")).select("hit", "free", "seed", "p.*")
+    edges = scratch.stash(edges.groupBy("pattern", F.col("hit").alias("instance")).agg(F.first("pieces").alias("pieces"), F.max("seed").alias("seed"), F.max("free").alias("free"), F.count("*").alias("times")))
     strong = edges.groupBy("pattern").agg(F.count("*").alias("kinds"), F.max("seed").alias("seeded"), F.sum("times").alias("held"), F.first("pieces").alias("pieces"))
     strong = scratch.stash(strong.where(F.col("kinds") >= SUPPORT).drop("kinds"))
     wanted = strong.select(F.explode("pieces").alias("piece")).distinct()
     places = scratch.stash(_places(docs, wanted))
     limits = strong.select("pattern", F.explode(F.array_distinct("pieces")).alias("piece")).join(places, "piece", "left").groupBy("pattern").agg(F.min(F.coalesce("places", F.lit(0))).alias("places"))
     strong = strong.join(limits, "pattern").select("pattern", F.greatest("places", "held").alias("places"))
-    graph = scratch.stash(edges.join(strong, "pattern").select("pattern", "instance", "seed", "times", "places"))
+    graph = scratch.stash(edges.join(strong, "pattern").select("pattern", "instance", "seed", "free", "times", "places"))
 
     def by_instance(scored: DataFrame) -> DataFrame:
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999999))))
-        return scored.groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(doubt)).alias("score"))
+        return scored.groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).when(F.max("free"), F.sum(F.col("confidence") * F.col("times")) / F.sum("times")).otherwise(1 - F.exp(doubt)).alias("score"))
 
     scores = graph.groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"))
     for _ in range(ROUNDS):
@@ -128,14 +141,17 @@ def identifiers(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFram
         new = scratch.stash(by_instance(graph.join(by_pattern, "pattern")))
         scratch.drop(scores)
         scores = new
-    return scores
+    sure = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / F.max("places")).alias("confidence"))
+    return scores, scratch.stash(sure.where(F.col("confidence") >= ACCEPT).select("pattern"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """docs: doc_id, mark, text. doc_id, mark, kind, start, end of every base span and every added one."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.stash(matches(docs))
-    scores = identifiers(docs, found, scratch).where(F.col("score") >= ACCEPT).select(F.col("instance").alias("hit"))
+    scores, sure = identifiers(docs, found, scratch)
+    scores = scores.where(F.col("score") >= ACCEPT).select(F.col("instance").alias("hit"))
+    free, found = found.where("kind = 'free'"), found.where("kind <> 'free'")
     by_place = Window.partitionBy("doc_id", "mark").orderBy("start", "end")
     is_base = F.col("kind") != "id"
     before = F.max(F.when(is_base, F.col("end"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
@@ -143,7 +159,16 @@ def spans(docs: DataFrame) -> DataFrame:
     clear = found.withColumn("clear", (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end")))
     more = clear.where("kind = 'id' AND clear").drop("clear").join(scores, "hit", "left_semi")
     same = found.where(is_base).select("doc_id", "mark", "start", "end")
-    return found.where(is_base).select("doc_id", "mark", "kind", "start", "end").unionByName(more.select("doc_id", "mark", "kind", "start", "end").join(same, ["doc_id", "mark", "start", "end"], "left_anti"))
+    place = ["doc_id", "mark", "kind", "start", "end"]
+    taken = scratch.stash(found.where(is_base).select(*place).unionByName(more.select(*place).join(same, ["doc_id", "mark", "start", "end"], "left_anti")))
+    free = free.select(*place, F.explode(_patterns()).alias("p")).select(*place, "p.pattern").join(sure, "pattern", "left_semi").select(*place).distinct()
+    both = taken.unionByName(free)
+    upto = Window.partitionBy("doc_id", "mark").orderBy("start", "end", "kind")
+    other = F.col("kind") != "free"
+    before = F.max(F.when(other, F.col("end"))).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(other, F.col("start"))).over(upto.rowsBetween(1, Window.unboundedFollowing))
+    both = both.withColumn("clear", other | ((F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))))
+    return both.where("clear").select("doc_id", "mark", F.when(other, F.col("kind")).otherwise("id").alias("kind"), "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:

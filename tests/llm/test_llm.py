@@ -179,6 +179,18 @@ def test_personal_data(spark, corpus):
     assert pii.find(docs.where("doc_id < 0")).count() == 0
 
 
+def test_personal_data_of_an_unseen_kind(spark):
+    """Identifiers of other shapes in a context that seeds teach; the same shapes elsewhere are left alone."""
+    rng = random.Random(8)
+    rows = [(k, f"her contact-id: user{k}@example.org thanks") for k in range(30)]
+    held_out = ["123-45-6789", "(743) 555-3824", "X123456", "ab_12-7", "K-9"]
+    rows += [(100 + k, f"her contact-id: {h} thanks") for k, h in enumerate(held_out)]
+    rows += [(200 + k, f"on page {rng.randrange(99)} of 12 in 2019-0{k + 1}-03 we read X99") for k in range(9)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + k] for k in range(5)] == [f"id:16:{16 + len(h)}" for h in held_out]
+    assert all(got[200 + k] == "" for k in range(9))
+
+
 # 5
 
 
