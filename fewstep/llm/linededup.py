@@ -3,23 +3,32 @@
 A line is normalised to its words: runs of ASCII letters (in lower case), digits and characters beyond
 ASCII, so punctuation and white space only part words. Lines of equal words are one class: lines that
 differ in a number are not, and only the edit similarity can make them repeats. Classes of FUZZY_WORDS
-words or more (not counting mere numbers) have a 64-bit SimHash of their words. It is cut into BLOCKS blocks;
-two hashes that differ in ERRORS bits or fewer agree in all but ERRORS of the blocks (pigeonhole), so
-each choice of BLOCKS - ERRORS blocks is a key, and all such pairs share one. Lines of edit similarity
-SIMILARITY are often further apart than that, so a class also has BANDS keys of BAND of its MINS MinHash
-symbols: those of its runs of GRAM code points from LONG code points on, and of GRAM_SHORT up to SHORT
-(both between; two similar lines always have one family in common). Lines that share any key are
-candidates, whatever their hashes' distance, and are confirmed by the edit similarity of their normalised
-text, SIMILARITY or more. Of each connected group the first line, by document id and place, stays, and
-the others go.
+words or more (not counting mere numbers) have a SimHash. Its features are phrases: a word of LONG bytes or
+more with the shorter ones before it, so that mere articles and the like are no feature. The SimHash is cut
+into blocks of 64 bits, and a distinct phrase votes in one block only, named by its hash. A word that was
+changed, put in or left out therefore touches two blocks at most and leaves the others as they are (pigeonhole):
+
+* lines of less than 8 phrases: a block for each. Keys: all blocks, and all but any one. With FEW phrases or
+  less, every word counts as a phrase (too).
+* less than 16 phrases: 5 blocks. Keys: any three of them, so one changed word always leaves a key.
+* less than 32 phrases: 5 blocks. Keys: each one, so two changed words leave a key.
+* longer lines: 10 blocks, and twice as many for every doubling. Keys: KEYS of them, each one.
+
+Keys of less than LEAST phrases are not posted. A line whose four fifths reach into the next shorter kind is
+posted as one of that kind too. Lines that share a key are candidates, whatever else they hold, and are
+confirmed by the edit similarity of their normalised text, SIMILARITY or more. Of each connected group the
+first line, by document id and place, stays, and the others go. Words are the unit of the blocks: lines
+whose every other word has a changed letter share no key though their edit similarity may suffice.
 
 A key's lines are tested with each other as they come sorted by key, unless their lengths alone rule out
 the similarity. A key of more than RUN lines is a group of near copies: its lines go through
-linked_components(), which does not expand them into pairs.
+linked_components(), which does not expand them into pairs and ends in blocks of bounded bytes. There the
+64-bit SimHash of a whole line decides what is tested first, and, in the last blocks, what is tested at all
+(FAR bits of difference; lines of similarity 0.8 differ in 13 on average).
 
 Lines end at U+000A. Lines without a letter (blank ones and mere numbers) always stay. Nulls: a null text stays null
 and has 0 lines; rows with a null id stay as they are. Rows of one id are one document: they lose the same lines. Other columns pass through.
-Empty tables give empty results.
+Empty tables give empty results. Memory is bounded by a batch and the longest text.
 """
 
 from __future__ import annotations
@@ -28,33 +37,33 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewstep.llm.graph import components
-from fewstep.llm.hashing import blocks, mixed, spans, words
-from fewstep.llm.linkjoin import linked_components
-from fewstep.llm.vectors import whole_runs
-from fewstep.plans.storage import Scratch, join_small
+from fewstep.llm.hashing import blocks, bounded_batches, mixed, words
+from fewstep.llm.linkjoin import family_blocks, linked_components
+from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
 
-ERRORS, BLOCKS = 3, 5
-#: Lines of a key that are tested pair by pair, and texts that are looked up by broadcast.
-RUN, FEW_TEXTS = 64, 200_000
+#: Lines of a key that are tested pair by pair.
+RUN = 32
 FUZZY_WORDS = 5
 SIMILARITY = 0.8
-#: MinHash symbols of a line, symbols in a band, bands; code points in a run, and the lines that have them.
-MINS, BAND, BANDS = 32, 4, 32
-GRAM, LONG = 6, 40
-GRAM_SHORT, SHORT = 3, 50
-
-_LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-_IN_WORD = _LETTER | np.array([48 <= b <= 57 for b in range(256)])
+#: Bytes of a word that ends a phrase; phrases that a key has at least; keys of a line of 32 phrases or more.
+LONG, LEAST, KEYS, FEW = 4, 3, 6, 4
+#: Bits in which the whole SimHashes of two lines of a last block may differ.
+FAR = 24
+#: Steps of a key's length part for a doubling of the length.
+STEPS = 128
+
+_LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)], dtype=np.uint8)
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_rng = np.random.Generator(np.random.PCG64(50_021))
-_FACTORS = _rng.integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHOSEN = np.array([_rng.choice(MINS, BAND, replace=False) for _ in range(BANDS)])
+_BLANK = np.array([b == 32 for b in range(256)])
+#: The bits of a byte, each in a byte of its own.
+_SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,127 +71,308 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.translate(_TO_WORDS).split())
 
 
-def _symbols(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int) -> list[bytes]:
-    """For each line of codes[start:start + size], its MINS symbols of two bytes."""
-    if not len(starts):
-        return []
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    at = np.arange(ends[-1]) - np.repeat(begins, sizes)
-    one = mixed(codes[np.repeat(starts, sizes) + at].astype(np.uint64) * _STEP)
-    runs = np.zeros(len(one), dtype=np.uint64)
-    for k in range(gram):
-        runs[: len(one) - gram + 1] = runs[: len(one) - gram + 1] * _STEP + one[k : len(one) - gram + 1 + k]
-    over = at > np.repeat(np.maximum(sizes - gram, 0), sizes)
-    out = np.empty((len(starts), MINS), dtype=np.uint16)
-    for j in range(MINS):
-        hashes = mixed(runs * _FACTORS[j])
-        hashes[over] = np.iinfo(np.uint64).max
-        out[:, j] = mixed(np.minimum.reduceat(hashes, begins)) >> np.uint64(48)
-    return [row.tobytes() for row in out]
+def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each group of hashes; first: where the groups begin. Groups of more than 255 are summed in parts."""
+    if not len(first):
+        return np.empty(0, np.uint64)
+    sizes = np.diff(np.append(first, len(hashes)))
+    group = np.repeat(np.arange(len(first)), -(-sizes // 255))
+    parts = np.arange(len(group)) - np.repeat(np.searchsorted(group, np.arange(len(first))), -(-sizes // 255))
+    cuts = first[group] + 255 * parts
+    sums = np.zeros((len(hashes) + 1, 8), dtype=np.uint64)
+    np.cumsum(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], axis=0, dtype=np.uint64, out=sums[1:])
+    counts = (sums[np.append(cuts[1:], len(hashes))] - sums[cuts]).view(np.uint8).reshape(-1, 64)
+    if len(cuts) > len(first):
+        counts = np.add.reduceat(counts, np.flatnonzero(parts == 0), axis=0, dtype=np.int64)
+    return np.packbits(counts > (sizes // 2)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def phrases(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the phrases of lines, and where each line's begin. hashes, sizes: of the words; first: where each line begins."""
+    ends = sizes >= LONG
+    ends[np.append(first[1:], len(hashes)) - 1] = True
+    begins = np.concatenate(([True], ends[:-1]))
+    cuts = np.flatnonzero(begins)
+    place = np.arange(len(hashes)) - np.repeat(cuts, np.diff(np.append(cuts, len(hashes))))
+    return mixed(np.add.reduceat(mixed(hashes + (place + 1).astype(np.uint64) * _STEP), cuts)), np.searchsorted(cuts, first)
+
+
+def _groups(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct owners, how many distinct hashes each has, and their SimHash."""
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))
+    hashes, owner = hashes[new], owner[new]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1])))
+    return owner[first], np.diff(np.append(first, len(owner))), simhash(hashes, first)
+
+
+def block_keys(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of lines, given the hashes of their phrases: line and key (64 bits) of each."""
+    level = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64), 2, 40)
+    lower = np.flatnonzero((level > 2) & (4 * sizes < 5 * (1 << level)))
+    line = np.concatenate((np.arange(len(first)), lower))
+    level = np.concatenate((level, level[lower] - 1))
+    lines, keys = [], []
+
+    def post(which, kind, value):
+        lines.append(which)
+        keys.append(mixed(value * _STEP + kind.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+
+    for short in (True, False):
+        chosen = np.flatnonzero((level == 2) if short else (level > 2))
+        own, kind, n = line[chosen], level[chosen], sizes[line[chosen]]
+        ends = np.cumsum(n)
+        if not len(own):
+            continue
+        own_words = np.arange(ends[-1]) + np.repeat(first[own] - (ends - n), n)
+        who, h = np.repeat(np.arange(len(own)), n), hashes[own_words]
+        if short:
+            each = mixed(h * _STEP)
+            total = np.add.reduceat(each, ends - n)
+            post(own, kind, total)
+            post(own[who], kind[who], total[who] - each)
+            continue
+        blocks_of = np.where(kind <= 4, 5, 10 << np.maximum(kind - 5, 0))
+        at = ((h >> np.uint64(32)) % blocks_of[who].astype(np.uint64)).astype(np.int64)
+        sims, counts = np.zeros((len(own), 5), np.uint64), np.zeros((len(own), 5), np.int64)
+        for k in range(KEYS):
+            mine = np.flatnonzero(at == k)
+            owners, count, sim = _groups(h[mine], who[mine])
+            if k < 5:
+                sims[owners, k], counts[owners, k] = sim, count
+            single = (count >= LEAST) & (kind[owners] > 3)
+            post(own[owners[single]], kind[owners[single]] * 64 + k, sim[single])
+        three = np.flatnonzero(kind == 3)
+        for k, chosen in enumerate(combinations(range(5), 3)):
+            full = three[counts[three][:, chosen].sum(axis=1) >= LEAST]
+            value = np.zeros(len(full), np.uint64)
+            for c in chosen:
+                value = mixed(value * _STEP + sims[full, c])
+            post(own[full], kind[full] * 64 + k, value)
+    return np.concatenate(lines) if lines else np.empty(0, np.int64), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
-    """For the lines with a letter: doc (place in texts), pos (from 0), id (hash of the words), n (words with a letter), sim (SimHash), size (code points, normalised), long and short (symbols or None)."""
+    """For the lines with a letter: doc (place in texts), pos (from 0), id (hash of the words), size (code points, normalised); key_line and key."""
     for at, block in blocks(texts):
         raw = b"\n".join(block)
-        data = np.frombuffer(raw, dtype=np.uint8)
-        text = np.frombuffer(raw.translate(_TO_WORDS), dtype=np.uint8)
-        hashes, starts = words(text.tobytes(), ~_IN_WORD)
+        low = raw.translate(_TO_WORDS)
+        hashes, starts, ends = words(low, _BLANK)
         if not len(starts):
             continue
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts)
-        first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-        ends = np.append(first[1:], len(starts))
+        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        first = np.unique(np.concatenate(([0], np.searchsorted(starts, breaks))))
+        first = first[first < len(starts)]
+        sizes = np.diff(np.append(first, len(starts)))
+        text = np.frombuffer(low, dtype=np.uint8)
+        lettered = np.add.reduceat((np.maximum.reduceat(_LETTER[text], starts) > 0).astype(np.int64), first)
+        points = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80, dtype=np.int64 if len(text) > 1 << 31 else np.int32)))
+        size = np.add.reduceat((points[ends] - points[starts]).astype(np.int64), first) + sizes - 1
+        del points
+        place = np.arange(len(starts)) - np.repeat(first, sizes)
+        ids = mixed(np.add.reduceat(mixed(hashes + (place + 1).astype(np.uint64) * _STEP), first) + sizes.astype(np.uint64))
+        line = np.searchsorted(breaks, starts[first])
         doc_starts = np.cumsum([0] + [len(t) + 1 for t in block])
         doc = np.searchsorted(doc_starts, starts[first], side="right") - 1
-        before = np.searchsorted(breaks, doc_starts[:-1])  # lines of the block before each text
-        bits = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
-        sim = np.packbits(2 * bits > (ends - first)[:, None], axis=1).view(np.int64).ravel()
-        ids = mixed(spans(mixed(hashes), first, ends) + (ends - first).astype(np.uint64))
-        # the words, each with one blank after it, in code points
-        inside = _IN_WORD[text]
-        kept = inside.copy()
-        kept[1:] |= inside[:-1]
-        new = np.cumsum(kept & ((text & 0xC0) != 0x80))
-        codes = np.frombuffer(text[kept].tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-        begins = new[starts[first]] - 1
-        size = np.append(begins[1:], len(codes) + int(inside[-1])) - begins - 1
-        lettered = np.add.reduceat(np.add.reduceat(_LETTER[text], starts, dtype=np.int64) > 0, first, dtype=np.int64)
-        out = {"doc": doc + at, "pos": line[first] - before[doc], "id": ids.view(np.int64), "n": lettered, "sim": sim, "size": size}
-        for name, gram, wanted in (("long", GRAM, size >= LONG), ("short", GRAM_SHORT, size <= SHORT)):
-            which = np.flatnonzero(wanted & (lettered >= FUZZY_WORDS))
-            out[name] = np.full(len(first), None, dtype=object)
-            out[name][which] = _symbols(codes, begins[which], size[which], gram)
-        yield {name: column[lettered > 0] for name, column in out.items()}
-
-
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pos = line - np.searchsorted(breaks, doc_starts[:-1])[doc]
+        # a class of this block is posted once
+        fuzzy = np.flatnonzero(lettered >= FUZZY_WORDS)
+        fuzzy = fuzzy[np.sort(np.unique(ids[fuzzy], return_index=True)[1])]
+        said, begins = phrases(hashes, ends - starts, first)
+        times = np.diff(np.append(begins, len(said)))
+        by_phrase, by_word = fuzzy[times[fuzzy] >= LEAST], fuzzy[times[fuzzy] <= FEW]
+        key_line, key = block_keys(said, begins[by_phrase], times[by_phrase])
+        word_line, word_key = block_keys(mixed(hashes), first[by_word], sizes[by_word])
+        key_line, key = np.concatenate((by_phrase[key_line], by_word[word_line])), np.concatenate((key, word_key))
+        length = np.floor(np.log2(np.maximum(size, 1)) * STEPS).astype(np.uint64)
+        key = (key << np.uint64(12)) | (length[key_line] & np.uint64(4095))
+        kept = np.flatnonzero(lettered > 0)
+        number = np.cumsum(lettered > 0) - 1
+        yield {"doc": doc[kept] + at, "pos": pos[kept], "id": ids.view(np.int64)[kept], "size": size[kept], "key_line": number[key_line], "key": key.view(np.int64)}
+
+
+_LINES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_ids = batch["doc_id"].to_numpy()
-        for part in scan([t.encode() for t in batch["text"]]):
-            yield pd.DataFrame({"doc_id": doc_ids[part["doc"]], "pos": part["pos"], **{c: part[c] for c in ("id", "n", "sim", "size", "long", "short")}})
+        doc_ids = batch.column("doc_id").to_numpy()
+        for part in scan(batch.column("text").cast(pa.large_binary()).to_pylist()):
+            n = len(part["id"])
+            order = np.argsort(part["key_line"], kind="stable")
+            offsets = np.searchsorted(part["key_line"][order], np.arange(n + 1)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part["key"][order]))
+            columns = [doc_ids[part["doc"]], part["pos"].astype(np.int32), part["id"]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], schema=_LINES)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each line with a letter, of documents with an id."""
+    """A row for each line with a letter, of documents with an id; keys: of the lines that may be near copies."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_lines, "doc_id long, pos int, id long, n int, sim long, size int, long binary, short binary")
+    return rows.mapInArrow(_lines, "doc_id long, pos int, id long, keys array<long>")
 
 
-def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = [normalised(t.encode().split(b"\n", p + 1)[p]).decode() for t, p in zip(batch["text"], batch["pos"], strict=True)]
-        yield pd.DataFrame({"id": batch["id"], "line": lines})
+        for text, wanted in zip(batch.column("text").cast(pa.large_binary()), batch.column("wanted").to_pylist(), strict=True):
+            lines = text.as_py().split(b"\n")
+            found = [normalised(lines[w["pos"]]).decode() for w in wanted]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([w["id"] for w in wanted], pa.int64()), "line": pa.array(found, pa.string())})
 
 
-def _masks() -> list[int]:
-    """For each key, the bits of the blocks that it has."""
-    cuts = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    own = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(BLOCKS)]
-    masks = [sum(own[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - ERRORS)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+_PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def block_keys(nodes: DataFrame) -> DataFrame:
-    """key and the columns of nodes: one key for each choice of the blocks that agree."""
-    keys = [F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks())]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, a, b: pairs of a key whose lengths allow a link; key, a and null for the lines of a long run.
 
+    Rows come sorted by key and id. No more than the last RUN rows of a key wait for the next batch.
+    """
+    limit = STEPS * np.log2(1 / SIMILARITY) + 1
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shifts = np.arange(0, 16 * BAND, 16, dtype=np.uint64)
-    for batch in batches:
-        for family in ("long", "short"):
-            rows = batch[batch[family].notna()]
-            if len(rows):
-                symbols = np.frombuffer(b"".join(rows[family]), dtype=np.uint16).reshape(len(rows), MINS).astype(np.uint64)
-                for k, chosen in enumerate(_CHOSEN):
-                    key = mixed((symbols[:, chosen] << shifts).sum(axis=1, dtype=np.uint64)) ^ np.uint64(2 * k + (family == "short"))
-                    yield pd.DataFrame({"key": mixed(key).view(np.int64), "id": rows["id"].to_numpy(), "size": rows["size"].to_numpy()})
-
-
-def band_keys(nodes: DataFrame) -> DataFrame:
-    """nodes: id, size, long, short. key, id, size: one key for each band of each family."""
-    return nodes.select("id", "size", "long", "short").mapInPandas(_bands, "key long, id long, size int")
-
-
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """key, a, b: pairs of a key whose lengths allow a link; key, a and null for the lines of a long run."""
-    for rows in whole_runs(batches, ["key"]):
-        key, ids, length = (rows[c].to_numpy() for c in ("key", "id", "size"))
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        size = np.repeat(sizes, sizes)
-        long = size > RUN
-        yield pd.DataFrame({"key": key[long], "a": ids[long], "b": pd.array([None] * int(long.sum()), dtype="Int64")})
-        for d in range(1, min(RUN, int(sizes.max()))):
-            lo = np.flatnonzero((key[d:] == key[:-d]) & ~long[d:])
-            x, y = length[lo], length[lo + d]
-            lo = lo[np.abs(x - y) <= np.floor(np.maximum(x, y) * (1 - SIMILARITY) + 1e-9)]
+    def told(key, a, b, long):
+        b = pa.array(b, mask=np.ones(len(a), bool)) if long else pa.array(b)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b], schema=_PAIRS)
+
+    def runs(group, size, ids):
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        n = np.diff(np.append(first, len(group)))
+        n = np.repeat(n, n)
+        if (long := n > RUN).any():
+            yield told(group[long], ids[long], ids[long], True)
+        for d in range(1, min(RUN, int(n.max()))):
+            lo = np.flatnonzero((group[d:] == group[:-d]) & ~long[d:])
+            lo = lo[np.abs(size[lo] - size[lo + d]) <= limit]
             if len(lo):
-                yield pd.DataFrame({"key": key[lo], "a": ids[lo], "b": pd.array(ids[lo + d], dtype="Int64")})
+                yield told(group[lo], ids[lo], ids[lo + d], False)
+
+    held, hot = None, None  # the rows of the last key so far; the last key, if it is known to be long
+    for batch in batches:
+        key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
+        group, size = key >> 12, key & 4095
+        if held is not None:
+            group, size, ids = (np.concatenate(x) for x in zip(held, (group, size, ids), strict=True))
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])))  # a class may be posted by several blocks
+        group, size, ids = group[new], size[new], ids[new]
+        if hot is not None and len(group):
+            end = int(np.searchsorted(group != hot, True))
+            yield told(group[:end], ids[:end], ids[:end], True)
+            group, size, ids = group[end:], size[end:], ids[end:]
+        if not len(group):
+            held = None
+            continue
+        hot, last = None, int(np.searchsorted(group == group[-1], True))
+        if last:
+            yield from runs(group[:last], size[:last], ids[:last])
+        held = (group[last:], size[last:], ids[last:])
+        if len(held[0]) > RUN:
+            hot, held = group[-1], None
+            yield told(group[last:], ids[last:], ids[last:], True)
+    if held is not None and len(held[0]):
+        yield from runs(*held)
+
+
+def _upper(x: list[str], y: list[str], most: int) -> bool:
+    """Whether a plain alignment of the words already stays within most edits."""
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for s in range(1, 9):
+            p = next((p for p in range(s + 1) if i + p < len(x) and j + s - p < len(y) and x[i + p] == y[j + s - p]), None)
+            if p is not None:
+                break
+        else:
+            return False
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + s - p])) + s - p)
+        if cost > most:
+            return False
+        i, j = i + p, j + s - p
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
+
+
+def similar(x: str, y: str) -> bool:
+    """Whether the edit distance is at most the part 1 - SIMILARITY of the longer text."""
+    most = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
+    if abs(len(x) - len(y)) > most:
+        return False
+    for _ in range(2):  # what both begin with, and what both end with, costs nothing
+        lo, hi = 0, min(len(x), len(y))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if x[lo:mid] == y[lo:mid]:
+                lo = mid
+            else:
+                hi = mid - 1
+        x, y = x[lo:][::-1], y[lo:][::-1]
+    if max(len(x), len(y)) <= most:
+        return True
+    if not x or not y:
+        return False
+    if _upper(x.split(" "), y.split(" "), most):
+        return True
+    # the columns of the edit matrix as bits of whole numbers: differences between neighbouring cells
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    top, full = 1 << (len(x) - 1), (1 << len(x)) - 1
+    up, down, far, left = full, 0, len(x), len(y)
+    for c in y:
+        same = at.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(flat | up)), up & flat
+        far += bool(more & top) - bool(less & top)
+        left -= 1
+        if far - left > most:
+            return False
+        more, less = (more << 1) | 1, less << 1
+        held = same | down
+        up, down = full & (less | ~(held | more)), more & held & full
+    return far <= most
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SimHash of each whole line, and its size in code points."""
+    for batch in batches:
+        texts, sims = batch.column("line").cast(pa.large_binary()).to_pylist(), []
+        for _, block in blocks(texts):
+            begins = np.cumsum([0] + [len(t) + 1 for t in block[:-1]])
+            hashes, starts, _ = words(b"\n".join(block).translate(_TO_WORDS), _BLANK)
+            sims.append(simhash(hashes, np.searchsorted(starts, begins)))
+        sizes = pc.cast(pc.utf8_length(batch.column("line")), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(sims).view(np.int64)), sizes], names=["id", "sim", "size"])
+
+
+def _block_links(own, other, same: bool) -> list[tuple[int, int]]:
+    """The links between two blocks of a family that connect two components."""
+    found, root = [], {}
+
+    def top(c):
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    size, sims, ids, comps, texts = (other[c].to_numpy() for c in ("size", "sim", "id", "component", "line"))
+    for k, (i, c, n, sim, line) in enumerate(zip(own["id"], own["component"], own["size"], own["sim"], own["line"], strict=True)):
+        near = (np.abs(size - n) <= np.floor(np.maximum(size, n) * (1 - SIMILARITY) + 1e-9)) & (comps != c)
+        near &= np.bitwise_count(sims ^ np.int64(sim)) <= FAR
+        if same:
+            near[: k + 1] = False
+        for m in np.flatnonzero(near):
+            a, b = top(c), top(comps[m])
+            if a != b and similar(line, texts[m]):
+                root[max(a, b)] = min(a, b)
+                found.append((int(i), int(ids[m])))
+    return found
 
 
 def distance(p: str, q: str) -> F.Column:
@@ -196,50 +386,57 @@ def _close(p: str, q: str) -> F.Column:
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, pos: the lines that go."""
+    bounded_batches(docs.sparkSession)
     lines = scratch.stash(line_table(docs))
-    same = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "sim", "size", "long", "short")])
-    same = scratch.stash(same)
-    fuzzy = same.where(F.col("n") >= FUZZY_WORDS)
-    nodes = fuzzy.select("id", "sim", "size")
-    placed = block_keys(nodes).select("key", "id", "size").unionByName(band_keys(fuzzy)).repartition("key").sortWithinPartitions("key", "id")
-    near = scratch.stash(placed.mapInPandas(_near, "key long, a long, b long"))
+    same = scratch.stash(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")))
+    posted = lines.select("id", F.explode("keys").alias("key")).repartition(F.shiftright("key", 12)).sortWithinPartitions("key", "id")
+    # lines of one key must stand together whatever their lengths: they are sorted by key, and a key's last 12 bits are the length
+    near = scratch.stash(posted.mapInArrow(_near, "key long, a long, b long"))
     pairs = near.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    long = near.where("b IS NULL").select("key", F.col("a").alias("id"))
+    long = near.where("b IS NULL").select("key", F.col("a").alias("id")).distinct()
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
-    wanted = scratch.stash(wanted.join(same, "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")))
-    texts = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", rows=FEW_TEXTS)
-    texts = texts.select("id", "text", "pos").mapInPandas(_line_texts, "id long, line string")
-    texts = scratch.stash(texts.groupBy("id").agg(F.first("line").alias("line")))
+    wanted = wanted.join(same, "id").groupBy("first.doc_id").agg(F.collect_list(F.struct("id", "first.pos")).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id").select("text", "wanted")
+    texts = scratch.stash(texts.mapInArrow(_line_texts, "id long, line string").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int"))
-        return both.where("abs(length(x) - length(y)) <= most AND levenshtein(x, y, most) >= 0").select("a", "b")
+        return both.where(_close_texts()).select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
     links = scratch.stash(verify(pairs))
     if not long.isEmpty():
-        grouped = linked_components(scratch.stash(long.join(nodes, "id")), _close, distance, verify, scratch)
+        members = scratch.stash(long.join(texts.mapInArrow(_whole, "id long, sim long, size int"), "id"))
+        grouped = linked_components(members, _close, distance, verify, scratch, finish=lambda live: family_blocks(live, ["size", "sim"], texts, "size", _block_links, scratch))
         links = links.unionByName(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    found = components(links, scratch)
-    joined = same.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = joined.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("lines")).where("lines > 1")
+    found = scratch.stash(components(links, scratch))
+    joined = same.select("id", "first", "times").join(found, "id", "left").where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
+    groups = joined.groupBy("component").agg(F.min("first").alias("stays"))
     several = joined.select("id", "component").join(groups, "component").select("id", "stays")
-    out = lines.join(several, "id").where(F.struct("doc_id", "pos") != F.col("stays"))
-    return out.select("doc_id", "pos").distinct()
+    out = lines.select("doc_id", "pos", "id").join(several, "id").where(F.struct("doc_id", "pos") != F.col("stays"))
+    out = scratch.stash(out.select("doc_id", "pos").distinct())
+    scratch.drop(lines, same, near, texts, links, found)
+    return out
+
+
+def _close_texts() -> F.Column:
+    longest = F.greatest(F.length("x"), F.length("y"))
+    return F.abs(F.length("x") - F.length("y")) <= F.floor(longest * F.lit(1 - SIMILARITY) + F.lit(1e-9))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs without the repeated lines, plus n_lines and n_dropped; a text that loses all lines is empty."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     gone = repeats(docs.select("doc_id", "text"), scratch).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
-    gone = scratch.stash(gone).withColumnRenamed("doc_id", "_doc_id")
+    # a byte for each line up to the last one that goes: 1 for those that go
+    gaps = F.transform(F.col("_gone"), lambda x, k: F.concat(F.repeat(F.lit("0"), x - F.when(k == 0, F.lit(0)).otherwise(F.get("_gone", k - 1) + 1)), F.lit("1")))
+    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.size("_gone").alias("_times"), F.array_join(gaps, "").cast("binary").alias("_mask"))
     docs = docs.drop("n_lines", "n_dropped")
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\n')")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1)
-    out = out.withColumn("n_lines", lines.cast("long")).withColumn("n_dropped", F.coalesce(F.greatest(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "n_lines", "n_dropped")
+    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> substring(_mask, i + 1, 1) <> X'31'), '\n')")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    out = out.withColumn("n_lines", lines.cast("long")).withColumn("n_dropped", F.coalesce("_times", F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col("_mask").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,19 +12,26 @@ pairs would cost g * g. Only the components are wanted, and a pair inside a comp
 
 So every candidate pair is tested, or connected by tested links: no link between components is lost.
 Hot keys are handled by aggregates that combine before the shuffle and by joins that AQE can split.
+
+family_blocks() is such a finish: keys that share a node are a family, a family is cut into blocks of
+bounded rows and bytes, every two blocks meet in a task, and only links come out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewstep.llm.graph import components
+from fewstep.llm.vectors import whole_runs
 from fewstep.plans.storage import Scratch
 
 ROUNDS, FEW = 8, 200
+#: Nodes in a block of a family, and bytes (about; one node may have more).
+FAMILY, FAMILY_BYTES = 4096, 16 << 20
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -33,6 +40,34 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(many, "key")
 
 
+def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size: str, links: Callable[[pd.DataFrame, pd.DataFrame, bool], list[tuple[int, int]]], scratch: Scratch) -> DataFrame:
+    """All links (a, b) between different components of a key, and of its family.
+
+    live: key, id, component and columns; payload: id and what else links() needs; size: the bytes of a
+    node's payload. links(x, y, same): the links between the rows of two blocks, or within one.
+    """
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, ["family", "i", "j"]):
+            for (_, i, j), group in rows.groupby(["family", "i", "j"], sort=False):
+                x = group[group["own"] == i]
+                y = x if i == j else group[group["own"] == j]
+                if not len(x) or not len(y) or (x["component"].nunique() == 1 and set(x["component"]) == set(y["component"])):
+                    continue
+                yield pd.DataFrame(links(x, y, i == j), columns=["a", "b"], dtype="int64")
+
+    same = live.join(live.groupBy("key").agg(F.min("id").alias("low")), "key").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    family = components(same, scratch).withColumnRenamed("component", "family")
+    nodes = live.select("id", "component", *columns).distinct().join(family, "id")
+    many = F.greatest(F.count("*") / FAMILY, F.sum(size) / FAMILY_BYTES)
+    sizes = nodes.groupBy("family").agg(F.ceil(many).cast("int").alias("blocks"))
+    nodes = nodes.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(payload, "id")
+    nodes = nodes.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    nodes = nodes.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "blocks")
+    placed = nodes.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return placed.mapInPandas(tested, "a long, b long").distinct()
+
+
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "key" else prefix + c) for c in df.columns])
 
@@ -80,7 +115,8 @@ def linked_components(members: DataFrame, close: Callable[[str, str], F.Column],
         tested, links = tested.unionByName(pairs), links.unionByName(new)
         n = new.count()
         if n:
-            found = scratch.stash(components(links, scratch, nodes), nodes)
+            before, found = found, scratch.stash(components(links, scratch, nodes), nodes)
+            scratch.drop(before)
         if last:
             return found
         k, last = k + 1, k + 1 >= rounds or n * FEW <= nodes
