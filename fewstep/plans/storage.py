@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A side of at most this many rows may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 20_000
 ROWS_PER_TASK = 100_000
+#: Frees a step's shuffle files when the step has been written (Spark 4.1 on; without it they wait for the driver's garbage collector).
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -55,7 +57,15 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(8, rows // ROWS_PER_TASK))
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_FREES, None)
+        self.spark.conf.set(_FREES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_FREES)
+            else:
+                self.spark.conf.set(_FREES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stashed_at = path
         return out
