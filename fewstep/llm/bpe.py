@@ -28,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.llm.hashing import bounded_batches
 from fewstep.sources.tables import table
 
 #: Characters of text that are split at once, and words whose ids a worker keeps.
-BLOCK_CHARS, CACHE_WORDS = 2_000_000, 600_000
+BLOCK_CHARS, CACHE_WORDS = 1_000_000, 400_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -183,6 +184,7 @@ def _worker(key: str, data: bytes, pattern: str) -> Replay:
 
 def _vocabulary(spark, path: str, pattern: str):
     """The rank file, read by the driver and broadcast (its size is the vocabulary's, under a few MB)."""
+    bounded_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     return hashlib.sha256(data + pattern.encode()).hexdigest(), spark.sparkContext.broadcast(data)

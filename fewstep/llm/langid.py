@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.llm.hashing import bounded_batches
 from fewstep.sources.tables import table
 
 UNKNOWN = "und"
@@ -142,7 +143,7 @@ def _bundle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n = np.rint(WEIGHT * n / max(1.0, float(np.sqrt((n * n).sum())))).astype(np.int64)
                 for g, c in zip(packed.tolist(), n.tolist(), strict=True):
                     held[g] = held.get(g, 0) + c
-                if len(held) > 8 * GRAMS:
+                if len(held) > 2 * GRAMS:
                     settle(lang)
                     held = counts.setdefault(lang, {})
     for lang in list(counts):
@@ -152,6 +153,7 @@ def _bundle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """The prototype of each language of docs (text, lang). Its size is bounded by MAX_LANGUAGES x DIM."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     parts = rows.mapInPandas(_bundle_rows, "lang string, bundle array<long>")
     summed = parts.select("lang", F.posexplode("bundle").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
@@ -164,6 +166,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     langs = list(prototypes)
     matrix = np.array([v / max(float(np.sqrt(v @ v)), 1e-300) for v in prototypes.values()]).reshape(len(langs), DIM)
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))

@@ -1,16 +1,17 @@
-"""License scans: base phrases, and an exact set-similarity join of lines with license notices.
+"""License scans: base phrases, and an exact set-similarity join of text blocks with license notices.
 
-A line is the set of its words. It matches a template if it holds at least CONTAINMENT of the template's
-words. The join is exact: words are ordered by the number of lines of the whole corpus that hold them,
+A block is a line with the LINES - 1 lines after it, so that notices that are wrapped are whole in one; it is
+the set of its words. It matches a template if it holds at least CONTAINMENT of the template's
+words. The join is exact: words are ordered by the number of blocks of the whole corpus that hold them,
 rarest first; a match must share a word within the prefixes of both sides (a set of n words that must
-have k in common has one of them among its first n - k + 1), the line must have k of the templates' words
-at all (length), and enough words must follow on both sides (position). Only lines that pass all three
-are compared word by word. Words that no template holds can't be in common, so lines are cut to the
+have k in common has one of them among its first n - k + 1), the block must have k of the templates' words
+at all (length), and enough words must follow on both sides (position). Only blocks that pass all three
+are compared word by word. Words that no template holds can't be in common, so blocks are cut to the
 templates' vocabulary before anything is joined, and the frequencies that reach the driver are as many
 as the templates have words.
 
 DataFrame functions only. Words are runs of ASCII letters, digits and characters beyond ASCII. Nulls: a
-null text is empty: 0 words, no labels, score 0. Rows that agree in id get the labels of all of them.
+null text is empty: 0 words, no labels, score 0. A row gets the labels of its own text, whatever rows share its id.
 Labels are distinct and sorted; the score is the largest containment found, 1.0 with a base phrase.
 """
 
@@ -42,6 +43,8 @@ TEMPLATES = {
     "proprietary": "no part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher",
 }
 CONTAINMENT = 0.8
+#: Lines in a block.
+LINES = 3
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,20 +75,22 @@ def base(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("base_labels", F.array_compact(F.array(*labels))).drop("_padded")
 
 
-def lines_with(docs: DataFrame, vocabulary: list[str], least: int, id_col: str) -> DataFrame:
-    """id_col, line (place), hits: the words of the vocabulary in each line that has least of them."""
-    lines = docs.where("text IS NOT NULL").select(id_col, F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "_text"))
-    hits = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), F.split("_text", _BETWEEN))
-    return lines.select(id_col, "line", hits.alias("hits")).where(F.size("hits") >= least)
+def blocks_with(docs: DataFrame, vocabulary: list[str], least: int, keys: list[str]) -> DataFrame:
+    """keys, line (of the block's first), hits: the words of the vocabulary in each block that has least of them."""
+    words = F.array(*[F.lit(w) for w in vocabulary])
+    of_lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: F.array_intersect(words, F.split(x, _BETWEEN)))
+    lines = docs.where("text IS NOT NULL").select(*keys, of_lines.alias("_lines"))
+    of_blocks = F.transform("_lines", lambda x, k: F.array_distinct(F.flatten(F.slice("_lines", k + 1, LINES))))
+    return lines.select(*keys, F.posexplode(of_blocks).alias("line", "hits")).where(F.size("hits") >= least)
 
 
-def contained(docs: DataFrame, templates: dict[str, str], containment: float, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
-    """id_col, line, label, score: every line that holds enough of a template's words."""
+def contained(docs: DataFrame, templates: dict[str, str], containment: float, scratch: Scratch, keys: list[str]) -> DataFrame:
+    """keys, line, label, score: every block that holds enough of a template's words."""
     spark = docs.sparkSession
     sets = {label: sorted(set(text.split())) for label, text in templates.items()}
     needs = {label: max(1, math.ceil(containment * len(words) - 1e-9)) for label, words in sets.items()}
     vocabulary = sorted(set().union(*sets.values()))
-    hits = scratch.stash(lines_with(docs, vocabulary, 1, id_col))
+    hits = scratch.stash(blocks_with(docs, vocabulary, min(needs.values()), keys))
     often = hits.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()  # as many rows as the vocabulary has words
     often = {r["word"]: r["n"] for r in often}
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
@@ -97,22 +102,23 @@ def contained(docs: DataFrame, templates: dict[str, str], containment: float, sc
     prefixes = spark.createDataFrame(prefixes, "word string, label string, at int, size int, need int, words array<string>")
 
     least = min(needs.values())
-    lines = hits.select(id_col, "line", F.array_intersect(F.array(*[F.lit(w) for w in order]), "hits").alias("hits")).where(F.size("hits") >= least)
-    posted = lines.select(id_col, "line", "hits", F.posexplode(F.slice("hits", F.lit(1), F.size("hits") - (least - 1))).alias("place", "word"))
+    lines = hits.select(*keys, "line", F.array_intersect(F.array(*[F.lit(w) for w in order]), "hits").alias("hits"))
+    posted = lines.select(*keys, "line", "hits", F.posexplode(F.slice("hits", F.lit(1), F.size("hits") - (least - 1))).alias("place", "word"))
     met = join_small(posted, prefixes, "word")
     met = met.where((F.size("hits") >= F.col("need")) & (F.col("place") <= F.size("hits") - F.col("need")))
     met = met.where(F.least(F.col("size") - F.col("at"), F.size("hits") - F.col("place")) >= F.col("need"))
     met = met.withColumn("common", F.size(F.array_intersect("hits", "words"))).where("common >= need")
-    return met.select(id_col, "line", "label", (F.col("common") / F.col("size")).alias("score")).distinct()
+    return met.select(*keys, "line", "label", (F.col("common") / F.col("size")).alias("score")).distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """The columns of op7 for each row of docs (id_col, text)."""
     scratch = Scratch(docs.sparkSession, "licenses")
-    docs = docs.select(id_col, "text")
-    found = contained(docs, templates, containment, scratch, id_col).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("label").alias("more"), F.max("score").alias("most"))
-    out = base(docs, [id_col])
-    out = out.join(found, out[id_col].eqNullSafe(found["_id"]), "left")
+    docs = docs.select(id_col, "text").withColumn("_mark", F.xxhash64("text"))
+    found = contained(docs, templates, containment, scratch, [id_col, "_mark"])
+    found = found.groupBy(F.col(id_col).alias("_id"), F.col("_mark").alias("_of")).agg(F.collect_set("label").alias("more"), F.max("score").alias("most"))
+    out = base(docs, [id_col, "_mark"])
+    out = out.join(found, out[id_col].eqNullSafe(found["_id"]) & (out["_mark"] == found["_of"]), "left")
     every = F.sort_array(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce("most", F.lit(0.0)))
     return out.select(id_col, "n_words", "n_base", "first_word", "last_word", F.array_join(F.sort_array("base_labels"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
@@ -125,23 +131,25 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     places = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split())) + ")) AS place FROM split"
+        f"SELECT nr, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split())) + ")) AS place FROM split"
         for phrase, label in PHRASES.items()
     )
     rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {math.ceil(CONTAINMENT * len(set(t.split())) - 1e-9)})" for label, t in TEMPLATES.items())
     return f"""
-WITH split AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+WITH numbered AS (SELECT row_number() OVER () AS nr, doc_id, lower(coalesce(text, '')) AS low FROM documents),
+split AS (SELECT nr, doc_id, low, regexp_extract_all(low, '{word}') AS w FROM numbered),
 places AS ({places}),
-based AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+based AS (SELECT nr, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY nr),
 templates(label, words, need) AS (VALUES {rows}),
-lines AS (SELECT DISTINCT doc_id, regexp_extract_all(line, '{word}') AS w FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM documents)),
-matched AS (SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS score FROM lines, templates WHERE len(list_intersect(words, w)) >= need),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM matched GROUP BY doc_id)
+cut AS (SELECT nr, string_split(low, chr(10)) AS ls FROM split),
+blocks AS (SELECT nr, regexp_extract_all(array_to_string(list_slice(ls, k, k + {LINES - 1}), ' '), '{word}') AS w FROM (SELECT nr, ls, unnest(range(1, len(ls) + 1)) AS k FROM cut)),
+matched AS (SELECT nr, label, len(list_intersect(words, w)) / len(words) AS score FROM blocks, templates WHERE len(list_intersect(words, w)) >= need),
+more AS (SELECT nr, list(DISTINCT label) AS labels, max(score) AS score FROM matched GROUP BY nr)
 SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
        CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(m.score, 0)::DOUBLE END AS score
-FROM split s LEFT JOIN based b USING (doc_id) LEFT JOIN more m USING (doc_id)
+FROM split s LEFT JOIN based b USING (nr) LEFT JOIN more m USING (nr)
 """
 
 

@@ -3,25 +3,31 @@
 A line is normalised to its words: runs of ASCII letters (in lower case), digits and characters beyond
 ASCII, so punctuation and white space only part words. Lines of equal words are one class: lines that
 differ in a number are not, and only the edit similarity can make them repeats. Classes of FUZZY_WORDS
-words or more (not counting mere numbers) have a SimHash. Its features are phrases: a word of LONG bytes or
-more with the shorter ones before it, so that mere articles and the like are no feature. The SimHash is cut
-into blocks of 64 bits, and a distinct phrase votes in one block only, named by its hash. A word that was
-changed, put in or left out therefore touches two blocks at most and leaves the others as they are (pigeonhole):
-
-* lines of less than 8 phrases: a block for each. Keys: all blocks, and all but any one. With FEW phrases or
-  less, every word counts as a phrase (too).
-* less than 16 phrases: 5 blocks. Keys: any three of them, so one changed word always leaves a key.
-* less than 32 phrases: 5 blocks. Keys: each one, so two changed words leave a key.
-* longer lines: 10 blocks, and twice as many for every doubling. Keys: KEYS of them, each one.
-
-Keys of less than LEAST phrases are not posted. A line whose four fifths reach into the next shorter kind is
-posted as one of that kind too. Lines that share a key are candidates, whatever else they hold, and are
+words or more (not counting mere numbers) have a SimHash that is cut into blocks of 64 bits, and every
+distinct feature votes in one block only, named by its hash. A word that was changed, put in or left out
+touches two blocks at most and leaves the others as they are (pigeonhole). The features of lines of less
+than 32 words are their words:
+
+* less than 8 words: a block for each. Keys: all blocks, and all but any one.
+* less than 16 words: 5 blocks. Keys: any three of them, so one changed word always leaves a key.
+* less than 32 words: 6 blocks. Keys: any two of them, so two changed words always leave a key.
+
+Those of longer lines are phrases, a word of LONG bytes or more with the shorter ones before it, so that
+mere articles and the like are no feature; a changed word mostly touches two blocks as well:
+
+* less than 32 phrases: 6 blocks. Keys: an even one with an odd one.
+* more: 8 blocks, and twice as many for every doubling. Keys: 8 of them, each one.
+
+A key has two words of LONG bytes or more, or LEAST phrases; of a line with less than LEAST such words,
+LEAST words of any length. Lines near a bound,
+by a tenth of their features or a fifth of their words, are posted on both sides. Lines that share a key are
+candidates, whatever else they hold, and are
 confirmed by the edit similarity of their normalised text, SIMILARITY or more. Of each connected group the
 first line, by document id and place, stays, and the others go. Words are the unit of the blocks: lines
 whose every other word has a changed letter share no key though their edit similarity may suffice.
 
-A key's lines are tested with each other as they come sorted by key, unless their lengths alone rule out
-the similarity. A key of more than RUN lines is a group of near copies: its lines go through
+A key's lines are tested with its first one, and after that with each other unless they are connected
+already or their lengths alone rule out the similarity. A key of more than RUN lines is a group of near copies: its lines go through
 linked_components(), which does not expand them into pairs and ends in blocks of bounded bytes. There the
 64-bit SimHash of a whole line decides what is tested first, and, in the last blocks, what is tested at all
 (FAR bits of difference; lines of similarity 0.8 differ in 13 on average).
@@ -52,8 +58,11 @@ from fewstep.sources.tables import table
 RUN = 32
 FUZZY_WORDS = 5
 SIMILARITY = 0.8
-#: Bytes of a word that ends a phrase; phrases that a key has at least; keys of a line of 32 phrases or more.
-LONG, LEAST, KEYS, FEW = 4, 3, 6, 4
+#: Bytes of a word that ends a phrase; features that a key has at least; words from which on phrases are the features.
+LONG, LEAST, MANY = 4, 3, 32
+#: The blocks of each kind of line, and those that make a key. Kind: the binary logarithm of the number of features.
+_WORD_KEYS = {3: (5, list(combinations(range(5), 3))), 4: (6, list(combinations(range(6), 2)))}
+_PHRASE_KEYS = {3: _WORD_KEYS[3], 4: (6, [(even, odd) for even in (0, 2, 4) for odd in (1, 3, 5)]), 5: (8, [(k,) for k in range(8)])}
 #: Bits in which the whole SimHashes of two lines of a last block may differ.
 FAR = 24
 #: Steps of a key's length part for a doubling of the length.
@@ -97,59 +106,60 @@ def phrases(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[n
     return mixed(np.add.reduceat(mixed(hashes + (place + 1).astype(np.uint64) * _STEP), cuts)), np.searchsorted(cuts, first)
 
 
-def _groups(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct owners, how many distinct hashes each has, and their SimHash."""
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))
-    hashes, owner = hashes[new], owner[new]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1])))
-    return owner[first], np.diff(np.append(first, len(owner))), simhash(hashes, first)
-
-
-def block_keys(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of lines, given the hashes of their phrases: line and key (64 bits) of each."""
-    level = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64), 2, 40)
-    lower = np.flatnonzero((level > 2) & (4 * sizes < 5 * (1 << level)))
+def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: np.ndarray, kinds: dict, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of lines, given the hashes of their features and which of them are long: line and key (64 bits) of each."""
+    last = max(kinds)
+    kind = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64), 2, 40 if last > 4 else last)
+    lower = np.flatnonzero((kind > 2) & (9 * sizes < 10 * (1 << kind)))
     line = np.concatenate((np.arange(len(first)), lower))
-    level = np.concatenate((level, level[lower] - 1))
-    lines, keys = [], []
-
-    def post(which, kind, value):
-        lines.append(which)
-        keys.append(mixed(value * _STEP + kind.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-
-    for short in (True, False):
-        chosen = np.flatnonzero((level == 2) if short else (level > 2))
-        own, kind, n = line[chosen], level[chosen], sizes[line[chosen]]
-        ends = np.cumsum(n)
+    kind = np.concatenate((kind, kind[lower] - 1))
+    n, lines, keys = sizes[line], [], []
+
+    def post(which, part, value):
+        lines.append(line[which])
+        keys.append(mixed(value * _STEP + (kind[which] * 64 + part).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+
+    def features(which):
+        ends = np.cumsum(n[which])
+        at = np.arange(ends[-1]) + np.repeat(first[line[which]] - (ends - n[which]), n[which])
+        return np.repeat(np.arange(len(which)), n[which]), at, ends - n[which]
+
+    short = np.flatnonzero((kind == 2) & (n > 0))
+    if len(short):
+        who, at, begins = features(short)
+        each = mixed(hashes[at] * _STEP)
+        total = np.add.reduceat(each, begins)
+        post(short, 0, total)
+        post(short[who], 0, total[who] - each)
+    for level, (blocks_of, choices) in kinds.items():
+        own = np.flatnonzero((kind >= level) if level == last else (kind == level))
         if not len(own):
             continue
-        own_words = np.arange(ends[-1]) + np.repeat(first[own] - (ends - n), n)
-        who, h = np.repeat(np.arange(len(own)), n), hashes[own_words]
-        if short:
-            each = mixed(h * _STEP)
-            total = np.add.reduceat(each, ends - n)
-            post(own, kind, total)
-            post(own[who], kind[who], total[who] - each)
-            continue
-        blocks_of = np.where(kind <= 4, 5, 10 << np.maximum(kind - 5, 0))
-        at = ((h >> np.uint64(32)) % blocks_of[who].astype(np.uint64)).astype(np.int64)
-        sims, counts = np.zeros((len(own), 5), np.uint64), np.zeros((len(own), 5), np.int64)
-        for k in range(KEYS):
-            mine = np.flatnonzero(at == k)
-            owners, count, sim = _groups(h[mine], who[mine])
-            if k < 5:
-                sims[owners, k], counts[owners, k] = sim, count
-            single = (count >= LEAST) & (kind[owners] > 3)
-            post(own[owners[single]], kind[owners[single]] * 64 + k, sim[single])
-        three = np.flatnonzero(kind == 3)
-        for k, chosen in enumerate(combinations(range(5), 3)):
-            full = three[counts[three][:, chosen].sum(axis=1) >= LEAST]
+        who, at, begins = features(own)
+        h, is_long = hashes[at], long[at].astype(np.int64)
+        needs = np.where(np.add.reduceat(is_long, begins) >= LEAST, least, 0)
+        number = (blocks_of << (kind[own] - level)).astype(np.uint64)
+        block = ((h >> np.uint64(32)) % number[who]).astype(np.int64)
+        sims, counts, longs = np.zeros((len(own), blocks_of), np.uint64), np.zeros((len(own), blocks_of), np.int64), np.zeros((len(own), blocks_of), np.int64)
+        for k in range(blocks_of):
+            mine = np.flatnonzero(block == k)
+            if not len(mine):
+                continue
+            mine = mine[np.lexsort((h[mine], who[mine]))]
+            owner, hash_of = who[mine], h[mine]
+            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hash_of[1:] != hash_of[:-1])))  # distinct features
+            owner, hash_of, long_of = owner[new], hash_of[new], is_long[mine][new]
+            cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sims[owner[cuts], k] = simhash(hash_of, cuts)
+            counts[owner[cuts], k] = np.diff(np.append(cuts, len(owner)))
+            longs[owner[cuts], k] = np.add.reduceat(long_of, cuts)
+        for part, chosen in enumerate(choices):
+            enough = np.where(needs > 0, longs[:, chosen].sum(axis=1) >= needs, counts[:, chosen].sum(axis=1) >= LEAST)
+            full = np.flatnonzero(enough)
             value = np.zeros(len(full), np.uint64)
             for c in chosen:
                 value = mixed(value * _STEP + sims[full, c])
-            post(own[full], kind[full] * 64 + k, value)
+            post(own[full], part + 1, value)
     return np.concatenate(lines) if lines else np.empty(0, np.int64), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -179,12 +189,12 @@ def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         # a class of this block is posted once
         fuzzy = np.flatnonzero(lettered >= FUZZY_WORDS)
         fuzzy = fuzzy[np.sort(np.unique(ids[fuzzy], return_index=True)[1])]
+        few, many = fuzzy[sizes[fuzzy] < MANY * 5 // 4], fuzzy[sizes[fuzzy] >= MANY * 4 // 5]
+        word_line, word_key = block_keys(mixed(hashes), ends - starts >= LONG, first[few], sizes[few], _WORD_KEYS, 2)
         said, begins = phrases(hashes, ends - starts, first)
         times = np.diff(np.append(begins, len(said)))
-        by_phrase, by_word = fuzzy[times[fuzzy] >= LEAST], fuzzy[times[fuzzy] <= FEW]
-        key_line, key = block_keys(said, begins[by_phrase], times[by_phrase])
-        word_line, word_key = block_keys(mixed(hashes), first[by_word], sizes[by_word])
-        key_line, key = np.concatenate((by_phrase[key_line], by_word[word_line])), np.concatenate((key, word_key))
+        key_line, key = block_keys(said, np.ones(len(said), bool), begins[many], times[many], _PHRASE_KEYS, LEAST)
+        key_line, key = np.concatenate((few[word_line], many[key_line])), np.concatenate((word_key, key))
         length = np.floor(np.log2(np.maximum(size, 1)) * STEPS).astype(np.uint64)
         key = (key << np.uint64(12)) | (length[key_line] & np.uint64(4095))
         kept = np.flatnonzero(lettered > 0)
@@ -221,23 +231,23 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": pa.array([w["id"] for w in wanted], pa.int64()), "line": pa.array(found, pa.string())})
 
 
-_PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.bool_())])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, a, b: pairs of a key whose lengths allow a link; key, a and null for the lines of a long run.
+    """key, a, b, first (a is the key's first): pairs of a key whose lengths allow a link; key, a and null for the lines of a long run.
 
     Rows come sorted by key and id. No more than the last RUN rows of a key wait for the next batch.
     """
     limit = STEPS * np.log2(1 / SIMILARITY) + 1
 
-    def told(key, a, b, long):
+    def told(key, a, b, long, at_first=None):
         b = pa.array(b, mask=np.ones(len(a), bool)) if long else pa.array(b)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b], schema=_PAIRS)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b, pa.array(np.zeros(len(a), bool) if at_first is None else at_first)], schema=_PAIRS)
 
     def runs(group, size, ids):
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        n = np.diff(np.append(first, len(group)))
+        at_first = np.concatenate(([True], group[1:] != group[:-1]))
+        n = np.diff(np.append(np.flatnonzero(at_first), len(group)))
         n = np.repeat(n, n)
         if (long := n > RUN).any():
             yield told(group[long], ids[long], ids[long], True)
@@ -245,7 +255,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = np.flatnonzero((group[d:] == group[:-d]) & ~long[d:])
             lo = lo[np.abs(size[lo] - size[lo + d]) <= limit]
             if len(lo):
-                yield told(group[lo], ids[lo], ids[lo + d], False)
+                yield told(group[lo], ids[lo], ids[lo + d], False, at_first[lo])
 
     held, hot = None, None  # the rows of the last key so far; the last key, if it is known to be long
     for batch in batches:
@@ -273,6 +283,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from runs(*held)
 
 
+def _next_equal(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
+    """p, s: the nearest equal words after place i and j are x[i + p] and y[j + s - p]; 0, 0 if there are none near."""
+    n, m = len(x) - i, len(y) - j
+    if n > 1 and m > 1 and x[i + 1] == y[j + 1]:
+        return 1, 2
+    for s in range(1, 9):
+        for p in range(max(0, s - m + 1), min(s, n - 1) + 1):
+            if x[i + p] == y[j + s - p]:
+                return p, s
+    return 0, 0
+
+
 def _upper(x: list[str], y: list[str], most: int) -> bool:
     """Whether a plain alignment of the words already stays within most edits."""
     i = j = cost = 0
@@ -281,11 +303,8 @@ def _upper(x: list[str], y: list[str], most: int) -> bool:
             i += 1
             j += 1
             continue
-        for s in range(1, 9):
-            p = next((p for p in range(s + 1) if i + p < len(x) and j + s - p < len(y) and x[i + p] == y[j + s - p]), None)
-            if p is not None:
-                break
-        else:
+        p, s = _next_equal(x, y, i, j)
+        if not s:
             return False
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + s - p])) + s - p)
         if cost > most:
@@ -391,8 +410,9 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     same = scratch.stash(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")))
     posted = lines.select("id", F.explode("keys").alias("key")).repartition(F.shiftright("key", 12)).sortWithinPartitions("key", "id")
     # lines of one key must stand together whatever their lengths: they are sorted by key, and a key's last 12 bits are the length
-    near = scratch.stash(posted.mapInArrow(_near, "key long, a long, b long"))
-    pairs = near.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = scratch.stash(posted.mapInArrow(_near, "key long, a long, b long, first boolean"))
+    pairs = near.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
+    pairs = scratch.stash(pairs)
     long = near.where("b IS NULL").select("key", F.col("a").alias("id")).distinct()
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
@@ -404,7 +424,11 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.where(_close_texts()).select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
-    links = scratch.stash(verify(pairs))
+    links = scratch.stash(verify(pairs.where("first").drop("first")))
+    found = scratch.stash(components(links, scratch))
+    for c in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(c), F.col("component").alias("in_" + c)), c, "left")
+    links = links.unionByName(scratch.stash(verify(pairs.where("NOT first AND coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b"))))
     if not long.isEmpty():
         members = scratch.stash(long.join(texts.mapInArrow(_whole, "id long, sim long, size int"), "id"))
         grouped = linked_components(members, _close, distance, verify, scratch, finish=lambda live: family_blocks(live, ["size", "sim"], texts, "size", _block_links, scratch))
@@ -415,7 +439,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = joined.select("id", "component").join(groups, "component").select("id", "stays")
     out = lines.select("doc_id", "pos", "id").join(several, "id").where(F.struct("doc_id", "pos") != F.col("stays"))
     out = scratch.stash(out.select("doc_id", "pos").distinct())
-    scratch.drop(lines, same, near, texts, links, found)
+    scratch.drop(lines, same, near, texts, found)
     return out
 
 

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words by water-filling its weight under a cap. A document's
-expected number of copies is the same for all words of its source; whole copies are certain, and the
-fractional part is its inclusion probability. Pareto order sampling ranks the documents of a source by
-their random odds over their inclusion odds and takes the smallest, up to a fixed size in words.
-
-Nothing is sorted as a whole: the ranks are cut into BINS fixed intervals whose words are added up per
-source, so only the one interval that holds a source's cut is ordered row by row. A source with a third
-of all rows therefore orders a BINS-th of them in one task.
+Every source gets a target number of words by water-filling its weight under a cap. Whole copies, as many
+as the target has source sizes, are certain for all of a source's documents. The words that then lack are
+drawn with unequal probabilities: a document's inclusion probability is proportional to the number of
+binary digits of its size (mildly in favour of long documents, an empty one has none), with the factor
+that makes the expected words right; documents that this would give a probability of 1 or more are certain,
+and the factor is that of the rest. Pareto order sampling ranks the documents of a source by their random
+odds over their inclusion odds and takes the smallest, up to a fixed size in words.
+
+Nothing is sorted as a whole: the ranks are cut into BINS intervals whose words are added up per source,
+the interval that holds the cut into BINS again, and so on LEVELS times. Only the last one is ordered row
+by row: of a source with a third of all rows, a part of BINS ** -LEVELS of them.
 
 Nulls: a null text or size counts 0 words; null is a source of its own, after all others; a null id
 draws as the empty string. Ties in rank go by id, then size. Equal rows are interchangeable. Empty
@@ -30,7 +33,8 @@ WEIGHTS = (3, 1, 2)
 #: Words that all sources share, as a part of the words there are, and the most copies of a source.
 SHARE, MAX_COPIES = 1.5, 2
 SEED = "mix-1"
-BINS = 4096
+BINS, LEVELS = 256, 3
+_PLACES = BINS**LEVELS
 OWN = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -69,14 +73,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies:
     return per.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 
+def chances(sizes: DataFrame, per: DataFrame) -> DataFrame:
+    """per (a row for each source) with factor and top: the inclusion probability is factor * digits, and 1 of more than top digits.
+
+    The windows run over the numbers of digits of a source, at most 64.
+    """
+    by = sizes.withColumn("digits", _digits("size")).where("digits > 0").groupBy("source", "digits").agg(F.sum("size").alias("words"))
+    by = by.join(per.select(F.col("source").alias("_source"), "rest"), by["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    order = Window.partitionBy("source").orderBy(F.desc("digits"))
+    certain = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    weight = F.sum(F.col("digits") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    by = by.withColumn("factor", (F.col("rest") - certain) / weight).where(F.col("factor") * F.col("digits") < 1)
+    by = by.groupBy("source").agg(F.max_by(F.struct("factor", "digits"), "digits").alias("best"))
+    by = by.select(F.col("source").alias("_source"), "best.factor", F.col("best.digits").alias("top"))
+    return per.join(by, per["source"].eqNullSafe(by["_source"]), "left").drop("_source")
+
+
+def _digits(size: str) -> F.Column:
+    return F.when(F.col(size) > 0, F.length(F.bin(size))).otherwise(0)
+
+
 def _ranked(docs: DataFrame, per: DataFrame, id_col: str, seed: str) -> DataFrame:
-    """docs with their source's columns, rank (the Pareto variable mapped to [0, 1)) and bin."""
+    """docs with their source's columns, rank (the Pareto variable mapped to [0, 1]) and its place of BINS ** LEVELS."""
     per = per.withColumnRenamed("source", "_source")
     out = join_small(docs, per, docs["source"].eqNullSafe(per["_source"])).drop("_source")
-    u, chance = draw(F.col(id_col), seed), F.col("rest") / F.col("source_size")
+    u, chance = draw(F.col(id_col), seed), F.col("factor") * _digits("size")
     odds = (u / (1 - u)) / (chance / (1 - chance))
-    out = out.withColumn("rank", F.when((F.col("source_size") > 0) & (F.col("rest") > 0), odds / (1 + odds)).otherwise(F.lit(1.0)))
-    return out.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
+    rank = F.when((F.col("rest") <= 0) | (_digits("size") == 0), 1.0).when(_digits("size") > F.col("top"), 0.0).otherwise(odds / (1 + odds))
+    out = out.withColumn("rank", F.coalesce(rank, F.lit(1.0)))
+    return out.withColumn("place", F.least(F.floor(F.col("rank") * _PLACES), F.lit(_PLACES - 1)).cast("long"))
+
+
+def _cuts(ranked: DataFrame, per: DataFrame) -> DataFrame:
+    """per with cut (the place that holds a source's cut, or one behind all) and before (the words of the places before it)."""
+    cut = per.select(F.col("source").alias("_source"), F.col("rest").alias("_rest"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before"))
+    for level in range(1, LEVELS + 1):
+        size = BINS ** (LEVELS - level)
+        inside = join_small(ranked, cut, ranked["source"].eqNullSafe(cut["_source"])).where(F.floor(F.col("place") / (size * BINS)) == F.col("cut"))
+        bins = inside.groupBy("source", F.floor(F.col("place") / size).alias("bin")).agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("_rest").alias("rest"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+        bins = bins.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("c"))
+        cut = bins.select(F.col("source").alias("_source"), F.col("c.rest").alias("_rest"), F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
+    out = per.join(cut.drop("_rest"), per["source"].eqNullSafe(cut["_source"]), "left").drop("_source")
+    return out.withColumn("cut", F.coalesce("cut", F.lit(_PLACES)))
 
 
 def mix(docs: DataFrame, sizes: DataFrame | None = None, id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
@@ -84,7 +123,7 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, id_col: str = "doc_id",
 
     sizes: id_col, source and size of the same rows, if they are at hand as a narrow table; else they
     are written to one. The documents themselves are joined by broadcast and never shuffled, but for
-    the rows of each source's cut interval.
+    the rows of each source's last interval.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -94,20 +133,19 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, id_col: str = "doc_id",
     if sizes is None:
         sizes = scratch.stash(docs.select(id_col, "source", "size"))
     per = scratch.stash(targets(sizes, weights, share, max_copies))
-    bins = _ranked(sizes, per, id_col, seed).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    cut = bins.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    cut = cut.select(F.col("source").alias("_cut_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    per = scratch.stash(per.join(cut, per["source"].eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source").withColumn("cut_bin", F.coalesce("cut_bin", F.lit(BINS + 1))))
-
-    ranked = _ranked(docs, per, id_col, seed)
-    clear = ranked.where("bin <> cut_bin").withColumn("extra", (F.col("bin") < F.col("cut_bin")).cast("long"))
+    per = scratch.stash(chances(sizes, per))
+    places = scratch.stash(_ranked(sizes, per, id_col, seed).select("source", "size", "place"))
+    per = scratch.stash(_cuts(places, per))
+
+    kept = [c for c in docs.columns if c not in OWN]
+    ranked = _ranked(docs.withColumnsRenamed({c: f"_own_{c}" for c in kept if c not in (id_col, "source")}), per, id_col, seed)
+    clear = ranked.where("place <> cut").withColumn("extra", (F.col("place") < F.col("cut")).cast("long"))
     order = Window.partitionBy("source").orderBy("rank", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = ranked.where("bin = cut_bin").withColumn("upto", F.col("before") + F.sum("size").over(order))
+    edge = ranked.where("place = cut").withColumn("upto", F.col("before") + F.sum("size").over(order))
     edge = edge.withColumn("extra", (F.col("upto") * 2 - F.col("size") <= F.col("rest") * 2).cast("long")).drop("upto")
     out = clear.unionByName(edge).withColumn("copies", F.col("whole") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(0))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in docs.columns if c != "size"], *OWN)
+    return out.select(*[c if c in (id_col, "source") else F.col(f"_own_{c}").alias(c) for c in kept], *OWN)
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -143,12 +181,22 @@ aimed AS (
   FROM firsts),
 split AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM aimed),
-odds AS (
-  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         (s.u / (1 - s.u)) / (((p.target - p.whole * p.source_size) / p.source_size) / (1 - (p.target - p.whole * p.source_size) / p.source_size)) AS q
+joined AS (
+  SELECT s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest, CASE WHEN s.size > 0 THEN length(bin(s.size)) ELSE 0 END AS digits
   FROM sized s JOIN split p ON s.source IS NOT DISTINCT FROM p.source),
+by_digits AS (SELECT source, digits, any_value(rest) AS rest, sum(size)::BIGINT AS words FROM joined WHERE digits > 0 GROUP BY source, digits),
+factors AS (
+  SELECT source, digits, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / (sum(digits * words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS factor
+  FROM by_digits),
+best AS (SELECT source, max(digits) AS top, arg_max(factor, digits) AS factor FROM factors WHERE factor * digits < 1 GROUP BY source),
+odds AS (
+  SELECT j.*, b.top, (j.u / (1 - j.u)) / ((b.factor * j.digits) / (1 - b.factor * j.digits)) AS q
+  FROM joined j LEFT JOIN best b ON j.source IS NOT DISTINCT FROM b.source),
+ranked AS (
+  SELECT *, coalesce(CASE WHEN rest <= 0 OR digits = 0 THEN 1.0::DOUBLE WHEN digits > top THEN 0.0::DOUBLE ELSE q / (1 + q) END, 1.0::DOUBLE) AS rank FROM odds),
 summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM odds)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies, source
 FROM (SELECT *, whole + CASE WHEN rest > 0 AND upto * 2 - size <= rest * 2 THEN 1 ELSE 0 END AS copies FROM summed)
 """

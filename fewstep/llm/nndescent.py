@@ -5,8 +5,8 @@ TABLES tables a node is tested with the next ones of its bucket. Then it is refi
 its neighbours and those that have it as a neighbour, tests them with each other (neighbours of
 neighbours), and each node keeps its LIST nearest. Edges of THRESHOLD or more are the links.
 
-Every two members of a connected group are tested, in blocks of BLOCK rows, so all links inside groups
-are found whatever their size, and only links between groups can be missing. A list that is full of links
+Every two members of a connected group are tested, in blocks of BLOCK rows that return how many links a
+node has, so all links inside groups are counted whatever their size, and only links between groups can be missing. A list that is full of links
 is saturated, and so is its group. An audit draws vectors by hash, AUDIT outside saturated groups and
 AUDIT_FULL inside, and tests them with all vectors. Each drawn vector's share of links found counts
 alike, and the two kinds are judged apart, so a hot group can't hide the losses of others. Below RECALL the
@@ -116,7 +116,7 @@ def _local(keep: int):
                 best = np.argpartition(-near, most - 1, axis=1)[:, :most]
                 us.append(np.repeat(ids[lo:hi], most))
                 xs.append(ids[lo:hi][best.ravel()])
-                cs.append(np.take_along_axis(near, best, axis=1).ravel())
+                cs.append(cosines(vs[lo:hi][np.repeat(np.arange(hi - lo), most)], vs[lo:hi][best.ravel()]))
             if us:
                 yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(xs), "cosine": np.concatenate(cs)})
 
@@ -147,8 +147,20 @@ def refine(graph: DataFrame, nodes: DataFrame, size: int, scratch: Scratch) -> D
     return scratch.stash(_nearest(graph.unionByName(tested), size))
 
 
+def _connecting(near: np.ndarray) -> list[tuple[int, int]]:
+    """Some of the links (row, column), at most one for each row and column, that connect what all of them connect."""
+    group, kept = np.arange(near.shape[1]), []
+    for r in np.flatnonzero(near.any(axis=1)):
+        columns = np.flatnonzero(near[r])
+        met, at = np.unique(group[columns], return_index=True)
+        kept += [(r, columns[k]) for k in at]
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    return kept
+
+
 def _links(threshold: float):
-    """Tests the rows of block i with those of block j of one group."""
+    """Tests the rows of block i with those of block j of one group: u, u, copies that u is linked with; and u, v, 0 of the links that connect them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, ["component", "i", "j"]):
@@ -157,17 +169,18 @@ def _links(threshold: float):
                 b = a if i == j else group[group["own"] == j]
                 if not len(a) or not len(b):
                     continue
-                ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+                ia, ib, ca, cb = a["id"].to_numpy(), b["id"].to_numpy(), a["copies"].to_numpy(), b["copies"].to_numpy()
                 va, vb = _bytes(a["vector"]), _bytes(b["vector"])
-                near = np.argwhere(_unit(va) @ _unit(vb).T >= threshold - 1e-9)
-                x, y = near[:, 0], near[:, 1]
-                keep = ia[x] < ib[y] if i == j else ia[x] != ib[y]
-                x, y = x[keep], y[keep]
-                for k in range(0, len(x), 100_000):
-                    p, q = x[k : k + 100_000], y[k : k + 100_000]
-                    c = cosines(va[p], vb[q])
-                    p, q, c = p[c >= threshold], q[c >= threshold], c[c >= threshold]
-                    yield _edges(ia[p], ib[q], c)
+                dots = _unit(va) @ _unit(vb).T
+                near = dots >= threshold
+                x, y = np.nonzero(np.abs(dots - threshold) < 1e-9)  # the product's rounding could decide
+                near[x, y] = cosines(va[x], vb[y]) >= threshold
+                near &= ia[:, None] != ib[None, :]
+                counts = [(ia, near @ cb)] if i == j else [(ia, near @ cb), (ib, near.T @ ca)]
+                for ids, n in counts:
+                    yield pd.DataFrame({"u": ids[n > 0], "v": ids[n > 0], "n": n[n > 0]})
+                kept = np.array(_connecting(near), dtype=np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"u": ia[kept[:, 0]], "v": ib[kept[:, 1]], "n": 0})
 
     return run
 
@@ -179,14 +192,14 @@ def saturated(graph: DataFrame, groups: DataFrame, size: int, threshold: float)
 
 
 def inner_links(groups: DataFrame, nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """u, v of every link inside a component of groups (id, component)."""
+    """What _links() finds inside the components of groups (id, component): a row for a node and block, and few links. nodes: id, vector, copies."""
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = groups.select("id", "component").join(nodes.select("id", "vector"), "id").join(sizes, "component")
+    members = groups.select("id", "component").join(nodes.select("id", "vector", "copies"), "id").join(sizes, "component")
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = members.withColumn("_other", other).select("component", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "vector")
+    paired = members.withColumn("_other", other).select("component", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "vector", "copies")
     paired = paired.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return scratch.stash(paired.mapInPandas(_links(threshold), _EDGES).select("u", "v").distinct())
+    return scratch.stash(paired.mapInPandas(_links(threshold), "u long, v long, n long"))
 
 
 def audit(nodes: DataFrame, groups: DataFrame, wide: DataFrame, threshold: float) -> float:
@@ -236,7 +249,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "vector": [v.tobytes() for v in matrix(batch["vector"])]})
 
     reps = keyed.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"], "left_semi")
-    nodes = scratch.stash(reps.select("id", "label", "vector").mapInPandas(packed, "id long, label long, vector binary"))
+    nodes = reps.select("id", "label", "vector").mapInPandas(packed, "id long, label long, vector binary")
+    nodes = scratch.stash(nodes.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies")), "id"))
     graph, size = None, LIST
     for turn in range(PASSES):
         start = first_graph(nodes, size, turn, scratch)
@@ -254,10 +268,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         size *= 2
     else:
         more = inner_links(nodes.select("id", F.col("label").alias("component")), nodes, threshold, scratch)
-        groups = scratch.stash(components(more.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
-    both = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(more).distinct()
-    times = classes.groupBy(F.col("rep").alias("v")).agg(F.sum("copies").alias("copies"))
-    by_node = both.join(times, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))
+        groups = scratch.stash(components(more.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
+    by_node = more.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
     per_class = classes.join(by_node, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     per_class = per_class.select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     by_id = keyed.select("id", *key).join(per_class, key).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
