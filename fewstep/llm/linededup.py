@@ -11,6 +11,7 @@ than 32 words are their words:
 * less than 8 words: a block for each. Keys: all blocks, and all but any one.
 * less than 16 words: 5 blocks. Keys: any three of them, so one changed word always leaves a key.
 * less than 32 words: 6 blocks. Keys: any two of them, so two changed words always leave a key.
+* Either has blocks of a second choice, as a key may have too few words (of the 6 blocks, an even one with an odd one).
 
 Those of longer lines are phrases, a word of LONG bytes or more with the shorter ones before it, so that
 mere articles and the like are no feature; a changed word mostly touches two blocks as well:
@@ -60,9 +61,10 @@ FUZZY_WORDS = 5
 SIMILARITY = 0.8
 #: Bytes of a word that ends a phrase; features that a key has at least; words from which on phrases are the features.
 LONG, LEAST, MANY = 4, 3, 32
-#: The blocks of each kind of line, and those that make a key. Kind: the binary logarithm of the number of features.
-_WORD_KEYS = {3: (5, list(combinations(range(5), 3))), 4: (6, list(combinations(range(6), 2)))}
-_PHRASE_KEYS = {3: _WORD_KEYS[3], 4: (6, [(even, odd) for even in (0, 2, 4) for odd in (1, 3, 5)]), 5: (8, [(k,) for k in range(8)])}
+#: For each kind of line (the binary logarithm of the number of features): how many blocks, which of them make a key, and the bit of a feature's hash from which on it names the block.
+_THREE, _ODD = list(combinations(range(5), 3)), [(even, odd) for even in (0, 2, 4) for odd in (1, 3, 5)]
+_WORD_KEYS = {3: [(5, _THREE, 32), (5, _THREE, 8)], 4: [(6, list(combinations(range(6), 2)), 32), (6, _ODD, 8)]}
+_PHRASE_KEYS = {3: [(5, _THREE, 32)], 4: [(6, _ODD, 32)], 5: [(8, [(k,) for k in range(8)], 32)]}
 #: Bits in which the whole SimHashes of two lines of a last block may differ.
 FAR = 24
 #: Steps of a key's length part for a doubling of the length.
@@ -131,7 +133,7 @@ def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: n
         total = np.add.reduceat(each, begins)
         post(short, 0, total)
         post(short[who], 0, total[who] - each)
-    for level, (blocks_of, choices) in kinds.items():
+    for level, (blocks_of, choices, bit) in [(level, way) for level, ways in kinds.items() for way in ways]:
         own = np.flatnonzero((kind >= level) if level == last else (kind == level))
         if not len(own):
             continue
@@ -139,7 +141,7 @@ def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: n
         h, is_long = hashes[at], long[at].astype(np.int64)
         needs = np.where(np.add.reduceat(is_long, begins) >= LEAST, least, 0)
         number = (blocks_of << (kind[own] - level)).astype(np.uint64)
-        block = ((h >> np.uint64(32)) % number[who]).astype(np.int64)
+        block = ((h >> np.uint64(bit)) % number[who]).astype(np.int64)
         sims, counts, longs = np.zeros((len(own), blocks_of), np.uint64), np.zeros((len(own), blocks_of), np.int64), np.zeros((len(own), blocks_of), np.int64)
         for k in range(blocks_of):
             mine = np.flatnonzero(block == k)
@@ -159,7 +161,7 @@ def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: n
             value = np.zeros(len(full), np.uint64)
             for c in chosen:
                 value = mixed(value * _STEP + sims[full, c])
-            post(own[full], part + 1, value)
+            post(own[full], part + bit, value)
     return np.concatenate(lines) if lines else np.empty(0, np.int64), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
