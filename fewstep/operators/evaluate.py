@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fewstep.operators.features import in_order
+from fewstep.operators.rank import first_rows
+from fewstep.plans.storage import Scratch
+
 #: Quantiles of the two summaries.
 INTERPOLATED, BY_RANK = (0.1, 0.5, 0.9), (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -20,17 +24,38 @@ def quantile_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(by).agg(F.count("*").alias("count"), F.round(F.avg(value), 6).alias("mean"), *q, F.min(value).alias("min"), F.max(value).alias("max"))
 
 
-def rank_summary(rows: DataFrame, value: str, tables: int = 64) -> DataFrame:
+def rank_summary(rows: DataFrame, value: str) -> DataFrame:
     """count, mean, quantiles by rank floor(p (n - 1)), min and max: one row.
 
-    Values are counted first, so the window runs over distinct values, and the ranks are those of rows.
+    Values are counted first, so ranges of distinct values are ordered, and the ranks are those of rows.
     """
     counted = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    total = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).agg(F.count("*").alias("all"))
+    upto = in_order(counted, "x", F.col("n"), Scratch(rows.sparkSession, "ranks")).join(F.broadcast(total))
     q = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("all") - 1)), F.col("x"))).alias(f"p{round(p * 100):02d}") for p in BY_RANK]
     return upto.agg(F.sum("n").alias("count"), F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("mean"), *q, F.min("x").alias("min"), F.max("x").alias("max"))
 
 
+def mean_of_first(rows: DataFrame, by: str, order: str, values: list[str]) -> DataFrame:
+    """One row: how many have a first row by order, and the mean of each value over those rows."""
+    first = first_rows(rows, by, order)
+    return first.agg(F.count("*").alias("count"), *[F.round(F.avg(v), 6).alias(f"mean_{v}") for v in values])
+
+
+def ranked_by(pairs: DataFrame, methods: dict[str, tuple[str, str | None]], k: int) -> DataFrame:
+    """method, and the columns of pairs with rank: each method's k best sources of every target, in one pass.
+
+    methods: name -> the score that it ranks by, and the boolean column that a pair must have, if any.
+    """
+    out = pairs
+    for m, (score, only) in methods.items():
+        order = Window.partitionBy("t", *([only] if only else [])).orderBy(F.desc(score), "switch_cost", F.desc_nulls_last("sim"), "s")
+        place = F.row_number().over(order)
+        out = out.withColumn(f"_{m}", F.when(F.col(only), place) if only else place)
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_{m}").alias("rank")) for m in methods]), lambda x: x["rank"] <= k))
+    return out.withColumn("_of", each).select("_of.method", *pairs.columns, "_of.rank")
+
+
 def agreement(lists: DataFrame) -> DataFrame:
     """lists: t, method, s. The mean Jaccard of two methods' lists over the targets that either has."""
     sizes = lists.groupBy("t", "method").agg(F.count_distinct("s").alias("n"))
@@ -58,7 +83,7 @@ def rates(top1: DataFrame, min_switch_cost: float = 0.02) -> DataFrame:
 
 
 def disagreements(one: DataFrame, best: DataFrame, max_switch_cost: float = 0.25, most: int = 50) -> DataFrame:
-    """Targets whose source by one method costs more than the best one, and 0.9 of the zone's limit or more."""
+    """Targets whose source by one method (the most similar one, say) costs more than the best one, and 0.9 of the zone's limit or more."""
     b = best.select("t", F.col("s").alias("best_s"), F.col("switch_cost").alias("best_cost"))
     out = one.join(b, "t").where((F.col("switch_cost") > F.col("best_cost")) & (F.col("switch_cost") >= 0.9 * max_switch_cost))
     return out.select("t", "s", "switch_cost", "best_s", "best_cost").orderBy("t").limit(most)

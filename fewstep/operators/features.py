@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fewstep.plans.storage import Scratch
+
 WEIGHT_DIGITS = 6
 
 
+def in_order(rows: DataFrame, by: str, add: F.Column, scratch: Scratch) -> DataFrame:
+    """rows with upto: the sum of add over all rows that come no later by a column (distinct values).
+
+    Rows go to ranges of the column; a range's rows are added up in its task, and the sums of the ranges
+    before it, one row for each, are joined.
+    """
+    ranged = scratch.stash(rows.withColumn("_add", add).repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum("_add").alias("_all"))
+    before = sums.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_before"))
+    upto = F.sum("_add").over(Window.partitionBy("_range").orderBy(by)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn("upto", upto).drop("_range", "_add", "_before")
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, id: dense ids from 0 in token order. The window runs over the distinct tokens."""
-    return tokens.where("token IS NOT NULL").select("token").distinct().withColumn("id", F.row_number().over(Window.orderBy("token")) - 1)
+    """token, id: dense ids from 0 in token order."""
+    distinct = tokens.where("token IS NOT NULL").select("token").distinct()
+    numbered = in_order(distinct, "token", F.lit(1), Scratch(tokens.sparkSession, "vocabulary"))
+    return numbered.select("token", (F.col("upto") - 1).cast("int").alias("id"))
 
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -30,8 +47,10 @@ def idf(sets: DataFrame) -> DataFrame:
     return sets.groupBy("feat").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("feat", "df", F.log(F.lit(1.0) + F.col("n") / (F.lit(1.0) + F.col("df"))).alias("w"))
 
 
-def weighted(sets: DataFrame, weights: DataFrame) -> DataFrame:
-    """recipe, feat, w."""
+def weighted(sets: DataFrame, weights: DataFrame, by_idf: bool = True) -> DataFrame:
+    """recipe, feat, w: the feature's weight, or 1."""
+    if not by_idf:
+        return sets.select("recipe", "feat", F.lit(1.0).alias("w"))
     return sets.join(weights.select("feat", "w"), "feat").select("recipe", "feat", "w")
 
 

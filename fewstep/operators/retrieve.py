@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,48 +29,43 @@ def all_pairs(rows: DataFrame, same_side: bool = False) -> DataFrame:
     return pairs.where("i < j" if same_side else "i <> j")
 
 
-def topk_dot(rows: DataFrame, k: int) -> DataFrame:
-    """t, s, score, rank: each row's k largest dot products, itself excluded; ties by id. Expressions only."""
-    pairs = all_pairs(rows).select(F.col("i").alias("t"), F.col("j").alias("s"), F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
-    return top_k(pairs, k)
-
-
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("t").orderBy(F.desc("score"), "s")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def topk_dot_blocks(rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """topk_dot() by matrix products: blocks of targets are broadcast one after another, sources stream by.
+def topk_dot(rows: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """t, s, score, rank: each row's k largest dot products, itself excluded; ties by id.
 
-    The broadcast is bounded by block; each makes one pass, and each batch hands on its k best per target.
+    Inherently quadratic. Rows go to blocks by hash; every two blocks meet in a task, as one matrix product,
+    and only each target's k best of a block come out. Nothing is collected or broadcast.
     """
-    spark = rows.sparkSession
     n = rows.count()
-    chunks, out = max(1, -(-n // block)), None
-
-    def best(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            t, tv = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                s, scores = batch["id"].to_numpy(), np.round(tv @ np.stack(batch["vec"].to_numpy()).T, 6)
-                scores[t[:, None] == s[None, :]] = -np.inf
-                most = min(k, len(s))
-                rank = np.lexsort((np.broadcast_to(s, scores.shape), -scores), axis=1)[:, :most]
-                frame = pd.DataFrame({"t": np.repeat(t, most), "s": s[rank].ravel(), "score": np.take_along_axis(scores, rank, 1).ravel()})
-                yield frame[np.isfinite(frame["score"])]
-
-        return run
-
-    for c in range(chunks):
-        rows_c = rows.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).collect()
-        if rows_c:
-            shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows_c]), np.array([r["vec"] for r in rows_c], dtype=np.float64)))
-            part = rows.mapInPandas(best(shared), "t long, s long, score double")
-            out = part if out is None else out.unionByName(part)
-    return top_k(out if out is not None else spark.createDataFrame([], "t long, s long, score double"), k)
+    blocks = max(1, -(-n // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    t = rows.select(own.alias("x"), every.alias("y"), F.lit(True).alias("asks"), "id", "vec")
+    s = rows.select(every.alias("x"), own.alias("y"), F.lit(False).alias("asks"), "id", "vec")
+
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        asks = pair["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"t": [], "s": [], "score": []})
+        ids, vectors = pair["id"].to_numpy(), np.stack(pair["vec"].to_numpy())
+        t, s = ids[asks], ids[~asks]
+        order = np.argsort(s, kind="stable")
+        s, scores = s[order], np.round(vectors[asks] @ vectors[~asks][order].T, 6)
+        scores[t[:, None] == s[None, :]] = -np.inf
+        most = min(k, len(s))
+        if most < len(s):  # the most best of each row, and all that tie with the last of them
+            least = np.partition(scores, len(s) - most, axis=1)[:, len(s) - most]
+            x, y = np.nonzero(scores >= least[:, None])
+        else:
+            x, y = np.nonzero(np.isfinite(scores))
+        frame = pd.DataFrame({"t": t[x], "s": s[y], "score": scores[x, y]})
+        return frame[np.isfinite(frame["score"])].sort_values(["t", "score", "s"], ascending=[True, False, True]).groupby("t").head(k)
+
+    found = t.unionByName(s).groupBy("x", "y").applyInPandas(best, "t long, s long, score double")
+    return top_k(found, k)
 
 
 def rare_features(weighed: DataFrame, rare: int) -> DataFrame:

@@ -16,21 +16,30 @@ DIGITS = 6
 
 
 def prefixes(weighed: DataFrame, least_recall: float) -> DataFrame:
-    """Of each recipe, rarest features first, those of which a source of enough recall must have one.
+    """Of each recipe, rarest features first, those of which a source of enough recall must have one; and total.
 
     A source without any of them has at most the weight of the rest, which is below least_recall of all.
+    Shares are rounded to DIGITS before they are compared, so a bit less than least_recall may do.
     """
     order = Window.partitionBy("recipe").orderBy(F.desc("w"), "feat").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("w").over(order), F.lit(0.0))
     total = F.sum("w").over(Window.partitionBy("recipe"))
-    out = weighed.withColumn("_total", total).withColumn("_rest", F.col("_total") - before)
-    return out.where(F.col("_rest") >= F.col("_total") * least_recall - 1e-9).drop("_rest", "_total")
+    out = weighed.withColumn("total", total).withColumn("_rest", F.col("total") - before)
+    return out.where(F.col("_rest") >= F.col("total") * (least_recall - 10**-DIGITS)).drop("_rest")
 
 
-def candidates(weighed: DataFrame, sets: DataFrame, least_recall: float) -> DataFrame:
-    """t, s: every pair whose recall can reach least_recall, by one of the target's prefix features."""
-    t = prefixes(weighed, least_recall).select(F.col("recipe").alias("t"), "feat")
-    return t.join(sets.select(F.col("recipe").alias("s"), "feat"), "feat").where("t <> s").select("t", "s").distinct()
+def candidates(weighed: DataFrame, sets: DataFrame, least_recall: float, least_precision: float = 0.0) -> DataFrame:
+    """t, s: every pair whose recall and precision can reach these, by a prefix feature of the target and of the source.
+
+    The rarest feature that both have is in the prefixes of both, and neither total can be far above the other.
+    """
+    t = prefixes(weighed, least_recall).select(F.col("recipe").alias("t"), "feat", F.col("total").alias("_t"))
+    if least_precision <= 0:
+        return t.join(sets.select(F.col("recipe").alias("s"), "feat"), "feat").where("t <> s").select("t", "s").distinct()
+    s = prefixes(weighed, least_precision).select(F.col("recipe").alias("s"), "feat", F.col("total").alias("_s"))
+    small = 10**-DIGITS
+    both = t.join(s, "feat").where((F.col("t") != F.col("s")) & (F.col("_s") >= F.col("_t") * (least_recall - small)) & (F.col("_t") >= F.col("_s") * (least_precision - small)))
+    return both.select("t", "s").distinct()
 
 
 def overlap(weighed: DataFrame, among: DataFrame | None = None) -> DataFrame:
@@ -96,15 +105,26 @@ def gate(pairs: DataFrame, config: RunConfig = RunConfig(), sim: bool = True) ->
     return pairs.where(F.col("sim") >= config.min_instr_sim) if sim and "sim" in pairs.columns else pairs
 
 
-def scored(heads: DataFrame, ops: DataFrame, vectors: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
+def scored(heads: DataFrame, ops: DataFrame, vectors: DataFrame, config: RunConfig = RunConfig(), among: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
     """Every pair that passes the gates, with its recalls, precisions, sim and costs.
 
     heads, ops: recipe, feat (distinct). vectors: recipe, vec (unit length); sim is null without one.
+    among: the pairs t, s that a retrieval found; all others are left out. neighbours: feat, neighbour, sim;
+    with them a missing head is credited by its nearest neighbour that the source has.
     Ingredient gates come before techniques are joined, and those before the vectors are.
     """
-    h, o = weighted(heads, idf(heads)), weighted(ops, idf(ops))
-    first = candidates(h, heads, config.min_ingr_recall) if config.gates else None
-    pairs = gate(ratios(overlap(h, first), totals(h), "ingr", config.empty_value), config)
+    h = weighted(heads, idf(heads), config.tfidf_heads)
+    o = weighted(ops, idf(ops), config.tfidf_ops)
+    first = among
+    if first is None and config.gates and neighbours is None:
+        first = candidates(h, heads, config.min_ingr_recall, config.min_ingr_precision)
+    pairs = ratios(overlap(h, first), totals(h), "ingr", config.empty_value)
+    if neighbours is not None:
+        soft = soft_recall(heads, h, neighbours, config.substitution_credit_exp).withColumnRenamed("recall", "_soft")
+        if among is not None:
+            soft = soft.join(among.select("t", "s"), ["t", "s"], "left_semi")
+        pairs = soft.join(pairs, ["t", "s"], "left").withColumn("ingr_recall", F.col("_soft")).withColumn("ingr_precision", F.coalesce("ingr_precision", F.lit(config.empty_value))).drop("_soft")
+    pairs = gate(pairs, config)
     common = pairs.join(overlap(o, pairs), ["t", "s"], "left")
     pairs = gate(ratios(common, totals(o), "ops", config.empty_value), config)
     return gate(costs(with_sim(pairs, vectors), config), config)

@@ -14,6 +14,7 @@ from fewstep.functions import text as tx
 from fewstep.functions.vectors import cosine, dot, doubles, l2_normalise
 from fewstep.operators import evaluate, explain, features, pairwise, rank, retrieve, score
 from fewstep.plans.config import RunConfig
+from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
 
 QUERIES: dict = {}
@@ -62,8 +63,10 @@ def _recipe_vectors(spark, d, recipes: DataFrame) -> DataFrame:
 
 
 def _scored(spark, d, config: RunConfig = CONFIG) -> DataFrame:
-    heads, ops = _heads(spark, d), _ops(spark, d)
-    return score.scored(heads, ops, _recipe_vectors(spark, d, heads), config)
+    """All pairs that pass the gates, written once for what a query derives from them."""
+    scratch = Scratch(spark, "scored")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    return scratch.stash(score.scored(heads, ops, _recipe_vectors(spark, d, heads), config))
 
 
 def _weighed(spark, d) -> DataFrame:
@@ -190,7 +193,7 @@ def _topk_sql(space: str, k: int = K) -> str:
 
 for _name in SPACES:
     query(_topk_sql(_name), f"topk_dot_{_name}")(lambda spark, d, space=_name: retrieve.topk_dot(_space(spark, d, space), K))
-query(_topk_sql("full"), "topk_dot_blocks")(lambda spark, d: retrieve.topk_dot_blocks(_space(spark, d), K))
+query(_topk_sql("full"), "topk_dot_blocks")(lambda spark, d: retrieve.topk_dot(_space(spark, d), K, 256))
 
 
 @query(_unit() + " SELECT a.id AS i, b.id AS j, round(list_dot_product(a.vec, b.vec), 6) AS sim FROM unit a JOIN unit b ON a.id < b.id ORDER BY sim DESC, i, j LIMIT 50")
@@ -302,10 +305,11 @@ def lsh_candidates(spark, d):
 # ---- scores
 
 
-def _ingr(spark, d):
-    heads = _heads(spark, d)
-    h = features.weighted(heads, features.idf(heads))
-    return score.ratios(score.overlap(h, score.candidates(h, heads, CONFIG.min_ingr_recall)), features.totals(h), "ingr")
+def _ingr(spark, d, precision: float = 0.0):
+    scratch = Scratch(spark, "ingr")
+    heads = scratch.stash(_heads(spark, d))
+    h = scratch.stash(features.weighted(heads, features.idf(heads)))
+    return score.ratios(score.overlap(h, score.candidates(h, heads, CONFIG.min_ingr_recall, precision)), features.totals(h), "ingr")
 
 
 @query(_with(_PAIRS, "SELECT t, s, ingr_recall FROM ingr WHERE ingr_recall >= 0.55"))
@@ -315,13 +319,13 @@ def ingr_recall(spark, d):
 
 @query(_with(_PAIRS, "SELECT t, s, ingr_precision FROM ingr WHERE ingr_recall >= 0.55 AND ingr_precision >= 0.55"))
 def ingr_precision(spark, d):
-    return score.gate(_ingr(spark, d)).select("t", "s", "ingr_precision")
+    return score.gate(_ingr(spark, d, CONFIG.min_ingr_precision)).select("t", "s", "ingr_precision")
 
 
 def _four(spark, d):
     ops = _ops(spark, d)
     o = features.weighted(ops, features.idf(ops))
-    pairs = score.gate(_ingr(spark, d))
+    pairs = score.gate(_ingr(spark, d, CONFIG.min_ingr_precision))
     return score.ratios(pairs.join(score.overlap(o, pairs), ["t", "s"], "left"), features.totals(o), "ops")
 
 
@@ -427,8 +431,8 @@ def best_row_per_query(spark, d):
 _MISSING = ", top AS (" + _FEW + "), missing AS (SELECT t, s, h.feat, h.w FROM top JOIN h ON h.recipe = t WHERE NOT EXISTS (FROM heads x WHERE x.recipe = s AND x.feat = h.feat)), extra AS (SELECT t, s, h.feat, h.w FROM top JOIN h ON h.recipe = s WHERE NOT EXISTS (FROM heads x WHERE x.recipe = t AND x.feat = h.feat))"
 
 
-def _missing(spark, d, of="t", other="s", n=None):
-    return explain.difference(_few(spark, d), _weighed(spark, d), _heads(spark, d), of, other, n)
+def _missing(spark, d, of="t", other="s", n=None, top=None):
+    return explain.difference(_few(spark, d) if top is None else top, _weighed(spark, d), _heads(spark, d), of, other, n)
 
 
 @query(_with(_SCORED, _MISSING + " SELECT t, s, feat, round(w, 6) AS w FROM missing"))
@@ -459,15 +463,20 @@ def extra_ops(spark, d):
     return _op_difference(spark, d, "s", "t")
 
 
-_BRANDS = ", nbb AS (SELECT a.p_partkey AS feat, b.p_partkey AS neighbour, round(1.0::DOUBLE / (1 + abs(a.p_partkey - b.p_partkey)), 6) AS sim FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)"
+_BRANDS = ", nbb AS (SELECT a.p_partkey AS feat, b.p_partkey AS neighbour, round(1.0::DOUBLE / (1 + abs(a.p_partkey - b.p_partkey)), 6) AS sim FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)"
 
 
 @query(_with(_SCORED, _MISSING + _BRANDS + " SELECT t, s, feat, neighbour, sim FROM (SELECT m.t, m.s, m.feat, neighbour, sim, row_number() OVER (PARTITION BY m.t, m.s, m.feat ORDER BY sim DESC, neighbour) AS n FROM missing m JOIN nbb ON nbb.feat = m.feat JOIN heads x ON x.recipe = m.s AND x.feat = neighbour) WHERE n = 1"))
 def swap_suggestions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    near = p.withColumnRenamed("p_partkey", "feat").join(p.withColumnRenamed("p_partkey", "neighbour"), ["p_brand", "p_type"]).where("feat <> neighbour")
-    near = near.select("feat", "neighbour", F.round(F.lit(1.0) / (1 + F.abs(F.col("feat") - F.col("neighbour"))), 6).alias("sim"))
-    return explain.swaps(_missing(spark, d), _heads(spark, d), near)
+    """Parts of one size stand for exchangeable heads."""
+    top = Scratch(spark, "top").stash(_few(spark, d))
+    return explain.swaps(_missing(spark, d, top=top), _heads(spark, d), _same_size(spark, d))
+
+
+def _same_size(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    near = p.withColumnRenamed("p_partkey", "feat").join(p.withColumnRenamed("p_partkey", "neighbour"), "p_size").where("feat <> neighbour")
+    return near.select("feat", "neighbour", F.round(F.lit(1.0) / (1 + F.abs(F.col("feat") - F.col("neighbour"))), 6).alias("sim"))
 
 
 _LISTS = ", ml AS (SELECT t, s, list(feat::VARCHAR ORDER BY w DESC, feat) AS x FROM missing GROUP BY t, s), el AS (SELECT t, s, list(feat::VARCHAR ORDER BY w DESC, feat) AS x FROM extra GROUP BY t, s)"
@@ -479,8 +488,8 @@ def _fmt(x: str) -> str:
 
 
 def _told(spark, d):
-    top = _few(spark, d)
-    return top.join(explain.as_list(_missing(spark, d), "add"), ["t", "s"], "left").join(explain.as_list(_missing(spark, d, "s", "t"), "remove"), ["t", "s"], "left")
+    top = Scratch(spark, "top").stash(_few(spark, d))
+    return top.join(explain.as_list(_missing(spark, d, top=top), "add"), ["t", "s"], "left").join(explain.as_list(_missing(spark, d, "s", "t", top=top), "remove"), ["t", "s"], "left")
 
 
 @query(_with(_SCORED, _MISSING + _LISTS + f", said AS (SELECT top.t, top.s, {_fmt('ml.x')} AS a, {_fmt('el.x')} AS r FROM top LEFT JOIN ml USING (t, s) LEFT JOIN el USING (t, s)) SELECT t, s, 'From Order ' || s || ' to Order ' || t || ': ' || CASE WHEN a IS NULL AND r IS NULL THEN 'no major edits' ELSE concat_ws('; ', 'add ' || a, 'remove/skip ' || r) END || '.' AS said FROM said"))
@@ -560,11 +569,14 @@ def oxford_list(spark, d):
 _METHODS = ", closest AS (" + _CLOSEST + "), few AS (" + _FEW + "), legacy AS (" + _TOP.format(by="t", other="s", score="legacy_score", where="") + "), lists AS (SELECT t, 'closest' AS method, s, rank, switch_cost, edit_cost, edit_score, in_zone FROM closest UNION ALL SELECT t, 'few_switches', s, rank, switch_cost, edit_cost, edit_score, in_zone FROM few UNION ALL SELECT t, 'legacy', s, rank, switch_cost, edit_cost, edit_score, in_zone FROM legacy), top1 AS (SELECT * FROM lists WHERE rank = 1)"
 
 
-def _method_lists(spark, d):
-    pairs = _scored(spark, d)
+METHODS = {"closest": ("edit_score", None), "few_switches": ("edit_score", "in_zone"), "legacy": ("legacy_score", None)}
+#: All that the comparison ranks by: those, and similarity, either share of the heads and of the techniques, and the plain switch cost.
+ALL_METHODS = METHODS | {"sim": ("sim", None), "ingr_recall": ("ingr_recall", None), "ingr_precision": ("ingr_precision", None), "ops_recall": ("ops_recall", None), "ops_precision": ("ops_precision", None)}
+
+
+def _method_lists(spark, d, methods=METHODS):
     keep = ["t", "s", "rank", "switch_cost", "edit_cost", "edit_score", "in_zone"]
-    one = lambda df, m: df.select(F.lit(m).alias("method"), *keep)
-    return one(rank.ranked(pairs, 5), "closest").unionByName(one(rank.ranked(pairs.where("in_zone"), 5), "few_switches")).unionByName(one(rank.ranked(pairs, 5, score="legacy_score"), "legacy"))
+    return evaluate.ranked_by(_scored(spark, d), methods, 5).where("method <> 'few_switches' OR in_zone").select("method", *keep)
 
 
 def _top1(spark, d):
@@ -606,10 +618,113 @@ def regret(spark, d):
     return evaluate.regret(top, top.where("method = 'few_switches'"))
 
 
-@query(_with(_SCORED, _METHODS + " SELECT a.t, a.s, a.switch_cost, b.s AS best_s, b.switch_cost AS best_cost FROM (SELECT * FROM lists WHERE method = 'closest' AND rank = 2) a JOIN (SELECT * FROM top1 WHERE method = 'closest') b ON a.t = b.t WHERE a.switch_cost > b.switch_cost AND a.switch_cost >= 0.9 * 0.25 ORDER BY a.t LIMIT 50"))
+_BY_SIM = _TOP.format(by="t", other="s", score="sim", where="")
+
+
+@query(_with(_SCORED, ", near AS (" + _CLOSEST + "), sims AS (" + _BY_SIM + ") SELECT a.t, a.s, a.switch_cost, b.s AS best_s, b.switch_cost AS best_cost FROM (SELECT * FROM sims WHERE rank = 1) a JOIN (SELECT * FROM near WHERE rank = 1) b ON a.t = b.t WHERE a.switch_cost > b.switch_cost AND a.switch_cost >= 0.9 * 0.25 ORDER BY a.t LIMIT 50"))
 def disagreement(spark, d):
-    lists = _method_lists(spark, d).where("method = 'closest'")
-    return evaluate.disagreements(lists.where("rank = 2"), lists.where("rank = 1"))
+    """Targets whose most similar source costs clearly more than the closest one."""
+    lists = _method_lists(spark, d, {m: ALL_METHODS[m] for m in ("sim", "closest")}).where("rank = 1")
+    lists = Scratch(spark, "lists").stash(lists)
+    return evaluate.disagreements(lists.where("method = 'sim'"), lists.where("method = 'closest'"))
+
+
+_ALL_LISTS = ", lists AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, t, s, rank, switch_cost, edit_score FROM ({_TOP.format(by='t', other='s', score=by, where='WHERE in_zone' if only else '')})" for m, (by, only) in ALL_METHODS.items()) + ")"
+
+
+@query(_with(_SCORED, _ALL_LISTS + " SELECT method, count(*) AS count, round(avg(switch_cost), 6) AS mean, round(quantile_cont(switch_cost, 0.1), 6) AS p10, round(quantile_cont(switch_cost, 0.5), 6) AS p50, round(quantile_cont(switch_cost, 0.9), 6) AS p90, min(switch_cost) AS min, max(switch_cost) AS max FROM lists WHERE rank = 1 GROUP BY method"))
+def all_methods_summary(spark, d):
+    return evaluate.quantile_summary(_method_lists(spark, d, ALL_METHODS).where("rank = 1"), "method", "switch_cost")
+
+
+@query(_with(_SCORED, _ALL_LISTS + " SELECT t, " + ", ".join(f"max({v}) FILTER (WHERE method = '{m}') AS {m}_{v}" for m in ALL_METHODS for v in ("other", "switch_cost")) + " FROM (SELECT *, s::VARCHAR AS other FROM lists WHERE rank = 1) GROUP BY t"))
+def all_methods_wide(spark, d):
+    top = _method_lists(spark, d, ALL_METHODS).where("rank = 1").withColumn("other", F.col("s").cast("string"))
+    return evaluate.top1_wide(top, list(ALL_METHODS), ["other", "switch_cost"])
+
+
+_SEVEN = [m for m in ALL_METHODS if m != "legacy"]
+
+
+@query(_with(_SCORED, _ALL_LISTS + """, l AS (SELECT * FROM lists WHERE method <> 'legacy'), p AS (SELECT a.t, a.method AS method_a, b.method AS method_b, count(*) AS both_n FROM l a JOIN l b ON a.t = b.t AND a.s = b.s AND a.method < b.method GROUP BY ALL),
+n AS (SELECT t, method, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT DISTINCT method FROM l),
+e AS (SELECT q.t, x.method AS method_a, y.method AS method_b FROM (SELECT DISTINCT t FROM l) q, m x, m y WHERE x.method < y.method),
+j AS (SELECT e.method_a, e.method_b, coalesce(both_n, 0) / (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(both_n, 0)) AS j FROM e LEFT JOIN n na ON na.t = e.t AND na.method = e.method_a LEFT JOIN n nb ON nb.t = e.t AND nb.method = e.method_b LEFT JOIN p ON p.t = e.t AND p.method_a = e.method_a AND p.method_b = e.method_b WHERE coalesce(na.n, 0) + coalesce(nb.n, 0) > 0)
+SELECT method_a, method_b, round(avg(j), 6) AS mean_jaccard, count(*) AS targets FROM j GROUP BY ALL"""))
+def agreement_of_seven(spark, d):
+    return evaluate.agreement(Scratch(spark, "lists").stash(_method_lists(spark, d, {m: ALL_METHODS[m] for m in _SEVEN})))
+
+
+@query(_with(_SCORED, _MISSING + " SELECT feat, count(*) AS times FROM missing GROUP BY feat ORDER BY times DESC, feat LIMIT 20"))
+def missing_head_counts(spark, d):
+    return evaluate.frequencies(_missing(spark, d))
+
+
+@query(_with(_SCORED, ", top AS (" + _FEW + ") SELECT count(*) AS count, round(avg(edit_score), 6) AS mean_edit_score, round(avg(ingr_recall), 6) AS mean_ingr_recall, round(avg(ops_recall), 6) AS mean_ops_recall, round(avg(sim), 6) AS mean_sim FROM top WHERE rank = 1"))
+def mean_of_first_results(spark, d):
+    return evaluate.mean_of_first(_few(spark, d), "t", "rank", ["edit_score", "ingr_recall", "ops_recall", "sim"])
+
+
+@query(_with(_SCORED, _METHODS + " SELECT o.t, o.s, o.switch_cost FROM (SELECT * FROM top1 WHERE method = 'closest') o LEFT JOIN (SELECT * FROM top1 WHERE method = 'few_switches') n ON n.t = o.t WHERE o.switch_cost <= 0.02 AND n.s IS DISTINCT FROM o.s"))
+def removed_duplicates(spark, d):
+    """The near duplicates that ranked first before the zone and no longer do."""
+    top = Scratch(spark, "lists").stash(_top1(spark, d))
+    new = top.where("method = 'few_switches'").select("t", F.col("s").alias("_new"))
+    old = top.where("method = 'closest' AND switch_cost <= 0.02").select("t", "s", "switch_cost")
+    return old.join(new, "t", "left").where(~F.col("s").eqNullSafe(F.col("_new"))).drop("_new")
+
+
+@query(_UNIT.format(a=1, b=64) + " SELECT t AS feat, s AS neighbour, score AS sim FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT a.id AS t, b.id AS s, round(list_dot_product(a.vec, b.vec), 6) AS score FROM unit a JOIN unit b ON a.id <> b.id)) WHERE n <= 20 AND score >= 0.3")
+def head_neighbours(spark, d):
+    return retrieve.neighbours(_space(spark, d), 20, 0.3)
+
+
+_SOFT_IN = _NEIGHBOURS + """, credit AS (SELECT s, feat, max(c) AS c FROM (SELECT recipe AS s, feat, 1.0::DOUBLE AS c FROM heads UNION ALL SELECT recipe, nb.feat, pow(sim, 2.0) FROM heads JOIN nb ON neighbour = heads.feat) GROUP BY 1, 2),
+sr AS (SELECT h.recipe AS t, s, sum(w * c) AS common FROM h JOIN credit USING (feat) WHERE h.recipe <> s GROUP BY 1, 2),
+hc AS (SELECT a.recipe AS t, b.recipe AS s, sum(a.w) AS common FROM h a JOIN heads b USING (feat) WHERE a.recipe <> b.recipe GROUP BY 1, 2),
+ingr AS (SELECT t, s, round(sr.common / x.total, 6) AS ingr_recall, round(coalesce(hc.common, 0) / y.total, 6) AS ingr_precision FROM sr LEFT JOIN hc USING (t, s) JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s)"""
+
+
+@query(_with(_IN + _SOFT_IN + _SCORED[len(_PAIRS):], _FEW))
+def run_with_neighbours(spark, d):
+    """The engine's ranking with substitution credit in the heads' recall."""
+    scratch = Scratch(spark, "soft")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    pairs = score.scored(heads, ops, _recipe_vectors(spark, d, heads), CONFIG, neighbours=_neighbour_edges(spark, d))
+    return rank.run_mode(pairs, CONFIG)
+
+
+_AMONG = ", " + _RARE + """, hj AS (SELECT a.recipe AS t, b.recipe AS s, sum(a.w) AS common FROM h a JOIN heads b USING (feat) WHERE (a.recipe, b.recipe) IN (SELECT (t, s) FROM cand) GROUP BY 1, 2),
+ranked AS (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT t, s, round(common / (x.total + y.total - common), 6) AS score FROM hj JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s)),
+hc AS (SELECT a.recipe AS t, b.recipe AS s, sum(a.w) AS common FROM h a JOIN heads b USING (feat) WHERE (a.recipe, b.recipe) IN (SELECT (t, s) FROM ranked WHERE n <= 20) GROUP BY 1, 2),
+ingr AS (SELECT t, s, round(common / x.total, 6) AS ingr_recall, round(common / y.total, 6) AS ingr_precision FROM hc JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s)"""
+
+
+@query(_with(_IN + _AMONG + _SCORED[len(_PAIRS):], _FEW))
+def run_retrieval(spark, d):
+    """The engine's ranking of the 20 candidates of each target that a retrieval by rare heads gives."""
+    scratch = Scratch(spark, "run")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    near = retrieve.top_k(retrieve.weighted_jaccard(features.weighted(heads, features.idf(heads)), rare=2), 20)
+    pairs = score.scored(heads, ops, _recipe_vectors(spark, d, heads), CONFIG, among=scratch.stash(near.select("t", "s")))
+    return rank.run_mode(pairs, CONFIG)
+
+
+@query(_SPACES_SQL + " SELECT t, s FROM " + _near("full", K) + " UNION SELECT t, s FROM " + _near("ingr", K) + " UNION SELECT t, s FROM " + _near("instr", K) + " UNION SELECT t, s FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT t, s, round(coalesce(a.score, 0) * 0.6::DOUBLE + coalesce(b.score, 0) * 0.4::DOUBLE, 6) AS score FROM " + _near("ingr", K) + " a FULL JOIN " + _near("full", K) + " b USING (t, s))) WHERE n <= 5")
+def candidate_union_hybrid(spark, d):
+    lists = [retrieve.topk_dot(_space(spark, d, s), K) for s in SPACES]
+    return retrieve.union_candidates(*lists, retrieve.top_k(retrieve.hybrid(lists[1], lists[0]), K))
+
+
+_V1 = _LINES + f" SELECT t, s, round(0.5::DOUBLE * max(soft) FILTER (WHERE section = 'ingr') + 0.5::DOUBLE * max(soft) FILTER (WHERE section = 'instr'), 7) AS coverage FROM (SELECT t, s, section, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(best))::DOUBLE / (count(best) * 2)) / 1e6::DOUBLE AS soft FROM best GROUP BY ALL) GROUP BY t, s"
+
+
+@query(_V1)
+def weighted_line_coverage(spark, d):
+    """The earlier engine's score: the sections' soft coverages by weight."""
+    soft = pairwise.coverage(pairwise.best_matches(_lines(spark, d)), TAU)
+    of = lambda x: F.max(F.when(F.col("section") == x, F.col("soft")))
+    return soft.groupBy("t", "s").agg(F.round(of("ingr") * 0.5 + of("instr") * 0.5, 7).alias("coverage"))
 
 
 @query("""WITH r AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewstep.operators import explain, features, rank, score
+from fewstep.operators import explain, features, rank, retrieve, score
 from fewstep.plans.catalog import _IN, _SCORED, CONFIG, _heads, _ops, _recipe_vectors, _with, query
 from fewstep.plans.config import RunConfig
 
@@ -20,17 +20,36 @@ class Engine:
     ops: DataFrame
     vectors: DataFrame
     config: RunConfig = RunConfig()
+    #: recipe, vec of the spaces that the retrievals by vectors need: ingr and full.
+    spaces: dict[str, DataFrame] | None = None
+    #: feat, neighbour, sim: heads that may stand for one another.
+    neighbours: DataFrame | None = None
+
+    def candidates(self) -> DataFrame | None:
+        """t, s: the config's cand_k candidates of each target by its retrieval; None for all pairs (exact)."""
+        kind, k = self.config.retrieval, self.config.cand_k
+        if kind == "jaccard":
+            weighed = features.weighted(self.heads, features.idf(self.heads), self.config.tfidf_heads)
+            return retrieve.top_k(retrieve.weighted_jaccard(weighed, rare=6), k).select("t", "s")
+        if kind in ("hybrid", "ingr", "full") and self.spaces:
+            near = {n: retrieve.topk_dot(v.select(F.col("recipe").alias("id"), "vec"), k) for n, v in self.spaces.items() if kind in ("hybrid", n)}
+            return (retrieve.top_k(retrieve.hybrid(near["ingr"], near["full"], self.config.hybrid_w), k) if kind == "hybrid" else near[kind]).select("t", "s")
+        return None
+
+    def pairs(self) -> DataFrame:
+        """Candidates, scores with substitution credit, and gates."""
+        return score.scored(self.heads, self.ops, self.vectors, self.config, self.candidates(), self.neighbours)
 
     def run(self) -> DataFrame:
         """Every target's ranked sources, by the mode of the config."""
-        return rank.run_mode(score.scored(self.heads, self.ops, self.vectors, self.config), self.config)
+        return rank.run_mode(self.pairs(), self.config)
 
     def sources_to_targets(self) -> DataFrame:
-        return rank.run_mode(score.scored(self.heads, self.ops, self.vectors, self.config), self.config, "s", "t")
+        return rank.run_mode(self.pairs(), self.config, "s", "t")
 
     def transfer_from(self, source, k: int) -> DataFrame:
         """The k best targets of one source; all modes' pairs when the zone leaves none."""
-        pairs = score.scored(self.heads, self.ops, self.vectors, self.config).where(F.col("s") == source)
+        pairs = self.pairs().where(F.col("s") == source)
         zone = pairs.where("in_zone")
         chosen = pairs if self.config.mode != "few_switches" or zone.isEmpty() else zone
         return rank.ranked(chosen, k, "s", "t")

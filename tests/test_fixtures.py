@@ -166,7 +166,7 @@ def test_vectors_topk_paths_agree(spark):
     rows = [(k, [random.random() - 0.5 for _ in range(8)]) for k in range(60)]
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     plain = sorted(map(tuple, retrieve.topk_dot(df, 4).select("t", "s", "score", "rank").collect()))
-    assert plain == sorted(map(tuple, retrieve.topk_dot_blocks(df, 4, block=16).select("t", "s", "score", "rank").collect()))
+    assert plain == sorted(map(tuple, retrieve.topk_dot(df, 4, block=16).select("t", "s", "score", "rank").collect()))
     texts = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
     got = [r["v"] for r in encode(texts, "t", "v").collect()]
     assert sum(x * x for x in got[0]) == pytest.approx(1.0) and got[1] is None and got[2] is None
