@@ -517,9 +517,9 @@ def test_line_pairs_of_the_documents(spark):
     texts = [r[0] for r in spark.read.parquet(path).select("text").where("text IS NOT NULL").collect()]
     lines = sorted({linededup.normalised(x.encode()).decode() for t in texts for x in t.split("\n")}, key=lambda x: (len(x), x))
     lines = [x for x in lines if len(x) <= 150 and sum(any(c.isalpha() for c in w) for w in x.split()) >= linededup.FUZZY_WORDS]
-    counts = np.zeros((len(lines), 64), dtype=np.int32)
+    counts = np.zeros((len(lines), 1021), dtype=np.int32)
     for k, x in enumerate(lines):
-        np.add.at(counts[k], [(ord(c) * 31 + ord(d)) % 64 for c, d in zip(x, x[1:], strict=False)], 1)
+        np.add.at(counts[k], [(ord(c) * 31 + ord(d)) % 1021 for c, d in zip(x, x[1:], strict=False)], 1)
     true = []
     for j in range(len(lines)):
         # an edit changes at most two pairs of neighbours on either side
