@@ -76,6 +76,9 @@ _BLANK = np.array([b == 32 for b in range(256)])
 #: The bits of a byte, each in a byte of its own.
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a line's number (a text has less than 2 GB) and of a feature's hash in one number.
+_LINE_BITS, _HASH_BITS, _ONE = np.uint64(28), np.uint64(36), np.uint64(1)
+_HASH_MASK = (_ONE << _HASH_BITS) - _ONE
 
 
 def normalised(line: bytes) -> bytes:
@@ -133,28 +136,32 @@ def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: n
         total = np.add.reduceat(each, begins)
         post(short, 0, total)
         post(short[who], 0, total[who] - each)
+    held = None
     for level, (blocks_of, choices, bit) in [(level, way) for level, ways in kinds.items() for way in ways]:
         own = np.flatnonzero((kind >= level) if level == last else (kind == level))
         if not len(own):
             continue
-        who, at, begins = features(own)
-        h, is_long = hashes[at], long[at].astype(np.int64)
-        needs = np.where(np.add.reduceat(is_long, begins) >= LEAST, least, 0)
+        if held is None or held[0] != level:
+            who, at, begins = features(own)
+            needs = np.where(np.add.reduceat(long[at].astype(np.int64), begins) >= LEAST, least, 0)
+            # distinct features: a number holds the line, the first bits of the feature's hash and whether it is long
+            packed = (who.astype(np.uint64) << _HASH_BITS) | ((hashes[at] >> (_LINE_BITS - _ONE)) & ~_ONE & _HASH_MASK) | long[at]
+            packed.sort()
+            packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+            held = level, (packed >> _HASH_BITS).astype(np.int64), mixed(packed & _HASH_MASK & ~_ONE), (packed & _ONE).astype(np.int64)
+        _, who, h, is_long = held
         number = (blocks_of << (kind[own] - level)).astype(np.uint64)
-        block = ((h >> np.uint64(bit)) % number[who]).astype(np.int64)
+        block = (h >> np.uint64(bit)) % number[who]
         sims, counts, longs = np.zeros((len(own), blocks_of), np.uint64), np.zeros((len(own), blocks_of), np.int64), np.zeros((len(own), blocks_of), np.int64)
         for k in range(blocks_of):
             mine = np.flatnonzero(block == k)
             if not len(mine):
                 continue
-            mine = mine[np.lexsort((h[mine], who[mine]))]
-            owner, hash_of = who[mine], h[mine]
-            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hash_of[1:] != hash_of[:-1])))  # distinct features
-            owner, hash_of, long_of = owner[new], hash_of[new], is_long[mine][new]
+            owner = who[mine]
             cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            sims[owner[cuts], k] = simhash(hash_of, cuts)
+            sims[owner[cuts], k] = simhash(h[mine], cuts)
             counts[owner[cuts], k] = np.diff(np.append(cuts, len(owner)))
-            longs[owner[cuts], k] = np.add.reduceat(long_of, cuts)
+            longs[owner[cuts], k] = np.add.reduceat(is_long[mine], cuts)
         for part, chosen in enumerate(choices):
             enough = np.where(needs > 0, longs[:, chosen].sum(axis=1) >= needs, counts[:, chosen].sum(axis=1) >= LEAST)
             full = np.flatnonzero(enough)
@@ -239,7 +246,8 @@ _PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), (
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, a, b, first (a is the key's first): pairs of a key whose lengths allow a link; key, a and null for the lines of a long run.
 
-    Rows come sorted by key and id. No more than the last RUN rows of a key wait for the next batch.
+    Rows come sorted by key, the ids of one key in any order: what comes out does not depend on that order. No more
+    than the last RUN lines of a key wait for the next batch.
     """
     limit = STEPS * np.log2(1 / SIMILARITY) + 1
 
@@ -265,8 +273,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = key >> 12, key & 4095
         if held is not None:
             group, size, ids = (np.concatenate(x) for x in zip(held, (group, size, ids), strict=True))
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])))  # a class may be posted by several blocks
-        group, size, ids = group[new], size[new], ids[new]
+        tied = np.concatenate(([False], (group[1:] == group[:-1]) & (size[1:] == size[:-1])))
+        tied[:-1] |= tied[1:]
+        if len(some := np.flatnonzero(tied)):
+            ids = ids.copy()
+            ids[some] = ids[some[np.lexsort((ids[some], size[some], group[some]))]]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])))  # a class may be posted by several blocks
+            group, size, ids = group[new], size[new], ids[new]
         if hot is not None and len(group):
             end = int(np.searchsorted(group != hot, True))
             yield told(group[:end], ids[:end], ids[:end], True)
@@ -410,8 +423,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bounded_batches(docs.sparkSession)
     lines = scratch.stash(line_table(docs))
     same = scratch.stash(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")))
-    posted = lines.select("id", F.explode("keys").alias("key")).repartition(F.shiftright("key", 12)).sortWithinPartitions("key", "id")
-    # lines of one key must stand together whatever their lengths: they are sorted by key, and a key's last 12 bits are the length
+    posted = lines.select("id", F.explode("keys").alias("key")).repartition(F.shiftright("key", 12)).sortWithinPartitions("key")
+    # lines of one key must stand together whatever their lengths: they are sorted by key (one number, so by radix), and a key's last 12 bits are the length
     near = scratch.stash(posted.mapInArrow(_near, "key long, a long, b long, first boolean"))
     pairs = near.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
     pairs = scratch.stash(pairs)
