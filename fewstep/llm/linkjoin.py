@@ -40,11 +40,11 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(many, "key")
 
 
-def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size: str, links: Callable[[pd.DataFrame, pd.DataFrame, bool], list[tuple[int, int]]], scratch: Scratch) -> DataFrame:
+def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size: str, links: Callable[[pd.DataFrame, pd.DataFrame, bool], list[tuple[int, int]]], scratch: Scratch, most: int = FAMILY) -> DataFrame:
     """All links (a, b) between different components of a key, and of its family.
 
     live: key, id, component and columns; payload: id and what else links() needs; size: the bytes of a
-    node's payload. links(x, y, same): the links between the rows of two blocks, or within one.
+    node's payload. links(x, y, same): the links between the rows of two blocks, or within one. most: nodes in a block.
     """
 
     def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,12 +59,14 @@ def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size:
     same = live.join(live.groupBy("key").agg(F.min("id").alias("low")), "key").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     family = components(same, scratch).withColumnRenamed("component", "family")
     nodes = live.select("id", "component", *columns).distinct().join(family, "id")
-    many = F.greatest(F.count("*") / FAMILY, F.sum(size) / FAMILY_BYTES)
+    many = F.greatest(F.count("*") / most, F.sum(size) / FAMILY_BYTES)
     sizes = nodes.groupBy("family").agg(F.ceil(many).cast("int").alias("blocks"))
     nodes = nodes.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(payload, "id")
     nodes = nodes.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     nodes = nodes.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "blocks")
-    placed = nodes.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    # a number of its own: AQE would put the blocks of many families, small in bytes but long in work, into one task
+    tasks = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.repartition(tasks, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     return placed.mapInPandas(tested, "a long, b long").distinct()
 
 
