@@ -65,8 +65,8 @@ LONG, LEAST, MANY = 4, 3, 32
 _THREE, _ODD = list(combinations(range(5), 3)), [(even, odd) for even in (0, 2, 4) for odd in (1, 3, 5)]
 _WORD_KEYS = {3: [(5, _THREE, 32), (5, _THREE, 8)], 4: [(6, list(combinations(range(6), 2)), 32), (6, _ODD, 8)]}
 _PHRASE_KEYS = {3: [(5, _THREE, 32)], 4: [(6, _ODD, 32)], 5: [(8, [(k,) for k in range(8)], 32)]}
-#: Lines in a block of a last family: its pairs are told apart by edit similarity, so a task has few.
-BLOCK_LINES = 512
+#: Lines in a block of a last family, and code points (about): its pairs are told apart by edit similarity, whose work grows with the square of the length, so a task has few.
+BLOCK_LINES, BLOCK_POINTS = 512, 1 << 17
 #: Bits in which the whole SimHashes of two lines of a last block may differ.
 FAR = 24
 #: Steps of a key's length part for a doubling of the length.
@@ -448,7 +448,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     links = links.unionByName(scratch.stash(verify(pairs.where("NOT first AND coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b"))))
     if not long.isEmpty():
         members = scratch.stash(long.join(texts.mapInArrow(_whole, "id long, sim long, size int"), "id"))
-        grouped = linked_components(members, _close, distance, verify, scratch, finish=lambda live: family_blocks(live, ["size", "sim"], texts, "size", _block_links, scratch, BLOCK_LINES))
+        grouped = linked_components(members, _close, distance, verify, scratch, finish=lambda live: family_blocks(live, ["size", "sim"], texts, "size", _block_links, scratch, BLOCK_LINES, BLOCK_POINTS))
         links = links.unionByName(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = scratch.stash(components(links, scratch))
     joined = same.select("id", "first", "times").join(found, "id", "left").where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
@@ -475,7 +475,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
     kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> substring(_mask, i + 1, 1) <> X'31'), '\n')")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     out = out.withColumn("n_lines", lines.cast("long")).withColumn("n_dropped", F.coalesce("_times", F.lit(0)).cast("long"))
     return out.withColumn("text", F.when(F.col("_mask").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "n_lines", "n_dropped")
 

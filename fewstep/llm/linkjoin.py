@@ -32,6 +32,8 @@ from fewstep.plans.storage import Scratch
 ROUNDS, FEW = 8, 200
 #: Nodes in a block of a family, and bytes (about; one node may have more).
 FAMILY, FAMILY_BYTES = 4096, 16 << 20
+#: Blocks of a family up to which they may be smaller, to spread work of few bytes.
+SPREAD = 16
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -40,11 +42,13 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(many, "key")
 
 
-def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size: str, links: Callable[[pd.DataFrame, pd.DataFrame, bool], list[tuple[int, int]]], scratch: Scratch, most: int = FAMILY) -> DataFrame:
+def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size: str, links: Callable[[pd.DataFrame, pd.DataFrame, bool], list[tuple[int, int]]], scratch: Scratch, most: int = FAMILY, most_bytes: int = FAMILY_BYTES) -> DataFrame:
     """All links (a, b) between different components of a key, and of its family.
 
     live: key, id, component and columns; payload: id and what else links() needs; size: the bytes of a
-    node's payload. links(x, y, same): the links between the rows of two blocks, or within one. most: nodes in a block.
+    node's payload. links(x, y, same): the links between the rows of two blocks, or within one. most, most_bytes: nodes
+    and bytes in a block, while a family has no more than SPREAD blocks of that size (every node is sent to all blocks
+    of its family); beyond, FAMILY and FAMILY_BYTES are the bounds.
     """
 
     def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +63,8 @@ def family_blocks(live: DataFrame, columns: list[str], payload: DataFrame, size:
     same = live.join(live.groupBy("key").agg(F.min("id").alias("low")), "key").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     family = components(same, scratch).withColumnRenamed("component", "family")
     nodes = live.select("id", "component", *columns).distinct().join(family, "id")
-    many = F.greatest(F.count("*") / most, F.sum(size) / FAMILY_BYTES)
+    fine = F.least(F.lit(SPREAD), F.greatest(F.count("*") / most, F.sum(size) / most_bytes))
+    many = F.greatest(fine, F.count("*") / FAMILY, F.sum(size) / FAMILY_BYTES)
     sizes = nodes.groupBy("family").agg(F.ceil(many).cast("int").alias("blocks"))
     nodes = nodes.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(payload, "id")
     nodes = nodes.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
