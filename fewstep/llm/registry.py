@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, nndescent, permutation, pii, sharding, tandem, trie
+from fewstep.llm import bpe, langid, licenses, linededup, mixing, neardup, nndescent, permutation, pii, sharding, tandem, toxicity, trie
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_duplicates": nndescent.op8_embedding_duplicates,
     "op9_nearest": permutation.op9_nearest,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_conversation_trie": trie.op12_conversation_trie,
     "op13_periodic_runs": tandem.op13_periodic_runs,
 }
