@@ -83,11 +83,13 @@ def rare_candidates(weighed: DataFrame, rare: int | None = 6) -> DataFrame:
 def weighted_jaccard(weighed: DataFrame, rare: int | None = None) -> DataFrame:
     """t, s, score: shared weight over the weight of the union, of pairs with a shared feature."""
     from fewstep.operators.features import totals
-    from fewstep.operators.score import overlap
+    from fewstep.operators.score import overlap, with_common
 
-    sums = totals(weighed)
-    pairs = overlap(weighed, None if rare is None else rare_candidates(weighed, rare))
-    pairs = pairs.join(sums.select(F.col("recipe").alias("t"), F.col("total").alias("_t")), "t").join(sums.select(F.col("recipe").alias("s"), F.col("total").alias("_s")), "s")
+    if rare is None:
+        sums = totals(weighed)
+        pairs = overlap(weighed).join(sums.select(F.col("recipe").alias("t"), F.col("total").alias("_t")), "t").join(sums.select(F.col("recipe").alias("s"), F.col("total").alias("_s")), "s")
+    else:
+        pairs = with_common(rare_candidates(weighed, rare), weighed)
     union = F.col("_t") + F.col("_s") - F.col("common")
     return pairs.select("t", "s", F.round(F.when(union > 0, F.col("common") / union).otherwise(0.0), 6).alias("score"))
 

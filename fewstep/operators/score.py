@@ -42,35 +42,101 @@ def candidates(weighed: DataFrame, sets: DataFrame, least_recall: float, least_p
     return both.select("t", "s").distinct()
 
 
+def profiles(weighed: DataFrame) -> DataFrame:
+    """A row per recipe: items, its features and their weights in the order of the features, and total."""
+    return weighed.groupBy("recipe").agg(F.sort_array(F.collect_list(F.struct("feat", "w"))).alias("items"), F.sum("w").alias("total"))
+
+
+def with_common(pairs: DataFrame, weighed: DataFrame) -> DataFrame:
+    """pairs with common, the target's weight of shared features, and _t and _s, the totals (null without a feature).
+
+    Each pair is looked up twice, as a row; its features are never rows of a join.
+    """
+    own = profiles(weighed)
+    t = own.select(F.col("recipe").alias("t"), F.col("items").alias("_ti"), F.col("total").alias("_t"))
+    s = own.select(F.col("recipe").alias("s"), F.transform("items", lambda x: x["feat"]).alias("_sf"), F.col("total").alias("_s"))
+    out = pairs.join(t, "t", "left").join(s, "s", "left")
+    shared = F.filter("_ti", lambda x: F.array_contains("_sf", x["feat"]))
+    return out.withColumn("common", F.coalesce(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"]), F.lit(0.0))).drop("_ti", "_sf")
+
+
 def overlap(weighed: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """t, s, common: the shared weight of every pair (of among, if given) with a shared feature."""
+    if among is not None:
+        return with_common(among.select("t", "s"), weighed).where("common > 0").select("t", "s", "common")
     t = weighed.select(F.col("recipe").alias("t"), "feat", "w")
     s = weighed.select(F.col("recipe").alias("s"), "feat")
-    if among is None:
-        both = t.join(s, "feat").where("t <> s")
-    else:
-        both = among.select("t", "s").join(t, "t").join(s, ["s", "feat"])
-    return both.groupBy("t", "s").agg(F.sum("w").alias("common"))
+    return t.join(s, "feat").where("t <> s").groupBy("t", "s").agg(F.sum("w").alias("common"))
+
+
+def shares(pairs: DataFrame, weighed: DataFrame, name: str, empty: float = 0.0) -> DataFrame:
+    """pairs with name_recall and name_precision, as ratios() gives them, of the pairs' shared weight."""
+    return _shared(with_common(pairs, weighed), name, empty)
 
 
 def ratios(pairs: DataFrame, sums: DataFrame, name: str, empty: float = 0.0) -> DataFrame:
     """pairs with name_recall (common over the target's weight) and name_precision (over the source's)."""
     t = sums.select(F.col("recipe").alias("t"), F.col("total").alias("_t"))
     s = sums.select(F.col("recipe").alias("s"), F.col("total").alias("_s"))
-    out = pairs.join(t, "t", "left").join(s, "s", "left")
+    return _shared(pairs.join(t, "t", "left").join(s, "s", "left"), name, empty)
+
 
+def _shared(out: DataFrame, name: str, empty: float) -> DataFrame:
     def ratio(total: str):
         return F.round(F.when(F.col(total) > 0, F.coalesce("common", F.lit(0.0)) / F.col(total)).otherwise(F.lit(empty)), DIGITS)
 
     return out.withColumn(f"{name}_recall", ratio("_t")).withColumn(f"{name}_precision", ratio("_s")).drop("common", "_t", "_s")
 
 
-def soft_recall(sets: DataFrame, weighed: DataFrame, neighbours: DataFrame, exponent: float = 2.0) -> DataFrame:
-    """t, s, recall: a missing feature is credited by its nearest neighbour that the source has, sim ** exponent.
+def credited_prefixes(weighed: DataFrame, neighbours: DataFrame, least_recall: float, exponent: float = 2.0) -> DataFrame:
+    """t, token: of each target the features, or neighbours of features, one of which a source of enough soft recall has.
 
-    neighbours: feat, neighbour, sim. The source's features spread over the neighbour edges, so that the
-    join stays an equi-join.
+    Let f be the first of a target's features, rarest first, that earns a source any credit, by the token (itself or a
+    neighbour) that earns most. Then the source gets at most that credit for f and all of the rest after f. Tokens for
+    which even that is too little are left out. sim must not exceed 1.
     """
+    order = Window.partitionBy("recipe").orderBy(F.desc("w"), "feat").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("w").over(Window.partitionBy("recipe"))
+    rows = weighed.select("recipe", "feat", "w", total.alias("total"), F.coalesce(F.sum("w").over(order), F.lit(0.0)).alias("before"))
+    rows = rows.where(F.col("total") - F.col("before") >= F.col("total") * (least_recall - 10**-DIGITS))
+    near = neighbours.select("feat", F.col("neighbour").alias("token"), F.pow("sim", F.lit(exponent)).alias("credit"))
+    own = rows.withColumn("token", F.col("feat")).withColumn("credit", F.lit(1.0))
+    tokens = own.unionByName(rows.join(near, "feat"))
+    rest = F.col("total") - F.col("before") - F.col("w")
+    tokens = tokens.where(F.col("w") * F.col("credit") + rest >= F.col("total") * (least_recall - 10**-DIGITS))
+    return tokens.select(F.col("recipe").alias("t"), "token").distinct()
+
+
+def soft_candidates(sets: DataFrame, weighed: DataFrame, neighbours: DataFrame, least_recall: float, exponent: float = 2.0) -> DataFrame:
+    """t, s: every pair whose soft recall can reach least_recall, by a credited prefix."""
+    tokens = credited_prefixes(weighed, neighbours, least_recall, exponent)
+    return tokens.join(sets.select(F.col("recipe").alias("s"), F.col("feat").alias("token")), "token").where("t <> s").select("t", "s").distinct()
+
+
+def soft_recall(sets: DataFrame, weighed: DataFrame, neighbours: DataFrame, exponent: float = 2.0, least_recall: float = 0.0, among: DataFrame | None = None) -> DataFrame:
+    """t, s, recall of pairs with any credit: a missing feature is credited by its nearest neighbour that the source has, sim ** exponent.
+
+    neighbours: feat, neighbour, sim (at most 1). Only pairs of least_recall or more are returned, and of among if that is given.
+    With neither, the source's features spread over the neighbour edges, so that the join of all pairs stays an equi-join.
+    """
+    if among is None and least_recall <= 0:
+        return _soft_of_all(sets, weighed, neighbours, exponent)
+    pairs = soft_candidates(sets, weighed, neighbours, least_recall, exponent) if among is None else among.select("t", "s")
+    near = neighbours.groupBy("feat").agg(F.collect_list(F.struct("neighbour", F.pow("sim", F.lit(exponent)).alias("credit"))).alias("near"))
+    items = weighed.join(near, "feat", "left").groupBy("recipe").agg(F.sort_array(F.collect_list(F.struct("feat", "w", "near"))).alias("_ti"), F.sum("w").alias("_t"))
+    feats = sets.groupBy("recipe").agg(F.collect_set("feat").alias("_sf"))
+    both = pairs.join(items.withColumnRenamed("recipe", "t"), "t").join(feats.withColumnRenamed("recipe", "s"), "s")
+
+    def credit(x):
+        found = F.transform(F.filter(x["near"], lambda y: F.array_contains("_sf", y["neighbour"])), lambda y: y["credit"])
+        return F.when(F.array_contains("_sf", x["feat"]), 1.0).otherwise(F.coalesce(F.array_max(found), F.lit(0.0)))
+
+    common = F.aggregate("_ti", F.lit(0.0), lambda a, x: a + x["w"] * credit(x))
+    out = both.withColumn("_c", common).where("_c > 0").select("t", "s", F.round(F.when(F.col("_t") > 0, F.col("_c") / F.col("_t")).otherwise(0.0), DIGITS).alias("recall"))
+    return out.where(F.col("recall") >= least_recall)
+
+
+def _soft_of_all(sets: DataFrame, weighed: DataFrame, neighbours: DataFrame, exponent: float) -> DataFrame:
     own = sets.select(F.col("recipe").alias("s"), "feat", F.lit(1.0).alias("credit"))
     near = sets.select(F.col("recipe").alias("s"), F.col("feat").alias("neighbour")).join(neighbours, "neighbour")
     near = near.select("s", "feat", F.pow("sim", F.lit(exponent)).alias("credit"))
@@ -115,18 +181,16 @@ def scored(heads: DataFrame, ops: DataFrame, vectors: DataFrame, config: RunConf
     """
     h = weighted(heads, idf(heads), config.tfidf_heads)
     o = weighted(ops, idf(ops), config.tfidf_ops)
-    first = among
-    if first is None and config.gates and neighbours is None:
-        first = candidates(h, heads, config.min_ingr_recall, config.min_ingr_precision)
-    pairs = ratios(overlap(h, first), totals(h), "ingr", config.empty_value)
+    least = config.min_ingr_recall if config.gates else 0.0
     if neighbours is not None:
-        soft = soft_recall(heads, h, neighbours, config.substitution_credit_exp).withColumnRenamed("recall", "_soft")
-        if among is not None:
-            soft = soft.join(among.select("t", "s"), ["t", "s"], "left_semi")
-        pairs = soft.join(pairs, ["t", "s"], "left").withColumn("ingr_recall", F.col("_soft")).withColumn("ingr_precision", F.coalesce("ingr_precision", F.lit(config.empty_value))).drop("_soft")
-    pairs = gate(pairs, config)
-    common = pairs.join(overlap(o, pairs), ["t", "s"], "left")
-    pairs = gate(ratios(common, totals(o), "ops", config.empty_value), config)
+        soft = soft_recall(heads, h, neighbours, config.substitution_credit_exp, least, among)
+        pairs = shares(soft, h, "ingr", config.empty_value).withColumn("ingr_recall", F.col("recall")).drop("recall")
+    elif among is None and not config.gates:
+        pairs = ratios(overlap(h), totals(h), "ingr", config.empty_value)
+    else:
+        first = candidates(h, heads, least, config.min_ingr_precision) if among is None else among.select("t", "s")
+        pairs = shares(first, h, "ingr", config.empty_value)
+    pairs = gate(shares(gate(pairs, config), o, "ops", config.empty_value), config)
     return gate(costs(with_sim(pairs, vectors), config), config)
 
 

@@ -309,7 +309,7 @@ def _ingr(spark, d, precision: float = 0.0):
     scratch = Scratch(spark, "ingr")
     heads = scratch.stash(_heads(spark, d))
     h = scratch.stash(features.weighted(heads, features.idf(heads)))
-    return score.ratios(score.overlap(h, score.candidates(h, heads, CONFIG.min_ingr_recall, precision)), features.totals(h), "ingr")
+    return score.shares(score.candidates(h, heads, CONFIG.min_ingr_recall, precision), h, "ingr")
 
 
 @query(_with(_PAIRS, "SELECT t, s, ingr_recall FROM ingr WHERE ingr_recall >= 0.55"))
@@ -326,7 +326,7 @@ def _four(spark, d):
     ops = _ops(spark, d)
     o = features.weighted(ops, features.idf(ops))
     pairs = score.gate(_ingr(spark, d, CONFIG.min_ingr_precision))
-    return score.ratios(pairs.join(score.overlap(o, pairs), ["t", "s"], "left"), features.totals(o), "ops")
+    return score.shares(pairs, o, "ops")
 
 
 @query(_with(_SCORED, "SELECT t, s, ops_recall FROM four"))
@@ -351,7 +351,10 @@ def _neighbour_edges(spark, d):
 r AS (SELECT h.recipe AS t, s, sum(w * c) AS common FROM h JOIN credit USING (feat) WHERE h.recipe <> s GROUP BY 1, 2)
 SELECT t, s, round(common / total, 6) AS recall FROM r JOIN ht ON recipe = t WHERE round(common / total, 6) >= 0.55"""))
 def soft_recall_neighbors(spark, d):
-    return score.soft_recall(_heads(spark, d), _weighed(spark, d), _neighbour_edges(spark, d)).where("recall >= 0.55")
+    scratch = Scratch(spark, "soft")
+    heads = scratch.stash(_heads(spark, d))
+    weighed = scratch.stash(features.weighted(heads, features.idf(heads)))
+    return score.soft_recall(heads, weighed, _neighbour_edges(spark, d), least_recall=0.55)
 
 
 @query(_with(_SCORED, "SELECT t, s, ingr_recall, ingr_precision, ops_recall, ops_precision, sim, switch_cost, edit_cost, edit_score, in_zone FROM scored"))
