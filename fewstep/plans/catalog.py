@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fewstep.functions import text as tx
 from fewstep.functions.vectors import cosine, dot, doubles, l2_normalise
-from fewstep.operators import evaluate, explain, features, pairwise, rank, retrieve, score
+from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, rank, retrieve, score
 from fewstep.plans.config import RunConfig
 from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
@@ -287,6 +287,26 @@ def _near(space: str, k: int) -> str:
 _SPACES_SQL = "WITH " + ", ".join(f"c_{s} AS (SELECT vec_id, (embedding::DOUBLE[])[{a}:{a + n - 1}] AS v FROM embeddings), u_{s} AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM c_{s})" for s, (a, n) in SPACES.items())
 
 
+@query(_topk_sql("full"))
+def cell_index_nearest(spark, d):
+    """The exact nearest by an index of cells and product codes; few whole vectors are read."""
+    rows = _space(spark, d)
+    return cells.search(rows, cells.build(rows), K)
+
+
+_BOTH_NEAR = "ranked AS (SELECT t, s, score, row_number() OVER (PARTITION BY t ORDER BY score DESC, s)::INT AS rank FROM (SELECT a.vec_id AS t, b.vec_id AS s, round(round(list_dot_product(a.u, b.u), 6) * 0.6::DOUBLE + round(list_dot_product(x.u, y.u), 6) * 0.4::DOUBLE, 6) AS score FROM u_ingr a JOIN u_ingr b ON a.vec_id <> b.vec_id JOIN u_full x ON x.vec_id = a.vec_id JOIN u_full y ON y.vec_id = b.vec_id))"
+
+
+def _hybrid_near(spark, d, k):
+    return merge.hybrid_top(cells.build(_space(spark, d, "ingr")), cells.build(_space(spark, d)), k, CONFIG.hybrid_w)
+
+
+@query(_SPACES_SQL + ", " + _BOTH_NEAR + " SELECT t, s, score, rank FROM ranked WHERE rank <= 5")
+def hybrid_nearest(spark, d):
+    """The nearest by both spaces at once, from two ranked lists."""
+    return _hybrid_near(spark, d, K)
+
+
 @query(_SPACES_SQL + " SELECT t, s FROM " + _near("full", K) + " UNION SELECT t, s FROM " + _near("ingr", K) + " UNION SELECT t, s FROM " + _near("instr", K))
 def candidate_union(spark, d):
     return retrieve.union_candidates(*[retrieve.topk_dot(_space(spark, d, s), K) for s in SPACES])
@@ -713,6 +733,32 @@ def run_retrieval(spark, d):
     return rank.run_mode(pairs, CONFIG)
 
 
+#: Vectors that the hybrid retrieval gives for each one.
+CAND_K = 50
+_HYBRID_RUN = _IN + _SPACES_SQL.replace("WITH ", ", ") + ", " + _BOTH_NEAR + f""", near AS (SELECT t AS a, s AS b FROM ranked WHERE rank <= {CAND_K} UNION ALL SELECT vec_id, vec_id FROM embeddings),
+ids AS (SELECT count(*) AS n FROM embeddings),
+hc AS (SELECT a.recipe AS t, b.recipe AS s, sum(a.w) AS common FROM h a JOIN heads b USING (feat), ids WHERE a.recipe <> b.recipe AND (a.recipe % n, b.recipe % n) IN (SELECT (a, b) FROM near) GROUP BY 1, 2),
+ingr AS (SELECT t, s, round(common / x.total, 6) AS ingr_recall, round(common / y.total, 6) AS ingr_precision FROM hc JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s)"""
+
+
+@query(_with(_HYBRID_RUN + _SCORED[len(_PAIRS):], _FEW))
+def run_hybrid(spark, d):
+    """The engine's ranking of recipes whose vectors are among each other's CAND_K nearest in both spaces at once, or equal.
+
+    The retrieval is of vectors; pairs of recipes come from the gates' prefixes and are kept if their vectors are near.
+    """
+    scratch = Scratch(spark, "run")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    h = scratch.stash(features.weighted(heads, features.idf(heads)))
+    near = _hybrid_near(spark, d, CAND_K).select(F.col("t").alias("a"), F.col("s").alias("b"))
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
+    near = scratch.stash(near.unionByName(own))
+    n = table(spark, d, "embeddings").count()
+    pairs = score.candidates(h, heads, CONFIG.min_ingr_recall, CONFIG.min_ingr_precision)
+    among = pairs.withColumn("a", F.col("t") % n).withColumn("b", F.col("s") % n).join(near, ["a", "b"], "left_semi").select("t", "s")
+    return rank.run_mode(score.scored(heads, ops, _recipe_vectors(spark, d, heads), CONFIG, among=scratch.stash(among)), CONFIG)
+
+
 @query(_SPACES_SQL + " SELECT t, s FROM " + _near("full", K) + " UNION SELECT t, s FROM " + _near("ingr", K) + " UNION SELECT t, s FROM " + _near("instr", K) + " UNION SELECT t, s FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT t, s, round(coalesce(a.score, 0) * 0.6::DOUBLE + coalesce(b.score, 0) * 0.4::DOUBLE, 6) AS score FROM " + _near("ingr", K) + " a FULL JOIN " + _near("full", K) + " b USING (t, s))) WHERE n <= 5")
 def candidate_union_hybrid(spark, d):
     lists = [retrieve.topk_dot(_space(spark, d, s), K) for s in SPACES]
