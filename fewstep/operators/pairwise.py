@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewstep.functions.vectors import dot
+from fewstep.plans.storage import Scratch
+
+#: Lines of a block; two blocks meet in a task. A document of more lines in a section is dealt over several blocks.
+TILE_LINES = 1000
+SECTIONS = ("ingr", "instr")
 
 
 def section_max(sim_instr, sim_ingr, alpha: float = 1.0, beta: float = 1.0, missing_is_zero: bool = False) -> F.Column:
@@ -16,35 +22,122 @@ def section_max(sim_instr, sim_ingr, alpha: float = 1.0, beta: float = 1.0, miss
     return F.coalesce(F.greatest(a, b), F.lit(0.0))
 
 
-def best_matches(lines: DataFrame) -> DataFrame:
-    """lines: doc, section, line, vec (unit). t, s, section, line, best: the best cosine of each line of t in s."""
-    t = lines.select(F.col("doc").alias("t"), "section", "line", F.col("vec").alias("_a"))
-    s = lines.select(F.col("doc").alias("s"), "section", F.col("vec").alias("_b"))
-    both = t.join(s, "section").where("t <> s")
-    return both.groupBy("t", "s", "section", "line").agg(F.round(F.max(dot(F.col("_a"), F.col("_b"))), 6).alias("best"))
+def _blocks(lines: DataFrame, size: int) -> tuple[DataFrame, int, bool]:
+    """lines with their block, the number of blocks, and whether a document is in more than one of them.
+
+    A document's lines of a section share a block unless they are more than size; then they have several.
+    """
+    sizes = Scratch(lines.sparkSession, "lines").stash(lines.groupBy("doc", "section").agg(F.count("*").alias("_n")))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+    blocks, split = max(1, -(-total["n"] // size)), total["most"] > size
+    piece = F.lit(0)
+    if split:
+        lines = lines.join(sizes, ["doc", "section"])
+        piece = F.pmod(F.xxhash64("line"), F.ceil(F.col("_n") / size))
+    own = F.pmod(F.xxhash64("doc", "section", piece), F.lit(blocks)).cast("int")
+    return lines.select("doc", "section", "line", "vec", own.alias("own")), blocks, split
+
+
+def _starts(docs: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
 
 
-def line_jaccard(best: DataFrame, lines: DataFrame, tau: float) -> DataFrame:
-    """t, s and the soft Jaccard of each section and overall, counted from t: asymmetric, and may exceed 1."""
-    sizes = lines.groupBy(F.col("doc"), "section").agg(F.count("*").alias("n"))
-    met = best.groupBy("t", "s", "section").agg(F.count_if(F.col("best") >= tau).alias("inter"))
-    met = met.join(sizes.select(F.col("doc").alias("t"), "section", F.col("n").alias("_t")), ["t", "section"]).join(sizes.select(F.col("doc").alias("s"), "section", F.col("n").alias("_s")), ["s", "section"])
-    union = F.col("_t") + F.col("_s") - F.col("inter")
-    met = met.withColumn("j", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
-    by = lambda x: F.coalesce(F.max(F.when(F.col("section") == x, F.col("j"))), F.lit(0.0))
-    out = met.groupBy("t", "s").agg(by("ingr").alias("jaccard_ingr"), by("instr").alias("jaccard_instr"))
-    return out.withColumn("jaccard_overall", F.round((F.col("jaccard_ingr") + F.col("jaccard_instr")) / 2, 6)).withColumn("jaccard_ingr", F.round("jaccard_ingr", 6)).withColumn("jaccard_instr", F.round("jaccard_instr", 6))
+def _tiles(lines: DataFrame, size: int, taus: list[float] | None) -> tuple[DataFrame, bool]:
+    """What every two blocks of a section give: one matrix product, and of it the largest of each line and source document.
+
+    taus None: t, s, section, line, best. Else t, s, section, n, total (of best, in millionths) and hard, the lines with
+    each tau or more; only for documents that are not split. Also returned is whether any is, so that rows must be combined.
+    """
+    rows, blocks, split = _blocks(lines, size)
+    rows = Scratch(lines.sparkSession, "tiles").stash(rows)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    t = rows.select("section", F.col("own").alias("x"), every.alias("y"), F.lit(True).alias("asks"), "doc", "line", "vec")
+    s = rows.select("section", every.alias("x"), F.col("own").alias("y"), F.lit(False).alias("asks"), "doc", "line", "vec")
+    kind, doc, line = dict(rows.dtypes)["section"], dict(rows.dtypes)["doc"], dict(rows.dtypes)["line"]
+    by_line = taus is None or split
+    schema = f"t {doc}, s {doc}, section {kind}, line {line}, best double" if by_line else f"t {doc}, s {doc}, section {kind}, n long, total long, hard array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = frame[frame["asks"]].sort_values("doc", kind="stable"), frame[~frame["asks"]].sort_values("doc", kind="stable")
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        source, target = b["doc"].to_numpy(), a["doc"].to_numpy()
+        starts = _starts(source)
+        best = np.round(np.maximum.reduceat(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, starts, axis=1), 6)
+        sources, section = source[starts], frame["section"].iloc[0]
+        if by_line:
+            i, j = np.nonzero(target[:, None] != sources[None, :])
+            return pd.DataFrame({"t": target[i], "s": sources[j], "section": section, "line": a["line"].to_numpy()[i], "best": best[i, j]})
+        rows = _starts(target)
+        targets, n = target[rows], np.diff(np.append(rows, len(target)))
+        total = np.add.reduceat(np.rint(best * 1e6).astype(np.int64), rows, axis=0)
+        hard = np.stack([np.add.reduceat((best >= tau).astype(np.int64), rows, axis=0) for tau in taus], axis=-1)
+        i, j = np.nonzero(targets[:, None] != sources[None, :])
+        return pd.DataFrame({"t": targets[i], "s": sources[j], "section": section, "n": n[i], "total": total[i, j], "hard": list(hard[i, j])})
+
+    return t.unionByName(s).groupBy("section", "x", "y").applyInPandas(tile, schema), split
+
+
+def best_matches(lines: DataFrame, size: int = TILE_LINES) -> DataFrame:
+    """lines: doc, section, line, vec (unit). t, s, section, line, best: the best cosine of each line of t in s.
+
+    As many rows as there are lines times documents. Lines of a repeated number count once, by their best match.
+    """
+    found, split = _tiles(lines, size, None)
+    return found.groupBy("t", "s", "section", "line").agg(F.max("best").alias("best")) if split else found
 
 
-def coverage(best: DataFrame, tau: float) -> DataFrame:
-    """t, s, section, soft (mean best match), hard (lines with one of tau or more).
+def line_sums(lines: DataFrame, taus: list[float], size: int = TILE_LINES) -> DataFrame:
+    """t, s, section, n, total, hard: the lines of t, their best cosines in s added up in millionths, and how many reach each tau.
 
-    The mean adds millionths as whole numbers and rounds them half up, so it does not depend on the
-    order of the rows.
+    The millionths are whole numbers, so the order of the rows does not matter. Sums are made where the tile is, unless a
+    document has too many lines for one block: then its partial largest ones are combined first.
     """
-    total, n = F.sum(F.round(F.col("best") * 1e6).cast("long")), F.count("best")
-    soft = F.floor((total * 2 + n) / (n * 2)) / F.lit(1e6)
-    return best.groupBy("t", "s", "section").agg(soft.alias("soft"), F.count_if(F.col("best") >= tau).alias("hard"))
+    found, split = _tiles(lines, size, taus)
+    if not split:
+        return found
+    best = found.groupBy("t", "s", "section", "line").agg(F.max("best").alias("best"))
+    hard = F.array(*[F.count_if(F.col("best") >= tau) for tau in taus])
+    return best.groupBy("t", "s", "section").agg(F.count("*").alias("n"), F.sum(F.round(F.col("best") * 1e6).cast("long")).alias("total"), hard.alias("hard"))
+
+
+def _soft() -> F.Column:
+    return F.floor((F.col("total") * 2 + F.col("n")) / (F.col("n") * 2)) / F.lit(1e6)
+
+
+def _jaccard(sums: DataFrame, lines: DataFrame, at: int) -> DataFrame:
+    sizes = lines.groupBy("doc", "section").agg(F.count("*").alias("_s"))
+    met = sums.join(sizes.withColumnRenamed("doc", "s"), ["s", "section"]).withColumn("inter", F.col("hard")[at])
+    union = F.col("n") + F.col("_s") - F.col("inter")
+    return met.withColumn("j", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
+
+
+def _of(section: str, value: str) -> F.Column:
+    return F.max(F.when(F.col("section") == section, F.col(value)))
+
+
+def line_jaccard(sums: DataFrame, lines: DataFrame, at: int = 0) -> DataFrame:
+    """t, s and the soft Jaccard of each section and overall, counted from t: asymmetric, and may exceed 1. at: which tau."""
+    zero = F.lit(0.0)
+    out = _jaccard(sums, lines, at).groupBy("t", "s").agg(*[F.coalesce(_of(x, "j"), zero).alias(f"jaccard_{x}") for x in SECTIONS])
+    overall = F.round((F.col("jaccard_ingr") + F.col("jaccard_instr")) / 2, 6)
+    return out.select("t", "s", *[F.round(f"jaccard_{x}", 6).alias(f"jaccard_{x}") for x in SECTIONS], overall.alias("jaccard_overall"))
+
+
+def coverage(sums: DataFrame, at: int = 0) -> DataFrame:
+    """t, s, section, soft (mean best match, rounded half up), hard (lines with the tau or more)."""
+    return sums.select("t", "s", "section", _soft().alias("soft"), F.col("hard")[at].alias("hard"))
+
+
+def line_metrics(sums: DataFrame, lines: DataFrame, w_instr: float = 0.5, w_ingr: float = 0.5, w: float = 0.6, at: int = 0) -> DataFrame:
+    """t, s and the earlier engine's metrics of a pair: coverage (the sections' soft ones by weight; an absent one counts 0),
+    jaccard (overall) and hybrid, w of the one and 1 - w of the other. The weight of hybrid is this package's own choice."""
+    zero = F.lit(0.0)
+    rows = _jaccard(sums, lines, at).withColumn("soft", _soft())
+    out = rows.groupBy("t", "s").agg(*[F.coalesce(_of(x, v), zero).alias(f"{v}_{x}") for x in SECTIONS for v in ("soft", "j")])
+    out = out.select("t", "s", F.round(F.col("soft_instr") * w_instr + F.col("soft_ingr") * w_ingr, 7).alias("coverage"), F.round((F.col("j_ingr") + F.col("j_instr")) / 2, 6).alias("jaccard"))
+    return out.withColumn("hybrid", F.round(F.col("coverage") * w + F.col("jaccard") * (1 - w), 6))
 
 
 def gap_lines(best: DataFrame, threshold: float) -> DataFrame:

@@ -238,12 +238,12 @@ w AS (SELECT t, s, coalesce(max(j) FILTER (WHERE section = 'ingr'), 0) AS a, coa
 SELECT t, s, round(a, 6) AS jaccard_ingr, round(b, 6) AS jaccard_instr, round((a + b) / 2, 6) AS jaccard_overall FROM w""")
 def line_jaccard(spark, d):
     lines = _lines(spark, d)
-    return pairwise.line_jaccard(pairwise.best_matches(lines), lines, TAU)
+    return pairwise.line_jaccard(pairwise.line_sums(lines, [TAU]), lines)
 
 
 @query(_LINES + f" SELECT t, s, section, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(best))::DOUBLE / (count(best) * 2)) / 1e6::DOUBLE AS soft, count(*) FILTER (WHERE best >= {TAU}) AS hard FROM best GROUP BY ALL")
 def line_best_match_coverage(spark, d):
-    return pairwise.coverage(pairwise.best_matches(_lines(spark, d)), TAU)
+    return pairwise.coverage(pairwise.line_sums(_lines(spark, d), [TAU]))
 
 
 @query(_LINES + " SELECT t, s, section, array_to_string(list_sort(list(line)), ',') AS gaps FROM best WHERE best < 0.3 GROUP BY t, s, section")
@@ -771,11 +771,22 @@ _V1 = _LINES + f" SELECT t, s, round(0.5::DOUBLE * max(soft) FILTER (WHERE secti
 @query(_V1)
 def weighted_line_coverage(spark, d):
     """The earlier engine's score: the sections' soft coverages by weight."""
-    soft = pairwise.coverage(pairwise.best_matches(_lines(spark, d)), TAU)
+    soft = pairwise.coverage(pairwise.line_sums(_lines(spark, d), [TAU]))
     of = lambda x: F.max(F.when(F.col("section") == x, F.col("soft")))
     return soft.groupBy("t", "s").agg(F.round(of("ingr") * 0.5 + of("instr") * 0.5, 7).alias("coverage"))
 
 
+@query(_LINES + f""", sizes AS (SELECT doc, section, count(*) AS n FROM lines GROUP BY ALL),
+m AS (SELECT t, s, section, count(*) AS n, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(*))::DOUBLE / (count(*) * 2)) / 1e6::DOUBLE AS soft, count(*) FILTER (WHERE best >= {TAU}) AS i FROM best GROUP BY ALL),
+j AS (SELECT m.*, i / (m.n + y.n - i) AS j FROM m JOIN sizes y ON y.doc = s AND y.section = m.section),
+p AS (SELECT t, s, round(0.5::DOUBLE * coalesce(max(soft) FILTER (WHERE section = 'instr'), 0) + 0.5::DOUBLE * coalesce(max(soft) FILTER (WHERE section = 'ingr'), 0), 7) AS coverage, round((coalesce(max(j) FILTER (WHERE section = 'ingr'), 0) + coalesce(max(j) FILTER (WHERE section = 'instr'), 0)) / 2, 6) AS jaccard FROM j GROUP BY t, s)
+SELECT *, round(coverage * 0.6::DOUBLE + jaccard * 0.4::DOUBLE, 6) AS hybrid FROM p""")
+def line_metrics(spark, d):
+    """The earlier engine's metrics, all from the same tiles."""
+    lines = _lines(spark, d)
+    return pairwise.line_metrics(pairwise.line_sums(lines, [TAU]), lines)
+
+
 @query("""WITH r AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem)
 SELECT count(*) AS count, round(avg(x), 6) AS mean, """ + ", ".join(f"max(x) FILTER (WHERE k = floor({p} * (n - 1))) AS p{round(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + ", min(x) AS min, max(x) AS max FROM r")
 def floor_rank_dist(spark, d):

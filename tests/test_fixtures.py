@@ -103,7 +103,7 @@ def test_weighted_jaccard(spark, recipes):
 def test_line_jaccard_may_exceed_one(spark):
     rows = [(0, "ingr", k, [1.0, 0.0]) for k in range(3)] + [(1, "ingr", 9, [1.0, 0.0])]
     lines = spark.createDataFrame(rows, "doc int, section string, line int, vec array<double>")
-    got = {(r["t"], r["s"]): r["jaccard_ingr"] for r in pairwise.line_jaccard(pairwise.best_matches(lines), lines, 0.8).collect()}
+    got = {(r["t"], r["s"]): r["jaccard_ingr"] for r in pairwise.line_jaccard(pairwise.line_sums(lines, [0.8]), lines).collect()}
     assert got[0, 1] == 3.0 and got[1, 0] == pytest.approx(1 / 3, abs=1e-6)
 
 
