@@ -108,3 +108,46 @@ def frequencies(features: DataFrame, n: int = 20) -> DataFrame:
 def target_coverage(rows: DataFrame, recipes: DataFrame) -> DataFrame:
     """The part of all recipes that have a result."""
     return rows.agg(F.count_distinct("t").alias("covered")).join(recipes.agg(F.count_distinct("recipe").alias("recipes"))).withColumn("part", F.round(F.col("covered") / F.col("recipes"), 6))
+
+
+def marked(pairs: DataFrame, settings: list[F.Column]) -> DataFrame:
+    """pairs with passes, whose bit k says whether the pair passes the k-th setting; pairs that pass none go."""
+    if not 0 < len(settings) < 63:
+        raise ValueError("a mask holds 1 to 62 settings")
+    bits = [F.when(F.coalesce(x, F.lit(False)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, x in enumerate(settings)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return pairs.withColumn("passes", out).where("passes <> 0")
+
+
+def _passes(k: int) -> F.Column:
+    return F.col("passes").bitwiseAND(F.lit(1 << k).cast("long")) != 0
+
+
+def ranked_by_setting(pairs: DataFrame, settings: list[F.Column], k: int) -> DataFrame:
+    """setting, t, rank and the pair's columns: the k best of each target in each setting, of pairs scored once."""
+    rows = marked(pairs, settings)
+    which = F.filter(F.array(*[F.when(_passes(n), F.lit(n)) for n in range(len(settings))]), lambda x: x.isNotNull())
+    order = Window.partitionBy("setting", "t").orderBy(F.desc("edit_score"), "switch_cost", F.desc_nulls_last("sim"), "s")
+    rows = rows.withColumn("setting", F.explode(which)).drop("passes")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def sweep_summary(pairs: DataFrame, settings: list[dict], tests: list[F.Column], values: list[str], digits: int = 3) -> DataFrame:
+    """A row per setting: its parameters, the targets that have a source, and the means of their first sources' values.
+
+    The pairs are read once. A target's first source in every setting is found in one aggregation, by minima over the pairs
+    that pass; the means of all settings come out as one row.
+    """
+    order = [-F.col("edit_score"), F.col("switch_cost"), F.col("sim").isNull(), -F.col("sim"), F.col("s")]
+    best = F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)], *values)
+    firsts = marked(pairs, tests).groupBy("t").agg(*[F.min(F.when(_passes(k), best)).alias(f"b{k}") for k in range(len(settings))])
+    row = firsts.agg(*[F.struct(F.count(f"b{k}").alias("targets"), *[F.round(F.avg(F.col(f"b{k}")[v]), digits).alias(f"mean_{v}") for v in values]).alias(f"b{k}") for k in range(len(settings))])
+    told = F.explode(F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in p.items()], F.col(f"b{k}").alias("_m")) for k, p in enumerate(settings)]))
+    return row.select(told.alias("x")).select("x.*").select(*settings[0], "_m.*")
+
+
+def first_of_methods(lists: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """lists: method, t, s, rank, value. The first source of each target by each method, with the costs of the pair."""
+    return lists.where("rank = 1").join(pairs.select("t", "s", *columns), ["t", "s"])

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.operators.score import HALF
 from fewstep.plans.storage import Scratch
 
 #: Lines of a block; two blocks meet in a task. A document of more lines in a section is dealt over several blocks.
@@ -137,7 +138,7 @@ def line_metrics(sums: DataFrame, lines: DataFrame, w_instr: float = 0.5, w_ingr
     rows = _jaccard(sums, lines, at).withColumn("soft", _soft())
     out = rows.groupBy("t", "s").agg(*[F.coalesce(_of(x, v), zero).alias(f"{v}_{x}") for x in SECTIONS for v in ("soft", "j")])
     out = out.select("t", "s", F.round(F.col("soft_instr") * w_instr + F.col("soft_ingr") * w_ingr, 7).alias("coverage"), F.round((F.col("j_ingr") + F.col("j_instr")) / 2, 6).alias("jaccard"))
-    return out.withColumn("hybrid", F.round(F.col("coverage") * w + F.col("jaccard") * (1 - w), 6))
+    return out.withColumn("hybrid", F.round(F.col("coverage") * w + F.col("jaccard") * (1 - w) + HALF, 6))
 
 
 def gap_lines(best: DataFrame, threshold: float) -> DataFrame:

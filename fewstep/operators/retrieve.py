@@ -104,6 +104,23 @@ def head_overlap(sets: DataFrame, cap: int | None = None) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
+def nearest_recipes(recipes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """t, s, score, rank: the k recipes whose vectors have the largest dot product with the target's; ties by vector, then recipe.
+
+    recipes: recipe, id of its vector, which many may share. vectors: id, vec. Vectors are compared, not recipes: a target's
+    k nearest are among the first k + 1 recipes of the k + 1 nearest vectors.
+    """
+    used = recipes.select("id").distinct()
+    rows = vectors.join(used, "id", "left_semi")
+    near = topk_dot(rows, k).select(F.col("t").alias("_a"), F.col("s").alias("id"), "score")
+    own = rows.select(F.col("id").alias("_a"), "id", F.round(dot(F.col("vec"), F.col("vec")), 6).alias("score"))
+    first = recipes.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("recipe"))).where(F.col("_n") <= k + 1).select("id", F.col("recipe").alias("s"))
+    order = Window.partitionBy("_a").orderBy(F.desc("score"), "id", "s")
+    listed = near.unionByName(own).join(first, "id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    both = recipes.select(F.col("recipe").alias("t"), F.col("id").alias("_a")).join(listed, "_a").where("t <> s")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("_n"))).where(F.col("rank") <= k).select("t", "s", "score", "rank")
+
+
 def union_candidates(*tables: DataFrame) -> DataFrame:
     """t, s that any table has."""
     out = tables[0].select("t", "s")
@@ -112,6 +129,21 @@ def union_candidates(*tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def with_fallback(candidates: DataFrame, recipes: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """candidates (t, s), and for each recipe without one every other recipe.
+
+    Only targets without a candidate meet all recipes: targets and recipes go to blocks, and two blocks meet in a task.
+    """
+    bare = recipes.select("recipe").distinct().join(candidates.select(F.col("t").alias("recipe")), "recipe", "left_anti")
+    n, m = bare.count(), recipes.count()
+    if not n:
+        return candidates.select("t", "s")
+    a, b = max(1, -(-n // size)), max(1, -(-m // size))
+    t = bare.select(F.col("recipe").alias("t"), F.pmod(F.xxhash64("recipe"), F.lit(a)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("y"))
+    s = recipes.select("recipe").distinct().select(F.col("recipe").alias("s"), F.pmod(F.xxhash64("recipe"), F.lit(b)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("x"))
+    return candidates.select("t", "s").unionByName(t.join(s, ["x", "y"]).where("t <> s").select("t", "s"))
+
+
 def hybrid(near_ingr: DataFrame, near_full: DataFrame, w: float = 0.6) -> DataFrame:
     """The union of two nearest lists, scored w of the one and 1 - w of the other (0 where absent)."""
     a = near_ingr.select("t", "s", F.col("score").alias("_a"))

@@ -13,6 +13,8 @@ from fewstep.operators.features import idf, totals, weighted
 from fewstep.plans.config import RunConfig
 
 DIGITS = 6
+#: Added before costs are rounded: their seventh digit is often an exact 5, which binary numbers may fall short of.
+HALF = 1e-9
 
 
 def prefixes(weighed: DataFrame, least_recall: float) -> DataFrame:
@@ -151,8 +153,8 @@ def costs(pairs: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     miss_i, extra_i = 1 - F.col("ingr_recall"), 1 - F.col("ingr_precision")
     miss_o, extra_o = 1 - F.col("ops_recall"), 1 - F.col("ops_precision")
     gap = 1 - F.col("sim")
-    out = pairs.withColumn("switch_cost", F.round(miss_i * config.a_m + extra_i * config.a_f + miss_o * config.b_m + extra_o * config.b_f, DIGITS))
-    out = out.withColumn("edit_cost", F.round(F.col("switch_cost") + gap * config.c, DIGITS))
+    out = pairs.withColumn("switch_cost", F.round(miss_i * config.a_m + extra_i * config.a_f + miss_o * config.b_m + extra_o * config.b_f + HALF, DIGITS))
+    out = out.withColumn("edit_cost", F.round(F.col("switch_cost") + gap * config.c + HALF, DIGITS))
     out = out.withColumn("edit_score", F.round(F.exp(-F.col("edit_cost")), DIGITS))
     out = out.withColumn("legacy_score", F.round(F.exp(-(miss_i * config.a + miss_o * config.b + gap * config.c)), DIGITS))
     return out.withColumn("in_zone", F.col("switch_cost").between(config.min_switch_cost, config.max_switch_cost))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fewstep.functions import text as tx
 from fewstep.functions.vectors import cosine, dot, doubles, l2_normalise
 from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, rank, retrieve, score
-from fewstep.plans.config import RunConfig
+from fewstep.plans.config import RunConfig, sweep
 from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
 
@@ -93,8 +93,8 @@ cut AS (SELECT vec_id, (embedding::DOUBLE[])[33:64] AS v FROM embeddings),
 unit AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS vec FROM cut),
 rv AS (SELECT recipe, vec FROM (SELECT DISTINCT recipe FROM heads) JOIN unit ON vec_id = recipe % (SELECT count(*) FROM embeddings)),
 simmed AS (SELECT four.*, round(list_dot_product(x.vec, y.vec), 6) AS sim FROM four JOIN rv x ON x.recipe = t JOIN rv y ON y.recipe = s WHERE ops_recall >= 0.45 AND ops_precision >= 0.30),
-switched AS (SELECT *, round((1 - ingr_recall) * 0.55::DOUBLE + (1 - ingr_precision) * 0.15::DOUBLE + (1 - ops_recall) * 0.15::DOUBLE + (1 - ops_precision) * 0.05::DOUBLE, 6) AS switch_cost FROM simmed),
-edited AS (SELECT *, round(switch_cost + (1 - sim) * 0.1::DOUBLE, 6) AS edit_cost FROM switched),
+switched AS (SELECT *, round((1 - ingr_recall) * 0.55::DOUBLE + (1 - ingr_precision) * 0.15::DOUBLE + (1 - ops_recall) * 0.15::DOUBLE + (1 - ops_precision) * 0.05::DOUBLE + 1e-9::DOUBLE, 6) AS switch_cost FROM simmed),
+edited AS (SELECT *, round(switch_cost + (1 - sim) * 0.1::DOUBLE + 1e-9::DOUBLE, 6) AS edit_cost FROM switched),
 scored AS (SELECT *, round(exp(-edit_cost), 6) AS edit_score, round(exp(-((1 - ingr_recall) * 0.6::DOUBLE + (1 - ops_recall) * 0.3::DOUBLE + (1 - sim) * 0.1::DOUBLE)), 6) AS legacy_score,
            switch_cost BETWEEN 0.02 AND 0.25 AS in_zone FROM edited WHERE sim >= {sim})"""
 
@@ -593,10 +593,6 @@ _METHODS = ", closest AS (" + _CLOSEST + "), few AS (" + _FEW + "), legacy AS ("
 
 
 METHODS = {"closest": ("edit_score", None), "few_switches": ("edit_score", "in_zone"), "legacy": ("legacy_score", None)}
-#: All that the comparison ranks by: those, and similarity, either share of the heads and of the techniques, and the plain switch cost.
-ALL_METHODS = METHODS | {"sim": ("sim", None), "ingr_recall": ("ingr_recall", None), "ingr_precision": ("ingr_precision", None), "ops_recall": ("ops_recall", None), "ops_precision": ("ops_precision", None)}
-
-
 def _method_lists(spark, d, methods=METHODS):
     keep = ["t", "s", "rank", "switch_cost", "edit_cost", "edit_score", "in_zone"]
     return evaluate.ranked_by(_scored(spark, d), methods, 5).where("method <> 'few_switches' OR in_zone").select("method", *keep)
@@ -641,41 +637,139 @@ def regret(spark, d):
     return evaluate.regret(top, top.where("method = 'few_switches'"))
 
 
-_BY_SIM = _TOP.format(by="t", other="s", score="sim", where="")
+# ---- all eight methods: five lists of a retrieval each, and three of the engine over all that those hold
 
+SIMS = {"sim_full": "full", "sim_ingr_embed": "ingr", "sim_instr": "instr"}
+ALL_METHODS = [*SIMS, "sim_heads_wjaccard", "sim_ops_wjaccard", "legacy", "closest", "few_switches"]
+_COSTS = ["switch_cost", "edit_cost", "in_zone", "ingr_recall", "ingr_precision", "ops_recall", "ops_precision", "sim"]
 
-@query(_with(_SCORED, ", near AS (" + _CLOSEST + "), sims AS (" + _BY_SIM + ") SELECT a.t, a.s, a.switch_cost, b.s AS best_s, b.switch_cost AS best_cost FROM (SELECT * FROM sims WHERE rank = 1) a JOIN (SELECT * FROM near WHERE rank = 1) b ON a.t = b.t WHERE a.switch_cost > b.switch_cost AND a.switch_cost >= 0.9 * 0.25 ORDER BY a.t LIMIT 50"))
-def disagreement(spark, d):
-    """Targets whose most similar source costs clearly more than the closest one."""
-    lists = _method_lists(spark, d, {m: ALL_METHODS[m] for m in ("sim", "closest")}).where("rank = 1")
-    lists = Scratch(spark, "lists").stash(lists)
-    return evaluate.disagreements(lists.where("method = 'sim'"), lists.where("method = 'closest'"))
+
+def _near_recipes_sql(space: str) -> str:
+    return f"""vn_{space} AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.u, y.u), 6) AS score FROM u_{space} x, u_{space} y WHERE x.vec_id IN (SELECT vec FROM r) AND y.vec_id IN (SELECT vec FROM r))) WHERE n <= 6),
+l_{space} AS (SELECT * FROM (SELECT x.recipe AS t, y.recipe AS s, row_number() OVER (PARTITION BY x.recipe ORDER BY score DESC, b, y.recipe)::INT AS rank, score AS value FROM r x JOIN vn_{space} ON a = x.vec JOIN r y ON y.vec = b WHERE x.recipe <> y.recipe) WHERE rank <= 5)"""
+
+
+def _wjaccard_sql(name: str, sets: str, weighed: str, totals: str, rare: int) -> str:
+    return f"""rare_{name} AS (SELECT recipe, feat FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY w DESC, feat) AS n FROM {weighed}) WHERE n <= {rare}),
+c_{name} AS (SELECT DISTINCT a.recipe AS t, b.recipe AS s FROM rare_{name} a JOIN {sets} b USING (feat) WHERE a.recipe <> b.recipe),
+j_{name} AS (SELECT t, s, sum(a.w) AS common FROM c_{name} JOIN {weighed} a ON a.recipe = t JOIN {sets} b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
+l_{name} AS (SELECT * FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY value DESC, s)::INT AS rank, value FROM (SELECT t, s, round(common / (x.total + y.total - common), 6) AS value FROM j_{name} JOIN {totals} x ON x.recipe = t JOIN {totals} y ON y.recipe = s)) WHERE rank <= 5)"""
 
 
-_ALL_LISTS = ", lists AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, t, s, rank, switch_cost, edit_score FROM ({_TOP.format(by='t', other='s', score=by, where='WHERE in_zone' if only else '')})" for m, (by, only) in ALL_METHODS.items()) + ")"
+_LISTED = _IN + _SPACES_SQL.replace("WITH ", ", ") + ", r AS (SELECT DISTINCT recipe, recipe % (SELECT count(*) FROM embeddings) AS vec FROM heads), " + ", ".join(_near_recipes_sql(x) for x in SIMS.values()) + ", " + _wjaccard_sql("heads", "heads", "h", "ht", 2) + ", " + _wjaccard_sql("ops", "opsets", "o", "ot", 1) + """,
+five AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM l_{x}" for m, x in [*SIMS.items(), ("sim_heads_wjaccard", "heads"), ("sim_ops_wjaccard", "ops")]) + """),
+cand AS (SELECT DISTINCT t, s FROM five),
+hc AS (SELECT t, s, sum(a.w) AS common FROM cand JOIN h a ON a.recipe = t JOIN heads b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
+oc AS (SELECT t, s, sum(a.w) AS common FROM cand JOIN o a ON a.recipe = t JOIN opsets b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
+four AS (SELECT t, s, round(coalesce(hc.common, 0) / x.total, 6) AS ingr_recall, round(coalesce(hc.common, 0) / y.total, 6) AS ingr_precision, round(coalesce(oc.common, 0) / p.total, 6) AS ops_recall, round(coalesce(oc.common, 0) / q.total, 6) AS ops_precision
+  FROM cand LEFT JOIN hc USING (t, s) LEFT JOIN oc USING (t, s) JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s JOIN ot p ON p.recipe = t JOIN ot q ON q.recipe = s),
+simmed AS (SELECT four.*, round(list_dot_product(x.u, y.u), 6) AS sim FROM four JOIN r a ON a.recipe = t JOIN r b ON b.recipe = s JOIN u_instr x ON x.vec_id = a.vec JOIN u_instr y ON y.vec_id = b.vec),
+""" + _SCORED[_SCORED.index("switched AS"):].replace(" WHERE sim >= {sim}", "") + """,
+run AS (SELECT * FROM scored WHERE ingr_recall >= 0.55 AND ingr_precision >= 0.55 AND ops_recall >= 0.45 AND ops_precision >= 0.30 AND sim >= 0.0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY edit_score DESC, switch_cost, sim DESC, s) AS n FROM run WHERE in_zone) WHERE n = 1),
+engine AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS method, t, s, rank, value FROM (SELECT t, s, {v} AS value, row_number() OVER (PARTITION BY t ORDER BY {v} DESC, switch_cost, sim DESC NULLS LAST, s)::INT AS rank FROM scored {where}) WHERE rank <= 5" for m, v, where in (("legacy", "legacy_score", ""), ("closest", "edit_score", ""), ("few_switches", "edit_score", "WHERE in_zone"))) + """),
+lists AS (SELECT method, t, s, rank, value FROM five UNION ALL SELECT * FROM engine),
+top1 AS (SELECT method, t, s, value, """ + ", ".join(_COSTS) + """ FROM lists JOIN scored USING (t, s) WHERE rank = 1)"""
 
 
-@query(_with(_SCORED, _ALL_LISTS + " SELECT method, count(*) AS count, round(avg(switch_cost), 6) AS mean, round(quantile_cont(switch_cost, 0.1), 6) AS p10, round(quantile_cont(switch_cost, 0.5), 6) AS p50, round(quantile_cont(switch_cost, 0.9), 6) AS p90, min(switch_cost) AS min, max(switch_cost) AS max FROM lists WHERE rank = 1 GROUP BY method"))
+def _compared(spark, d):
+    """lists of all methods (method, t, s, rank, value), their pairs scored without gates, and the run's pairs of those."""
+    scratch = Scratch(spark, "compared")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    n = table(spark, d, "embeddings").count()
+    recipes = scratch.stash(heads.select("recipe").distinct().withColumn("id", F.col("recipe") % n))
+    five = {m: retrieve.nearest_recipes(recipes, _space(spark, d, x), 5) for m, x in SIMS.items()}
+    for name, sets, rare in (("heads", heads, 2), ("ops", ops, 1)):
+        weighed = scratch.stash(features.weighted(sets, features.idf(sets)))
+        five[f"sim_{name}_wjaccard"] = retrieve.top_k(retrieve.weighted_jaccard(weighed, rare=rare), 5)
+    listed = None
+    for m, x in five.items():
+        x = x.select(F.lit(m).alias("method"), "t", "s", "rank", F.col("score").alias("value"))
+        listed = x if listed is None else listed.unionByName(x)
+    listed = scratch.stash(listed)
+    among = retrieve.with_fallback(listed.select("t", "s").distinct(), recipes.select("recipe"))
+    pairs = scratch.stash(score.scored(heads, ops, _recipe_vectors(spark, d, heads), RunConfig(gates=False), among=scratch.stash(among)))
+    engine = evaluate.ranked_by(pairs, METHODS, 5).where("method <> 'few_switches' OR in_zone")
+    engine = engine.withColumn("value", F.when(F.col("method") == "legacy", F.col("legacy_score")).otherwise(F.col("edit_score")))
+    lists = scratch.stash(listed.unionByName(engine.select(*listed.columns)))
+    return lists, pairs, score.gate(pairs, CONFIG)
+
+
+def _compared_first(spark, d):
+    lists, pairs, run = _compared(spark, d)
+    return evaluate.first_of_methods(lists, pairs, _COSTS), run
+
+
+@query(_with(_LISTED, "SELECT method, count(*) AS count, round(avg(switch_cost), 6) AS mean, round(quantile_cont(switch_cost, 0.1), 6) AS p10, round(quantile_cont(switch_cost, 0.5), 6) AS p50, round(quantile_cont(switch_cost, 0.9), 6) AS p90, min(switch_cost) AS min, max(switch_cost) AS max FROM top1 GROUP BY method"))
 def all_methods_summary(spark, d):
-    return evaluate.quantile_summary(_method_lists(spark, d, ALL_METHODS).where("rank = 1"), "method", "switch_cost")
+    return evaluate.quantile_summary(_compared_first(spark, d)[0], "method", "switch_cost")
+
 
+_WIDE = ["other", "value", *_COSTS]
 
-@query(_with(_SCORED, _ALL_LISTS + " SELECT t, " + ", ".join(f"max({v}) FILTER (WHERE method = '{m}') AS {m}_{v}" for m in ALL_METHODS for v in ("other", "switch_cost")) + " FROM (SELECT *, s::VARCHAR AS other FROM lists WHERE rank = 1) GROUP BY t"))
+
+@query(_with(_LISTED, "SELECT x.*, b.s AS best_source, b.switch_cost AS best_switch_cost, b.edit_cost AS best_edit_cost FROM (SELECT t, " + ", ".join(f"max({v}) FILTER (WHERE method = '{m}') AS {m}_{v}" for m in ALL_METHODS for v in _WIDE) + " FROM (SELECT *, s::VARCHAR AS other FROM top1) GROUP BY t) x LEFT JOIN best b ON b.t = x.t"))
 def all_methods_wide(spark, d):
-    top = _method_lists(spark, d, ALL_METHODS).where("rank = 1").withColumn("other", F.col("s").cast("string"))
-    return evaluate.top1_wide(top, list(ALL_METHODS), ["other", "switch_cost"])
+    """A row per target: of each method its first source, its value and the pair's costs, and the run's best source."""
+    top, run = _compared_first(spark, d)
+    best = rank.ranked(run.where("in_zone"), 1).select("t", F.col("s").alias("best_source"), F.col("switch_cost").alias("best_switch_cost"), F.col("edit_cost").alias("best_edit_cost"))
+    return evaluate.top1_wide(top.withColumn("other", F.col("s").cast("string")), ALL_METHODS, _WIDE).join(best, "t", "left")
 
 
-_SEVEN = [m for m in ALL_METHODS if m != "legacy"]
+@query(_with(_LISTED, "SELECT l.method, round(avg(in_zone::INT), 6) AS zone_rate, round(avg((l.switch_cost < 0.02)::INT), 6) AS duplicate_rate, count(*) AS targets, round(avg(l.switch_cost - b.switch_cost), 6) AS switch_regret, round(avg(l.edit_cost - b.edit_cost), 6) AS edit_regret FROM top1 l LEFT JOIN (SELECT t, switch_cost, edit_cost FROM best) b USING (t) GROUP BY l.method"))
+def all_methods_rates(spark, d):
+    """Hits of the zone, duplicates, and the mean regret against the run's best source."""
+    top, run = _compared_first(spark, d)
+    top = Scratch(spark, "top").stash(top)
+    lost = evaluate.regret(top, rank.ranked(run.where("in_zone"), 1)).groupBy("method").agg(F.round(F.avg("switch_regret"), 6).alias("switch_regret"), F.round(F.avg("edit_regret"), 6).alias("edit_regret"))
+    return evaluate.rates(top).join(lost, "method", "left")
 
 
-@query(_with(_SCORED, _ALL_LISTS + """, l AS (SELECT * FROM lists WHERE method <> 'legacy'), p AS (SELECT a.t, a.method AS method_a, b.method AS method_b, count(*) AS both_n FROM l a JOIN l b ON a.t = b.t AND a.s = b.s AND a.method < b.method GROUP BY ALL),
+@query(_with(_LISTED, """, l AS (SELECT * FROM lists WHERE method <> 'legacy'), p AS (SELECT a.t, a.method AS method_a, b.method AS method_b, count(*) AS both_n FROM l a JOIN l b ON a.t = b.t AND a.s = b.s AND a.method < b.method GROUP BY ALL),
 n AS (SELECT t, method, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT DISTINCT method FROM l),
 e AS (SELECT q.t, x.method AS method_a, y.method AS method_b FROM (SELECT DISTINCT t FROM l) q, m x, m y WHERE x.method < y.method),
 j AS (SELECT e.method_a, e.method_b, coalesce(both_n, 0) / (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(both_n, 0)) AS j FROM e LEFT JOIN n na ON na.t = e.t AND na.method = e.method_a LEFT JOIN n nb ON nb.t = e.t AND nb.method = e.method_b LEFT JOIN p ON p.t = e.t AND p.method_a = e.method_a AND p.method_b = e.method_b WHERE coalesce(na.n, 0) + coalesce(nb.n, 0) > 0)
 SELECT method_a, method_b, round(avg(j), 6) AS mean_jaccard, count(*) AS targets FROM j GROUP BY ALL"""))
 def agreement_of_seven(spark, d):
-    return evaluate.agreement(Scratch(spark, "lists").stash(_method_lists(spark, d, {m: ALL_METHODS[m] for m in _SEVEN})))
+    return evaluate.agreement(_compared(spark, d)[0].where("method <> 'legacy'"))
+
+
+_GONE = ", ".join(f"(SELECT string_agg(feat::VARCHAR, ',' ORDER BY w DESC, feat) FROM (SELECT x.feat, x.w FROM {w} x WHERE x.recipe = e.{of} AND NOT EXISTS (FROM {sets} y WHERE y.recipe = e.{other} AND y.feat = x.feat) ORDER BY w DESC, feat LIMIT 30)) AS {name}" for name, w, sets, of, other in (("missing_heads", "h", "heads", "t", "best_s"), ("extra_heads", "h", "heads", "best_s", "t"), ("missing_ops", "o", "opsets", "t", "best_s"), ("extra_ops", "o", "opsets", "best_s", "t")))
+
+
+@query(_with(_LISTED, f", e AS (SELECT a.t, a.s, a.value AS sim_full, a.switch_cost, b.s AS best_s, b.switch_cost AS best_cost FROM top1 a JOIN best b ON a.t = b.t WHERE a.method = 'sim_full' AND a.switch_cost > b.switch_cost AND a.switch_cost >= 0.9 * 0.25 ORDER BY a.t LIMIT 50) SELECT *, {_GONE} FROM e"))
+def disagreement(spark, d):
+    """Targets whose most similar source, by their vectors alone, costs clearly more than the run's best, and what sets that one apart."""
+    top, run = _compared_first(spark, d)
+    rows = evaluate.disagreements(top.where("method = 'sim_full'"), rank.ranked(run.where("in_zone"), 1))
+    scratch = Scratch(spark, "disagreement")
+    rows = scratch.stash(rows.join(top.where("method = 'sim_full'").select("t", F.col("value").alias("sim_full")), "t"))
+    pairs = rows.select("t", F.col("best_s").alias("s"))
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    for kind, sets in (("heads", heads), ("ops", ops)):
+        weighed = scratch.stash(features.weighted(sets, features.idf(sets)))
+        for name, of, other in ((f"missing_{kind}", "t", "s"), (f"extra_{kind}", "s", "t")):
+            gone = explain.as_list(explain.difference(pairs, weighed, sets, of, other, CONFIG.explain_top_n), name)
+            rows = rows.join(gone.select("t", F.array_join(name, ",").alias(name)), "t", "left")
+    return rows
+
+
+# ---- many settings in one plan
+
+GRID = {"min_ingr_recall": [0.55, 0.6, 0.65, 0.7], "min_ops_recall": [0.45, 0.6, 0.75], "max_switch_cost": [0.2, 0.25]}
+
+
+def _sweep_sql() -> str:
+    one = "SELECT {a}::DOUBLE AS min_ingr_recall, {b}::DOUBLE AS min_ops_recall, {c}::DOUBLE AS max_switch_cost, count(*) AS targets, round(avg(ingr_recall), 3) AS mean_ingr_recall, round(avg(ops_recall), 3) AS mean_ops_recall, round(avg(sim), 3) AS mean_sim, round(avg(switch_cost), 3) AS mean_switch_cost FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY edit_score DESC, switch_cost, sim DESC NULLS LAST, s) AS n FROM scored WHERE ingr_recall >= {a} AND ops_recall >= {b} AND switch_cost BETWEEN 0.02 AND {c}) WHERE n = 1"
+    return _with(_SCORED, " UNION ALL ".join(one.format(a=x["min_ingr_recall"], b=x["min_ops_recall"], c=x["max_switch_cost"]) for x in sweep(**GRID)))
+
+
+@query(_sweep_sql())
+def sweep_settings(spark, d):
+    """24 settings of the engine: pairs are scored once, under the loosest gates, and marked with the settings they pass."""
+    settings = sweep(**GRID)
+    tests = [(F.col("ingr_recall") >= x["min_ingr_recall"]) & (F.col("ops_recall") >= x["min_ops_recall"]) & F.col("switch_cost").between(CONFIG.min_switch_cost, x["max_switch_cost"]) for x in settings]
+    return evaluate.sweep_summary(_scored(spark, d), settings, tests, ["ingr_recall", "ops_recall", "sim", "switch_cost"])
 
 
 @query(_with(_SCORED, _MISSING + " SELECT feat, count(*) AS times FROM missing GROUP BY feat ORDER BY times DESC, feat LIMIT 20"))
@@ -759,10 +853,11 @@ def run_hybrid(spark, d):
     return rank.run_mode(score.scored(heads, ops, _recipe_vectors(spark, d, heads), CONFIG, among=scratch.stash(among)), CONFIG)
 
 
-@query(_SPACES_SQL + " SELECT t, s FROM " + _near("full", K) + " UNION SELECT t, s FROM " + _near("ingr", K) + " UNION SELECT t, s FROM " + _near("instr", K) + " UNION SELECT t, s FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT t, s, round(coalesce(a.score, 0) * 0.6::DOUBLE + coalesce(b.score, 0) * 0.4::DOUBLE, 6) AS score FROM " + _near("ingr", K) + " a FULL JOIN " + _near("full", K) + " b USING (t, s))) WHERE n <= 5")
+@query(_with(_LISTED, "SELECT t, s, count(*) AS methods FROM five GROUP BY t, s"))
 def candidate_union_hybrid(spark, d):
-    lists = [retrieve.topk_dot(_space(spark, d, s), K) for s in SPACES]
-    return retrieve.union_candidates(*lists, retrieve.top_k(retrieve.hybrid(lists[1], lists[0]), K))
+    """The union of all five lists, with how many of them have the pair."""
+    lists = _compared(spark, d)[0].where(F.col("method").isin(*SIMS, "sim_heads_wjaccard", "sim_ops_wjaccard"))
+    return lists.groupBy("t", "s").agg(F.count("*").alias("methods"))
 
 
 _V1 = _LINES + f" SELECT t, s, round(0.5::DOUBLE * max(soft) FILTER (WHERE section = 'ingr') + 0.5::DOUBLE * max(soft) FILTER (WHERE section = 'instr'), 7) AS coverage FROM (SELECT t, s, section, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(best))::DOUBLE / (count(best) * 2)) / 1e6::DOUBLE AS soft FROM best GROUP BY ALL) GROUP BY t, s"
@@ -780,7 +875,7 @@ def weighted_line_coverage(spark, d):
 m AS (SELECT t, s, section, count(*) AS n, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(*))::DOUBLE / (count(*) * 2)) / 1e6::DOUBLE AS soft, count(*) FILTER (WHERE best >= {TAU}) AS i FROM best GROUP BY ALL),
 j AS (SELECT m.*, i / (m.n + y.n - i) AS j FROM m JOIN sizes y ON y.doc = s AND y.section = m.section),
 p AS (SELECT t, s, round(0.5::DOUBLE * coalesce(max(soft) FILTER (WHERE section = 'instr'), 0) + 0.5::DOUBLE * coalesce(max(soft) FILTER (WHERE section = 'ingr'), 0), 7) AS coverage, round((coalesce(max(j) FILTER (WHERE section = 'ingr'), 0) + coalesce(max(j) FILTER (WHERE section = 'instr'), 0)) / 2, 6) AS jaccard FROM j GROUP BY t, s)
-SELECT *, round(coverage * 0.6::DOUBLE + jaccard * 0.4::DOUBLE, 6) AS hybrid FROM p""")
+SELECT *, round(coverage * 0.6::DOUBLE + jaccard * 0.4::DOUBLE + 1e-9::DOUBLE, 6) AS hybrid FROM p""")
 def line_metrics(spark, d):
     """The earlier engine's metrics, all from the same tiles."""
     lines = _lines(spark, d)
