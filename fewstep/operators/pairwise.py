@@ -36,24 +36,31 @@ def _blocks(lines: DataFrame, size: int) -> tuple[DataFrame, int, bool]:
         lines = lines.join(sizes, ["doc", "section"])
         piece = F.pmod(F.xxhash64("line"), F.ceil(F.col("_n") / size))
     own = F.pmod(F.xxhash64("doc", "section", piece), F.lit(blocks)).cast("int")
-    return lines.select("doc", "section", "line", "vec", own.alias("own")), blocks, split
+    return lines.select("doc", "section", "line", "vec", own.alias("own"), *(["group"] if "group" in lines.columns else [])), blocks, split
 
 
 def _starts(docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
 
 
-def _tiles(lines: DataFrame, size: int, taus: list[float] | None) -> tuple[DataFrame, bool]:
+def _tiles(lines: DataFrame, size: int, taus: list[float] | None, among: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """What every two blocks of a section give: one matrix product, and of it the largest of each line and source document.
 
     taus None: t, s, section, line, best. Else t, s, section, n, total (of best, in millionths) and hard, the lines with
     each tau or more; only for documents that are not split. Also returned is whether any is, so that rows must be combined.
+    among: gx, gy, the groups of documents (a column group of lines) that meet; a bounded number of rows.
     """
     rows, blocks, split = _blocks(lines, size)
     rows = Scratch(lines.sparkSession, "tiles").stash(rows)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     t = rows.select("section", F.col("own").alias("x"), every.alias("y"), F.lit(True).alias("asks"), "doc", "line", "vec")
     s = rows.select("section", every.alias("x"), F.col("own").alias("y"), F.lit(False).alias("asks"), "doc", "line", "vec")
+    keys = ["section", "x", "y"]
+    if among is not None:
+        keys += ["gx", "gy"]
+        groups = F.broadcast(among)
+        t = t.join(rows.select("doc", F.col("group").alias("gx")).distinct(), "doc").join(groups, "gx")
+        s = s.join(rows.select("doc", F.col("group").alias("gy")).distinct(), "doc").join(groups, "gy")
     kind, doc, line = dict(rows.dtypes)["section"], dict(rows.dtypes)["doc"], dict(rows.dtypes)["line"]
     by_line = taus is None or split
     schema = f"t {doc}, s {doc}, section {kind}, line {line}, best double" if by_line else f"t {doc}, s {doc}, section {kind}, n long, total long, hard array<long>"
@@ -62,7 +69,7 @@ def _tiles(lines: DataFrame, size: int, taus: list[float] | None) -> tuple[DataF
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["asks"]].sort_values("doc", kind="stable"), frame[~frame["asks"]].sort_values("doc", kind="stable")
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
         source, target = b["doc"].to_numpy(), a["doc"].to_numpy()
         starts = _starts(source)
         best = np.round(np.maximum.reduceat(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, starts, axis=1), 6)
@@ -75,9 +82,9 @@ def _tiles(lines: DataFrame, size: int, taus: list[float] | None) -> tuple[DataF
         total = np.add.reduceat(np.rint(best * 1e6).astype(np.int64), rows, axis=0)
         hard = np.stack([np.add.reduceat((best >= tau).astype(np.int64), rows, axis=0) for tau in taus], axis=-1)
         i, j = np.nonzero(targets[:, None] != sources[None, :])
-        return pd.DataFrame({"t": targets[i], "s": sources[j], "section": section, "n": n[i], "total": total[i, j], "hard": list(hard[i, j])})
+        return pd.DataFrame({"t": targets[i], "s": sources[j], "section": section, "n": n[i], "total": total[i, j], "hard": pd.Series(list(hard[i, j]), dtype=object)})
 
-    return t.unionByName(s).groupBy("section", "x", "y").applyInPandas(tile, schema), split
+    return t.unionByName(s).groupBy(*keys).applyInPandas(tile, schema), split
 
 
 def best_matches(lines: DataFrame, size: int = TILE_LINES) -> DataFrame:
@@ -89,13 +96,13 @@ def best_matches(lines: DataFrame, size: int = TILE_LINES) -> DataFrame:
     return found.groupBy("t", "s", "section", "line").agg(F.max("best").alias("best")) if split else found
 
 
-def line_sums(lines: DataFrame, taus: list[float], size: int = TILE_LINES) -> DataFrame:
+def line_sums(lines: DataFrame, taus: list[float], size: int = TILE_LINES, among: DataFrame | None = None) -> DataFrame:
     """t, s, section, n, total, hard: the lines of t, their best cosines in s added up in millionths, and how many reach each tau.
 
     The millionths are whole numbers, so the order of the rows does not matter. Sums are made where the tile is, unless a
-    document has too many lines for one block: then its partial largest ones are combined first.
+    document has too many lines for one block: then its partial largest ones are combined first. among: see _tiles().
     """
-    found, split = _tiles(lines, size, taus)
+    found, split = _tiles(lines, size, taus, among)
     if not split:
         return found
     best = found.groupBy("t", "s", "section", "line").agg(F.max("best").alias("best"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fewstep.functions import text as tx
 from fewstep.functions.vectors import cosine, dot, doubles, l2_normalise
-from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, rank, retrieve, score
+from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, rank, retrieve, score, waves
 from fewstep.plans.config import RunConfig, sweep
 from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
@@ -198,8 +198,7 @@ query(_topk_sql("full"), "topk_dot_blocks")(lambda spark, d: retrieve.topk_dot(_
 
 @query(_unit() + " SELECT a.id AS i, b.id AS j, round(list_dot_product(a.vec, b.vec), 6) AS sim FROM unit a JOIN unit b ON a.id < b.id ORDER BY sim DESC, i, j LIMIT 50")
 def topk_pairs_global(spark, d):
-    pairs = retrieve.all_pairs(_space(spark, d), same_side=True).select("i", "j", F.round(dot(F.col("a"), F.col("b")), 6).alias("sim"))
-    return rank.top_pairs(pairs, "sim", 50)
+    return waves.top_pairs(_space(spark, d), 50)
 
 
 # ---- pairwise documents
@@ -241,6 +240,11 @@ def line_jaccard(spark, d):
     return pairwise.line_jaccard(pairwise.line_sums(lines, [TAU]), lines)
 
 
+@query(ORACLE_SQL["line_jaccard"].replace("SELECT t, s, round(a, 6) AS jaccard_ingr, round(b, 6) AS jaccard_instr, round((a + b) / 2, 6) AS jaccard_overall FROM w", "SELECT t, s, round((a + b) / 2, 6) AS jaccard_overall FROM w WHERE t < s ORDER BY jaccard_overall DESC, t, s LIMIT 20"))
+def topk_pairs_jaccard(spark, d):
+    return waves.top_documents(_lines(spark, d), 20, TAU)
+
+
 @query(_LINES + f" SELECT t, s, section, floor((sum(round(best * 1e6)::BIGINT) * 2 + count(best))::DOUBLE / (count(best) * 2)) / 1e6::DOUBLE AS soft, count(*) FILTER (WHERE best >= {TAU}) AS hard FROM best GROUP BY ALL")
 def line_best_match_coverage(spark, d):
     return pairwise.coverage(pairwise.line_sums(_lines(spark, d), [TAU]))
