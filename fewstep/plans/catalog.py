@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fewstep.functions import text as tx
 from fewstep.functions.vectors import cosine, dot, doubles, l2_normalise
-from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, rank, retrieve, score, waves
+from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, phrases, postings, rank, retrieve, score, waves
 from fewstep.plans.config import RunConfig, sweep
 from fewstep.plans.storage import Scratch
 from fewstep.sources.tables import table
@@ -143,9 +143,19 @@ def feature_totals(spark, d):
     return features.totals(_weighed(spark, d)).withColumn("total", F.round("total", 6))
 
 
-@query(_with(_IN, "SELECT feat, array_to_string(list_sort(list(recipe)), ',') AS recipes FROM heads GROUP BY feat"))
+@query(_with(_IN, "SELECT feat, recipe // 1024 AS block, min(recipe) AS first, max(recipe) AS last, count(*) AS n, array_to_string(list_sort(list(recipe)), ',') AS recipes FROM heads GROUP BY feat, block"))
 def feature_postings(spark, d):
-    return features.postings(_heads(spark, d)).withColumn("recipes", F.array_join("recipes", ","))
+    rows = postings.build(_heads(spark, d))
+    return rows.select("feat", "block", "first", "last", F.col("n").cast("long").alias("n"), F.array_join(postings.recipes("first", "steps"), ",").alias("recipes"))
+
+
+@query(_with(_IN, "SELECT p.query, o.recipe FROM (SELECT o_custkey AS query, min(p_type) AS a, max(p_type) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) p JOIN opsets o ON o.feat = p.a JOIN opsets o2 ON o2.feat = p.b AND o2.recipe = o.recipe"))
+def recipes_having_all(spark, d):
+    """For each customer the recipes that have both the first and the last technique of the customer's orders."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query"))
+    ends = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").join(orders, "l_orderkey").groupBy("query").agg(F.array(F.min("p_type"), F.max("p_type")).alias("x"))
+    return postings.having_all(postings.build(_ops(spark, d)), ends.select("query", F.explode("x").alias("feat")))
 
 
 @query(_with(_IN, "SELECT recipe, array_to_string(list_sort(list(feat)), ',') AS feats FROM opsets GROUP BY recipe"))
@@ -275,7 +285,11 @@ def weighted_jaccard_rare(spark, d):
 
 @query(_with(_IN, ", " + _RARE + " SELECT t, count(*) AS candidates, min(s) AS first FROM cand GROUP BY t"))
 def rare_feature_candidates(spark, d):
-    return retrieve.rare_candidates(_weighed(spark, d), 2).groupBy("t").agg(F.count("*").alias("candidates"), F.min("s").alias("first"))
+    scratch = Scratch(spark, "rare")
+    weighed = scratch.stash(_weighed(spark, d))
+    lists = scratch.stash(postings.build(weighed.select("recipe", "feat")))
+    met = postings.candidates(retrieve.rare_features(weighed, 2).select(F.col("recipe").alias("t"), "feat"), lists)
+    return met.groupBy("t").agg(F.count("*").alias("candidates"), F.min("s").alias("first"))
 
 
 @query(_with(_IN, ", c AS (SELECT a.recipe AS t, b.recipe AS s, count(*) AS shared FROM heads a JOIN heads b USING (feat) WHERE a.recipe <> b.recipe GROUP BY 1, 2) SELECT t, s, shared FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY shared DESC, s) AS n FROM c) WHERE n <= 5"))
@@ -591,6 +605,26 @@ def oxford_list(spark, d):
     return features.set_arrays(_ops(spark, d)).select(F.col("recipe").alias("l_orderkey"), tx.fmt_list("feats").alias("listed"))
 
 
+_PHRASES = r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE text IS NOT NULL),
+known AS (SELECT phrase, size, min(canonical) AS canonical FROM (SELECT array_to_string(w[1:n], ' ') AS phrase, n AS size, item_id || ':' || n AS canonical FROM b, (SELECT unnest([2, 3, 5]) AS n) WHERE len(w) >= n) GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL),
+tried AS (SELECT doc_id, pos, size, array_to_string(w[pos + 1:pos + size], ' ') AS phrase FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1))::INT AS pos FROM d, (SELECT DISTINCT size FROM known))),
+m AS (SELECT doc_id, list({'pos': pos, 'size': size, 'said': pos || '+' || size || '=' || canonical} ORDER BY pos, size DESC) AS x FROM tried JOIN known USING (phrase, size) GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(list_prepend({'pos': 0, 'size': 0, 'said': ''}, x), lambda a, y: CASE WHEN y.pos >= a.pos + a.size THEN {'pos': y.pos, 'size': y.size, 'said': a.said || ' ' || y.said} ELSE a END) AS z FROM m)
+SELECT doc_id, trim(z.said) AS found FROM r"""
+
+
+@query(_PHRASES)
+def phrase_matches(spark, d):
+    """Beginnings of the benchmark's items, of 2, 3 and 5 words, in the documents, the longest first."""
+    w = phrases.words("text")
+    begins = table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", w.alias("w"), F.explode(F.array(*[F.lit(n) for n in (2, 3, 5)])).alias("n")).where("size(w) >= n")
+    known = phrases.dictionary(begins.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), F.concat(F.col("item_id").cast("string"), F.lit(":"), F.col("n").cast("string")).alias("canonical")))
+    found = phrases.match(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text", Scratch(spark, "phrases").stash(known))
+    told = F.transform("found", lambda x: F.concat(x["at"].cast("string"), F.lit("+"), x["size"].cast("string"), F.lit("="), x["canonical"]))
+    return found.select("doc_id", F.array_join(told, " ").alias("found"))
+
+
 # ---- evaluation
 
 _METHODS = ", closest AS (" + _CLOSEST + "), few AS (" + _FEW + "), legacy AS (" + _TOP.format(by="t", other="s", score="legacy_score", where="") + "), lists AS (SELECT t, 'closest' AS method, s, rank, switch_cost, edit_cost, edit_score, in_zone FROM closest UNION ALL SELECT t, 'few_switches', s, rank, switch_cost, edit_cost, edit_score, in_zone FROM few UNION ALL SELECT t, 'legacy', s, rank, switch_cost, edit_cost, edit_score, in_zone FROM legacy), top1 AS (SELECT * FROM lists WHERE rank = 1)"
