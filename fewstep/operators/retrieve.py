@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fewstep.functions.vectors import dot
+from fewstep.plans.storage import Scratch
 
 #: Rows in a block of an all-pairs join, and the most rows it is planned for without an index.
 BLOCK_ROWS = 1000
@@ -121,6 +122,25 @@ def nearest_recipes(recipes: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("_n"))).where(F.col("rank") <= k).select("t", "s", "score", "rank")
 
 
+def jaccard_by_sets(weighed: DataFrame, rare: int | None, k: int) -> DataFrame:
+    """t, s, score, rank: the k best of weighted_jaccard(), ties by s, where many recipes have equal sets of features.
+
+    Sets are compared, not recipes: one recipe stands for all of its set. A target's k best are among the first k + 1 recipes of
+    the sets that are no worse than its (k + 1)-th best set, its own included. Weights must be those of the features.
+    """
+    scratch = Scratch(weighed.sparkSession, "sets")
+    own = weighed.groupBy("recipe").agg(F.sort_array(F.collect_set("feat")).alias("_x"))
+    classes = scratch.stash(own.withColumn("_c", F.min("recipe").over(Window.partitionBy("_x"))).select("recipe", "_c"))
+    first = scratch.stash(weighed.join(classes.where("recipe = _c").select("recipe"), "recipe"))
+    same = first.select(F.col("recipe").alias("t"), F.col("recipe").alias("s"), F.lit(1.0).alias("score")).distinct()
+    order = Window.partitionBy("t").orderBy(F.desc("score"))
+    near = weighted_jaccard(first, rare).unionByName(same).withColumn("_n", F.rank().over(order)).where(F.col("_n") <= k + 1)
+    least = classes.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("recipe"))).where(F.col("_n") <= k + 1).select(F.col("_c").alias("s"), F.col("recipe").alias("_s"))
+    listed = near.select("t", "s", "score").join(least, "s").withColumn("_n", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "_s"))).where(F.col("_n") <= k + 1)
+    both = classes.select(F.col("recipe").alias("_t"), F.col("_c").alias("t")).join(listed.select("t", F.col("_s").alias("s"), "score", "_n"), "t").where("_t <> s")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("_t").orderBy("_n"))).where(F.col("rank") <= k).select(F.col("_t").alias("t"), "s", "score", "rank")
+
+
 def union_candidates(*tables: DataFrame) -> DataFrame:
     """t, s that any table has."""
     out = tables[0].select("t", "s")

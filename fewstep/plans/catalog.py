@@ -687,14 +687,22 @@ def _near_recipes_sql(space: str) -> str:
 l_{space} AS (SELECT * FROM (SELECT x.recipe AS t, y.recipe AS s, row_number() OVER (PARTITION BY x.recipe ORDER BY score DESC, b, y.recipe)::INT AS rank, score AS value FROM r x JOIN vn_{space} ON a = x.vec JOIN r y ON y.vec = b WHERE x.recipe <> y.recipe) WHERE rank <= 5)"""
 
 
-def _wjaccard_sql(name: str, sets: str, weighed: str, totals: str, rare: int) -> str:
-    return f"""rare_{name} AS (SELECT recipe, feat FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY w DESC, feat) AS n FROM {weighed}) WHERE n <= {rare}),
-c_{name} AS (SELECT DISTINCT a.recipe AS t, b.recipe AS s FROM rare_{name} a JOIN {sets} b USING (feat) WHERE a.recipe <> b.recipe),
-j_{name} AS (SELECT t, s, sum(a.w) AS common FROM c_{name} JOIN {weighed} a ON a.recipe = t JOIN {sets} b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
-l_{name} AS (SELECT * FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY value DESC, s)::INT AS rank, value FROM (SELECT t, s, round(common / (x.total + y.total - common), 6) AS value FROM j_{name} JOIN {totals} x ON x.recipe = t JOIN {totals} y ON y.recipe = s)) WHERE rank <= 5)"""
-
-
-_LISTED = _IN + _SPACES_SQL.replace("WITH ", ", ") + ", r AS (SELECT DISTINCT recipe, recipe % (SELECT count(*) FROM embeddings) AS vec FROM heads), " + ", ".join(_near_recipes_sql(x) for x in SIMS.values()) + ", " + _wjaccard_sql("heads", "heads", "h", "ht", 2) + ", " + _wjaccard_sql("ops", "opsets", "o", "ot", 1) + """,
+_WJ_HEADS = """rare_heads AS (SELECT recipe, feat FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY w DESC, feat) AS n FROM h) WHERE n <= 2),
+c_heads AS (SELECT DISTINCT a.recipe AS t, b.recipe AS s FROM rare_heads a JOIN heads b USING (feat) WHERE a.recipe <> b.recipe),
+j_heads AS (SELECT t, s, sum(a.w) AS common FROM c_heads JOIN h a ON a.recipe = t JOIN heads b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
+l_heads AS (SELECT * FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY value DESC, s)::INT AS rank, value FROM (SELECT t, s, round(common / (x.total + y.total - common), 6) AS value FROM j_heads JOIN ht x ON x.recipe = t JOIN ht y ON y.recipe = s)) WHERE rank <= 5)"""
+_WJ_OPS = """x_ops AS (SELECT recipe, list(feat ORDER BY feat) AS x FROM opsets GROUP BY recipe), m_ops AS (SELECT recipe, min(recipe) OVER (PARTITION BY x) AS c FROM x_ops),
+o1 AS (SELECT * FROM o WHERE recipe IN (SELECT c FROM m_ops)),
+rare_ops AS (SELECT recipe, feat FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY w DESC, feat) AS n FROM o1) WHERE n <= 1),
+c_ops AS (SELECT DISTINCT a.recipe AS t, b.recipe AS s FROM rare_ops a JOIN o1 b USING (feat)),
+j_ops AS (SELECT t, s, sum(a.w) AS common FROM c_ops JOIN o1 a ON a.recipe = t JOIN o1 b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
+n_ops AS (SELECT t, s, value, rank() OVER (PARTITION BY t ORDER BY value DESC) AS n FROM (SELECT t, s, round(common / (x.total + y.total - common), 6) AS value FROM j_ops JOIN ot x ON x.recipe = t JOIN ot y ON y.recipe = s)),
+f_ops AS (SELECT recipe, c FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY recipe) AS n FROM m_ops) WHERE n <= 6),
+p_ops AS (SELECT * FROM (SELECT n_ops.t, f.recipe AS s, value, row_number() OVER (PARTITION BY n_ops.t ORDER BY value DESC, f.recipe) AS n FROM n_ops JOIN f_ops f ON f.c = n_ops.s WHERE n_ops.n <= 6) WHERE n <= 6),
+l_ops AS (SELECT * FROM (SELECT m.recipe AS t, p.s, row_number() OVER (PARTITION BY m.recipe ORDER BY p.n)::INT AS rank, value FROM m_ops m JOIN p_ops p ON p.t = m.c WHERE p.s <> m.recipe) WHERE rank <= 5)"""
+
+
+_LISTED = _IN + _SPACES_SQL.replace("WITH ", ", ") + ", r AS (SELECT DISTINCT recipe, recipe % (SELECT count(*) FROM embeddings) AS vec FROM heads), " + ", ".join(_near_recipes_sql(x) for x in SIMS.values()) + ", " + _WJ_HEADS + ", " + _WJ_OPS + """,
 five AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM l_{x}" for m, x in [*SIMS.items(), ("sim_heads_wjaccard", "heads"), ("sim_ops_wjaccard", "ops")]) + """),
 cand AS (SELECT DISTINCT t, s FROM five),
 hc AS (SELECT t, s, sum(a.w) AS common FROM cand JOIN h a ON a.recipe = t JOIN heads b ON b.recipe = s AND b.feat = a.feat GROUP BY 1, 2),
@@ -717,9 +725,9 @@ def _compared(spark, d):
     n = table(spark, d, "embeddings").count()
     recipes = scratch.stash(heads.select("recipe").distinct().withColumn("id", F.col("recipe") % n))
     five = {m: retrieve.nearest_recipes(recipes, _space(spark, d, x), 5) for m, x in SIMS.items()}
-    for name, sets, rare in (("heads", heads, 2), ("ops", ops, 1)):
-        weighed = scratch.stash(features.weighted(sets, features.idf(sets)))
-        five[f"sim_{name}_wjaccard"] = retrieve.top_k(retrieve.weighted_jaccard(weighed, rare=rare), 5)
+    weigh = lambda sets: scratch.stash(features.weighted(sets, features.idf(sets)))
+    five["sim_heads_wjaccard"] = retrieve.top_k(retrieve.weighted_jaccard(weigh(heads), rare=2), 5)
+    five["sim_ops_wjaccard"] = retrieve.jaccard_by_sets(weigh(ops), 1, 5)
     listed = None
     for m, x in five.items():
         x = x.select(F.lit(m).alias("method"), "t", "s", "rank", F.col("score").alias("value"))

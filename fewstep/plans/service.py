@@ -1,4 +1,4 @@
-"""The engine as calls: build the feature tables, run a ranking, resolve a text, explain a pair."""
+"""The engine as calls: build its tables from records, run a ranking, resolve a text, explain a pair."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewstep.operators import explain, features, rank, retrieve, score
+from fewstep.functions.encoder import encode
+from fewstep.operators import cells, explain, features, merge, postings, rank, retrieve, score
 from fewstep.plans.catalog import _IN, _SCORED, CONFIG, _heads, _ops, _recipe_vectors, _with, query
-from fewstep.plans.config import RunConfig
+from fewstep.plans.config import BuildConfig, RunConfig, check_exact
+from fewstep.sources import records
 
 
 @dataclass
@@ -22,19 +24,30 @@ class Engine:
     config: RunConfig = RunConfig()
     #: recipe, vec of the spaces that the retrievals by vectors need: ingr and full.
     spaces: dict[str, DataFrame] | None = None
+    #: indexes of those spaces, if they were built.
+    indexes: dict[str, cells.Index] | None = None
     #: feat, neighbour, sim: heads that may stand for one another.
     neighbours: DataFrame | None = None
 
     def candidates(self) -> DataFrame | None:
-        """t, s: the config's cand_k candidates of each target by its retrieval; None for all pairs (exact)."""
+        """t, s: the config's cand_k candidates of each target by its retrieval; None for exact, which takes all pairs that can pass the gates.
+
+        hybrid: by w times the ingr and 1 - w times the full similarity; ingr, full: by one of them; jaccard: by shared rare heads.
+        """
         kind, k = self.config.retrieval, self.config.cand_k
+        if kind == "exact":
+            return None
         if kind == "jaccard":
             weighed = features.weighted(self.heads, features.idf(self.heads), self.config.tfidf_heads)
             return retrieve.top_k(retrieve.weighted_jaccard(weighed, rare=6), k).select("t", "s")
-        if kind in ("hybrid", "ingr", "full") and self.spaces:
-            near = {n: retrieve.topk_dot(v.select(F.col("recipe").alias("id"), "vec"), k) for n, v in self.spaces.items() if kind in ("hybrid", n)}
-            return (retrieve.top_k(retrieve.hybrid(near["ingr"], near["full"], self.config.hybrid_w), k) if kind == "hybrid" else near[kind]).select("t", "s")
-        return None
+        if kind not in ("hybrid", "ingr", "full"):
+            raise ValueError(f"there is no retrieval {kind}: exact, jaccard, hybrid, ingr or full")
+        needed = ("ingr", "full") if kind == "hybrid" else (kind,)
+        if not self.spaces or any(n not in self.spaces for n in needed):
+            raise ValueError(f"the retrieval {kind} needs spaces {needed}")
+        index = [self.indexes[n] if self.indexes else cells.build(self.spaces[n].select(F.col("recipe").alias("id"), "vec")) for n in needed]
+        found = merge.hybrid_top(*index, k, self.config.hybrid_w) if kind == "hybrid" else cells.search(index[0].vectors, index[0], k)
+        return found.select("t", "s")
 
     def pairs(self) -> DataFrame:
         """Candidates, scores with substitution credit, and gates."""
@@ -65,14 +78,49 @@ class Engine:
         only = lambda df: df.where(F.col("recipe").isin([t, s]))
         h, o = features.weighted(self.heads, features.idf(self.heads)), features.weighted(self.ops, features.idf(self.ops))
         pair = self.heads.sparkSession.createDataFrame([(t, s)], "t long, s long")
-        pairs = score.ratios(pair.join(score.overlap(only(h)), ["t", "s"], "left"), features.totals(only(h)), "ingr")
-        pairs = score.ratios(pairs.join(score.overlap(only(o)), ["t", "s"], "left"), features.totals(only(o)), "ops")
+        pairs = score.shares(score.shares(pair, only(h), "ingr"), only(o), "ops")
         pairs = score.costs(score.with_sim(pairs, self.vectors), config)
         add, remove = explain.difference(pair, h, self.heads), explain.difference(pair, h, self.heads, "s", "t")
         out = pairs.join(explain.as_list(add, "add"), ["t", "s"], "left").join(explain.as_list(remove, "remove"), ["t", "s"], "left")
         return out.withColumn("said", explain.sentence(F.col("t").cast("string"), F.col("s").cast("string"), "add", "remove", switch="switch_cost", score="edit_score"))
 
 
+def build(spark, ndjson: str, out: str, config: BuildConfig = BuildConfig()) -> DataFrame:
+    """Writes an engine's tables under out, from records as NDJSON, and returns the audit of records that were left out.
+
+    recipes, heads, ops, idf_heads, idf_ops, postings, the spaces instr, ingr and full, and (use_ann) an index of each of the
+    last two. strict fails on a bad record unless skip_bad_records is set; limit counts records that parse.
+    """
+    check_exact(config)
+    good, audit = records.read_strict(spark, ndjson, skip_bad=config.skip_bad_records or not config.strict)
+    if config.limit:
+        good = good.orderBy("source_line_number").limit(config.limit)
+    good.withColumnRenamed("recipe_id", "recipe").dropDuplicates(["recipe"]).write.parquet(f"{out}/recipes")
+    rows = spark.read.parquet(f"{out}/recipes")
+    order = rows.select("recipe").withColumnRenamed("recipe", "token")
+    features.vocabulary(order).withColumnRenamed("token", "recipe").write.parquet(f"{out}/numbers")
+    numbers = spark.read.parquet(f"{out}/numbers")
+    own = rows.join(numbers, "recipe").select(F.col("id").cast("long").alias("recipe"), "heads", "techniques", "ingredients", "instructions", "full_text")
+    for name, column in (("heads", "heads"), ("ops", "techniques")):
+        sets = own.select("recipe", F.explode(F.array_distinct(column)).alias("feat"))
+        sets.write.parquet(f"{out}/{name}")
+        features.idf(spark.read.parquet(f"{out}/{name}")).write.parquet(f"{out}/idf_{name}")
+    postings.write(postings.build(spark.read.parquet(f"{out}/heads")), f"{out}/postings")
+    texts = {"instr": F.array_join("instructions", "\n"), "ingr": F.array_join("ingredients", "\n"), "full": F.col("full_text")}
+    for name, text in texts.items():
+        encode(own.select("recipe", text.alias("text")), "text", "vec").where("vec IS NOT NULL").select("recipe", "vec").write.parquet(f"{out}/{name}")
+        if config.use_ann and name != "instr":
+            cells.save(cells.build(spark.read.parquet(f"{out}/{name}").select(F.col("recipe").alias("id"), "vec")), f"{out}/index_{name}")
+    return audit
+
+
+def load(spark, out: str, config: RunConfig = RunConfig()) -> Engine:
+    """The engine of what build() wrote; recipes go by their numbers (the table numbers has their ids)."""
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    index = {n: records.optional(cells.load, spark, f"{out}/index_{n}") for n in ("ingr", "full")}
+    return Engine(read("heads"), read("ops"), read("instr"), config, {n: read(n) for n in index}, index if all(index.values()) else None)
+
+
 def engine(spark, d, config: RunConfig = CONFIG) -> Engine:
     heads = _heads(spark, d)
     return Engine(heads, _ops(spark, d), _recipe_vectors(spark, d, heads), config)

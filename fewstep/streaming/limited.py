@@ -16,9 +16,9 @@ COUNTERS = "batch long, loaded long, parsed long, written long"
 
 
 def lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """value, file, place of each line of new text files of a folder. place: where the line's block of the file begins, and its number in the task."""
+    """value, file, start of each line of new text files of a folder. start: where the line's block of the file begins."""
     rows = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def counted(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +43,7 @@ def take(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], limit: int,
     def batch(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
         left = max(0, limit - _before(spark, counters, n))
-        good = parse(rows)
+        good = parse(rows.select("value", "file", F.struct("start", F.monotonically_increasing_id().alias("n")).alias("place")))
         loaded, parsed = rows.count(), good.count()
         good.orderBy("file", "place").limit(left).drop("file", "place").write.mode("overwrite").parquet(f"{out}/batch={n}")
         if after:
