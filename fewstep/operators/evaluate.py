@@ -151,3 +151,8 @@ def sweep_summary(pairs: DataFrame, settings: list[dict], tests: list[F.Column],
 def first_of_methods(lists: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
     """lists: method, t, s, rank, value. The first source of each target by each method, with the costs of the pair."""
     return lists.where("rank = 1").join(pairs.select("t", "s", *columns), ["t", "s"])
+
+
+def kept_first(old: DataFrame, new_top: DataFrame) -> DataFrame:
+    """The rows of an old run's first results (t, s) whose pair a new run has first as well."""
+    return old.join(new_top.select("t", "s").distinct(), ["t", "s"], "left_semi")

@@ -54,6 +54,12 @@ def weighted(sets: DataFrame, weights: DataFrame, by_idf: bool = True) -> DataFr
     return sets.join(weights.select("feat", "w"), "feat").select("recipe", "feat", "w")
 
 
+def by_importance(weighed: DataFrame, importance: DataFrame) -> DataFrame:
+    """Weights times the importance of the feature in its recipe (recipe, feat, importance; 1 where it has none), over their mean."""
+    rows = weighed.join(importance.select("recipe", "feat", "importance"), ["recipe", "feat"], "left")
+    return mean_one(rows.select("recipe", "feat", (F.col("w") * F.coalesce("importance", F.lit(1.0))).alias("w")))
+
+
 def totals(weighed: DataFrame) -> DataFrame:
     return weighed.groupBy("recipe").agg(F.sum("w").alias("total"))
 

@@ -546,6 +546,41 @@ def prompt_text(spark, d):
     return _told(spark, d).select("t", "s", explain.prompt(name("t"), name("s"), F.coalesce("add", none), F.coalesce("remove", none)).alias("prompt"))
 
 
+_NEXT = ", nb AS (SELECT p_partkey AS feat, p_partkey + k AS neighbour, round(0.95::DOUBLE - 0.05 * k, 6) AS sim FROM part, (SELECT unnest(range(1, 11)) AS k) WHERE p_partkey + k IN (SELECT p_partkey FROM part))"
+_EXPLAINED = ", top AS (" + _FEW + ")" + _NEXT + """,
+sw AS (SELECT t, s, feat, w, neighbour, sim FROM (SELECT top.t, top.s, h.feat, h.w, nb.neighbour, nb.sim, row_number() OVER (PARTITION BY top.t, top.s, h.feat ORDER BY nb.sim DESC NULLS LAST, nb.neighbour) AS n
+  FROM top JOIN h ON h.recipe = top.t LEFT JOIN (nb JOIN heads y ON y.feat = nb.neighbour) ON nb.feat = h.feat AND y.recipe = top.s WHERE NOT EXISTS (FROM heads x WHERE x.recipe = top.s AND x.feat = h.feat)) WHERE n = 1),
+mh AS (SELECT t, s, list(feat::VARCHAR ORDER BY w * (1 - coalesce(pow(sim, 2.0::DOUBLE), 0)) DESC, feat) AS x FROM sw GROUP BY t, s),
+sl AS (SELECT t, s, list(neighbour || ' for ' || feat ORDER BY sim DESC, feat, neighbour) AS x FROM sw WHERE sim IS NOT NULL GROUP BY t, s),
+xh AS (SELECT t, s, list(h.feat::VARCHAR ORDER BY h.w DESC, h.feat) AS x FROM top JOIN h ON h.recipe = s WHERE NOT EXISTS (FROM heads x WHERE x.recipe = t AND x.feat = h.feat) GROUP BY t, s),
+mo AS (SELECT t, s, list(o.feat::VARCHAR ORDER BY o.w DESC, o.feat) AS x FROM top JOIN o ON o.recipe = t WHERE NOT EXISTS (FROM opsets x WHERE x.recipe = s AND x.feat = o.feat) GROUP BY t, s),
+xo AS (SELECT t, s, list(o.feat::VARCHAR ORDER BY o.w DESC, o.feat) AS x FROM top JOIN o ON o.recipe = s WHERE NOT EXISTS (FROM opsets x WHERE x.recipe = t AND x.feat = o.feat) GROUP BY t, s),
+told AS (SELECT top.*, mh.x AS a, sl.x AS w, xh.x AS r, mo.x AS p, xo.x AS q FROM top LEFT JOIN mh USING (t, s) LEFT JOIN sl USING (t, s) LEFT JOIN xh USING (t, s) LEFT JOIN mo USING (t, s) LEFT JOIN xo USING (t, s))"""
+
+
+def _explained(spark, d):
+    """The run's rows with all that sets a pair apart. A part may be swapped for one of the ten parts after it."""
+    scratch = Scratch(spark, "explained")
+    heads, ops = scratch.stash(_heads(spark, d)), scratch.stash(_ops(spark, d))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("feat"))
+    near = parts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10)))).select("feat", (F.col("feat") + F.col("k")).alias("neighbour"), F.round(0.95 - 0.05 * F.col("k"), 6).alias("sim"))
+    near = near.join(parts.withColumnRenamed("feat", "neighbour"), "neighbour", "left_semi")
+    weigh = lambda sets: features.weighted(sets, features.idf(sets))
+    return explain.explained(scratch.stash(_few(spark, d)), weigh(heads), weigh(ops), near, CONFIG.explain_top_n, CONFIG.substitution_credit_exp)
+
+
+@query(_with(_SCORED, _EXPLAINED + " SELECT t, s, 'From Order ' || s || ' to Order ' || t || ': ' || coalesce(nullif(concat_ws('; ', " + ", ".join(f"'{lead}' || {_fmt(x)}" for lead, x in (("add ", "a"), ("swap ", "w"), ("remove/skip ", "r"), ("add op(s): ", "p"), ("remove op(s): ", "q"))) + "), ''), 'no major edits') || ' (switch_cost=' || round(switch_cost + 1e-9::DOUBLE, 2)::DECIMAL(10,2) || ', edit_score=' || round(edit_score + 1e-9::DOUBLE, 3)::DECIMAL(10,3) || ').' AS said FROM told"))
+def edit_sentence_full(spark, d):
+    name = lambda c: F.concat(F.lit("Order "), F.col(c).cast("string"))
+    return _explained(spark, d).select("t", "s", explain.full_sentence(name("t"), name("s")).alias("said"))
+
+
+@query(_with(_SCORED, _EXPLAINED + """ SELECT t, s, '[{"role":"system","content":"Say in one short paragraph how to get from the known item to the wanted one. Tell the changes only, and use only the names given."},{"role":"user","content":"Known: Order ' || s || '\\nWanted: Order ' || t || """ + " || ".join(f"'\\n{lead}: ' || coalesce(array_to_string({x}[1:30], ', '), 'none')" for lead, x in (("Missing", "a"), ("Extra", "r"), ("Swaps", "w"), ("Techniques to add", "p"), ("Techniques to drop", "q"))) + """ || '\\nCost: ' || round(switch_cost + 1e-9::DOUBLE, 2)::DECIMAL(10,2) || '"}]' AS prompt FROM told"""))
+def prompt_text_full(spark, d):
+    name = lambda c: F.concat(F.lit("Order "), F.col(c).cast("string"))
+    return _explained(spark, d).select("t", "s", explain.full_prompt(name("t"), name("s"), CONFIG.explain_top_n).alias("prompt"))
+
+
 # ---- text
 
 _TEXT = "'  ' || p_name || chr(10) || chr(10) || 'Ingredients:' || chr(10) || '- 2 cups chopped ' || p_name || 's (fresh)' || chr(10) || chr(10) || 'DIRECTIONS: Step 1: Stir fry and mix ' || p_brand || chr(10) || '2. Bake.' || chr(10) || chr(10) || 'Notes'"
@@ -837,6 +872,21 @@ def removed_duplicates(spark, d):
     return old.join(new, "t", "left").where(~F.col("s").eqNullSafe(F.col("_new"))).drop("_new")
 
 
+@query(_with(_SCORED, _METHODS + " SELECT o.t, o.s, o.switch_cost FROM (SELECT * FROM top1 WHERE method = 'legacy') o SEMI JOIN (SELECT * FROM top1 WHERE method = 'few_switches') n ON n.t = o.t AND n.s = o.s"))
+def old_first_kept(spark, d):
+    """First results of the legacy ranking that the new one has first as well."""
+    top = Scratch(spark, "lists").stash(_top1(spark, d))
+    return evaluate.kept_first(top.where("method = 'legacy'"), top.where("method = 'few_switches'")).select("t", "s", "switch_cost")
+
+
+@query(_with(_IN, "SELECT recipe, feat, round(w / avg(w) OVER (PARTITION BY recipe), 6) AS w FROM (SELECT h.recipe, h.feat, h.w * q / max(q) OVER (PARTITION BY h.recipe) AS w FROM h JOIN (SELECT l_orderkey AS recipe, l_partkey AS feat, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1, 2) USING (recipe, feat))"))
+def feature_weights_importance(spark, d):
+    """Weights by how much of a recipe a head makes up: its quantity over the largest one."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("recipe"), F.col("l_partkey").alias("feat")).agg(F.sum("l_quantity").cast("double").alias("q"))
+    share = lines.withColumn("importance", F.col("q") / F.max("q").over(Window.partitionBy("recipe")))
+    return features.by_importance(_weighed(spark, d), share).withColumn("w", F.round("w", 6))
+
+
 @query(_UNIT.format(a=1, b=64) + " SELECT t AS feat, s AS neighbour, score AS sim FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS n FROM (SELECT a.id AS t, b.id AS s, round(list_dot_product(a.vec, b.vec), 6) AS score FROM unit a JOIN unit b ON a.id <> b.id)) WHERE n <= 20 AND score >= 0.3")
 def head_neighbours(spark, d):
     return retrieve.neighbours(_space(spark, d), 20, 0.3)

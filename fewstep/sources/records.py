@@ -132,6 +132,33 @@ def write_results(nested: DataFrame, flat: DataFrame, path: str) -> None:
     flat.write.option("header", True).csv(f"{path}/results.csv")
 
 
+def write_rankings(targets: DataFrame, sources: DataFrame, audit: DataFrame | None, path: str) -> None:
+    """Both directions of a run, each (t or s, the other, rank, costs) as JSON lines with nested results and as a flat CSV, and the audit as JSON lines."""
+    from fewstep.operators.rank import nested
+
+    for name, rows, by, other in (("targets_to_sources", targets, "t", "s"), ("sources_to_targets", sources, "s", "t")):
+        nested(rows, by, other).write.json(f"{path}/{name}.jsonl")
+        rows.orderBy(by, "rank").write.option("header", True).csv(f"{path}/{name}.csv")
+    if audit is not None:
+        audit.write.json(f"{path}/parse_audit.json")
+
+
+def write_summary(summary: DataFrame, key: str, path: str) -> None:
+    """One JSON object: of each value of key the row's other columns, by name; columns without a value are left out."""
+    rest = F.struct(*[c for c in summary.columns if c != key])
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), rest.alias("value"))))
+    summary.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.text(path)
+
+
+def write_enriched(rows: DataFrame, said: str, path: str, by: str = "t", other: str = "s") -> None:
+    """Ranked rows (by, other, rank, costs) with a text for each: as JSON lines with nested results, and as a flat CSV of ids and texts."""
+    from fewstep.operators.rank import nested
+
+    nested(rows, by, other).write.json(f"{path}/results.jsonl")
+    flat = rows.orderBy(by, "rank").select(F.col(by).alias("query_id"), F.col(other).alias("other_id"), said)
+    flat.write.option("header", True).option("escape", '"').csv(f"{path}/texts.csv")
+
+
 def write_config(spark: SparkSession, config: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(config, sort_keys=True, default=str),)], "value string").coalesce(1).write.text(path)
 
