@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.functions import text as tx
 from fewstep.plans.storage import join_small
 
 #: Letters that make up a word, in lower case; all else parts words.
@@ -60,3 +61,17 @@ def match(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     tried = w.select(key, "_w", F.explode(fits).alias("_x")).select(key, F.array_join(F.slice("_w", F.col("_x.at") + 1, F.col("_x.size")), " ").alias("phrase"), F.col("_x.at").alias("at"), F.col("_x.size").alias("size"))
     met = join_small(tried, known.select("phrase", "canonical"), "phrase")
     return met.groupBy(key).agg(F.collect_list(F.struct("at", "size", F.col("canonical").cast("string").alias("canonical"))).alias("_m")).select(key, taken("_m").alias("found"))
+
+
+def canonical_heads(lines: DataFrame, key: str, line: str, known: DataFrame) -> DataFrame:
+    """key, head of ingredient lines: the canonical form of the last phrase of the dictionary in the normalised line, else its
+    last word as functions.text.head() takes it; null without a word. Keys are unique."""
+    rows = lines.select(key, tx.normalise_ingredient(line).alias("_line"), tx.head(line).alias("_head"))
+    found = match(rows, key, "_line", known).select(key, F.element_at("found", -1)["canonical"].alias("_known"))
+    return rows.join(found, key, "left").select(key, F.coalesce("_known", "_head").alias("head"))
+
+
+def techniques_in(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """key, techniques: the distinct canonical forms of the dictionary's phrases in each text, sorted; an empty array without one."""
+    found = match(texts, key, text, known).select(key, F.sort_array(F.array_distinct(F.transform("found", lambda x: x["canonical"]))).alias("techniques"))
+    return texts.select(key).join(found, key, "left").select(key, F.coalesce("techniques", F.array().cast("array<string>")).alias("techniques"))

@@ -583,26 +583,38 @@ def prompt_text_full(spark, d):
 
 # ---- text
 
-_TEXT = "'  ' || p_name || chr(10) || chr(10) || 'Ingredients:' || chr(10) || '- 2 cups chopped ' || p_name || 's (fresh)' || chr(10) || chr(10) || 'DIRECTIONS: Step 1: Stir fry and mix ' || p_brand || chr(10) || '2. Bake.' || chr(10) || chr(10) || 'Notes'"
+#: Four shapes of record by p_size: headings in capitals and a tail; other headings, bullets and numbering; no instructions; a title alone.
+_FIRST = "'- 2 cups chopped ' || p_name || 's (fresh)'"
+_OTHER = "chr(8226) || ' 1/2 tbsp ' || p_name || ', diced'"
+_TEXT = f"""CASE p_size % 4 WHEN 0 THEN '  ' || p_name || chr(10) || chr(10) || 'Ingredients:' || chr(10) || {_FIRST} || chr(10) || chr(10) || 'DIRECTIONS: Step 1: Stir fry and mix ' || p_brand || chr(10) || '2. Bake.' || chr(10) || chr(10) || 'Notes'
+WHEN 1 THEN p_name || ' ' || chr(10) || chr(10) || 'ingredients: ' || {_OTHER} || chr(10) || chr(10) || 'Instructions: 1) Grill the ' || p_brand || chr(10) || 'STEP 3. Whisk it'
+WHEN 2 THEN p_name || chr(10) || chr(10) || 'Ingredients:' || chr(10) || {_FIRST} ELSE p_name || '  ' END"""
 
 
 def _texts(spark, d):
-    p, nl = table(spark, d, "part"), F.lit("\n")
-    return p.select("p_partkey", "p_name", F.concat(F.lit("  "), "p_name", nl, nl, F.lit("Ingredients:\n- 2 cups chopped "), "p_name", F.lit("s (fresh)\n\nDIRECTIONS: Step 1: Stir fry and mix "), "p_brand", F.lit("\n2. Bake.\n\nNotes")).alias("text"))
+    p, shape, blank = table(spark, d, "part"), F.col("p_size") % 4, "\n\n"
+    first = F.concat(F.lit("Ingredients:\n- 2 cups chopped "), "p_name", F.lit("s (fresh)"))
+    full = F.concat(F.lit("  "), "p_name", F.lit(blank), first, F.lit("\n\nDIRECTIONS: Step 1: Stir fry and mix "), "p_brand", F.lit("\n2. Bake.\n\nNotes"))
+    other = F.concat("p_name", F.lit(" \n\ningredients: • 1/2 tbsp "), "p_name", F.lit(", diced\n\nInstructions: 1) Grill the "), "p_brand", F.lit("\nSTEP 3. Whisk it"))
+    text = F.when(shape == 0, full).when(shape == 1, other).when(shape == 2, F.concat("p_name", F.lit(blank), first)).otherwise(F.concat("p_name", F.lit("  ")))
+    return p.select("p_partkey", "p_name", text.alias("text"))
 
 
-@query("SELECT p_partkey, trim(p_name) AS title, '- 2 cups chopped ' || p_name || 's (fresh)' AS ingredients, 'Step 1: Stir fry and mix ' || p_brand || '|2. Bake.' AS instructions FROM part")
+_INGREDIENT = f"CASE p_size % 4 WHEN 1 THEN {_OTHER} WHEN 3 THEN '' ELSE {_FIRST} END"
+
+
+@query(f"SELECT p_partkey, trim(p_name) AS title, {_INGREDIENT} AS ingredients, CASE p_size % 4 WHEN 0 THEN 'Step 1: Stir fry and mix ' || p_brand || '|2. Bake.' WHEN 1 THEN '1) Grill the ' || p_brand || '|STEP 3. Whisk it' ELSE '' END AS instructions FROM part")
 def split_sections(spark, d):
     return _texts(spark, d).select("p_partkey", tx.split_sections("text").alias("x")).select("p_partkey", "x.title", F.array_join("x.ingredients", "|").alias("ingredients"), F.array_join("x.instructions", "|").alias("instructions"))
 
 
-@query(f"SELECT p_partkey, replace({_TEXT}, 'DIRECTIONS', 'Method') AS instructions, '- 2 cups chopped ' || p_name || 's (fresh)' AS ingredients FROM part")
+@query(f"SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN '1) Grill the ' || p_brand || chr(10) || 'STEP 3. Whisk it' ELSE replace({_TEXT}, 'DIRECTIONS', 'Method') END AS instructions, CASE p_size % 4 WHEN 3 THEN p_name || '  ' ELSE {_INGREDIENT} END AS ingredients FROM part")
 def split_sections_fallback(spark, d):
     x = tx.split_sections_prefixed(F.replace("text", F.lit("DIRECTIONS"), F.lit("Method")))
     return _texts(spark, d).select("p_partkey", x.alias("x")).select("p_partkey", "x.instructions", "x.ingredients")
 
 
-@query("SELECT p_partkey, 'Stir fry and mix ' || p_brand || '|Bake.' AS cleaned FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Stir fry and mix ' || p_brand || '|Bake.' WHEN 1 THEN 'Grill the ' || p_brand || '|Whisk it' ELSE '' END AS cleaned FROM part")
 def clean_lines(spark, d):
     x = F.transform(tx.split_sections("text")["instructions"], tx.clean_line)
     return _texts(spark, d).select("p_partkey", F.array_join(x, "|").alias("cleaned"))
@@ -613,13 +625,13 @@ def recipe_id_sha1(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.recipe_id("text").alias("recipe_id"))
 
 
-@query("WITH x AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z -]', ' ', 'g'), ' +', ' ', 'g')) AS n FROM part) SELECT p_partkey, string_split(n, ' ')[-1] AS head FROM x")
+@query("WITH x AS (SELECT p_partkey, p_size % 4 AS shape, string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z -]', ' ', 'g'), ' +', ' ', 'g')), ' ')[-1] AS w FROM part), y AS (SELECT *, CASE WHEN shape = 1 THEN w ELSE w || 's' END AS z FROM x) SELECT p_partkey, CASE WHEN shape = 3 THEN NULL WHEN regexp_matches(z, '(ss|us)$') THEN z ELSE regexp_replace(z, 's$', '') END AS head FROM y")
 def head_extract(spark, d):
-    line = F.element_at(tx.split_sections("text")["ingredients"], 1)
+    line = F.get(tx.split_sections("text")["ingredients"], F.lit(0))
     return _texts(spark, d).select("p_partkey", tx.head(tx.clean_line(line)).alias("head"))
 
 
-@query("SELECT p_partkey, 'bake,fry,mix,stir,stir-fry' AS ops FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'bake,fry,mix,stir,stir-fry' WHEN 1 THEN 'grill,whisk' ELSE '' END AS ops FROM part")
 def op_extract(spark, d):
     return _texts(spark, d).select("p_partkey", F.array_join(tx.techniques(F.array_join(tx.split_sections("text")["instructions"], " ")), ",").alias("ops"))
 

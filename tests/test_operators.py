@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fewstep.operators import cells, evaluate, features, merge, pairwise, phrases, postings, rank, retrieve, score, waves
+from fewstep.operators import cells, evaluate, explain, features, merge, pairwise, phrases, postings, rank, retrieve, score, waves
 from fewstep.plans.config import RunConfig
 from fewstep.sources import records
 from fewstep.streaming import limited
@@ -162,6 +162,58 @@ def test_phrases(spark):
     assert phrases.match(spark.createDataFrame(texts, "id long, text string"), "id", "text", known.limit(0)).count() == 0
 
 
+def test_canonical_heads_and_techniques(spark):
+    known = phrases.dictionary(spark.createDataFrame([("spring onion", "scallion"), ("onion", "onion"), ("cream cheese", "soft cheese")], "phrase string, canonical string"))
+    lines = [(1, "2 chopped spring onion (fresh)"), (2, "1 onion"), (3, "3 cups cream cheese, softened"), (4, "2 eggs"), (5, "7"), (6, None)]
+    got = dict(map(tuple, phrases.canonical_heads(spark.createDataFrame(lines, "id long, line string"), "id", "line", known).collect()))
+    assert got == {1: "scallion", 2: "onion", 3: "soft cheese", 4: "egg", 5: None, 6: None}
+    acts = phrases.dictionary(spark.createDataFrame([("bring to a boil", "boil"), ("boil", "boil"), ("stir fry", "stir-fry"), ("stir", "stir"), ("fry", "fry")], "phrase string, canonical string"))
+    texts = [(1, "Stir fry, then bring to a boil."), (2, "Stir. Fry?"), (3, None)]
+    got = {r[0]: r[1] for r in phrases.techniques_in(spark.createDataFrame(texts, "id long, text string"), "id", "text", acts).collect()}
+    assert got == {1: ["boil", "stir-fry"], 2: ["stir-fry"], 3: []}
+
+
+def test_explained(spark):
+    heads = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0), (1, 12, 3.0), (2, 11, 1.0), (2, 20, 4.0), (2, 21, 5.0), (3, 10, 2.0)], "recipe long, feat long, w double")
+    ops = spark.createDataFrame([(1, "bake", 1.0), (2, "fry", 2.0), (2, "bake", 1.0)], "recipe long, feat string, w double")
+    near = spark.createDataFrame([(12, 20, 0.9), (12, 21, 0.8), (10, 99, 0.99), (11, 20, 0.7)], "feat long, neighbour long, sim double")
+    pairs = spark.createDataFrame([(1, 2, 0.125, 0.8824), (2, 1, 0.5, 0.6), (3, 9, 0.5, 0.6)], "t long, s long, switch_cost double, edit_score double")
+    rows = {(r["t"], r["s"]): r for r in explain.explained(pairs, heads, ops, near).withColumn("said", explain.full_sentence(F.lit("T"), F.lit("S"))).withColumn("asked", explain.full_prompt(F.lit("T"), F.lit("S"))).collect()}
+    one = rows[1, 2]
+    assert [(x["feat"], round(x["w"], 6)) for x in one["missing_heads"]] == [(10, 2.0), (12, 0.57)]  # 3 * (1 - 0.9 ** 2)
+    assert [(x["feat"], x["neighbour"], x["sim"]) for x in one["swaps"]] == [(12, 20, 0.9)]
+    assert [x["feat"] for x in one["extra_heads"]] == [21, 20] and [x["feat"] for x in one["extra_ops"]] == ["fry"] and not one["missing_ops"]
+    assert one["said"] == "From S to T: add 10 and 12; swap 20 for 12; remove/skip 21 and 20; remove op(s): fry (switch_cost=0.13, edit_score=0.882)."
+    assert "Swaps: 20 for 12" in json.loads(one["asked"])[1]["content"]
+    assert [x["feat"] for x in rows[3, 9]["missing_heads"]] == [10] and not rows[3, 9]["extra_heads"]  # a source that is not there
+
+
+def test_importance(spark):
+    weighed = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.0), (2, 1, 2.0)], "recipe long, feat long, w double")
+    share = spark.createDataFrame([(1, 1, 0.5)], "recipe long, feat long, importance double")
+    got = {(r["recipe"], r["feat"]): r["w"] for r in features.by_importance(weighed, share).collect()}
+    assert got == pytest.approx({(1, 1): 2 / 3, (1, 2): 4 / 3, (2, 1): 1.0})
+
+
+def test_sinks(spark, tmp_path):
+    run = spark.createDataFrame([(1, 2, 1, 0.1), (1, 3, 2, 0.2), (2, 3, 1, 0.3)], "t long, s long, rank int, switch_cost double")
+    audit = spark.createDataFrame([("r", ["ingredients"])], "recipe_id string, warnings array<string>")
+    records.write_rankings(run, run, audit, str(tmp_path / "run"))
+    lines = [json.loads(x) for x in spark.read.text(str(tmp_path / "run/targets_to_sources.jsonl")).toPandas()["value"]]
+    assert {x["query_id"]: [y["other_id"] for y in x["results"]] for x in lines} == {1: [2, 3], 2: [3]}
+    back = [json.loads(x) for x in spark.read.text(str(tmp_path / "run/sources_to_targets.jsonl")).toPandas()["value"]]
+    assert {x["query_id"]: sorted(y["other_id"] for y in x["results"]) for x in back} == {2: [1], 3: [1, 2]}
+    assert spark.read.option("header", True).csv(str(tmp_path / "run/sources_to_targets.csv")).count() == 3
+    summary = spark.createDataFrame([("a", 1.5, 2), ("b", None, 3)], "method string, mean double, n int")
+    records.write_summary(summary, "method", str(tmp_path / "sum"))
+    assert json.loads(spark.read.text(str(tmp_path / "sum")).first()[0]) == {"a": {"mean": 1.5, "n": 2}, "b": {"n": 3}}
+    records.write_enriched(run.withColumn("said", F.lit('add "x", skip y')), "said", str(tmp_path / "rich"))
+    rich = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "rich/texts.csv")).collect()
+    assert [(r["query_id"], r["other_id"], r["said"]) for r in rich] == [("1", "2", 'add "x", skip y'), ("1", "3", 'add "x", skip y'), ("2", "3", 'add "x", skip y')]
+    old, new = run.where("rank = 1"), spark.createDataFrame([(1, 2), (2, 9)], "t long, s long")
+    assert [(r["t"], r["s"]) for r in evaluate.kept_first(old, new).collect()] == [(1, 2)]
+
+
 def test_fallback_for_targets_without_candidates(spark):
     recipes = spark.createDataFrame([(k,) for k in range(7)], "recipe long")
     some = spark.createDataFrame([(t, 0) for t in range(1, 5)] + [(0, 1)], "t long, s long")
