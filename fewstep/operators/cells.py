@@ -29,7 +29,7 @@ from fewstep.plans.storage import Scratch
 #: Rows that centres and codebooks are learned from, at most.
 SAMPLE = 1 << 17
 #: Cells, parts of a vector, entries of a part's codebook (a byte each), and rounds of k-means, at most.
-CELLS, PARTS, CODES, ROUNDS = 4096, 32, 256, 6
+CELLS, PARTS, CODES, ROUNDS = 4096, 32, 256, 4
 #: Rows of a cell, and queries, that meet in one task.
 PIECE = 4096
 #: Scores are rounded to six digits; bounds get a bit more room than that.

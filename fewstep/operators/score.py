@@ -160,6 +160,12 @@ def costs(pairs: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     return out.withColumn("in_zone", F.col("switch_cost").between(config.min_switch_cost, config.max_switch_cost))
 
 
+def masses(pairs: DataFrame) -> DataFrame:
+    """pairs with what is missing and what is superfluous, as shares: miss_ingr, fa_ingr, miss_ops, fa_ops."""
+    shares_ = {"miss_ingr": "ingr_recall", "fa_ingr": "ingr_precision", "miss_ops": "ops_recall", "fa_ops": "ops_precision"}
+    return pairs.withColumns({name: F.round(1 - F.col(c), DIGITS) for name, c in shares_.items()})
+
+
 def set_gates(config: RunConfig = RunConfig()) -> dict[str, float]:
     return {"ingr_recall": config.min_ingr_recall, "ingr_precision": config.min_ingr_precision, "ops_recall": config.min_ops_recall, "ops_precision": config.min_ops_precision}
 

@@ -420,6 +420,20 @@ def zone_filter(spark, d):
     return _scored(spark, d).where("in_zone").select("t", "s", "switch_cost")
 
 
+@query(_with(_SCORED, "SELECT t, s, round(1 - ingr_recall, 6) AS miss_ingr, round(1 - ingr_precision, 6) AS fa_ingr, round(1 - ops_recall, 6) AS miss_ops, round(1 - ops_precision, 6) AS fa_ops FROM four"))
+def masses(spark, d):
+    return score.masses(_four(spark, d)).select("t", "s", "miss_ingr", "fa_ingr", "miss_ops", "fa_ops")
+
+
+@query("WITH c AS (SELECT a.s_suppkey AS t, b.s_suppkey AS s FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 800) SELECT t, s FROM c UNION ALL SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey NOT IN (SELECT t FROM c)")
+def candidates_with_fallback(spark, d):
+    """Suppliers of one nation and a like balance; one without such a fellow has all others."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    fellows = rows.select(F.col("s_suppkey").alias("s"), "s_nationkey", F.col("s_acctbal").alias("b"))
+    near = rows.withColumnRenamed("s_suppkey", "t").join(fellows, "s_nationkey").where((F.col("t") != F.col("s")) & (F.abs(F.col("s_acctbal") - F.col("b")) < 800))
+    return retrieve.with_fallback(near.select("t", "s"), rows.select(F.col("s_suppkey").alias("recipe")))
+
+
 # ---- ranks
 
 

@@ -72,17 +72,25 @@ class Engine:
         weighed = features.weighted(self.heads, features.idf(self.heads)).where(F.col("feat").isin(feats))
         return weighed.groupBy("recipe").agg(F.round(F.sum("w"), 6).alias("score")).orderBy(F.desc("score"), "recipe").limit(k)
 
+    def similarity(self, t, s) -> float:
+        """The cosine of two recipes' vectors; an error says which one is not there."""
+        found = {r["recipe"]: r["vec"] for r in self.vectors.where(F.col("recipe").isin([t, s])).collect()}
+        if gone := [x for x in (t, s) if x not in found]:
+            raise ValueError(f"there is no vector of recipe {gone[0]}")
+        return round(sum(x * y for x, y in zip(found[t], found[s], strict=True)), 6)
+
     def explain(self, t, s) -> DataFrame:
-        """One row: the components of a pair and the sentence."""
+        """One row: the components and costs of a pair, what sets the two apart, and the sentence."""
         config = RunConfig(**{**self.config.__dict__, "gates": False})
         only = lambda df: df.where(F.col("recipe").isin([t, s]))
-        h, o = features.weighted(self.heads, features.idf(self.heads)), features.weighted(self.ops, features.idf(self.ops))
-        pair = self.heads.sparkSession.createDataFrame([(t, s)], "t long, s long")
-        pairs = score.shares(score.shares(pair, only(h), "ingr"), only(o), "ops")
-        pairs = score.costs(score.with_sim(pairs, self.vectors), config)
-        add, remove = explain.difference(pair, h, self.heads), explain.difference(pair, h, self.heads, "s", "t")
-        out = pairs.join(explain.as_list(add, "add"), ["t", "s"], "left").join(explain.as_list(remove, "remove"), ["t", "s"], "left")
-        return out.withColumn("said", explain.sentence(F.col("t").cast("string"), F.col("s").cast("string"), "add", "remove", switch="switch_cost", score="edit_score"))
+        h, o = only(features.weighted(self.heads, features.idf(self.heads))), only(features.weighted(self.ops, features.idf(self.ops)))
+        spark = self.heads.sparkSession
+        pair = spark.createDataFrame([(t, s)], f"t {self.heads.schema['recipe'].dataType.simpleString()}, s {self.heads.schema['recipe'].dataType.simpleString()}")
+        pairs = score.costs(score.with_sim(score.shares(score.shares(pair, h, "ingr"), o, "ops"), self.vectors), config)
+        feat = self.heads.schema["feat"].dataType.simpleString()
+        near = self.neighbours if self.neighbours is not None else spark.createDataFrame([], f"feat {feat}, neighbour {feat}, sim double")
+        out = explain.explained(score.masses(pairs), h, o, near, self.config.explain_top_n, self.config.substitution_credit_exp)
+        return out.withColumn("said", explain.full_sentence(F.col("t").cast("string"), F.col("s").cast("string")))
 
 
 def build(spark, ndjson: str, out: str, config: BuildConfig = BuildConfig()) -> DataFrame:

@@ -108,6 +108,21 @@ def optional(read, spark: SparkSession, path: str | None) -> DataFrame | None:
     return read(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
+def read_positions(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """position (from 0) and the entry of a JSON array of strings in one file, such as titles or ids."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("x"))
+    return text.select(F.posexplode("x").alias("position", name))
+
+
+def with_names(rows: DataFrame, column: str, names: DataFrame | None, name: str, missing: str | None = None) -> DataFrame:
+    """rows with the entry at the position that a column holds; without an entry, or without names, missing, or the position itself."""
+    other = F.lit(missing) if missing is not None else F.col(column).cast("string")
+    if names is None:
+        return rows.withColumn(name, other)
+    at = names.select(F.col("position").alias("_at"), F.col(name).alias("_name"))
+    return rows.join(at, F.col(column) == F.col("_at"), "left").withColumn(name, F.coalesce("_name", other)).drop("_at", "_name")
+
+
 def write_csv(rows: DataFrame, path: str, k: int | None = None, order: list | None = None) -> bool:
     """A CSV with a header, of the first k rows in an order if given; nothing is written without rows."""
     if order:

@@ -210,6 +210,12 @@ def test_sinks(spark, tmp_path):
     records.write_enriched(run.withColumn("said", F.lit('add "x", skip y')), "said", str(tmp_path / "rich"))
     rich = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "rich/texts.csv")).collect()
     assert [(r["query_id"], r["other_id"], r["said"]) for r in rich] == [("1", "2", 'add "x", skip y'), ("1", "3", 'add "x", skip y'), ("2", "3", 'add "x", skip y')]
+    (tmp_path / "titles.json").write_text('["zero", "one", null]')
+    titles = records.read_positions(spark, str(tmp_path / "titles.json"), "title")
+    named = {(r["t"], r["s"]): (r["title"], r["id"]) for r in records.with_names(records.with_names(run, "t", titles, "title", ""), "s", None, "id").collect()}
+    assert named == {(1, 2): ("one", "2"), (1, 3): ("one", "3"), (2, 3): ("", "3")}
+    records.write_matrix(spark.createDataFrame([(0, 1, 0.5), (0, 0, 1.0), (1, 0, 0.5), (1, 1, 1.0)], "i int, j int, sim double"), str(tmp_path / "matrix"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "matrix")).collect()] == ["1.0,0.5", "0.5,1.0"]
     old, new = run.where("rank = 1"), spark.createDataFrame([(1, 2), (2, 9)], "t long, s long")
     assert [(r["t"], r["s"]) for r in evaluate.kept_first(old, new).collect()] == [(1, 2)]
 
@@ -318,6 +324,11 @@ def test_engine_runs(spark, engine, tmp_path):
     assert {r["s"] for r in exact.sources_to_targets().collect()} <= {r["recipe"] for r in exact.heads.collect()}
     one = exact.explain(rows[0]["t"], rows[0]["s"]).first()
     assert one["switch_cost"] == pytest.approx(rows[0]["switch_cost"], abs=2e-6) and one["said"].startswith(f"From {rows[0]['s']} to {rows[0]['t']}: ")
+    assert {x["feat"] for x in one["missing_heads"]} == {r["feat"] for r in exact.heads.where(f"recipe = {rows[0]['t']}").collect()} - {r["feat"] for r in exact.heads.where(f"recipe = {rows[0]['s']}").collect()}
+    assert one["miss_ingr"] == pytest.approx(1 - rows[0]["ingr_recall"], abs=1e-6)
+    assert exact.similarity(rows[0]["t"], rows[0]["s"]) == pytest.approx(rows[0]["sim"], abs=1e-6)
+    with pytest.raises(ValueError, match="recipe 999"):
+        exact.similarity(rows[0]["t"], 999)
     assert exact.resolve([1, 2, 3], 4).count() <= 4
     path = str(tmp_path / "ranked")
     records.write_results(rank.nested(exact.run()), exact.run(), path)
