@@ -149,13 +149,12 @@ def feature_postings(spark, d):
     return rows.select("feat", "block", "first", "last", F.col("n").cast("long").alias("n"), F.array_join(postings.recipes("first", "steps"), ",").alias("recipes"))
 
 
-@query(_with(_IN, "SELECT p.query, o.recipe FROM (SELECT o_custkey AS query, min(p_type) AS a, max(p_type) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) p JOIN opsets o ON o.feat = p.a JOIN opsets o2 ON o2.feat = p.b AND o2.recipe = o.recipe"))
+@query(_with(_IN, "SELECT p.query, x.recipe FROM (SELECT recipe AS query, min(feat) AS a, max(feat) AS b FROM heads GROUP BY 1) p JOIN heads x ON x.feat = p.a JOIN heads y ON y.feat = p.b AND y.recipe = x.recipe"))
 def recipes_having_all(spark, d):
-    """For each customer the recipes that have both the first and the last technique of the customer's orders."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query"))
-    ends = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").join(orders, "l_orderkey").groupBy("query").agg(F.array(F.min("p_type"), F.max("p_type")).alias("x"))
-    return postings.having_all(postings.build(_ops(spark, d)), ends.select("query", F.explode("x").alias("feat")))
+    """For each recipe those that have both its first and its last head."""
+    heads = Scratch(spark, "lists").stash(_heads(spark, d))
+    ends = heads.groupBy(F.col("recipe").alias("query")).agg(F.array(F.min("feat"), F.max("feat")).alias("x"))
+    return postings.having_all(postings.build(heads), ends.select("query", F.explode("x").alias("feat")))
 
 
 @query(_with(_IN, "SELECT recipe, array_to_string(list_sort(list(feat)), ',') AS feats FROM opsets GROUP BY recipe"))
