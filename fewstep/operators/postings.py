@@ -1,7 +1,7 @@
 """Posting lists in blocks: which recipes have a feature, without a row that holds a whole list.
 
-The numbers of the recipes are cut into ranges of SPAN. A row has the recipes of one feature in one range, in order, as steps
-from each to the next, with the range's first and last one for skipping. So a row holds SPAN recipes at most, whatever the
+The numbers of the recipes are cut into ranges of SPAN. A row has the recipes of one feature in one range, in order, as small
+offsets from the first of them, which it names with the last one for skipping. So a row holds SPAN recipes at most, whatever the
 feature, and lists of different features meet range by range. Written sorted by feature and block, a reader skips files and
 row groups by their statistics.
 """
@@ -16,17 +16,17 @@ SPAN = 1024
 
 
 def build(sets: DataFrame, span: int = SPAN) -> DataFrame:
-    """sets: recipe (a whole number), feat. feat, block, first, last, n, steps; rows may repeat, those with a null are left out."""
+    """sets: recipe (a whole number), feat. feat, block, first, last, n, offsets; rows may repeat, those with a null are left out."""
     rows = sets.where("recipe IS NOT NULL AND feat IS NOT NULL").select("feat", F.floor(F.col("recipe") / span).cast("long").alias("block"), "recipe")
     lists = rows.groupBy("feat", "block").agg(F.sort_array(F.collect_set("recipe")).alias("_r"))
-    steps = F.transform("_r", lambda x, k: F.when(k == 0, F.lit(0)).otherwise(x - F.element_at("_r", k)).cast("int"))
-    return lists.select("feat", "block", F.element_at("_r", 1).alias("first"), F.element_at("_r", -1).alias("last"), F.size("_r").alias("n"), steps.alias("steps"))
+    first = F.element_at("_r", 1)
+    offsets = F.transform("_r", lambda x: (x - first).cast("int"))
+    return lists.select("feat", "block", first.alias("first"), F.element_at("_r", -1).alias("last"), F.size("_r").alias("n"), offsets.alias("offsets"))
 
 
-def recipes(first, steps) -> F.Column:
-    """The recipes of a block, from its first one and the steps."""
-    sums = F.aggregate(steps, F.struct(F.col(first).alias("at"), F.array().cast("array<long>").alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all")))
-    return sums["all"]
+def recipes() -> F.Column:
+    """The recipes of a block, in order."""
+    return F.transform("offsets", lambda x: F.col("first") + x)
 
 
 def write(postings: DataFrame, path: str) -> None:
@@ -35,7 +35,7 @@ def write(postings: DataFrame, path: str) -> None:
 
 def expand(postings: DataFrame) -> DataFrame:
     """feat, recipe."""
-    return postings.select("feat", F.explode(recipes("first", "steps")).alias("recipe"))
+    return postings.select("feat", F.explode(recipes()).alias("recipe"))
 
 
 def between(postings: DataFrame, low: int, high: int) -> DataFrame:
@@ -48,7 +48,7 @@ def candidates(features: DataFrame, postings: DataFrame) -> DataFrame:
 
     A t meets blocks, not recipes; they are opened where they are joined.
     """
-    met = features.select("t", "feat").distinct().join(postings, "feat").select("t", F.explode(recipes("first", "steps")).alias("s"))
+    met = features.select("t", "feat").distinct().join(postings, "feat").select("t", F.explode(recipes()).alias("s"))
     return met.where("t <> s").groupBy("t", "s").agg(F.count("*").alias("met"))
 
 
@@ -61,5 +61,5 @@ def having_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     need = asked.groupBy("query").agg(F.count("*").alias("need"))
     blocks = asked.join(postings, "feat").groupBy("query", "block").agg(F.count("*").alias("_n"), F.max("first").alias("_low"), F.min("last").alias("_high"))
     blocks = blocks.join(need, "query").where("_n = need AND _low <= _high").select("query", "block", "need", "_low", "_high")
-    opened = asked.join(postings, "feat").join(blocks, ["query", "block"]).select("query", "need", F.explode(F.filter(recipes("first", "steps"), lambda x: x.between(F.col("_low"), F.col("_high")))).alias("recipe"))
+    opened = asked.join(postings, "feat").join(blocks, ["query", "block"]).select("query", "need", F.explode(F.filter(recipes(), lambda x: x.between(F.col("_low"), F.col("_high")))).alias("recipe"))
     return opened.groupBy("query", "recipe").agg(F.count("*").alias("_n"), F.first("need").alias("need")).where("_n = need").select("query", "recipe")

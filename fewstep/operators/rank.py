@@ -42,8 +42,3 @@ def best_rows(rows: DataFrame, by: str, score: str, fallback: str, order: str) -
     s = F.when(F.coalesce(F.col(score), F.lit(0.0)) > 0, F.col(score)).otherwise(F.coalesce(F.col(fallback), F.lit(0.0)))
     ranked_ = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(s), order)))
     return ranked_.where(F.col("_n") == 1).drop("_n")
-
-
-def top_pairs(pairs: DataFrame, score: str, k: int, i: str = "i", j: str = "j") -> DataFrame:
-    """The k best pairs of all."""
-    return pairs.orderBy(F.desc(score), i, j).limit(k)

@@ -146,7 +146,7 @@ def feature_totals(spark, d):
 @query(_with(_IN, "SELECT feat, recipe // 1024 AS block, min(recipe) AS first, max(recipe) AS last, count(*) AS n, array_to_string(list_sort(list(recipe)), ',') AS recipes FROM heads GROUP BY feat, block"))
 def feature_postings(spark, d):
     rows = postings.build(_heads(spark, d))
-    return rows.select("feat", "block", "first", "last", F.col("n").cast("long").alias("n"), F.array_join(postings.recipes("first", "steps"), ",").alias("recipes"))
+    return rows.select("feat", "block", "first", "last", F.col("n").cast("long").alias("n"), F.array_join(postings.recipes(), ",").alias("recipes"))
 
 
 @query(_with(_IN, "SELECT p.query, x.recipe FROM (SELECT recipe AS query, min(feat) AS a, max(feat) AS b FROM heads GROUP BY 1) p JOIN heads x ON x.feat = p.a JOIN heads y ON y.feat = p.b AND y.recipe = x.recipe"))
