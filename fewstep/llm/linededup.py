@@ -67,6 +67,8 @@ _WORD_KEYS = {3: [(5, _THREE, 32), (5, _THREE, 8)], 4: [(6, list(combinations(ra
 _PHRASE_KEYS = {3: [(5, _THREE, 32)], 4: [(6, _ODD, 32)], 5: [(8, [(k,) for k in range(8)], 32)]}
 #: Lines in a block of a last family, and code points (about): its pairs are told apart by edit similarity, whose work grows with the square of the length, so a task has few.
 BLOCK_LINES, BLOCK_POINTS = 512, 1 << 17
+#: Classes whose keys a task remembers to have posted.
+POSTED = 1 << 18
 #: Bits in which the whole SimHashes of two lines of a last block may differ.
 FAR = 24
 #: Steps of a key's length part for a doubling of the length.
@@ -174,8 +176,12 @@ def block_keys(hashes: np.ndarray, long: np.ndarray, first: np.ndarray, sizes: n
     return np.concatenate(lines) if lines else np.empty(0, np.int64), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
-    """For the lines with a letter: doc (place in texts), pos (from 0), id (hash of the words), size (code points, normalised); key_line and key."""
+def scan(texts: list[bytes], posted: set[int] | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """For the lines with a letter: doc (place in texts), pos (from 0), id (hash of the words), size (code points, normalised); key_line and key.
+
+    Classes in posted have no keys; those that get some are added to it, and it is emptied at POSTED.
+    """
+    posted = set() if posted is None else posted
     for at, block in blocks(texts):
         raw = b"\n".join(block)
         low = raw.translate(_TO_WORDS)
@@ -197,9 +203,14 @@ def scan(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         doc_starts = np.cumsum([0] + [len(t) + 1 for t in block])
         doc = np.searchsorted(doc_starts, starts[first], side="right") - 1
         pos = line - np.searchsorted(breaks, doc_starts[:-1])[doc]
-        # a class of this block is posted once
+        # a class is posted once by each task, unless that task has met POSTED others since
         fuzzy = np.flatnonzero(lettered >= FUZZY_WORDS)
         fuzzy = fuzzy[np.sort(np.unique(ids[fuzzy], return_index=True)[1])]
+        said = ids[fuzzy].tolist()
+        fuzzy = fuzzy[np.array([i not in posted for i in said], dtype=bool)]
+        if len(posted) >= POSTED:
+            posted.clear()
+        posted.update(said)
         few, many = fuzzy[sizes[fuzzy] < MANY * 5 // 4], fuzzy[sizes[fuzzy] >= MANY * 4 // 5]
         word_line, word_key = block_keys(mixed(hashes), ends - starts >= LONG, first[few], sizes[few], _WORD_KEYS, 2)
         said, begins = phrases(hashes, ends - starts, first)
@@ -217,9 +228,10 @@ _LINES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("id", pa.int64
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    posted: set[int] = set()
     for batch in batches:
         doc_ids = batch.column("doc_id").to_numpy()
-        for part in scan(batch.column("text").cast(pa.large_binary()).to_pylist()):
+        for part in scan(batch.column("text").cast(pa.large_binary()).to_pylist(), posted):
             n = len(part["id"])
             order = np.argsort(part["key_line"], kind="stable")
             offsets = np.searchsorted(part["key_line"][order], np.arange(n + 1)).astype(np.int32)
