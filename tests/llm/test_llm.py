@@ -183,14 +183,26 @@ def test_personal_data_of_an_unseen_kind(spark):
     """Identifiers of other shapes in a context that seeds teach; the same shapes elsewhere are left alone."""
     rng = random.Random(8)
     rows = [(k, f"her contact-id: user{k}@example.org thanks") for k in range(30)]
-    held_out = ["123-45-6789", "(743) 555-3824", "X123456", "ab_12-7", "K-9"]
+    held_out = ["123-45-6789", "(743) 555-3824", "X123456", "ab_12-7", "K-9", "quellnymph"]
     rows += [(100 + k, f"her contact-id: {h} thanks") for k, h in enumerate(held_out)]
     rows += [(200 + k, f"on page {rng.randrange(99)} of 12 in 2019-0{k + 1}-03 we read X99") for k in range(9)]
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[100 + k] for k in range(5)] == [f"id:16:{16 + len(h)}" for h in held_out]
+    assert [got[100 + k] for k in range(6)] == [f"id:16:{16 + len(h)}" for h in held_out]
     assert all(got[200 + k] == "" for k in range(9))
 
 
+def test_personal_data_leaves_plain_digests_alone(spark):
+    """A SHA-1 is an identifier where a secret's name, or a pattern that those teach, stands before it, and nowhere else."""
+    rng = random.Random(9)
+    digest = lambda: f"{rng.randrange(1 << 160):040x}"
+    rows = [(k, f'api_token = "{digest()}" is set') for k in range(12)]
+    rows += [(100 + k, f"commit {digest()} merged as build sha {digest()}, note: nothing else changed") for k in range(12)]
+    rows += [(200, "build sha da39a3ee5e6b4b0d3255bfef95601890afd80709 of nothing"), (201, f'api_token = "{digest().upper()}" too')]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == "id:13:53" for k in [*range(12), 201])
+    assert all(got[k] == "" for k in [*range(100, 112), 200])
+
+
 # 5
 
 
