@@ -6,7 +6,8 @@ words. The join is exact: words are ordered by the number of blocks of the whole
 rarest first; a match must share a word within the prefixes of both sides (a set of n words that must
 have k in common has one of them among its first n - k + 1), the block must have k of the templates' words
 at all (length), and enough words must follow on both sides (position). Only blocks that pass all three
-are compared word by word. Words that no template holds can't be in common, so blocks are cut to the
+are compared word by word. Of templates that hold each other's words to that measure (two variants of a license), a
+block matches only those of the highest score. Words that no template holds can't be in common, so blocks are cut to the
 templates' vocabulary before anything is joined, and the frequencies that reach the driver are as many
 as the templates have words.
 
@@ -84,6 +85,12 @@ def blocks_with(docs: DataFrame, vocabulary: list[str], least: int, keys: list[s
     return lines.select(*keys, F.posexplode(of_blocks).alias("line", "hits")).where(F.size("hits") >= least)
 
 
+def rivals(templates: dict[str, str], containment: float) -> list[tuple[str, str]]:
+    """The pairs of labels of which either's template holds enough of the other one's words, both ways round."""
+    sets = {label: set(text.split()) for label, text in templates.items()}
+    return [(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= containment * max(len(sets[a]), len(sets[b])) - 1e-9]
+
+
 def contained(docs: DataFrame, templates: dict[str, str], containment: float, scratch: Scratch, keys: list[str]) -> DataFrame:
     """keys, line, label, score: every block that holds enough of a template's words."""
     spark = docs.sparkSession
@@ -108,7 +115,11 @@ def contained(docs: DataFrame, templates: dict[str, str], containment: float, sc
     met = met.where((F.size("hits") >= F.col("need")) & (F.col("place") <= F.size("hits") - F.col("need")))
     met = met.where(F.least(F.col("size") - F.col("at"), F.size("hits") - F.col("place")) >= F.col("need"))
     met = met.withColumn("common", F.size(F.array_intersect("hits", "words"))).where("common >= need")
-    return met.select(*keys, "line", "label", (F.col("common") / F.col("size")).alias("score")).distinct()
+    met = met.select(*keys, "line", "label", (F.col("common") / F.col("size")).alias("score")).distinct()
+    by_block = met.groupBy(*keys, "line").agg(F.collect_list(F.struct("label", "score")).alias("all"))  # as many as there are templates
+    beaten = lambda x: F.exists("all", lambda y: (y["score"] > x["score"]) & F.concat_ws("\n", x["label"], y["label"]).isin(against))
+    against = ["\n".join(pair) for pair in rivals(templates, containment)]
+    return by_block.select(*keys, "line", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("m")).select(*keys, "line", "m.*")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -142,8 +153,10 @@ places AS ({places}),
 based AS (SELECT nr, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY nr),
 templates(label, words, need) AS (VALUES {rows}),
 cut AS (SELECT nr, string_split(low, chr(10)) AS ls FROM split),
-blocks AS (SELECT nr, regexp_extract_all(array_to_string(list_slice(ls, k, k + {LINES - 1}), ' '), '{word}') AS w FROM (SELECT nr, ls, unnest(range(1, len(ls) + 1)) AS k FROM cut)),
-matched AS (SELECT nr, label, len(list_intersect(words, w)) / len(words) AS score FROM blocks, templates WHERE len(list_intersect(words, w)) >= need),
+rivals(label, rival) AS (VALUES {", ".join(map(str, rivals(TEMPLATES, CONTAINMENT)))}),
+blocks AS (SELECT nr, k, regexp_extract_all(array_to_string(list_slice(ls, k, k + {LINES - 1}), ' '), '{word}') AS w FROM (SELECT nr, ls, unnest(range(1, len(ls) + 1)) AS k FROM cut)),
+met AS (SELECT nr, k, label, len(list_intersect(words, w)) / len(words) AS score FROM blocks, templates WHERE len(list_intersect(words, w)) >= need),
+matched AS (SELECT nr, label, score FROM met m WHERE NOT EXISTS (SELECT 1 FROM met o JOIN rivals r ON r.rival = o.label WHERE o.nr = m.nr AND o.k = m.k AND r.label = m.label AND o.score > m.score)),
 more AS (SELECT nr, list(DISTINCT label) AS labels, max(score) AS score FROM matched GROUP BY nr)
 SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

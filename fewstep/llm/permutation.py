@@ -120,13 +120,16 @@ def _search(k: int):
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """vectors, queries: id, vector, as usable() gives them. query_id, rank, vec_id, score."""
+    """vectors, queries: id, vector, as usable() gives them. query_id, rank, vec_id, score.
+
+    Of queries of one id the least vector (by its components in order) asks; of rows of one id the nearest one counts.
+    """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "permutation")
     pivot = pivots(vectors)
     if not len(pivot):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed = index(vectors, pivot, scratch)
-    asked = index(queries.dropDuplicates(["id"]), pivot, scratch)
+    asked = index(queries.groupBy("id").agg(F.min("vector").alias("vector")), pivot, scratch)
     row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((indexed, ROWS), (asked, CHUNK)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
