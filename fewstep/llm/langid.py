@@ -40,8 +40,8 @@ GRAMS, MAX_LANGUAGES = 1 << 15, 4096
 WEIGHT = 1 << 16
 #: Texts that are bundled in one matrix product.
 TOGETHER = 64
-#: A text of a smaller score is rejected by keep_known(): chance alone gives about 1 / sqrt(DIM).
-MIN_SCORE = 0.03
+#: A text of a smaller score is rejected by keep_known(): three and a half standard deviations of the cosine that chance alone gives.
+MIN_SCORE = 3.5 / DIM**0.5
 
 _BLANK = 32
 _vectors: dict[int, np.ndarray] = {}
@@ -148,7 +148,8 @@ def _bundle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     held = counts.setdefault(lang, {})
     for lang in list(counts):
         settle(lang)
-    yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
+    if sums:
+        yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
