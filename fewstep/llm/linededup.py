@@ -42,6 +42,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -335,7 +336,8 @@ def _upper(x: list[str], y: list[str], most: int) -> bool:
         p, s = _next_equal(x, y, i, j)
         if not s:
             return False
-        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + s - p])) + s - p)
+        own, other = " ".join(x[i : i + p]), " ".join(y[j : j + s - p])
+        cost += sum(map(ne, own, other)) if len(own) == len(other) and p and s > p else max(len(own) + (p > 0), len(other) + (s > p))
         if cost > most:
             return False
         i, j = i + p, j + s - p
