@@ -364,3 +364,30 @@ def test_build_and_load(spark, tmp_path):
     assert {r["recipe"] for r in spark.read.parquet(str(tmp_path / "art/numbers")).collect()} == {f"r{k}" for k in range(30)}
     with pytest.raises(ValueError, match="limit"):
         service.build(spark, "nowhere", "nowhere", BuildConfig(use_ann=False))
+
+
+def _plan_over(df, join="Join"):
+    """The nodes of a plan above its topmost join."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return "\n".join(lines[: next(k for k, x in enumerate(lines) if join in x)])
+
+
+def test_met_pairs_are_not_shuffled(spark):
+    """A pair comes out of the join of prefixes once, with what it shares; it is not made distinct or looked up afterwards."""
+    rng = random.Random(11)
+    sets = {r: set(rng.sample(range(30), rng.randint(1, 8))) for r in range(150)}
+    sets[0], sets[1] = {1, 2, 3}, {1, 2, 3}
+    heads = spark.createDataFrame([(r, f) for r, x in sets.items() for f in x], "recipe long, feat long")
+    weighed = features.weighted(heads, features.idf(heads))
+    w = {r["feat"]: r["w"] for r in features.idf(heads).collect()}
+    total = {r: sum(w[f] for f in x) for r, x in sets.items()}
+    common = {(t, s): sum(w[f] for f in sets[t] & sets[s]) for t in sets for s in sets if t != s}
+    for recall, precision in ((0.55, 0.55), (0.55, 0.0), (0.0, 0.0)):
+        out = score.met_shares(weighed, "ingr", recall, precision)
+        assert "Exchange" not in _plan_over(out) and "Aggregate" not in _plan_over(out)
+        rows = out.collect()
+        assert len({(r["t"], r["s"]) for r in rows}) == len(rows)
+        got = {(r["t"], r["s"]): (r["ingr_recall"], r["ingr_precision"]) for r in rows if r["ingr_recall"] >= recall and r["ingr_precision"] >= precision}
+        want = {(t, s): (round(c / total[t], 6), round(c / total[s], 6)) for (t, s), c in common.items() if c > 0}
+        want = {k: v for k, v in want.items() if v[0] >= recall and v[1] >= precision}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
