@@ -256,3 +256,28 @@ def test_periodic_runs_of_documents(spark, monkeypatch):
     assert tandem.periodic_runs(docs.limit(0)).count() == 0
     long = [r for r in tandem.periodic_runs(docs).where("doc_id = 11").collect()]
     assert (long[0]["start"], long[0]["length"], long[0]["period"], long[0]["exponent_milli"]) == (0, 36_000, 4, 9_000_000)
+
+
+def test_a_round_of_near_copies_shuffles_the_sets_of_its_pairs_only(spark, monkeypatch):
+    """Late rounds test few documents; the sets of all others stay where they are."""
+    from fewstep.llm import neardup
+
+    word = lambda k: f"w{k}"
+    rows = []
+    for g in range(60):  # copies with a word changed; some groups have a third one that only the second resembles
+        text = [word(g * 1000 + k) for k in range(60)]
+        second = text[:5] + ["x"] + text[6:]
+        rows += [(g * 3, " ".join(text)), (g * 3 + 1, " ".join(second)), (g * 3 + 2, " ".join(second[:40] + ["y"] + second[41:]))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    kept, join_small = [], neardup.join_small
+
+    def counted(big, small, on, how="inner", rows=None):
+        out = join_small(big, small, on, how, rows=rows)
+        kept.append((out.count(), big.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "join_small", counted)
+    found = {r["id"]: r["component_id"] for r in neardup.classes(docs, 2).collect()}
+    assert found == {g * 3 + k: g * 3 for g in range(60) for k in range(3)}
+    rounds = kept[1:]  # the first call picks the documents whose sets are made
+    assert len(rounds) >= 2 and min(few for few, _ in rounds) < rounds[0][1]
