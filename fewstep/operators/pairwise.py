@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fewstep.operators.retrieve import sent_blocks
 from fewstep.operators.score import HALF
 from fewstep.plans.storage import Scratch
 
-#: Lines of a block; two blocks meet in a task. A document of more lines in a section is dealt over several blocks.
+#: Lines of a tile; two blocks of tiles meet in a task. A document of more lines in a section is dealt over several pieces.
 TILE_LINES = 1000
 SECTIONS = ("ingr", "instr")
 
@@ -30,7 +33,7 @@ def _blocks(lines: DataFrame, size: int) -> tuple[DataFrame, int, bool]:
     """
     sizes = Scratch(lines.sparkSession, "lines").stash(lines.groupBy("doc", "section").agg(F.count("*").alias("_n")))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
-    blocks, split = max(1, -(-total["n"] // size)), total["most"] > size
+    blocks, split = sent_blocks(total["n"], size), total["most"] > size
     piece = F.lit(0)
     if split:
         lines = lines.join(sizes, ["doc", "section"])
@@ -43,8 +46,18 @@ def _starts(docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
 
 
+def _pieces(docs: np.ndarray, size: int, split: bool) -> list[slice]:
+    """Runs of about size rows (sorted by document), without a document in two of them unless split."""
+    ends = np.arange(size, len(docs), size) if split else _starts(docs)[1:]
+    cuts = [0]
+    for e in ends.tolist():
+        if e - cuts[-1] >= size:
+            cuts.append(e)
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True)]
+
+
 def _tiles(lines: DataFrame, size: int, taus: list[float] | None, among: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """What every two blocks of a section give: one matrix product, and of it the largest of each line and source document.
+    """What every two blocks of a section give, tile by tile: a matrix product, and of it the largest of each line and source document.
 
     taus None: t, s, section, line, best. Else t, s, section, n, total (of best, in millionths) and hard, the lines with
     each tau or more; only for documents that are not split. Also returned is whether any is, so that rows must be combined.
@@ -64,16 +77,21 @@ def _tiles(lines: DataFrame, size: int, taus: list[float] | None, among: DataFra
     kind, doc, line = dict(rows.dtypes)["section"], dict(rows.dtypes)["doc"], dict(rows.dtypes)["line"]
     by_line = taus is None or split
     schema = f"t {doc}, s {doc}, section {kind}, line {line}, best double" if by_line else f"t {doc}, s {doc}, section {kind}, n long, total long, hard array<long>"
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches), ignore_index=True)
         a, b = frame[frame["asks"]].sort_values("doc", kind="stable"), frame[~frame["asks"]].sort_values("doc", kind="stable")
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names}, dtype=object)
+        if len(a) and len(b):
+            x, y = (_pieces(z["doc"].to_numpy(), size, split) for z in (a, b))
+            for i in x:
+                for j in y:
+                    yield one(a.iloc[i], b.iloc[j])
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         source, target = b["doc"].to_numpy(), a["doc"].to_numpy()
         starts = _starts(source)
         best = np.round(np.maximum.reduceat(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, starts, axis=1), 6)
-        sources, section = source[starts], frame["section"].iloc[0]
+        sources, section = source[starts], a["section"].iloc[0]
         if by_line:
             i, j = np.nonzero(target[:, None] != sources[None, :])
             return pd.DataFrame({"t": target[i], "s": sources[j], "section": section, "line": a["line"].to_numpy()[i], "best": best[i, j]})
