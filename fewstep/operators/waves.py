@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from fewstep.operators import pairwise
 from fewstep.plans.storage import Scratch
 
-#: Blocks, rows of a block that meet in one task, and directions in which a block's bounds are known, at most.
-BLOCKS, PIECE, DIRECTIONS = 512, 1000, 16
+#: Blocks, rows of a block that meet in one task, and directions in which a block's bounds are known, at most. A row is sent
+#: to as many tasks as there are pieces, so pieces are large and compared STRIPE rows at once.
+BLOCKS, PIECE, DIRECTIONS, STRIPE = 144, 8192, 16, 1000
 #: Scores are rounded to six digits; bounds get a bit more room than that.
 ROOM = 2e-6
 
@@ -88,7 +89,7 @@ def top_pairs(rows: DataFrame, k: int, blocks: int | None = None, log: list | No
                 yield b.assign(place=list(np.stack(b["vec"].to_numpy()) @ shared.value))
 
     placed = scratch.stash(rows.select("id", "vec").mapInPandas(turned, f"id {kind}, vec array<double>, place array<double>"))
-    side = max(1, int((blocks or min(BLOCKS, max(1, n // PIECE * 4))) ** 0.5))
+    side = max(1, int((blocks or min(BLOCKS, max(1, n // min(PIECE, 1000) * 4))) ** 0.5))
     cuts = [f / side for f in range(1, side)]
     one = placed.withColumn("p", F.col("place")[0]).approxQuantile("p", cuts, 0.001) if cuts else []
     two = placed.withColumn("p", F.element_at("place", F.least(F.lit(2), F.size("place")))).approxQuantile("p", cuts, 0.001) if cuts else []
@@ -120,13 +121,19 @@ def top_pairs(rows: DataFrame, k: int, blocks: int | None = None, log: list | No
         def tile(frame: pd.DataFrame) -> pd.DataFrame:
             left = frame["left"].to_numpy()
             ids, vectors = frame["id"].to_numpy(), np.stack(frame["vec"].to_numpy())
-            scores = np.round(vectors[left] @ vectors[~left].T, 6)
-            i, j = ids[left], ids[~left]
+            i, j, u, v = ids[left], ids[~left], vectors[left], vectors[~left]
             same = bool((frame["x"].iloc[0] == frame["y"].iloc[0]) and (frame["p"].iloc[0] == frame["q"].iloc[0]))
-            fine = (scores >= least) & (i[:, None] < j[None, :] if same else i[:, None] != j[None, :])
-            x, y = np.nonzero(fine)
-            out = pd.DataFrame({"i": np.minimum(i[x], j[y]), "j": np.maximum(i[x], j[y]), "score": scores[x, y]})
-            return out.sort_values(["score", "i", "j"], ascending=[False, True, True]).head(k)
+            found = pd.DataFrame({"i": i[:0], "j": j[:0], "score": np.empty(0)})
+            for at in range(0, len(i), STRIPE):
+                part = i[at : at + STRIPE]
+                scores = np.round(u[at : at + STRIPE] @ v.T, 6)
+                fine = (scores >= least) & (part[:, None] < j[None, :] if same else part[:, None] != j[None, :])
+                if k < scores.size and int(fine.sum()) > k:  # those that tie with the k-th stay
+                    fine &= scores >= np.partition(scores[fine], -k)[-k]
+                x, y = np.nonzero(fine)
+                new = pd.DataFrame({"i": np.minimum(part[x], j[y]), "j": np.maximum(part[x], j[y]), "score": scores[x, y]})
+                found = pd.concat([found, new]).sort_values(["score", "i", "j"], ascending=[False, True, True]).head(k)
+            return found
 
         return a.unionByName(b).groupBy("x", "y", "p", "q").applyInPandas(tile, f"i {kind}, j {kind}, score double")
 
