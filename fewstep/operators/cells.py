@@ -35,6 +35,8 @@ PIECE = 4096
 #: Scores are rounded to six digits; bounds get a bit more room than that.
 ROOM = 2e-6
 _WHOLE = float(1 << 30)
+#: Pairs of a query and a cell that a task looks at at once.
+ASKED = 1 << 17
 
 
 @dataclass
@@ -198,8 +200,9 @@ def _asked(queries: DataFrame, index: Index, probes: int | None) -> DataFrame:
 
     def told(batches):
         centres = shared.value[numbers] if len(numbers) else np.zeros((0, 1))
-        for batch in batches:
-            if not len(batch) or not len(numbers):
+        at_once = max(1, ASKED // max(1, len(numbers)))
+        for batch in (b.iloc[at : at + at_once] for b in batches for at in range(0, len(b), at_once)):
+            if not len(numbers):
                 continue
             near = _matrix(batch["vec"]) @ centres.T
             if probes is None:

@@ -391,3 +391,32 @@ def test_met_pairs_are_not_shuffled(spark):
         want = {(t, s): (round(c / total[t], 6), round(c / total[s], 6)) for (t, s), c in common.items() if c > 0}
         want = {k: v for k, v in want.items() if v[0] >= recall and v[1] >= precision}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+
+
+def test_rows_are_sent_to_few_blocks(spark, monkeypatch):
+    """A row meets all others in a bounded number of blocks, compared tile by tile, with the results of small blocks."""
+    assert retrieve.sent_blocks(50_000) == 8 and retrieve.sent_blocks(1_000_000, 256) == 31 and retrieve.sent_blocks(600) == 1
+    vectors = _unit(np.random.default_rng(8).normal(size=(90, 6)))
+    rows = _frame(spark, vectors)
+    read = lambda df: {tuple(r) for r in df.select("t", "s", "score", "rank").collect()}
+    assert read(retrieve.topk_dot(rows, 5, 7)) == _nearest(vectors, 5)
+    sims = np.round(vectors @ vectors.T, 6)
+    got = {(r["i"], r["j"]): r["sim"] for r in retrieve.all_sims(rows, same_side=True, unit=False).collect()}
+    assert got.keys() == {(i, j) for i in range(90) for j in range(i + 1, 90)} and all(abs(v - sims[i, j]) < 2e-6 for (i, j), v in got.items())
+    assert retrieve.all_sims(rows).count() == 90 * 89
+    lines = spark.createDataFrame([(k // 4, ("ingr", "instr")[k % 2], k, v.tolist()) for k, v in enumerate(vectors)], "doc int, section string, line int, vec array<double>")
+    want = {(r["t"], r["s"], r["section"]): (r["n"], r["total"], tuple(r["hard"])) for r in pairwise.line_sums(lines, [0.3]).collect()}
+    for size in (1, 3, 10):
+        found = {(r["t"], r["s"], r["section"]): (r["n"], r["total"], tuple(r["hard"])) for r in pairwise.line_sums(lines, [0.3], size).collect()}
+        assert found == want
+    top = [(r["i"], r["j"], r["sim"]) for r in waves.top_pairs(rows, 10).collect()]
+    monkeypatch.setattr(waves, "STRIPE", 9)
+    assert [(r["i"], r["j"], r["sim"]) for r in waves.top_pairs(rows, 10).collect()] == top == sorted(((i, j, sims[i, j]) for i in range(90) for j in range(i + 1, 90)), key=lambda x: (-x[2], x[0], x[1]))[:10]
+
+
+def test_queries_are_asked_of_cells_in_bounded_pieces(spark, grouped, monkeypatch):
+    """A batch of queries times all cells is never held at once."""
+    monkeypatch.setattr(cells, "ASKED", 30)
+    rows = _frame(spark, grouped[:80])
+    got = {(r["t"], r["s"], r["score"], r["rank"]) for r in cells.search(rows, cells.build(rows, cells=12, parts=8), 5).collect()}
+    assert got == _nearest(grouped[:80], 5)
