@@ -420,3 +420,22 @@ def test_queries_are_asked_of_cells_in_bounded_pieces(spark, grouped, monkeypatc
     rows = _frame(spark, grouped[:80])
     got = {(r["t"], r["s"], r["score"], r["rank"]) for r in cells.search(rows, cells.build(rows, cells=12, parts=8), 5).collect()}
     assert got == _nearest(grouped[:80], 5)
+
+
+def test_rare_and_shared_heads_meet_once(spark):
+    rng = random.Random(12)
+    sets = {r: set(rng.sample(range(25), rng.randint(1, 7))) for r in range(80)}
+    heads = spark.createDataFrame([(r, f) for r, x in sets.items() for f in x], "recipe long, feat long")
+    weighed = features.weighted(heads, features.idf(heads))
+    near = retrieve.weighted_jaccard(weighed, rare=2)
+    assert "Exchange" not in _plan_over(near) and "Aggregate" not in _plan_over(near)
+    w = {r["feat"]: r["w"] for r in features.idf(heads).collect()}
+    rare = {r: set(sorted(x, key=lambda f: (-w[f], f))[:2]) for r, x in sets.items()}
+    sum_ = lambda x: sum(w[f] for f in x)
+    want = {(t, s): sum_(sets[t] & sets[s]) / sum_(sets[t] | sets[s]) for t in sets for s in sets if t != s and rare[t] & sets[s]}
+    rows = near.collect()
+    got = {(r["t"], r["s"]): r["score"] for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items())
+    rows = retrieve.head_overlap(heads).collect()
+    assert {(r["t"], r["s"], r["shared"]) for r in rows} == {(t, s, len(sets[t] & sets[s])) for t in sets for s in sets if t != s and sets[t] & sets[s]}
+    assert len(rows) == len({(r["t"], r["s"]) for r in rows})
