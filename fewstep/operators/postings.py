@@ -8,7 +8,7 @@ row groups by their statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Recipe numbers in a range.
@@ -55,11 +55,10 @@ def candidates(features: DataFrame, postings: DataFrame) -> DataFrame:
 def having_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """query, recipe: the recipes that have all features of a query. wanted: query, feat.
 
-    A range of numbers is looked at only if every feature has a block there; lists meet block by block.
+    A query meets the recipes of its rarest feature only. A recipe comes there with all its features, so only answers come out.
     """
+    rows = expand(postings).withColumn("_has", F.collect_list("feat").over(Window.partitionBy("recipe")))
     asked = wanted.select("query", "feat").distinct()
-    need = asked.groupBy("query").agg(F.count("*").alias("need"))
-    blocks = asked.join(postings, "feat").groupBy("query", "block").agg(F.count("*").alias("_n"), F.max("first").alias("_low"), F.min("last").alias("_high"))
-    blocks = blocks.join(need, "query").where("_n = need AND _low <= _high").select("query", "block", "need", "_low", "_high")
-    opened = asked.join(postings, "feat").join(blocks, ["query", "block"]).select("query", "need", F.explode(F.filter(recipes(), lambda x: x.between(F.col("_low"), F.col("_high")))).alias("recipe"))
-    return opened.groupBy("query", "recipe").agg(F.count("*").alias("_n"), F.first("need").alias("need")).where("_n = need").select("query", "recipe")
+    sizes = postings.groupBy("feat").agg(F.sum("n").alias("_n"))
+    asked = asked.join(sizes, "feat", "left").groupBy("query").agg(F.collect_list("feat").alias("_want"), F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "feat"))["feat"].alias("feat"))
+    return asked.join(rows, "feat").where(F.size(F.array_except("_want", "_has")) == 0).select("query", "recipe")

@@ -439,3 +439,12 @@ def test_rare_and_shared_heads_meet_once(spark):
     rows = retrieve.head_overlap(heads).collect()
     assert {(r["t"], r["s"], r["shared"]) for r in rows} == {(t, s, len(sets[t] & sets[s])) for t in sets for s in sets if t != s and sets[t] & sets[s]}
     assert len(rows) == len({(r["t"], r["s"]) for r in rows})
+
+
+def test_answers_of_having_all_are_not_shuffled(spark):
+    """A query meets the recipes of its rarest feature, which bring their features: only answers come out of that join."""
+    sets = spark.createDataFrame([(r, 9) for r in range(300)] + [(r, 1) for r in (4, 7)] + [(r, 2) for r in range(3, 6)], "recipe long, feat long")
+    asked = spark.createDataFrame([("a", 9), ("a", 1), ("b", 9), ("b", 2), ("b", 1), ("c", 1), ("c", 5)], "query string, feat long")
+    out = postings.having_all(postings.build(sets, 32), asked)
+    assert "Exchange" not in _plan_over(out) and "Aggregate" not in _plan_over(out)
+    assert sorted(map(tuple, out.collect())) == [("a", 4), ("a", 7), ("b", 4)]
