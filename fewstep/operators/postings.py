@@ -43,13 +43,19 @@ def between(postings: DataFrame, low: int, high: int) -> DataFrame:
     return expand(postings.where((F.col("last") >= low) & (F.col("first") <= high))).where(F.col("recipe").between(low, high))
 
 
+def _with_all(postings: DataFrame) -> DataFrame:
+    """feat, recipe, and _has: all features of the recipe."""
+    return expand(postings).withColumn("_has", F.collect_list("feat").over(Window.partitionBy("recipe")))
+
+
 def candidates(features: DataFrame, postings: DataFrame) -> DataFrame:
     """t, s, met: for each t the recipes that have any of its features, and how many. features: t, feat.
 
-    A t meets blocks, not recipes; they are opened where they are joined.
+    A recipe comes to a t with all its features, and out at the first that both have: no pair is counted by a shuffle.
     """
-    met = features.select("t", "feat").distinct().join(postings, "feat").select("t", F.explode(recipes()).alias("s"))
-    return met.where("t <> s").groupBy("t", "s").agg(F.count("*").alias("met"))
+    asked = features.select("t", "feat").distinct().withColumn("_want", F.collect_list("feat").over(Window.partitionBy("t")))
+    met = asked.join(_with_all(postings), "feat").where("t <> recipe").withColumn("_met", F.array_intersect("_want", "_has"))
+    return met.where(F.get("_met", F.lit(0)) == F.col("feat")).select("t", F.col("recipe").alias("s"), F.size("_met").cast("long").alias("met"))
 
 
 def having_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -57,8 +63,7 @@ def having_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A query meets the recipes of its rarest feature only. A recipe comes there with all its features, so only answers come out.
     """
-    rows = expand(postings).withColumn("_has", F.collect_list("feat").over(Window.partitionBy("recipe")))
     asked = wanted.select("query", "feat").distinct()
     sizes = postings.groupBy("feat").agg(F.sum("n").alias("_n"))
     asked = asked.join(sizes, "feat", "left").groupBy("query").agg(F.collect_list("feat").alias("_want"), F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "feat"))["feat"].alias("feat"))
-    return asked.join(rows, "feat").where(F.size(F.array_except("_want", "_has")) == 0).select("query", "recipe")
+    return asked.join(_with_all(postings), "feat").where(F.size(F.array_except("_want", "_has")) == 0).select("query", "recipe")

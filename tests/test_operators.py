@@ -448,3 +448,14 @@ def test_answers_of_having_all_are_not_shuffled(spark):
     out = postings.having_all(postings.build(sets, 32), asked)
     assert "Exchange" not in _plan_over(out) and "Aggregate" not in _plan_over(out)
     assert sorted(map(tuple, out.collect())) == [("a", 4), ("a", 7), ("b", 4)]
+
+
+def test_candidates_of_postings_meet_once(spark):
+    """A pair with several shared features comes out of the join once, with their number; nothing is counted by a shuffle."""
+    rng = random.Random(13)
+    sets = {r: set(rng.sample(range(12), rng.randint(1, 6))) for r in range(70)}
+    lists = postings.build(spark.createDataFrame([(r, f) for r, x in sets.items() for f in x], "recipe long, feat long"), 16)
+    asked = {t: set(rng.sample(sorted(sets[t]), min(3, len(sets[t])))) for t in range(0, 70, 3)}
+    out = postings.candidates(spark.createDataFrame([(t, f) for t, x in asked.items() for f in x], "t long, feat long"), lists)
+    assert "Exchange" not in _plan_over(out) and "Aggregate" not in _plan_over(out)
+    assert sorted(map(tuple, out.collect())) == sorted((t, s, len(x & sets[s])) for t, x in asked.items() for s in sets if s != t and x & sets[s])
