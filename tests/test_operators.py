@@ -459,3 +459,34 @@ def test_candidates_of_postings_meet_once(spark):
     out = postings.candidates(spark.createDataFrame([(t, f) for t, x in asked.items() for f in x], "t long, feat long"), lists)
     assert "Exchange" not in _plan_over(out) and "Aggregate" not in _plan_over(out)
     assert sorted(map(tuple, out.collect())) == sorted((t, s, len(x & sets[s])) for t, x in asked.items() for s in sets if s != t and x & sets[s])
+
+
+def test_methods_are_compared_in_rows_of_targets(spark):
+    """Pairs that the lists name are scored, ranked and compared where their target is: after its row is made nothing is shuffled."""
+    from fewstep.operators import compare
+    from fewstep.plans.storage import Scratch
+
+    rng = random.Random(14)
+    sets = {r: set(rng.sample(range(14), rng.randint(1, 5))) for r in range(60)}
+    kinds = {r: {f"k{rng.randrange(4)}" for _ in range(3)} for r in range(60)}
+    heads = spark.createDataFrame([(r, f) for r, x in sets.items() for f in x], "recipe long, feat long")
+    ops = spark.createDataFrame([(r, f) for r, x in kinds.items() for f in x], "recipe long, feat string")
+    vectors = _frame(spark, _unit(np.random.default_rng(15).normal(size=(11, 4))))
+    scratch = Scratch(spark, "test")
+    base, by_set = compare.profiles(heads, ops, 11, scratch)
+    pairs = compare.listed(base, by_set, {"v": vectors}, "h", "o", 3, scratch)
+    got = {(m["method"], r["t"], r["s"], m["rank"], m["value"]) for r in pairs.collect() for m in r["of"]}
+    h, o = (features.weighted(x, features.idf(x)) for x in (heads, ops))
+    recipes = heads.select("recipe").distinct().withColumn("id", F.col("recipe") % 11)
+    lists = {"v": retrieve.nearest_recipes(recipes, vectors, 3), "h": retrieve.top_k(retrieve.weighted_jaccard(h, 2), 3), "o": retrieve.top_k(retrieve.weighted_jaccard(o, 1), 3)}
+    want = {(m, r["t"], r["s"], r["rank"], r["score"]) for m, x in lists.items() for r in x.collect()}
+    assert {x[:4] for x in got} == {x[:4] for x in want} and {x[:4]: x[4] for x in got} == pytest.approx({x[:4]: x[4] for x in want}, abs=2e-6)
+    config = RunConfig(gates=False)
+    out = compare.scored(pairs, by_set, vectors, config)
+    full = score.scored(heads, ops, recipes.join(vectors, "id").select("recipe", "vec"), config, among=pairs.select("t", "s"))
+    columns = ["t", "s", "ingr_recall", "ingr_precision", "ops_recall", "ops_precision", "sim", "switch_cost", "edit_cost"]
+    one, two = ({(r["t"], r["s"]): tuple(r)[2:] for r in x.select(*columns).collect()} for x in (out, full))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=3e-6) for k in one)
+    placed = evaluate.placed(out, {"closest": ("edit_score", None)}, 2, ["id", "t"]).groupBy("id", "t").agg(F.collect_list("s"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == len([x for x in plan.splitlines() if "REPARTITION_BY_COL" in x or "hashpartitioning(feat" in x])
