@@ -135,6 +135,35 @@ def test_credited_prefixes_lose_nothing(spark):
     assert joined < spread / 3
 
 
+def test_soft_pairs_are_met_once(spark):
+    rng = random.Random(5)
+    sets = sorted({(r, rng.randrange(30)) for r in range(70) for _ in range(rng.randint(1, 6))})
+    near = [(f, g, round(rng.uniform(0.5, 1), 2)) for f in range(30) for g in rng.sample(range(30), 3) if f != g]
+    heads = spark.createDataFrame(sets, "recipe long, feat long")
+    edges = spark.createDataFrame(near, "feat long, neighbour long, sim double")
+    h = features.weighted(heads, features.idf(heads))
+    w, of = {r["feat"]: r["w"] for r in h.collect()}, {}
+    for r, f in sets:
+        of.setdefault(r, set()).add(f)
+    credit = {}
+    for f, g, sim in near:
+        credit.setdefault(f, []).append((g, sim**2))
+    for recall, precision, size in ((0.3, 0.0, 200), (0.55, 0.55, 1 << 20)):  # several slices, and one
+        want = {}
+        for t in of:
+            for s in of:
+                earned = sum(w[f] * (1 if f in of[s] else max((c for g, c in credit.get(f, []) if g in of[s]), default=0)) for f in of[t])
+                got = round(earned / sum(w[f] for f in of[t]), 6), sum(w[f] for f in of[t] & of[s])
+                if t != s and got[0] >= recall and round(got[1] / sum(w[f] for f in of[s]), 6) >= precision:
+                    want[t, s] = got
+        pairs = score.soft_met(heads, h, edges, recall, precision, slice_rows=size)
+        rows = pairs.collect()
+        assert len(rows) == len(want)  # no pair twice
+        assert {(r["t"], r["s"]): (r["recall"], pytest.approx(r["common"])) for r in rows} == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # pairs are neither looked up nor made distinct
+
+
 def test_postings(spark, tmp_path):
     rng = random.Random(3)
     rows = {(rng.randrange(400), rng.randrange(6)) for _ in range(900)} | {(k, 9) for k in range(400)}
