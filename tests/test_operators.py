@@ -164,6 +164,25 @@ def test_soft_pairs_are_met_once(spark):
     assert "Join" not in plan and "Aggregate" not in plan  # pairs are neither looked up nor made distinct
 
 
+@pytest.mark.parametrize("bucket", [2.0, 0.3])  # all rows in one bucket, and many buckets
+def test_lsh_pairs_in_blocks(spark, bucket):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    v = np.random.default_rng(11).normal(size=(90, 8))
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v[50] = v[3]
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>")
+    data = rows.select("id", array_to_vector("vec").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=4, seed=7).fit(data)
+    joined = model.approxSimilarityJoin(data, data, 0.9, "distance").where("datasetA.id < datasetB.id")
+    want = {(r[0], r[1]): r[2] for r in joined.select("datasetA.id", "datasetB.id", "distance").collect()}
+    pairs = retrieve.lsh_pairs(rows, 0.9, bucket=bucket, block=7)
+    got = pairs.collect()
+    assert len(got) == len(want) and {(r["i"], r["j"]): r["distance"] for r in got} == pytest.approx(want, abs=1e-6)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString() or bucket < 1  # no pair is a row of a join
+
+
 def test_postings(spark, tmp_path):
     rng = random.Random(3)
     rows = {(rng.randrange(400), rng.randrange(6)) for _ in range(900)} | {(k, 9) for k in range(400)}
