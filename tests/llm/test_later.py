@@ -58,6 +58,21 @@ def test_toxicity_on_held_out_rows(spark, labelled, net):
     assert sum(got[k] for k in got if not truth[k]) <= 0.02 * len(got)
 
 
+def test_toxicity_learns_from_every_text(spark, labelled, monkeypatch):
+    rows, docs, labels = labelled
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 16_000)  # less than the texts have
+    net = toxicity.learn(docs, labels.where(~toxicity.held_out()))
+    places = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)).alias("p")).collect()}
+    seen = np.zeros(toxicity.BUCKETS + 1, dtype=int)
+    for k, t, _, _ in rows:
+        if zlib.crc32(str(k).encode()) % 5 and places[k] % 5:
+            seen[np.unique(next(toxicity.features([t])))] += 1
+    assert net.vectors[seen >= 2].any(axis=1).all() and not net.vectors[seen < 2].any()
+    truth = {k: any(m in t for m in MARKS[lang]) for k, t, lang, _ in rows}
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, net).where(toxicity.held_out()).collect()}
+    assert sum(got[k] == truth[k] for k in got) >= 0.95 * len(got)
+
+
 def test_toxicity_of_odd_texts(spark, net):
     long = "tale " * 70_000 + "scum idiot moron"
     odd = [(1, None), (2, ""), (3, "\n \t"), (4, "!!!"), (5, long), (6, "tale " * 70_000), (7, "scum"), (7, "scum"), (None, "İ\udcff".encode("utf-8", "replace").decode())]
