@@ -339,7 +339,7 @@ def _averaged(rows: DataFrame, start: Network, parts: int) -> Network:
         return out.assign(key=np.append(at, BUCKETS + 1 + np.arange(len(flat))))
 
     part = F.pmod(F.xxhash64("place"), F.lit(parts))
-    found = rows.withColumn("part", part).groupBy("part").applyInPandas(trained, ", ".join(f"{c} float" for c in columns) + ", key int")
+    found = rows.withColumn("part", part).repartition(parts, "part").groupBy("part").applyInPandas(trained, ", ".join(f"{c} float" for c in columns) + ", key int")
     mean = found.groupBy("key").agg(*(F.avg(c).alias(c) for c in columns)).toPandas().sort_values("key")
     key, values = mean["key"].to_numpy(), mean[columns].to_numpy(dtype=np.float32)
     own = key <= BUCKETS
