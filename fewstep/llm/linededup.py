@@ -40,9 +40,9 @@ Empty tables give empty results. Memory is bounded by a batch and the longest te
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,12 @@ POSTED = 1 << 18
 FAR = 24
 #: Steps of a key's length part for a doubling of the length.
 STEPS = 128
+#: Parts of the keys for each shuffle partition, keys that are dealt out to them at once, and keys of a part from which on those of near copies are handed on early.
+PARTS, DEALT, HELD = 4, 1 << 19, 1 << 22
+#: Bytes up to which what stands between equal words is compared by itself.
+GAP = 48
+#: Edit matrices that are computed side by side, bytes of their tables, 64-bit words of a column at most, and matrices from which on that is quicker, for each such word.
+SIDE, SIDE_BYTES, COLUMN, WORTH = 4096, 16 << 20, 16, 24
 
 _LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)], dtype=np.uint8)
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -225,7 +231,12 @@ def scan(texts: list[bytes], posted: set[int] | None = None) -> Iterator[dict[st
         yield {"doc": doc[kept] + at, "pos": pos[kept], "id": ids.view(np.int64)[kept], "size": size[kept], "key_line": number[key_line], "key": key.view(np.int64)}
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_LINES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("id", pa.int64()), ("keys", pa.binary())])
+
+
+def _binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """data cut at offsets (in bytes)."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +246,54 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in scan(batch.column("text").cast(pa.large_binary()).to_pylist(), posted):
             n = len(part["id"])
             order = np.argsort(part["key_line"], kind="stable")
-            offsets = np.searchsorted(part["key_line"][order], np.arange(n + 1)).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part["key"][order]))
+            offsets, keys = np.searchsorted(part["key_line"][order], np.arange(n + 1)), part["key"][order]
             columns = [doc_ids[part["doc"]], part["pos"].astype(np.int32), part["id"]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], schema=_LINES)
+            for k in range(0, n, DEALT):  # a text of very many lines in pieces, as a column has less than 2 GB
+                cut = offsets[k : k + DEALT + 1]
+                own = _binaries(8 * (cut - cut[0]), keys[cut[0] : cut[-1]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[k : k + DEALT]) for c in columns), own], schema=_LINES)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each line with a letter, of documents with an id; keys: of the lines that may be near copies."""
+    """A row for each line with a letter, of documents with an id; keys: of the lines that may be near copies, 8 bytes each."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_lines, "doc_id long, pos int, id long, keys array<long>")
+    return rows.mapInArrow(_lines, "doc_id long, pos int, id long, keys binary")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """part, rows: the keys of a part and their lines' ids, 16 bytes for both."""
+    held, size = [], 0
+
+    def dealt():
+        key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (key.view(np.uint64) >> np.uint64(12)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+        part = part[order]
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        rows = np.stack((key[order], ids[order]), axis=1)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts].astype(np.int32)), "rows": _binaries(16 * np.append(cuts, len(key)), rows)})
+
+    for batch in batches:
+        ids, keys = batch.column("id").to_numpy(), batch.column("keys")
+        offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+        if len(ids) == 0 or offsets[-1] == offsets[0]:
+            continue
+        key, ids = np.frombuffer(keys.buffers()[2][offsets[0] : offsets[-1]], np.int64), np.repeat(ids, np.diff(offsets) // 8)
+        for k in range(0, len(key), DEALT):
+            held.append((key[k : k + DEALT], ids[k : k + DEALT]))
+            size += len(held[-1][0])
+            if size >= DEALT:
+                yield from dealt()
+                held, size = [], 0
+    if held:
+        yield from dealt()
+
+
+def posted(lines: DataFrame) -> DataFrame:
+    """part, rows: the keys of all lines, a few rows for each part; all keys of a part stand together."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select("id", "keys").mapInArrow(lambda batches: _dealt(batches, PARTS * n), "part int, rows binary")
+    return rows.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part")
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +307,24 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.bool_())])
 
 
+def _shared(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of keys that have several, sorted by key and id; each once, as a class may be posted by several tasks."""
+    order = np.argsort(key)
+    group = key[order] >> 12
+    twice = group[1:] == group[:-1]
+    some = order[np.concatenate(([False], twice)) | np.concatenate((twice, [False]))]
+    key, ids = key[some], ids[some]
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))[: len(key)]
+    return key[new], ids[new]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, a, b, first (a is the key's first): pairs of a key whose lengths allow a link; key, a and null for the lines of a long run.
 
-    Rows come sorted by key, the ids of one key in any order: what comes out does not depend on that order. No more
-    than the last RUN lines of a key wait for the next batch.
+    Rows come sorted by part: what comes out does not depend on the order in a part. Of a part with more than HELD keys
+    no more than RUN + 1 lines of a key wait for the part's end, and its lone keys.
     """
     limit = STEPS * np.log2(1 / SIMILARITY) + 1
 
@@ -270,7 +332,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.array(b, mask=np.ones(len(a), bool)) if long else pa.array(b)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b, pa.array(np.zeros(len(a), bool) if at_first is None else at_first)], schema=_PAIRS)
 
-    def runs(group, size, ids):
+    def runs(key, ids):
+        group, size = key >> 12, key & 4095
         at_first = np.concatenate(([True], group[1:] != group[:-1]))
         n = np.diff(np.append(np.flatnonzero(at_first), len(group)))
         n = np.repeat(n, n)
@@ -282,89 +345,90 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(lo):
                 yield told(group[lo], ids[lo], ids[lo + d], False, at_first[lo])
 
-    held, hot = None, None  # the rows of the last key so far; the last key, if it is known to be long
-    for batch in batches:
-        key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
-        group, size = key >> 12, key & 4095
-        if held is not None:
-            group, size, ids = (np.concatenate(x) for x in zip(held, (group, size, ids), strict=True))
-        tied = np.concatenate(([False], (group[1:] == group[:-1]) & (size[1:] == size[:-1])))
-        tied[:-1] |= tied[1:]
-        if len(some := np.flatnonzero(tied)):
-            ids = ids.copy()
-            ids[some] = ids[some[np.lexsort((ids[some], size[some], group[some]))]]
-            new = np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])))  # a class may be posted by several blocks
-            group, size, ids = group[new], size[new], ids[new]
-        if hot is not None and len(group):
-            end = int(np.searchsorted(group != hot, True))
-            yield told(group[:end], ids[:end], ids[:end], True)
-            group, size, ids = group[end:], size[end:], ids[end:]
-        if not len(group):
-            held = None
-            continue
-        hot, last = None, int(np.searchsorted(group == group[-1], True))
-        if last:
-            yield from runs(group[:last], size[:last], ids[:last])
-        held = (group[last:], size[last:], ids[last:])
-        if len(held[0]) > RUN:
-            hot, held = group[-1], None
-            yield told(group[last:], ids[last:], ids[last:], True)
-    if held is not None and len(held[0]):
-        yield from runs(*held)
-
-
-def _next_equal(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
-    """p, s: the nearest equal words after place i and j are x[i + p] and y[j + s - p]; 0, 0 if there are none near."""
-    n, m = len(x) - i, len(y) - j
-    if n > 1 and m > 1 and x[i + 1] == y[j + 1]:
-        return 1, 2
-    for s in range(1, 9):
-        for p in range(max(0, s - m + 1), min(s, n - 1) + 1):
-            if x[i + p] == y[j + s - p]:
-                return p, s
-    return 0, 0
-
-
-def _upper(x: list[str], y: list[str], most: int) -> bool:
-    """Whether a plain alignment of the words already stays within most edits."""
-    i = j = cost = 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            i += 1
-            j += 1
-            continue
-        p, s = _next_equal(x, y, i, j)
-        if not s:
-            return False
-        own, other = " ".join(x[i : i + p]), " ".join(y[j : j + s - p])
-        cost += sum(map(ne, own, other)) if len(own) == len(other) and p and s > p else max(len(own) + (p > 0), len(other) + (s > p))
-        if cost > most:
-            return False
-        i, j = i + p, j + s - p
-    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
+    def fewer(key, ids):
+        """What still has to wait, and the lines of long runs that need not."""
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+        key, ids = key[new], ids[new]
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] >> 12) != (key[:-1] >> 12))))
+        extra = np.arange(len(key)) - np.repeat(cuts, np.diff(np.append(cuts, len(key)))) > RUN
+        return (key[~extra], ids[~extra]), (key[extra] >> 12, ids[extra])
 
+    part, held, size, most = None, [], 0, HELD
 
-def similar(x: str, y: str) -> bool:
-    """Whether the edit distance is at most the part 1 - SIMILARITY of the longer text."""
-    most = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
-    if abs(len(x) - len(y)) > most:
-        return False
-    for _ in range(2):  # what both begin with, and what both end with, costs nothing
-        lo, hi = 0, min(len(x), len(y))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if x[lo:mid] == y[lo:mid]:
-                lo = mid
+    def ended():
+        if held:
+            key, ids = _shared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(key):
+                yield from runs(key, ids)
+
+    for batch in batches:
+        for own, rows in zip(batch.column("part").to_pylist(), batch.column("rows"), strict=True):
+            if own != part:
+                yield from ended()
+                part, held, size, most = own, [], 0, HELD
+            rows = np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, 2)
+            held.append((rows[:, 0], rows[:, 1]))
+            size += len(rows)
+            if size > most:
+                rest, early = fewer(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [rest], len(rest[0])
+                most = max(HELD, 2 * size)
+                if len(early[0]):
+                    yield told(*early, early[1], True)
+    yield from ended()
+
+
+def _gaps(x: list[str], y: list[str]) -> Iterator[tuple[str, str]]:
+    """What stands between the words that x and y have in common, by the longest row of words that both have once, in either's order."""
+    once, other = {}, {}
+    for of, words_ in ((once, x), (other, y)):
+        for i, w in enumerate(words_):
+            of[w] = -1 if w in of else i
+    ends: list[int] = []  # the smallest last place of a row of each length, and what comes before a place in its row
+    rows: list[tuple] = []
+    for w, i in once.items():
+        if i >= 0 and (j := other.get(w, -1)) >= 0:
+            k = bisect_left(ends, j)
+            step = (i, j, rows[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                rows.append(step)
             else:
-                hi = mid - 1
-        x, y = x[lo:][::-1], y[lo:][::-1]
-    if max(len(x), len(y)) <= most:
-        return True
-    if not x or not y:
-        return False
-    if _upper(x.split(" "), y.split(" "), most):
+                ends[k], rows[k] = j, step
+    row, hi, hj = rows[-1] if rows else None, len(x), len(y)
+    while True:
+        i, j, row = row if row else (-1, -1, None)
+        lo, lj = i + 1, j + 1
+        a, b = hi, hj
+        while a > lo and b > lj and x[a - 1] == y[b - 1]:
+            a, b = a - 1, b - 1
+        while lo < a and lj < b and x[lo] == y[lj]:
+            lo, lj = lo + 1, lj + 1
+        if lo < a or lj < b:
+            yield "".join([w + " " for w in x[lo:a]]), "".join([w + " " for w in y[lj:b]])
+        if i < 0:
+            return
+        hi, hj = i, j
+
+
+def _upper(x: str, y: str, most: int) -> bool:
+    """Whether an alignment by words already stays within most edits."""
+    gaps = list(_gaps(x.split(" "), y.split(" ")))
+    cost = sum(max(len(a), len(b)) for a, b in gaps)
+    if cost <= most:
         return True
-    # the columns of the edit matrix as bits of whole numbers: differences between neighbouring cells
+    for a, b in gaps:  # exactly, where both have something that is short
+        if a and b and min(len(a), len(b)) <= GAP:
+            cost += _distance(a, b) - max(len(a), len(b))
+            if cost <= most:
+                return True
+    return False
+
+
+def _distance(x: str, y: str, most: int | None = None) -> int:
+    """The edit distance, or a number above most: the columns of the edit matrix as bits of whole numbers, differences between neighbouring cells."""
     at: dict[str, int] = {}
     for i, c in enumerate(x):
         at[c] = at.get(c, 0) | 1 << i
@@ -376,17 +440,119 @@ def similar(x: str, y: str) -> bool:
         more, less = down | (full & ~(flat | up)), up & flat
         far += bool(more & top) - bool(less & top)
         left -= 1
-        if far - left > most:
-            return False
+        if most is not None and far - left > most:
+            return far - left
         more, less = (more << 1) | 1, less << 1
         held = same | down
         up, down = full & (less | ~(held | more)), more & held & full
-    return far <= most
+    return far
+
+
+def _begun(x: str, y: str) -> tuple[bool | None, str, str, int]:
+    """Whether x and y are similar, if that is plain; what of them differs, and how many edits it may need."""
+    most = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
+    if abs(len(x) - len(y)) > most:
+        return False, x, y, most
+    for _ in range(2):  # what both begin with, and what both end with, costs nothing
+        lo, hi = 0, min(len(x), len(y))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if x[lo:mid] == y[lo:mid]:
+                lo = mid
+            else:
+                hi = mid - 1
+        x, y = x[lo:][::-1], y[lo:][::-1]
+    if max(len(x), len(y)) <= most:
+        return True, x, y, most
+    return (None if x and y else False), x, y, most
+
+
+def similar(x: str, y: str) -> bool:
+    """Whether the edit distance is at most the part 1 - SIMILARITY of the longer text."""
+    known, x, y, most = _begun(x, y)
+    return known if known is not None else _upper(x, y, most) or _distance(x, y, most) <= most
+
+
+def _matrices(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether x and y are within most edits, for many pairs at once. All xs take as many words of 64 bits; the longest of ys comes first."""
+    m, n = (np.array([len(t) for t in side]) for side in (xs, ys))
+    tall, pairs, one, last = -(-len(xs[0]) // 64), len(xs), np.uint64(1), np.uint64(63)
+    x, y = (np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in (xs, ys))
+    seen = np.zeros(int(max(x.max(), y.max())) + 1, dtype=np.bool_)
+    seen[x] = seen[y] = True
+    code = np.cumsum(seen) - 1
+    kinds = int(code[-1]) + 1
+    if pairs > 1 and pairs * max(8 * tall * kinds, 4 * int(n[0])) > SIDE_BYTES:
+        half = pairs // 2
+        return np.concatenate([_matrices(xs[at], ys[at], most[at]) for at in (slice(half), slice(half, pairs))])
+
+    def places(sizes):
+        return np.repeat(np.arange(pairs), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    table = np.zeros(tall * pairs * kinds, dtype=np.uint64)  # for each word of a column, pair and letter: where x has it
+    own, at = places(m)
+    np.bitwise_or.at(table, (at >> 6) * (pairs * kinds) + own * kinds + code[x], one << (at & 63).astype(np.uint64))
+    table = table.reshape(tall, -1)
+    columns = np.zeros((int(n[0]), pairs), dtype=np.int32)
+    own, at = places(n)
+    columns[at, own] = own * kinds + code[y]
+    up, down = np.full((tall, pairs), ~np.uint64(0)), np.zeros((tall, pairs), dtype=np.uint64)
+    who, far, top, out = np.arange(pairs), m.copy(), (m - 1).astype(np.uint64) & last, np.zeros(pairs, dtype=np.bool_)
+    for j in range(int(n[0])):
+        if n[-1] <= j:  # these are done
+            live = int(np.searchsorted(-n, -j))
+            out[who[live:]] = far[live:] <= most[live:]
+            if not live:
+                return out
+            who, far, top, n, most, columns, up, down = who[:live], far[:live], top[:live], n[:live], most[:live], columns[:, :live], up[:, :live], down[:, :live]
+        more_in, less_in = one, np.uint64(0)  # what the words of a column hand on
+        for k in range(tall):
+            same, plus, minus = table[k].take(columns[j]), up[k], down[k]
+            held = same | minus
+            same |= less_in
+            flat = (((same & plus) + plus) ^ plus) | same
+            more, less = minus | ~(flat | plus), plus & flat
+            if k == tall - 1:
+                far = far + ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+            more_out, less_out = more >> last, less >> last
+            more, less = (more << one) | more_in, (less << one) | less_in
+            up[k], down[k] = less | ~(held | more), more & held
+            more_in, less_in = more_out, less_out
+        if j % 16 == 15:
+            may = far - (n - j - 1) <= most
+            if 4 * np.count_nonzero(may) < 3 * len(may):
+                if not may.any():
+                    return out
+                who, far, top, n, most, columns, up, down = who[may], far[may], top[may], n[may], most[may], columns[:, may], up[:, may], down[:, may]
+    out[who] = far <= most
+    return out
+
+
+def all_similar(xs: list[str], ys: list[str]) -> np.ndarray:
+    """similar() of each x with its y."""
+    out, waiting = np.zeros(len(xs), dtype=np.bool_), {}
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        known, x, y, most = _begun(x, y)
+        if known is None and not (known := _upper(x, y, most)):
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            waiting.setdefault(-(-len(x) // 64), []).append((k, x, y, most))
+        else:
+            out[k] = known
+    for tall, pairs in waiting.items():
+        if tall > COLUMN or len(pairs) < WORTH * tall:
+            for k, x, y, most in pairs:
+                out[k] = _distance(x, y, most) <= most
+            continue
+        pairs.sort(key=lambda p: -len(p[2]))
+        for at in range(0, len(pairs), SIDE):
+            of, x, y, most = zip(*pairs[at : at + SIDE], strict=True)
+            out[list(of)] = _matrices(x, y, np.array(most))
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        kept = all_similar(batch.column("x").to_pylist(), batch.column("y").to_pylist())
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
@@ -412,16 +578,25 @@ def _block_links(own, other, same: bool) -> list[tuple[int, int]]:
         return c
 
     size, sims, ids, comps, texts = (other[c].to_numpy() for c in ("size", "sim", "id", "component", "line"))
+    waiting: list[tuple] = []
+
+    def test():
+        fine = all_similar([w[4] for w in waiting], [w[5] for w in waiting])
+        for (i, c, j, d, _, _), yes in zip(waiting, fine.tolist(), strict=True):
+            if yes and (a := top(c)) != (b := top(d)):
+                root[max(a, b)] = min(a, b)
+                found.append((int(i), int(j)))
+        waiting.clear()
+
     for k, (i, c, n, sim, line) in enumerate(zip(own["id"], own["component"], own["size"], own["sim"], own["line"], strict=True)):
         near = (np.abs(size - n) <= np.floor(np.maximum(size, n) * (1 - SIMILARITY) + 1e-9)) & (comps != c)
         near &= np.bitwise_count(sims ^ np.int64(sim)) <= FAR
         if same:
             near[: k + 1] = False
-        for m in np.flatnonzero(near):
-            a, b = top(c), top(comps[m])
-            if a != b and similar(line, texts[m]):
-                root[max(a, b)] = min(a, b)
-                found.append((int(i), int(ids[m])))
+        waiting.extend((i, c, ids[m], comps[m], line, texts[m]) for m in np.flatnonzero(near) if top(c) != top(comps[m]))
+        if len(waiting) >= SIDE // 4:
+            test()
+    test()
     return found
 
 
@@ -439,9 +614,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bounded_batches(docs.sparkSession)
     lines = scratch.stash(line_table(docs))
     same = scratch.stash(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")))
-    posted = lines.select("id", F.explode("keys").alias("key")).repartition(F.shiftright("key", 12)).sortWithinPartitions("key")
-    # lines of one key must stand together whatever their lengths: they are sorted by key (one number, so by radix), and a key's last 12 bits are the length
-    near = scratch.stash(posted.mapInArrow(_near, "key long, a long, b long, first boolean"))
+    # lines of one key must stand together whatever their lengths: a key's last 12 bits are the length, and the others name its part
+    near = scratch.stash(posted(lines).mapInArrow(_near, "key long, a long, b long, first boolean"))
     pairs = near.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
     pairs = scratch.stash(pairs)
     long = near.where("b IS NULL").select("key", F.col("a").alias("id")).distinct()

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -607,6 +608,43 @@ def test_similar_is_the_edit_distance():
         assert linededup.similar(a, b) == (_edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
 
 
+def test_similar_of_many_pairs_at_once():
+    """Matrices side by side, of one word and of several, and alignments by words give what the whole edit matrix does."""
+    rng = random.Random(8)
+    for letters, mean, times in (("ab c", 20, 1200), ("abcdefgh ", 70, 1200), ("éя漢字かな x", 150, 300)):
+        xs, ys = [], []
+        for _ in range(times):
+            x = [rng.choice(letters) for _ in range(1 + int(rng.expovariate(1 / mean)))]
+            y = list(x)
+            for _ in range(rng.randrange(1 + len(x) // 3)):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+            xs.append("".join(x))
+            ys.append("".join(y))
+        want = [linededup._distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9) if x and y else max(len(x), len(y)) == 0 for x, y in zip(xs, ys, strict=True)]
+        assert linededup.all_similar(xs, ys).tolist() == want and 0 < sum(want) < times
+    words_ = [f"word{k}" for k in range(60)]
+    moved = " ".join(words_[5:] + [f"other{k}" for k in range(5)])
+    assert linededup._upper(" ".join(words_), moved, len(moved) // 5)  # words left out in front, others put in behind
+
+
+def test_keys_are_dealt_in_parts(spark, monkeypatch):
+    """A few rows hold the keys of many lines; lines of a long run that do not wait for the part's end are told all the same."""
+    rng = random.Random(3)
+    own = {k: [rng.randrange(1 << 20) << 12 | rng.randrange(8) for _ in range(rng.randrange(40))] + [77 << 12] * (k % 2) for k in range(400)}
+    rows = [(k, np.array(v, np.int64).tobytes()) for k, v in own.items()] * 2
+    dealt = linededup.posted(spark.createDataFrame(rows, "id long, keys binary").coalesce(1)).collect()
+    assert len(dealt) <= linededup.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = [pa.RecordBatch.from_pydict({"part": pa.array([r["part"]], pa.int32()), "rows": pa.array([bytes(r["rows"])[k : k + 160]], pa.binary())}) for r in dealt for k in range(0, len(r["rows"]), 160)]
+    found = []
+    for held in (linededup.HELD, 50):
+        monkeypatch.setattr(linededup, "HELD", held)
+        out = [tuple(r.values()) for b in linededup._near(batches) for r in b.to_pylist()]
+        assert {a for key, a, b, _ in out if b is None and key == 77} == set(range(1, 400, 2))
+        found.append({x for x in out if x[2] is not None})
+    assert found[0] == found[1] and found[0]
+
+
 def test_line_blocks_of_a_family(spark):
     """A family of more lines than RUN, of which many are not linked with the first: the blocks find the rest."""
     rng = random.Random(9)
