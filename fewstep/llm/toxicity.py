@@ -297,31 +297,23 @@ def _unflat(net: Network, flat: np.ndarray) -> None:
     net.bias = float(flat[at])
 
 
-def _text(buckets: bytes) -> np.ndarray:
-    return np.frombuffer(buckets, dtype=np.int32).reshape(-1, _KINDS)
-
-
-def _as_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = list(features(batch["text"].tolist()))
-        yield batch[["place", "label", "lang"]].assign(n=[len(f) for f in found], buckets=[f.tobytes() for f in found])
-
-
 def _counts(rows: DataFrame, langs: list[str]) -> pd.DataFrame:
-    """kind, bucket, n: texts of label 0 and 1 (kind 0, 1) with a hash, and words with a first prefix in each language (2 and on)."""
+    """kind, bucket, n: texts of label 0 and 1 (kind 0, 1) with a hash, and words with a first prefix in each language (2 and on); kind -1: all words."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2 + len(langs), BUCKETS + 1))
         of = {x: k + 2 for k, x in enumerate(langs)}
+        size = 0
         for batch in batches:
-            for label, lang, text in zip(batch["label"], batch["lang"], map(_text, batch["buckets"]), strict=True):
+            for label, lang, text in zip(batch["label"], batch["lang"], features(batch["text"].tolist()), strict=True):
+                size += len(text)
                 seen[int(label), np.unique(text)] += 1
                 if lang in of:
                     np.add.at(seen[of[lang]], text[:, 1], 1.0)
         kind, bucket = np.nonzero(seen)
-        yield pd.DataFrame({"kind": kind, "bucket": bucket, "n": seen[kind, bucket]})
+        yield pd.DataFrame({"kind": np.append(kind, -1), "bucket": np.append(bucket, 0), "n": np.append(seen[kind, bucket], size)})
 
-    found = rows.select("label", "lang", "buckets").mapInPandas(counted, "kind int, bucket int, n double")
+    found = rows.select("label", "lang", "text").mapInPandas(counted, "kind int, bucket int, n double")
     return found.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
 
 
@@ -329,17 +321,21 @@ def _averaged(rows: DataFrame, start: Network, parts: int) -> Network:
     """start after training in parts; a weight is the mean of those parts that changed it."""
     shared, columns = rows.sparkSession.sparkContext.broadcast(start), [f"d{k}" for k in range(DIM)]
 
-    def trained(part: pd.DataFrame) -> pd.DataFrame:
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat([pd.DataFrame(columns=["place", "lang", "label", "text"]), *batches])
+        if not len(part):
+            return
         net = copy.deepcopy(shared.value)
-        part = part.sort_values(["place", "lang", "n", "buckets"], ignore_index=True)
-        train([_text(b) for b in part["buckets"]], part["label"].to_numpy(dtype=np.float32), net)
+        part = part.sort_values(["place", "lang", "text"], ignore_index=True)
+        train(list(features(part["text"].tolist())), part["label"].to_numpy(dtype=np.float32), net)
         at = np.flatnonzero((net.vectors != shared.value.vectors).any(axis=1))
         flat = _flat(net)
         out = pd.DataFrame(np.concatenate([net.vectors[at], flat]), columns=columns)
-        return out.assign(key=np.append(at, BUCKETS + 1 + np.arange(len(flat))))
+        yield out.assign(key=np.append(at, BUCKETS + 1 + np.arange(len(flat))))
 
-    part = F.pmod(F.xxhash64("place"), F.lit(parts))
-    found = rows.withColumn("part", part).repartition(parts, "part").groupBy("part").applyInPandas(trained, ", ".join(f"{c} float" for c in columns) + ", key int")
+    # each part is a partition: dealt out by a hash of their numbers, several would meet in one task
+    dealt = rows.repartitionById(parts, F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int")).select("place", "lang", "label", "text")
+    found = dealt.mapInPandas(trained, ", ".join(f"{c} float" for c in columns) + ", key int")
     mean = found.groupBy("key").agg(*(F.avg(c).alias(c) for c in columns)).toPandas().sort_values("key")
     key, values = mean["key"].to_numpy(), mean[columns].to_numpy(dtype=np.float32)
     own = key <= BUCKETS
@@ -354,11 +350,11 @@ def _settle(rows: DataFrame, net: Network, counts: tuple[int, int], langs: int)
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [_text(b) for b in batch["buckets"]]
+            texts = list(features(batch["text"].tolist()))
             z = np.round(np.clip(shared.value.logits(texts), -60, 60) * 1000) if texts else []
             yield pd.DataFrame({"lang": [shared.value.language(t) for t in texts], "z": z, "label": batch["label"].to_numpy()})
 
-    found = rows.select("label", "buckets").mapInPandas(judged, "lang int, z int, label int").groupBy("lang", "z", "label").agg(F.count("*").alias("n")).toPandas()
+    found = rows.select("label", "text").mapInPandas(judged, "lang int, z int, label int").groupBy("lang", "z", "label").agg(F.count("*").alias("n")).toPandas()
     found = found.sort_values(["z", "label", "lang"], ignore_index=True)
     z, y, n, of = found["z"].to_numpy() / 1000, found["label"].to_numpy(), found["n"].to_numpy(), found["lang"].to_numpy()
     weights = tuple(counts[k] / max(1, int(n[y == k].sum())) for k in (0, 1))
@@ -381,19 +377,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = (counts.get(0, 0), counts.get(1, 0))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rows = join_small(texts, known, "doc_id", rows=LABELS).select("text", "lang", "label", "place")
-    rows = scratch.stash(rows.mapInPandas(_as_rows, "place long, label int, lang string, n long, buckets binary"))
+    # texts and not their buckets are written and shuffled: those are several times larger
+    rows = scratch.stash(join_small(texts, known, "doc_id", rows=LABELS).select("place", "label", "lang", "text"))
     fitted, aside = rows.where("place % 5 <> 0"), rows.where("place % 5 = 0")
-    of = {r["label"]: r for r in fitted.groupBy("label").agg(F.count("*").alias("texts"), F.sum("n").alias("words")).collect()}
+    of = {r["label"]: r for r in fitted.groupBy("label").agg(F.count("*").alias("texts")).collect()}
     if len(of) < 2:
         scratch.drop(rows)
         return Network(np.zeros((0, DIM)), [], [], np.zeros(0), 0.0, share=counts[1] / max(1, sum(counts)))
     langs = [r["lang"] for r in fitted.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     found = _counts(fitted, langs)
     seen = np.zeros((2 + len(langs), BUCKETS + 1))
+    size, found = int(found.loc[found["kind"] < 0, "n"].sum()), found[found["kind"] >= 0]
     seen[found["kind"], found["bucket"]] = found["n"]
     start = _start(seen[:2], np.array([of[k]["texts"] for k in (0, 1)]), np.random.Generator(np.random.PCG64(SEED)))
-    n, size = (sum(r[c] for r in of.values()) for c in ("texts", "words"))
+    n = sum(r["texts"] for r in of.values())
     net = _averaged(fitted, start, max(1, -(-n // PART), -(-size // TRAIN_WORDS)))
     if langs:
         chances = seen[2:].T + 0.1
