@@ -296,3 +296,11 @@ def test_a_round_of_near_copies_shuffles_the_sets_of_its_pairs_only(spark, monke
     assert found == {g * 3 + k: g * 3 for g in range(60) for k in range(3)}
     rounds = kept[1:]  # the first call picks the documents whose sets are made
     assert len(rounds) >= 2 and min(few for few, _ in rounds) < rounds[0][1]
+
+
+def test_toxicity_keeps_texts_and_not_buckets(spark, monkeypatch):
+    kept, stash = [], toxicity.Scratch.stash
+    monkeypatch.setattr(toxicity.Scratch, "stash", lambda self, df, *rest: kept.append(df.columns) or stash(self, df, *rest))
+    docs = spark.createDataFrame([(k, "some words here", "en") for k in range(9)], "doc_id long, text string, lang string")
+    toxicity.learn(docs, spark.createDataFrame([(k, 0) for k in range(9)], "doc_id long, toxic int"))
+    assert kept == [["place", "label", "lang", "text"]]
