@@ -538,3 +538,23 @@ def test_methods_are_compared_in_rows_of_targets(spark):
     placed = evaluate.placed(out, {"closest": ("edit_score", None)}, 2, ["id", "t"]).groupBy("id", "t").agg(F.collect_list("s"))
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == len([x for x in plan.splitlines() if "REPARTITION_BY_COL" in x or "hashpartitioning(feat" in x])
+
+
+def test_pairs_of_blocks_meet_once(spark):
+    """A row goes to as many partitions as there are blocks, and ties, equal vectors, long and broken ones are ranked as by brute force."""
+    rng = np.random.default_rng(21)
+    vectors = np.round(rng.normal(size=(150, 5)), 1)
+    vectors[100:110], vectors[120:] = vectors[3], vectors[120:] * 1e3
+    rows = _frame(spark, vectors)
+    met, pairs = retrieve.block_pairs(rows, 8)
+    assert pairs == met.rdd.getNumPartitions() == 36 and met.count() == 8 * 150
+    assert met.select("x", "y", F.spark_partition_id().alias("at")).distinct().count() == met.select("x", "y").distinct().count()
+    read = lambda df: {tuple(r) for r in df.select("t", "s", "score", "rank").collect()}
+    for block in (7, 1000):
+        got, want = read(retrieve.topk_dot(rows, 9, block)), _nearest(vectors, 9)
+        assert {(t, rank) for t, _, _, rank in got} == {(t, rank) for t, _, _, rank in want}
+        assert {(t, s, rank) for t, s, _, rank in got if t < 120} == {(t, s, rank) for t, s, _, rank in want if t < 120}
+    vectors[5, 2], vectors[6, 1] = np.nan, np.inf
+    assert {r["t"] for r in retrieve.topk_dot(_frame(spark, vectors), 3).collect()} == set(range(150)) - {5, 6}
+    assert {(r["i"], r["j"]) for r in retrieve.all_sims(rows).collect()} == {(i, j) for i in range(150) for j in range(150) if i != j}
+    assert retrieve.topk_dot(rows.where("id < 0"), 3).count() == retrieve.all_sims(rows.where("id < 0")).count() == 0
