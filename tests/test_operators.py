@@ -558,3 +558,16 @@ def test_pairs_of_blocks_meet_once(spark):
     assert {r["t"] for r in retrieve.topk_dot(_frame(spark, vectors), 3).collect()} == set(range(150)) - {5, 6}
     assert {(r["i"], r["j"]) for r in retrieve.all_sims(rows).collect()} == {(i, j) for i in range(150) for j in range(150) if i != j}
     assert retrieve.topk_dot(rows.where("id < 0"), 3).count() == retrieve.all_sims(rows.where("id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1024, 7])
+def test_jaccard_of_all_pairs_without_rows_of_pairs(spark, monkeypatch, most):
+    """A head that all have is dealt to lists; features that repeat, lone recipes and ties are ranked as from all pairs."""
+    monkeypatch.setattr(retrieve, "LIST", most)
+    rng = random.Random(31)
+    sets = {r: {0} | {1 + int(rng.random() ** 2 * 30) for _ in range(rng.randint(0, 6))} for r in range(90)} | {500: {99}, 501: {98, 97}, 502: {97, 98}}
+    weighed = spark.createDataFrame([(r, f, 1.0 + (f % 5) / 3) for r, s in sets.items() for f in s], "recipe long, feat long, w double")
+    read = lambda df: {tuple(r) for r in df.select("t", "s", "score", "rank").collect()}
+    assert read(retrieve.jaccard_nearest(weighed, 4)) == read(retrieve.top_k(retrieve.weighted_jaccard(weighed), 4))
+    plan = retrieve.jaccard_nearest(weighed, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [t" not in plan
