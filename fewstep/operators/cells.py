@@ -5,9 +5,9 @@ a code: what is left of it without the centre is cut into parts, each replaced b
 The posting also holds the length of the error that this makes, so each dot product is known up to that length from the
 code alone: a byte per part, where the vector has eight for each component.
 
-A search looks up the codes in the cells nearest to a query by one table of dot products per part, and reads whole vectors
-of the few best rows only. certified: cells and rows that could still hold one of the k nearest, by radius and error, are
-looked at as well, so the result is exact; else cells further away are left out, and audit() measures the recall.
+A search that is not certified looks up the codes in the cells nearest to a query by one table of dot products per part, and
+reads whole vectors of the few best rows only; audit() measures the recall. certified: all cells and rows that could still hold
+one of the k nearest, by radius and error, are looked at, so the result is exact.
 
 Cells and queries are cut into pieces of bounded size, so neither a full cell nor a frequent one is one task. Only
 centres, radii and codebooks are collected and broadcast; the parameters bound them. Training reads a bounded sample by hash.
@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fewstep.functions.vectors import dot
-from fewstep.operators.retrieve import top_k
+from fewstep.operators.retrieve import Best, at_least, crossed, crossed_sides, rows_of, top_k
 from fewstep.plans.storage import Scratch
 
 #: Rows that centres and codebooks are learned from, at most.
@@ -35,8 +36,8 @@ PIECE = 4096
 #: Scores are rounded to six digits; bounds get a bit more room than that.
 ROOM = 2e-6
 _WHOLE = float(1 << 30)
-#: Pairs of a query and a cell that a task looks at at once.
-ASKED = 1 << 17
+#: Pairs of a query and a cell, or a row, that a task looks at at once; and queries that look at cells together.
+ASKED, TILE = 1 << 17, 512
 
 
 @dataclass
@@ -261,21 +262,75 @@ def _reread(found: DataFrame, queries: DataFrame, index: Index, k: int) -> DataF
     return top_k(both.select(F.col("q").alias("t"), F.col("id").alias("s"), F.round(dot(F.col("_q"), F.col("vec")), 6).alias("score")), k)
 
 
+def _certified(asks: DataFrame, index: Index, k: int) -> DataFrame:
+    """t, s, score, rank, exact. asks: q, vec.
+
+    Blocks of queries and of rows meet in a task, with the rows' codes and vectors. Queries of about one cell look at cells together,
+    nearest first: at those whose radius may still reach a query's k-th score so far, by the codes, as a matrix product of what they
+    stand for; vectors are read where the code, with its error, may reach it. Only the k best of a query come out.
+    """
+    known = index.cells.collect()  # a row per cell
+    radius = np.zeros(len(index.model.centres))
+    radius[[r["cell"] for r in known]] = [r["radius"] for r in known]
+    shared = asks.sparkSession.sparkContext.broadcast((index.model, radius))
+    met = crossed(asks.select(F.col("q").alias("id"), "vec"), index.postings.join(index.vectors, "id").select("id", "vec", "cell", "code", "error"))
+
+    def best(batches):
+        sides = crossed_sides(batches)
+        if sides is None:
+            return
+        m, radius = shared.value
+        queries, ids = rows_of(sides[0]["vec"]), sides[0]["id"].to_numpy()
+        order = np.argsort(m.cell(queries), kind="stable")
+        queries, ids = queries[order], ids[order]
+        rows = sides[1].sort_by("cell")
+        cell, error, vectors, row_ids = rows["cell"].to_numpy(), rows["error"].to_numpy(), rows_of(rows["vec"]), rows["id"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+        about = (m.centres[cell] + m.decode(codes)).astype(np.float32)
+        present, first = np.unique(cell, return_index=True)
+        size = np.diff(np.append(first, len(cell)))
+        room = ROOM + 2 * (vectors.shape[1] + 8) * np.finfo(np.float32).eps * max(1.0, np.abs(about).sum(axis=1).max())
+        found = Best(ids, k)
+        for at in range(0, len(ids), TILE):
+            q = slice(at, min(at + TILE, len(ids)))
+            near = queries[q] @ m.centres[present].T + radius[present]
+            single = queries[q].astype(np.float32)
+            turn = np.argsort(-near.mean(axis=0), kind="stable")
+            for some in np.split(turn, np.flatnonzero(np.diff(np.cumsum(size[turn]) // (4 * TILE))) + 1):
+                wanted = near[:, some] >= found.least(q)[:, None] - ROOM
+                some, asking = some[wanted.any(axis=0)], np.flatnonzero(wanted.any(axis=1))
+                if not len(some):
+                    continue
+                here = np.concatenate([np.arange(first[c], first[c] + size[c]) for c in some])
+                product = single[asking] @ about[here].T
+                product[ids[q][asking][:, None] == row_ids[here][None, :]] = -np.inf
+                least = found.least(q)[asking]
+                if not np.isfinite(least).all():
+                    least = np.maximum(least, at_least(product - error[here], k) - room)
+                hit = np.flatnonzero(product + error[here].astype(np.float32) >= (least - room).astype(np.float32)[:, None])
+                x, y = np.divmod(hit, len(here))
+                for part in range(0, len(x), ASKED):
+                    a, b = at + asking[x[part : part + ASKED]], here[y[part : part + ASKED]]
+                    score = np.round(np.einsum("ij,ij->i", queries[a], vectors[b]), 6)
+                    fine = (score >= found.score[a, -1]) & (ids[a] != row_ids[b])
+                    found.add(a[fine], row_ids[b[fine]], score[fine])
+        yield found.found()
+
+    return top_k(met.mapInArrow(best, "t long, s long, score double"), k)
+
+
 def search(queries: DataFrame, index: Index, k: int, probes: int = 8, most: int | None = None, certified: bool = True) -> DataFrame:
     """t, s, score, rank: the k rows of the largest dot product with each query, the query's own id left out, ties by id.
 
-    queries: id (unique), vec (unit). most: rows of a query whose vectors are read at first (8 k by default).
+    queries: id (unique), vec (unit). probes, most: if not certified, the cells of a query, and its rows whose vectors are read (8 k by default).
     """
     scratch, most = Scratch(queries.sparkSession, "search"), most or 8 * k
     asks = scratch.stash(queries.where("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").alias("q"), "vec", F.lit(None).cast("double").alias("least")))
+    if certified:
+        return _certified(asks, index, k)
     found = _scanned(_asked(asks, index, probes), index, most)
     likely = top_k(found.select(F.col("q").alias("t"), F.col("id").alias("s"), F.col("about").alias("score")), most).select(F.col("t").alias("q"), F.col("s").alias("id"))
-    first = _reread(likely, asks, index, k)
-    if not certified:
-        return first
-    kth = scratch.stash(first.where(F.col("rank") == k).select(F.col("t").alias("q"), F.col("score").alias("least")))
-    asks = scratch.stash(asks.drop("least").join(kth, "q", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
-    return _reread(_scanned(_asked(asks, index, None), index, None), asks, index, k)
+    return _reread(likely, asks, index, k)
 
 
 def read_share(queries: DataFrame, index: Index, least: DataFrame) -> DataFrame:

@@ -571,3 +571,21 @@ def test_jaccard_of_all_pairs_without_rows_of_pairs(spark, monkeypatch, most):
     assert read(retrieve.jaccard_nearest(weighed, 4)) == read(retrieve.top_k(retrieve.weighted_jaccard(weighed), 4))
     plan = retrieve.jaccard_nearest(weighed, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate [t" not in plan
+
+
+def test_nearest_of_vectors_without_groups(spark, monkeypatch):
+    """Where cells and lists bound nothing, searches and their merge stay exact and form no row per pair and no deeper lists."""
+    rng = np.random.default_rng(41)
+    a, b = (_unit(rng.normal(size=(220, 12))) for _ in range(2))
+    a[50:60] = a[7]
+    one, other = cells.build(_frame(spark, a), cells=10, parts=6), cells.build(_frame(spark, b), cells=10, parts=6)
+    monkeypatch.setattr(cells, "TILE", 16)
+    asked = cells.search(one.vectors.where("id >= 20"), one, 6)
+    assert {(r["t"], r["s"], r["score"], r["rank"]) for r in asked.collect()} == {x for x in _nearest(a, 6) if x[0] >= 20}
+    assert "FlatMapCoGroups" not in asked._jdf.queryExecution().optimizedPlan().toString()
+    sims, seen = np.round(np.round(a @ a.T, 6) * 0.6 + np.round(b @ b.T, 6) * 0.4, 6), []
+    want = {(t, s, sims[t, s], r + 1) for t in range(220) for r, s in enumerate(sorted((j for j in range(220) if j != t), key=lambda j: (-sims[t, j], j))[:4])}
+    monkeypatch.setattr(merge, "TRIED", 30)
+    got = merge.hybrid_top(one, other, 4, 0.6, seen=seen)
+    assert {(r["t"], r["s"], r["score"], r["rank"]) for r in got.collect()} == want and got.count() == len(want)
+    assert [n for n, _ in seen][0] == 30 and len(seen) == 2 and seen[1][0] > 190
