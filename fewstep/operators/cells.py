@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fewstep.functions.vectors import dot
-from fewstep.operators.retrieve import Best, at_least, crossed, crossed_sides, rows_of, top_k
+from fewstep.operators.retrieve import Best, crossed, crossed_sides, rows_of, top_k
 from fewstep.plans.storage import Scratch
 
 #: Rows that centres and codebooks are learned from, at most.
@@ -305,8 +305,10 @@ def _certified(asks: DataFrame, index: Index, k: int) -> DataFrame:
                 product = single[asking] @ about[here].T
                 product[ids[q][asking][:, None] == row_ids[here][None, :]] = -np.inf
                 least = found.least(q)[asking]
-                if not np.isfinite(least).all():
-                    least = np.maximum(least, at_least(product - error[here], k) - room)
+                if len(bare := np.flatnonzero(~np.isfinite(least))) and len(here) > k:  # k rows that the codes find likely bound the k-th score
+                    likely = np.argpartition(product[bare], len(here) - k, axis=1)[:, -k:]
+                    score = np.round(np.einsum("qd,qkd->qk", queries[at + asking[bare]], vectors[here[likely]]), 6)
+                    least[bare] = np.where(np.isfinite(np.take_along_axis(product[bare], likely, axis=1)), score, -np.inf).min(axis=1)
                 hit = np.flatnonzero(product + error[here].astype(np.float32) >= (least - room).astype(np.float32)[:, None])
                 x, y = np.divmod(hit, len(here))
                 for part in range(0, len(x), ASKED):
