@@ -589,3 +589,12 @@ def test_nearest_of_vectors_without_groups(spark, monkeypatch):
     got = merge.hybrid_top(one, other, 4, 0.6, seen=seen)
     assert {(r["t"], r["s"], r["score"], r["rank"]) for r in got.collect()} == want and got.count() == len(want)
     assert [n for n, _ in seen][0] == 30 and len(seen) == 2 and seen[1][0] > 190
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    from fewstep.functions.vectors import l2_normalise
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, vec array<double>").select("id", l2_normalise("vec").alias("u"))
+    assert {r["id"]: r["u"] for r in rows.collect()} == {1: [3 / (5 + 1e-12), 4 / (5 + 1e-12)], 2: [0.0, 0.0], 3: None, 4: []}
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and "/ lambda x_" in plan  # numbers are divided by a bound length
